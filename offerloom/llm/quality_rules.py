@@ -2,7 +2,7 @@
 
 Each rule looks at one measure of a text and votes good (1), bad (-1) or abstains (0). The corpus is reduced to a histogram
 of vote patterns, which has at most 3^rules rows; expectation-maximisation on it estimates how often each rule votes and
-how often it is right, and every pattern gets the posterior probability that a text with these votes is good.
+how often it is right on good and on bad texts, and every pattern gets the posterior probability that a text with these votes is good.
 """
 
 from __future__ import annotations
@@ -27,11 +27,13 @@ RULES = (
     ("repeated_lines", "n_dup_lines / greatest(n_lines, 1)", 0.30, 0.10),
     ("shouting", "n_marks / greatest(n_words, 1)", 0.40, 0.10),
     ("word_length", "abs(word_chars / greatest(n_words, 1) - 6.5)", 4.5, 2.5),
-    ("one_word", "most_common / greatest(n_words, 1)", 0.30, 0.20),
+    ("one_word", "most_common / greatest(n_words, 20)", 0.30, 0.20),
 )
 ITERATIONS = 60
-#: EM starts at, and keeps within, these bounds: a rule is right more often than not.
-START, LEAST, MOST = 0.85, 0.55, 0.995
+#: What EM starts from and is drawn to: shares of the votes bad, none, good of a rule on bad and on good texts, and the
+#: share of good texts. The prior counts as this share of all texts, so that the size of the corpus doesn't matter.
+PRIOR_VOTES = ((0.35, 0.10, 0.55), (0.01, 0.09, 0.90))
+PRIOR_GOOD, PRIOR_SHARE = 0.9, 0.02
 THRESHOLD = 0.5
 _SYMBOLS = b"#*$%&|<>"
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals", "n_marks", "most_common")
@@ -96,21 +98,23 @@ def _of(expression: str, counts: str) -> str:
 def fit(histogram: np.ndarray) -> np.ndarray:
     """Posterior probability of good for each pattern code, by EM on the histogram of codes.
 
-    A rule's vote given the truth: with its estimated accuracy it is right, and it abstains independently of the truth.
+    Given the truth the rules vote independently; a rule's accuracy is estimated for bad and for good texts apart, since most
+    rules catch one kind of bad text and have nothing against the others.
     """
-    votes = np.array(list(product((-1, 0, 1), repeat=len(RULES))))
-    right, prior = np.full(len(RULES), START), 0.8
-    total = max(1.0, float(histogram.sum()))
+    votes = np.array(list(product((0, 1, 2), repeat=len(RULES))))
+    one_hot = (votes[:, :, None] == np.arange(3)).astype(float)
+    prior = np.array(PRIOR_VOTES)[None].repeat(len(RULES), 0)
+    theta, good, total = prior, PRIOR_GOOD, max(1.0, float(histogram.sum()))
     for _ in range(ITERATIONS):
-        weight = np.log(right / (1 - right))
-        posterior = 1 / (1 + np.exp(-(votes @ weight + np.log(prior / (1 - prior)))))
+        logs = np.einsum("prv,rcv->pc", one_hot, np.log(theta))
+        odds = np.clip(logs[:, 1] - logs[:, 0] + np.log(good / (1 - good)), -50, 50)
+        posterior = 1 / (1 + np.exp(-odds))
         if not histogram.sum():
             break
-        good, bad = histogram * posterior, histogram * (1 - posterior)
-        agreed = good @ (votes == 1) + bad @ (votes == -1)
-        cast = np.maximum(1e-9, histogram @ (votes != 0))
-        right = np.clip((agreed + START) / (cast + 1), LEAST, MOST)
-        prior = float(np.clip(good.sum() / total, 0.05, 0.95))
+        mass = np.stack((histogram * (1 - posterior), histogram * posterior), 1)
+        counts = np.einsum("pc,prv->rcv", mass, one_hot) + PRIOR_SHARE * total * prior
+        theta = counts / counts.sum(2, keepdims=True)
+        good = float((mass[:, 1].sum() + PRIOR_SHARE * total * PRIOR_GOOD) / (total * (1 + PRIOR_SHARE)))
     return posterior
 
 
