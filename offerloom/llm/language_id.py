@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from offerloom.llm.texts import as_bytes, crc32_of_id, table
+from offerloom.plans.lineage import cut
 
 #: Most documents per language that the trees are counted on.
 SAMPLE = 2_000
@@ -94,7 +95,7 @@ class Model:
                 c = full.reshape(-1, ALPHABET ** (order + 1)).sum(0).reshape(-1, ALPHABET)
                 seen, distinct = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
                 # the shorter context drops the oldest symbol
-                shorter = np.broadcast_to(share.reshape(-1, ALPHABET), (ALPHABET, max(1, len(c) // ALPHABET), ALPHABET)).reshape(-1, ALPHABET)[: len(c)] if order else share.reshape(1, -1)
+                shorter = np.tile(share.reshape(-1, ALPHABET), (ALPHABET if order else 1, 1))
                 escape = np.where(seen > 0, distinct / np.maximum(seen + distinct, 1), 1.0)
                 share = np.where(c > 0, c / np.maximum(seen + distinct, 1), escape * shorter)
             out[:, column] = -np.log2(share.reshape(-1))
@@ -103,8 +104,6 @@ class Model:
 
 def fit(docs: DataFrame) -> Model:
     """Count the trees. The driver gets 256 byte counts per language and the bounded samples' contexts."""
-    from offerloom.plans.lineage import cut
-
     rows = cut(training_rows(docs), "sample")
     by_byte = rows.groupBy("lang").applyInPandas(_count_bytes, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
     frequent = by_byte.filter("n > 0").orderBy(F.desc("n"), "byte").limit(ALPHABET - 1).collect()

@@ -24,9 +24,9 @@ RULES = (
     ("symbols", "n_symbols / greatest(n_words, 1)", 0.20, 0.05),
     ("capitals", "n_capitals / greatest(n_letters, 1)", 0.50, 0.20),
     ("repeated_words", "n_repeat_words / greatest(n_words, 1)", 0.35, 0.15),
-    ("repeated_lines", "n_dup_lines / greatest(n_lines, 1)", 0.30, 0.10),
+    ("repeated_lines", "n_dup_lines / greatest(n_lines, 1)", 0.45, 0.34),
     ("shouting", "n_marks / greatest(n_words, 1)", 0.40, 0.10),
-    ("word_length", "abs(word_chars / greatest(n_words, 1) - 6.5)", 4.5, 2.5),
+    ("no_letters", "(word_chars - n_letters) / greatest(word_chars, 1)", 0.18, 0.08),
     ("one_word", "most_common / greatest(n_words, 20)", 0.30, 0.20),
 )
 ITERATIONS = 60

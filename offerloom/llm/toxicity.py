@@ -19,8 +19,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from offerloom.llm.near_dedup import shingles
 from offerloom.llm.samples import labelled_sample
 from offerloom.llm.texts import crc32_of_id, table
+from offerloom.plans.lineage import cut
 
 #: Most labelled documents that the lexicon and the curve are fitted on.
 SAMPLE = 20_000
@@ -126,6 +128,12 @@ def measure_with(lexicon: dict[str, float]):
     return run
 
 
+@F.pandas_udf(T.LongType())
+def least_shingle(texts: pd.Series) -> pd.Series:
+    """The smallest shingle hash: equal for copies and for most near copies."""
+    return texts.map(lambda t: int(s[0] >> np.uint64(1)) if len(s := shingles((t or "").encode("utf-8", "surrogatepass"))) else -1).astype("int64")
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def folded_words(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: sorted({w for v in views(t or "") for w in _WORD.findall(v)}))
@@ -172,10 +180,9 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    from offerloom.plans.lineage import cut
-
-    sample = cut(labelled_sample(docs, labels, "toxic", SAMPLE), "sample")
-    lexicon = learn_lexicon(sample)
+    sample = cut(labelled_sample(docs, labels, "toxic", SAMPLE).withColumn("least", least_shingle("text")), "sample")
+    # copies would make the words of one toxic text look like evidence
+    lexicon = learn_lexicon(sample.dropDuplicates(["least", "label"]))
     rows = sample.select("label", measure_with(lexicon)("text").alias("m")).select("label", "m.total", "m.density").toPandas()
     curve = fit_curve(np.log1p(rows[["total", "density"]].to_numpy(float)).reshape(-1, 2), rows.label.to_numpy(float))
     return Model(lexicon, curve.tolist())
