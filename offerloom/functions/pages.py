@@ -1,0 +1,91 @@
+"""Page readers on the standard library's HTML parser, as Arrow UDFs."""
+
+from __future__ import annotations
+
+from html.parser import HTMLParser
+from urllib.parse import urldefrag, urljoin
+
+import pandas as pd
+from pyspark.sql import functions as F, types as T
+
+_SILENT = {"script", "style", "noscript", "template"}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+class _Reader(HTMLParser):
+    """Collects text, links with their words, label-value pairs and images in one pass."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.text, self.links, self.pairs, self.images = [], [], {}, []
+        self.silent, self.href, self.words, self.cell, self.label = 0, None, [], None, None
+
+    def handle_starttag(self, tag, attrs):
+        known = dict(attrs)
+        if tag in _SILENT:
+            self.silent += 1
+        elif tag == "a" and known.get("href"):
+            self.href, self.words = known["href"], []
+        elif tag == "img":
+            source = next((known[k] for k in ("data-src", "data-original", "src") if known.get(k)), None)
+            if source and "placeholder" not in source and not source.startswith("data:"):
+                self.images.append(source)
+        if tag in ("th", "td", "dt", "dd"):
+            self.cell = []
+
+    def handle_endtag(self, tag):
+        if tag in _SILENT:
+            self.silent = max(0, self.silent - 1)
+        elif tag == "a" and self.href:
+            self.links.append((self.href, " ".join(self.words)))
+            self.href = None
+        if tag in ("th", "dt", "td", "dd") and self.cell is not None:
+            value = " ".join(self.cell)
+            if tag in ("th", "dt") or (tag == "td" and self.label is None):
+                self.label = value.rstrip(" :") or None
+            elif self.label:
+                self.pairs.setdefault(self.label, value)
+                self.label = None
+            self.cell = None
+        if tag in ("tr", "dl"):
+            self.label = None
+
+    def handle_data(self, data):
+        words = data.split()
+        if self.silent or not words:
+            return
+        self.text += words
+        for held in (self.words if self.href else None, self.cell):
+            if held is not None:
+                held += words
+
+
+def _read(html: str | None) -> _Reader:
+    reader = _Reader()
+    reader.feed(html or "")
+    reader.close()
+    return reader
+
+
+@F.pandas_udf(T.StringType())
+def visible_text(html: pd.Series) -> pd.Series:
+    """The text outside scripts and styles, in single spaces."""
+    return html.map(lambda x: " ".join(_read(x).text))
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("url", T.StringType()), T.StructField("words", T.StringType())])))
+def page_links(html: pd.Series, base: pd.Series) -> pd.Series:
+    """Absolute addresses without fragment, with the words of their anchors, in order."""
+    return pd.Series([[{"url": urldefrag(urljoin(b or "", h))[0], "words": w} for h, w in _read(x).links] for x, b in zip(html, base)])
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def label_values(html: pd.Series) -> pd.Series:
+    """Values of tables and definition lists by their label; the first of a label stays."""
+    return html.map(lambda x: _read(x).pairs)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def page_images(html: pd.Series) -> pd.Series:
+    """Images with their best source, without placeholders."""
+    return html.map(lambda x: _read(x).images)
