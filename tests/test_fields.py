@@ -98,4 +98,4 @@ def test_structured_data(spark):
     html = """<script type="application/ld+json">{"@type":"Product","name":"A","sku":"S1","brand":{"name":"B"},"offers":{"price":"12,50","availability":"https://schema.org/InStock"}}</script>
     <script type="application/ld+json">{"@graph":[{"@type":"WebPage"},{"@type":"Product","name":"C","offers":{"price":3}}]}</script><script type="application/ld+json">broken</script>"""
     rows = extract.structured_products(spark.createDataFrame([(1, html)], "page_id long, html string"), "html", "page_id").orderBy("name").collect()
-    assert [(r.name, r.price_eur, r.availability) for r in rows] == [("A", 12.5, "InStock"), ("C", 3.0, "")]
+    assert [(r.name, r.price_eur, r.availability) for r in rows] == [("A", 12.5, "InStock"), ("C", 3.0, None)]

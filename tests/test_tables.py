@@ -47,7 +47,7 @@ def test_missing_columns(spark):
 
 def test_range_takes_predecessor(spark):
     rows = spark.range(60).select(F.format_string("%02d", "id").alias("k"))
-    assert [r.k for r in ranking.key_range(rows, "k", "095", "12").collect()] == ["09", "10", "11"]
+    assert sorted(r.k for r in ranking.key_range(rows, "k", "095", "12").collect()) == ["09", "10", "11"]
 
 
 def _sequential(offers):
