@@ -32,8 +32,7 @@ TEMPLATES = (
     ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0-text", "you may not use this file except in compliance with the License. You may obtain a copy of the License at. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl-2", "This work is licensed under the GNU General Public License, version 2"),
+    ("gpl-notice", "This work is licensed under the GNU General Public License, version"),
     ("gpl-text", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version of the License, or (at your option) any later version"),
     ("lgpl", "Licensed under the GNU Lesser General Public License"),
     ("bsd-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
@@ -54,10 +53,6 @@ def needed(tokens: int) -> int:
     return math.ceil(CONTAINMENT * tokens - 1e-9)
 
 
-def _words(low: Column) -> Column:
-    return F.filter(F.split(low, _GAP), lambda w: w != "")
-
-
 def token_ranks(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """The template tokens by the number of documents that hold them, over all documents, rarest first, then by code point."""
     held = F.array_intersect(F.split(ascii_lower(F.coalesce("text", F.lit(""))), _GAP), F.lit(vocabulary))
@@ -105,19 +100,28 @@ def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES)
     return pairs.filter((rest >= F.col("needed")) & (shared >= F.col("needed"))).select(*keys, (shared / F.size("template")).alias("containment"))
 
 
-def _starts_here(words: Column, phrase: Column, length: int):
-    return lambda i: F.slice(words, i + 1, length) == phrase
+def _spaces(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
 def _places(low: Column) -> dict[str, Column]:
-    """For each base label the word numbers at which its phrase starts; texts without the word license are not cut up."""
-    words = _words(low)
+    """For each base label n (places of its phrase) and first and last (their word numbers).
+
+    The words, each after one space, are cut at the phrase; the words before the first cut and after the last one give
+    the numbers. Texts without the phrase's words are not cut up.
+    """
+    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, _GAP, " ")), F.lit(" "))
     found = {}
     for phrase, label in PHRASES:
         parts = phrase.split()
-        numbers, phrase_words = F.sequence(F.lit(0), F.size(words) - len(parts)), F.array(*map(F.lit, parts))
-        here = F.filter(numbers, _starts_here(words, phrase_words, len(parts)))
-        found[label] = F.when(low.contains(parts[-1]) & low.contains(parts[0]) & (F.size(words) >= len(parts)), here).otherwise(F.array().cast("array<int>"))
+        cut_up = F.split(spaced, f" {phrase}(?= )")
+        n = F.size(cut_up) - 1
+        last = _spaces(spaced) - 1 - (_spaces(F.element_at(cut_up, -1)) - 1) - len(parts)
+        here = F.struct(n.alias("n"), F.when(n > 0, _spaces(cut_up[0])).alias("first"), F.when(n > 0, last).alias("last"))
+        held = low.contains(parts[0])
+        for part in parts[1:]:
+            held = held & low.contains(part)
+        found[label] = F.when(held, here).otherwise(F.struct(F.lit(0).alias("n"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")))
     return found
 
 
@@ -135,15 +139,15 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) ->
     places = _places(F.col("low"))
     base = rows.select("id", "text_hash", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"), F.struct(*[c.alias(label) for label, c in places.items()]).alias("places"))
     joined = base.join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")), "left")
-    every = F.concat(*[F.col(f"places.{label}") for label in places])
-    labels = F.array_compact(F.array(*[F.when(F.size(f"places.{label}") > 0, F.lit(label)) for label in places]))
+    every = lambda field: [F.col(f"places.{label}.{field}") for label in places]
+    labels = F.array_compact(F.array(*[F.when(F.col(f"places.{label}.n") > 0, F.lit(label)) for label in places]))
     more = F.coalesce("more", F.array().cast("array<string>"))
     return joined.select(
         F.col("id").alias("doc_id"),
         "n_words",
-        F.size(every).cast("long").alias("n_base"),
-        F.array_min(every).cast("long").alias("first_word"),
-        F.array_max(every).cast("long").alias("last_word"),
+        sum(every("n"), F.lit(0)).cast("long").alias("n_base"),
+        F.least(*every("first")).cast("long").alias("first_word"),
+        F.greatest(*every("last")).cast("long").alias("last_word"),
         F.array_join(F.array_sort(labels), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(labels, more))), ",").alias("labels"),
         F.when(F.size(labels) > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
