@@ -190,20 +190,21 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    verdict = cut(deduplicate(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "verdict")
-    gone = verdict.filter("not kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
-    repeated = verdict.filter("kept and n > 1").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    rows = deduplicate(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    verdict = cut(rows.filter("not kept or n > 1"), "verdict")
+    own = "_" * (1 + max(map(len, docs.columns)))  # a name that docs doesn't have
+    row = F.struct(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).alias(own)
+    gone, repeated = verdict.filter("not kept").select(row), verdict.filter("kept and n > 1").select(row)
     sha = F.sha2(normalised(docs["text"]).cast("binary"), 256)
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("id")) & (sha == F.col("sha"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(f"{own}.id")) & (sha == F.col(f"{own}.sha"))
     small = lambda df: broadcast_if(df, df.count(), SUSPECTS_BROADCAST // 4)
     kept = docs.join(small(gone), same, "left_anti")
     if not (n := repeated.count()):
         return kept
     again = broadcast_if(repeated, n, SUSPECTS_BROADCAST // 4)
     once = kept.join(again, same, "left_anti")
-    longest = W.partitionBy(F.col("doc_id"), F.sha2(normalised(F.col("text")).cast("binary"), 256)).orderBy(F.char_length("text").desc())
-    name = "_turn" + "_" * max(map(len, docs.columns))
-    twice = kept.join(again, same, "left_semi").withColumn(name, F.row_number().over(longest)).filter(F.col(name) == 1).drop(name)
+    longest = W.partitionBy(docs["doc_id"], sha).orderBy(F.char_length(docs["text"]).desc())
+    twice = kept.join(again, same, "left_semi").withColumn(own, F.row_number().over(longest)).filter(F.col(own) == 1).drop(own)
     return once.unionByName(twice)
 
 

@@ -45,7 +45,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float =
     left = F.sum("weight").over(one) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     w = w.withColumn("level", (F.lit(total) * F.sum("source_size").over(one) - capped) / left)
     fits = F.col("cap") > F.col("level") * F.col("weight")
-    w = w.withColumn("level", F.min(F.when(fits, F.struct(F.col("cap") / F.col("weight"), "level"))).over(one)["level"])
+    w = w.withColumn("level", F.max(F.when(fits, F.col("level"))).over(one))  # the first that fits has the highest level
     return w.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
@@ -144,7 +144,7 @@ r AS (
          1.5::DOUBLE * sum(source_size) OVER () AS total
   FROM w),
 lv AS (
-  SELECT min_by((total - capped) / rest, ratio) AS level FROM r WHERE cap > (total - capped) / rest * weight),
+  SELECT max((total - capped) / rest) AS level FROM r WHERE cap > (total - capped) / rest * weight),
 t AS (
   SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM r, lv),
 b AS (

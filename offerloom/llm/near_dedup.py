@@ -262,8 +262,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``; of rows repeated with one id all that are kept."""
-    gone = cut(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("id")).distinct(), "gone")
-    return docs.join(broadcast_if(gone, gone.count(), IDS_BROADCAST), docs["doc_id"].cast("long") == F.col("id"), "left_anti")
+    own = "_" * (1 + max(map(len, docs.columns)))  # a name that docs doesn't have
+    gone = cut(near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct(), "gone").withColumnRenamed("doc_id", own)
+    return docs.join(broadcast_if(gone, gone.count(), IDS_BROADCAST), docs["doc_id"].cast("long") == F.col(own), "left_anti")
 
 
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
