@@ -35,7 +35,7 @@ def richest_record_per_key(spark, d):
     return best.select("user_id", "event_id", F.col("richness").cast("long").alias("richness"), "price", "brand")
 
 
-def _sold(spark, d):
+def sold(spark, d):
     """What line items say of a part: a layer over the parts."""
     rows = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey"))
     rows = rows.agg(F.max("l_quantity").alias("p_retailprice"), F.when(F.max("l_returnflag") == "R", "").otherwise(F.max("l_returnflag")).alias("p_brand"), F.min("l_linestatus").alias("p_type"))
@@ -43,17 +43,17 @@ def _sold(spark, d):
     return rows.unionByName(more)
 
 
-def _parts(spark, d):
+def parts(spark, d):
     rows = table(spark, d, "part").select("p_partkey", "p_brand", F.when(F.col("p_size") > 25, F.col("p_type")).alias("p_type"), "p_retailprice")
     return rows
 
 
 def merge_override(spark, d):
-    return merge.layer(_parts(spark, d), _sold(spark, d), "p_partkey", {"p_retailprice": "pin"}, "full_outer")
+    return merge.layer(parts(spark, d), sold(spark, d), "p_partkey", {"p_retailprice": "pin"}, "full_outer")
 
 
 def merge_fill_only(spark, d):
-    return merge.layer(_parts(spark, d), _sold(spark, d), "p_partkey", {"*": "fill"})
+    return merge.layer(parts(spark, d), sold(spark, d), "p_partkey", {"*": "fill"})
 
 
 def merge_mixed_fallback_key(spark, d):
@@ -179,7 +179,7 @@ QUERIES = {f.__name__: f for f in (
     tiered_lookup, duplicate_groups, union_of_sources, frontier_reach, queue_marks, incremental_ingest,
 )}
 
-_LAYERS = """b AS (SELECT p_partkey, p_brand, CASE WHEN p_size > 25 THEN p_type END AS p_type, p_retailprice FROM part),
+LAYERS = """b AS (SELECT p_partkey, p_brand, CASE WHEN p_size > 25 THEN p_type END AS p_type, p_retailprice FROM part),
 r AS (SELECT l_partkey AS p_partkey, max(l_quantity) AS p_retailprice, CASE WHEN max(l_returnflag) = 'R' THEN '' ELSE max(l_returnflag) END AS p_brand, min(l_linestatus) AS p_type
       FROM lineitem GROUP BY 1 UNION ALL SELECT -1, 1.0, 'new', 'NEW')"""
 _DAYS = """c AS (SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'),
@@ -193,14 +193,14 @@ QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DE
     "richest_record_per_key": """WITH e AS (SELECT event_id, user_id, CASE WHEN value > 5 THEN value END AS price, CASE WHEN event_type <> 'view' THEN event_type END AS brand FROM events),
 r AS (SELECT *, CAST((price IS NOT NULL)::INT + (brand IS NOT NULL)::INT AS BIGINT) AS richness FROM e)
 SELECT user_id, event_id, richness, price, brand FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY richness DESC, event_id DESC) = 1""",
-    "merge_override": f"""WITH {_LAYERS}
+    "merge_override": f"""WITH {LAYERS}
 SELECT coalesce(b.p_partkey, r.p_partkey) AS p_partkey,
   CASE WHEN b.p_partkey IS NULL THEN r.p_brand ELSE coalesce(nullif(r.p_brand, ''), b.p_brand) END AS p_brand,
   CASE WHEN b.p_partkey IS NULL THEN r.p_type ELSE coalesce(nullif(r.p_type, ''), b.p_type) END AS p_type,
   CASE WHEN b.p_partkey IS NULL THEN r.p_retailprice ELSE b.p_retailprice END AS p_retailprice,
   CASE WHEN b.p_partkey IS NULL THEN 'added' WHEN r.p_partkey IS NULL THEN 'base' ELSE 'enriched' END AS status
 FROM b FULL JOIN r ON b.p_partkey = r.p_partkey""",
-    "merge_fill_only": f"""WITH {_LAYERS}
+    "merge_fill_only": f"""WITH {LAYERS}
 SELECT b.p_partkey, coalesce(nullif(b.p_brand, ''), nullif(r.p_brand, '')) AS p_brand, coalesce(nullif(b.p_type, ''), nullif(r.p_type, '')) AS p_type,
   coalesce(b.p_retailprice, r.p_retailprice) AS p_retailprice, CASE WHEN r.p_partkey IS NULL THEN 'base' ELSE 'enriched' END AS status
 FROM b LEFT JOIN r ON b.p_partkey = r.p_partkey""",

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from offerloom.operators import classify, dedup, frontier, matching, merge, ranking
+from offerloom.operators import classify, dedup, frontier, matching, merge, publish, ranking
 from offerloom.sources import readers, writers
 from offerloom.streaming import ingest
 
@@ -151,3 +151,16 @@ def test_change_stream(spark, tmp_path):
     seen = []
     ingest.drain(changes, str(tmp_path / "done"), lambda batch, n: seen.extend(batch.collect()))
     assert sorted((r.product, r.price) for r in seen if r.product == "p") == [("p", 1.0), ("p", 2.0)] and sum(r.product == "q" for r in seen) == 1
+
+
+def test_images_and_robots(spark):
+    row = spark.createDataFrame([("R1", ["a.jpg", "x-r1.jpg"], "User-agent: *\nDisallow: /cart", "https://a.example/cart/1")], "ref string, images array<string>, robots string, url string")
+    assert row.select(publish.image_for(F.col("ref"), F.col("images")).alias("i")).first().i == "x-r1.jpg"
+    assert row.select(publish.robots_allow("robots", "url").alias("ok")).first().ok is False
+
+
+def test_seeds_and_completeness(spark):
+    links = spark.createDataFrame([("https://a.example/c/x.html?p=2",), ("https://a.example/c/x.html",), ("https://a.example/x.html",), ("https://b.example/c/x.html",), ("https://a.example/customer/x.html",)], "url string")
+    assert [r.url for r in publish.category_seeds(links, "url", "a.example").collect()] == ["https://a.example/c/x.html"]
+    good, errors = publish.split_by_completeness(spark.createDataFrame([("a", 1), ("", 2), (None, 3)], "name string, k int"), ["name"])
+    assert good.count() == 1 and [r.lacking for r in errors.collect()] == [["name"], ["name"]]
