@@ -75,7 +75,7 @@ def test_license_places(spark, docs):
     mit = rows[TEXTS.index("Released under the MIT License.")]
     assert (mit.n_words, mit.n_base, mit.first_word, mit.base_labels, mit.labels, mit.score) == (5, 1, 3, "mit", "mit,mit-1", 1.0)
     assert rows[5].n_words == 0 and rows[5].labels == "" and rows[5].first_word is None
-    text = "MIT license mit-LICENSE " + "K" + "it license"  # the Kelvin sign is no k
+    text = "MIT license mit-LICENSE \u212ait license"  # a Kelvin sign and no m
     found = license_scan.scan(spark.createDataFrame([(1, text), (2, "mit  licensee mit"), (3, "apache license general public license")], "doc_id long, text string"))
     rows = {r.doc_id: r for r in found.collect()}
     assert (rows[1].n_base, rows[1].first_word, rows[1].last_word) == (2, 0, 2)
