@@ -33,8 +33,8 @@ REGISTERS, BAND = 128, 4
 BASE, OFFSET = 1.1, 40
 #: Pairs estimated below this are not verified: four standard errors of 128 registers under the threshold.
 ESTIMATE = 0.60
-#: Classes of a bucket that one task compares with as many others.
-BLOCK = 256
+#: Classes of a bucket that one task compares with as many others, and shingles that these classes have on average at most.
+BLOCK, BLOCK_SHINGLES = 2048, 3_000_000
 #: Most ids broadcast to a reading of the texts; beyond it the join is shuffled.
 IDS_BROADCAST = 500_000
 
@@ -202,12 +202,12 @@ _IN_BLOCK = "bucket long, band int, i int, j int, block int, rep long, component
 def _bands(classes: DataFrame) -> DataFrame:
     """A row per class and band: band, bucket (a hash of the band's number and registers), rep."""
     starts = [F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("registers", 1 + i * BAND, BAND)).alias("bucket")) for i in range(REGISTERS // BAND)]
-    return classes.select("rep", F.explode(F.array(*starts)).alias("b")).select("rep", "b.band", "b.bucket")
+    return classes.select("rep", "n_shingles", F.explode(F.array(*starts)).alias("b")).select("rep", "n_shingles", "b.band", "b.bucket")
 
 
 def _first_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, leaders: DataFrame) -> DataFrame:
     """Links between classes and the leaders of their buckets."""
-    pairs = bands.join(leaders, "bucket").filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = bands.select("rep", "bucket").join(leaders, "bucket").filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     slim = classes.select("rep", "n_shingles", "registers")
     pairs = pairs.join(slim.toDF("a", "na", "ra"), "a").join(slim.toDF("b", "nb", "rb"), "b")
     pairs = cut(pairs.filter(_likely_registers("ra", "rb", "na", "nb")).select("a", "b"), "pairs")
@@ -221,12 +221,12 @@ def _rest_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, found: Da
     """Links inside buckets whose members are in several components after the first links."""
     label = found.withColumnRenamed("node", "rep")
     members = bands.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).filter("n > 2 and least <> most")
+    mixed = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).filter("n > 2 and least <> most")
     # both blocks of every pair of blocks of a bucket meet in a task of their own
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int")
     members = members.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).join(classes.select("rep", "n_shingles", "registers"), "rep")
+    members = members.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).join(classes.select("rep", "registers"), "rep")
     columns = [x.split()[0] for x in _IN_BLOCK.split(", ")]
     kept = cut(members.select(*columns).groupBy("bucket", "i", "j").applyInPandas(lambda g: _survivors(g)[columns], _IN_BLOCK), "survivors")
     ids = cut(kept.select("rep").distinct(), "ids")
