@@ -30,9 +30,18 @@ _cache: dict = {}
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    """lang and the text's bytes of at most SAMPLE documents per language outside the held-out part."""
+    """lang and the text's bytes of at most SAMPLE documents per language outside the held-out part, those with the smallest hashes.
+
+    The numbers of documents per language, one row each as the model has one table each, tell how small the hashes must be:
+    twice the sample passes that filter, so that no task orders all documents of a language.
+    """
     known = docs.select(F.col("doc_id").cast("long").alias("id"), "lang").filter(F.col("lang").isNotNull() & (crc32_of_id("id") % 5 != 0))
-    turn = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    known = known.withColumn("hash", F.xxhash64("id"))
+    most = {r["lang"]: min(1.0, 2 * SAMPLE / r["count"]) for r in known.groupBy("lang").count().collect()}
+    if most:
+        share = F.element_at(F.create_map(*[F.lit(x) for item in most.items() for x in item]), F.col("lang"))
+        known = known.filter(F.col("hash") / 2.0**64 + 0.5 <= share)
+    turn = F.row_number().over(W.partitionBy("lang").orderBy("hash", "id"))
     chosen = known.withColumn("turn", turn).filter(F.col("turn") <= SAMPLE).select(F.col("id").alias("chosen")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "lang", as_bytes().alias("body")).filter(F.col("lang").isNotNull())
     return texts.join(F.broadcast(chosen), F.col("id").eqNullSafe(F.col("chosen")), "left_semi").select("lang", "body")
