@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from offerloom.llm.components import components
-from offerloom.llm.texts import WordHashes, as_bytes, table
+from offerloom.llm.texts import WordHashes, as_bytes, release, table
 from offerloom.plans.lineage import broadcast_if, cut
 
 WORDS_IN_SHINGLE = 5
@@ -111,6 +111,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 registers.append(sketch(s).tobytes() if len(s) else None)
             yield pa.record_batch([batch.column(0).slice(at, 512), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary())], ["doc_id", "n_shingles", "digest", "registers"])
+    _words.clear()
+    release()
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -129,6 +131,8 @@ def _sets(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
 def _linked_texts(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
         yield pd.Series([linked(shingles(x), shingles(y)) for x, y in zip(a, b)], dtype=bool)
+    _words.clear()
+    release()
 
 
 @F.pandas_udf(T.BooleanType())

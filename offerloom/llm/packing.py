@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from offerloom.llm.texts import table
+from offerloom.llm.texts import release, table
 
 CONTEXT = 1024
 END_ID = 0
@@ -99,6 +99,7 @@ def _cut(path: str | None, ranks: str | None, context: int, end_id: int):
                             column.append(value)
                         start += n
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 4, pa.binary()))], ["doc_id", "start", "length", "doc_tokens", "ids"])
+        release()
 
     return run
 

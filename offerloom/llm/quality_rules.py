@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
-from offerloom.llm.texts import has_word, table
+from offerloom.llm.texts import has_word, release, table
 from offerloom.plans.lineage import cut
 
 #: (name, measure, bad from, good up to): bad if the measure is at least the first, good if at most the second, else no vote.
@@ -78,6 +78,7 @@ def measure(text: str | None) -> tuple[int, ...]:
 def measures(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
         yield pd.DataFrame([measure(t) for t in batch], columns=list(_COUNTS), dtype="int64")
+    release()
 
 
 def _code(counts: str) -> Column:

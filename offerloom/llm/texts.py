@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: A word: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Upper bound of a worker's word table; the table is emptied beyond it, which costs time and changes no result.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 100_000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -33,6 +34,11 @@ def table(spark, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Give back the Arrow memory that a worker has kept; idle workers hold on to it otherwise."""
+    pa.default_memory_pool().release_unused()
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words seen last."""
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from offerloom.llm.packing import encoder
-from offerloom.llm.texts import table
+from offerloom.llm.texts import release, table
 
 _FIELDS = "doc_id long, section long, start long, stop long, tokens long, crossing long, doc_tokens long"
 
@@ -44,6 +44,7 @@ def _attribute(path: str | None, ranks: str | None):
                     for column, value in zip(out, ([doc_id] * n, range(n), starts, stops, tokens, crossing, [len(first)] * n)):
                         column.extend(value)
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in out], ["doc_id", "section", "start", "stop", "tokens", "crossing", "doc_tokens"])
+        release()
 
     return run
 
