@@ -2,9 +2,9 @@
 
 A text's words are compared with license templates as sets of tokens. A block of text matches a template if it holds at
 least CONTAINMENT of the template's tokens. Templates of one sentence are compared with lines, longer notices with windows of
-lines. The template tokens are ordered by their frequency in the corpus, rarest first, and three filters leave few pairs:
-a block that matches holds one of the template's first tokens (prefix), as many template tokens as are needed (length), and
-behind the first shared token enough of both are left (position). What remains is counted exactly.
+lines from every line on and with runs of words, which do not depend on line breaks. The template tokens are ordered by their frequency in the corpus, rarest first, and three filters leave few pairs:
+a text with a block that matches holds one of the template's first tokens (prefix), as many template tokens as are needed
+(length), and behind the first shared token enough of both are left (position). The blocks of what remains are counted exactly.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 CONTAINMENT = 0.9
-#: Lines of a window, and lines from one window to the next.
+#: Lines of a window, which starts at any line; lines from one window to the next in the SQL only.
 WINDOW, STEP = 12, 6
+#: Words of a run of words, as a multiple of the template's words; room for what a notice has in between, such as an address.
+SPAN = 1.5
 #: Distinct tokens from which a template is a notice that is looked for in windows.
 NOTICE = 24
 #: The wording of well-known notices.
@@ -53,6 +55,11 @@ def needed(tokens: int) -> int:
     return math.ceil(CONTAINMENT * tokens - 1e-9)
 
 
+def span(text: str) -> int:
+    """Words of the runs that a template of this text is looked for in."""
+    return math.ceil(SPAN * len(re.findall(WORD, text.lower())))
+
+
 def token_ranks(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """The template tokens by the number of documents that hold them, over all documents, rarest first, then by code point."""
     held = F.array_intersect(F.split(ascii_lower(F.coalesce("text", F.lit(""))), _GAP), F.lit(vocabulary))
@@ -61,43 +68,62 @@ def token_ranks(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {t: i for i, t in enumerate(sorted(vocabulary, key=lambda t: (n.get(t, 0), t)))}
 
 
-def _blocks(low: Column) -> Column:
-    """Lines and windows of lines, each with its kind."""
-    lines = F.split(low, "\n")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(lines) - 1 - STEP, F.lit(0)), F.lit(STEP))
-    single = F.transform(lines, lambda x: F.struct(F.lit("line").alias("kind"), x.alias("body")))
-    windows = F.transform(starts, lambda i: F.struct(F.lit("window").alias("kind"), F.array_join(F.slice(lines, i + 1, F.lit(WINDOW)), "\n").alias("body")))
-    return F.concat(single, windows)
+def _best(low: Column) -> tuple[Column, Column]:
+    """Per line the template's words, and the places of all of them in the text, of a pair of a text and a template."""
+    by_line = F.transform(F.split(low, "\n"), lambda x: F.array_intersect(F.split(x, _GAP), F.col("words")))
+    placed = F.transform(F.split(low, _GAP), lambda word, at: F.struct(at.alias("at"), word.alias("word")))
+    return by_line, F.filter(placed, lambda x: F.array_contains(F.col("words"), x["word"]))
+
+
+def _in_lines() -> Column:
+    """Most tokens of the template in WINDOW lines in a row, from any line, or for a short template in one line."""
+    windows = F.transform(F.sequence(F.lit(1), F.size("by_line")), lambda i: F.size(F.array_distinct(F.flatten(F.slice(F.col("by_line"), i, F.lit(WINDOW))))))
+    return F.when(F.col("notice"), F.array_max(windows)).otherwise(F.array_max(F.transform("by_line", F.size)))
+
+
+def _in_words() -> Column:
+    """Most tokens of the template in ``span`` words in a row, however they are broken into lines; 0 if it is too few.
+
+    A run that holds the most begins at a template word, and its first ``needed`` template words lie inside the span.
+    """
+    hits, span = F.col("hits"), F.col("span")
+    place = lambda i: F.get(hits, i)["at"]
+    starts = F.filter(F.sequence(F.lit(0), F.size(hits)), lambda i: F.coalesce(place(i + F.col("needed") - 1) - place(i) < span, F.lit(False)))
+    inside = lambda i: F.filter(F.slice(hits, i + 1, span), lambda x: x["at"] - place(i) < span)
+    return F.coalesce(F.array_max(F.transform(starts, lambda i: F.size(F.array_distinct(inside(i)["word"])))), F.lit(0))
 
 
 def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """id, text_hash, block, label, containment: every block of ``docs`` (id, low, text_hash) that meets a template."""
+    """id, text_hash, label, containment: every template that a block of ``docs`` (id, low, text_hash) meets, with its best block.
+
+    The join pairs whole texts with templates, which loses nothing, as a text holds the tokens of all its blocks. A pair
+    appears once, at its first shared token; then the blocks of the text are compared with the template.
+    """
     spark = docs.sparkSession
     sets = {name: template_tokens(text) for name, text in templates}
     ranks = token_ranks(docs.select(F.col("low").alias("text")), sorted({t for s in sets.values() for t in s}))
     index = []
-    for name, tokens in sets.items():
-        ordered = sorted(ranks[t] for t in tokens)
-        kind = "window" if len(tokens) >= NOTICE else "line"
-        index += [(kind, rank, at, name, ordered, needed(len(tokens))) for at, rank in enumerate(ordered[: len(tokens) - needed(len(tokens)) + 1])]
-    by_rank = {rank: token for token, rank in ranks.items()}
-    least = min(row[5] for row in index)
-    prefix = spark.createDataFrame(index, "template_kind string, template_rank int, template_at int, label string, template array<int>, needed int")
-    first = "|".join(sorted(by_rank[rank] for rank in {row[1] for row in index}))
-    some = docs.filter(F.col("low").rlike(f"(?<![^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])(?:{first})(?![^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F])"))
+    for name, text in templates:
+        words, ordered = sets[name], sorted(ranks[t] for t in sets[name])
+        row = (name, len(words) >= NOTICE, words, ordered, needed(len(words)), span(text))
+        index += [(rank, at, *row) for at, rank in enumerate(ordered[: len(words) - needed(len(words)) + 1])]
+    prefix = spark.createDataFrame(index, "rank int, template_at int, label string, notice boolean, words array<string>, template array<int>, needed int, span int")
     rank_of = F.create_map(*[F.lit(x) for item in ranks.items() for x in item])
-    blocks = some.select("id", "text_hash", F.posexplode(_blocks(F.col("low"))).alias("block", "b")).select("id", "text_hash", "block", "b.kind", F.array_intersect(F.split("b.body", _GAP), F.lit(list(ranks))).alias("tokens"))
-    blocks = blocks.filter(F.size("tokens") >= least)
-    blocks = blocks.select("id", "text_hash", "block", "kind", F.array_sort(F.transform("tokens", lambda t: F.element_at(rank_of, t))).alias("ranks"))
-    probes = blocks.select("*", F.posexplode("ranks").alias("at", "rank"))
+    texts = docs.select("id", "text_hash", "low", F.array_intersect(F.split("low", _GAP), F.lit(list(ranks))).alias("tokens"))
+    texts = texts.filter(F.size("tokens") >= min(row[6] for row in index))
+    texts = texts.select("id", "text_hash", "low", F.array_sort(F.transform("tokens", lambda t: F.element_at(rank_of, t))).alias("ranks"))
+    firsts = F.filter(F.transform("ranks", lambda rank, at: F.struct(rank.alias("rank"), at.alias("at"))), lambda x: x["rank"].isin(sorted({row[0] for row in index})))
+    probes = texts.select("*", F.inline(firsts))
     # the index has a row per template and prefix token, whatever the corpus
-    pairs = probes.join(F.broadcast(prefix), (F.col("rank") == F.col("template_rank")) & (F.col("kind") == F.col("template_kind")))
-    pairs = pairs.filter(F.size("ranks") >= F.col("needed"))
-    keys = ["id", "text_hash", "block", "label"]
-    pairs = pairs.groupBy(*keys).agg(F.min("at").alias("at"), F.min("template_at").alias("template_at"), F.first("ranks").alias("ranks"), F.first("template").alias("template"), F.first("needed").alias("needed"))
+    pairs = probes.join(F.broadcast(prefix), "rank").filter(F.size("ranks") >= F.col("needed"))
     rest = F.least(F.size("ranks") - F.col("at"), F.size("template") - F.col("template_at"))
-    shared = F.size(F.array_intersect("ranks", "template"))
-    return pairs.filter((rest >= F.col("needed")) & (shared >= F.col("needed"))).select(*keys, (shared / F.size("template")).alias("containment"))
+    earlier = F.arrays_overlap(F.slice("ranks", F.lit(1), F.col("at")), F.slice("template", F.lit(1), F.col("template_at")))
+    pairs = pairs.filter((rest >= F.col("needed")) & ~earlier & (F.size(F.array_intersect("ranks", "template")) >= F.col("needed")))
+    by_line, hits = _best(F.col("low"))
+    blocks = pairs.select("id", "text_hash", "label", "notice", "words", "needed", "span", by_line.alias("by_line"), hits.alias("hits"))
+    best = F.when(F.col("notice"), F.greatest(_in_lines(), _in_words())).otherwise(_in_lines())
+    found = blocks.select("id", "text_hash", "label", "words", "needed", best.alias("shared")).filter(F.col("shared") >= F.col("needed"))
+    return found.select("id", "text_hash", "label", (F.col("shared") / F.size("words")).alias("containment"))
 
 
 def _spaces(text: Column) -> Column:

@@ -90,6 +90,33 @@ def test_license_notice_over_lines(spark):
     assert row.labels == "bsd-text" and row.score >= license_scan.CONTAINMENT
 
 
+
+APACHE_HEADER = """you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+
+
+def test_license_notices_at_every_offset_and_wrap(spark):
+    rows, want = [], {}
+    wrapped = [("apache-2.0-text", APACHE_HEADER)]
+    for name, text in license_scan.TEMPLATES:
+        if len(license_scan.template_tokens(text)) >= license_scan.NOTICE:
+            words = text.split()
+            wrapped += [(name, "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))) for n in (1, 2, 4, 5, 8, 100)]
+    for name, text in wrapped:
+        for offset in range(7):
+            want[len(rows)] = name
+            rows.append((len(rows), "\n".join([f"filler row {i}" for i in range(offset)] + [text] + ["more filler"] * 9)))
+    got = {r.doc_id: (r.labels.split(","), r.score) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i, name in want.items() if name not in got[i][0]] == []
+    assert min(score for _, score in got.values()) >= license_scan.CONTAINMENT
+
+
 # 2
 
 
