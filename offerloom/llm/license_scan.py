@@ -2,7 +2,7 @@
 
 A text's words are compared with license templates as sets of tokens. A block of text matches a template if it holds at
 least CONTAINMENT of the template's tokens. Templates of one sentence are compared with lines, longer notices with windows of
-lines from every line on and with runs of words, which do not depend on line breaks. The template tokens are ordered by their frequency in the corpus, rarest first, and three filters leave few pairs:
+lines from every line on, and both with runs of words, which do not depend on line breaks. The template tokens are ordered by their frequency in the corpus, rarest first, and three filters leave few pairs:
 a text with a block that matches holds one of the template's first tokens (prefix), as many template tokens as are needed
 (length), and behind the first shared token enough of both are left (position). The blocks of what remains are counted exactly.
 """
@@ -68,7 +68,7 @@ def token_ranks(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {t: i for i, t in enumerate(sorted(vocabulary, key=lambda t: (n.get(t, 0), t)))}
 
 
-def _best(low: Column) -> tuple[Column, Column]:
+def _shared(low: Column) -> tuple[Column, Column]:
     """Per line the template's words, and the places of all of them in the text, of a pair of a text and a template."""
     by_line = F.transform(F.split(low, "\n"), lambda x: F.array_intersect(F.split(x, _GAP), F.col("words")))
     placed = F.transform(F.split(low, _GAP), lambda word, at: F.struct(at.alias("at"), word.alias("word")))
@@ -102,28 +102,29 @@ def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES)
     spark = docs.sparkSession
     sets = {name: template_tokens(text) for name, text in templates}
     ranks = token_ranks(docs.select(F.col("low").alias("text")), sorted({t for s in sets.values() for t in s}))
+    by_rank = sorted(ranks, key=ranks.get)
     index = []
     for name, text in templates:
-        words, ordered = sets[name], sorted(ranks[t] for t in sets[name])
-        row = (name, len(words) >= NOTICE, words, ordered, needed(len(words)), span(text))
-        index += [(rank, at, *row) for at, rank in enumerate(ordered[: len(words) - needed(len(words)) + 1])]
-    prefix = spark.createDataFrame(index, "rank int, template_at int, label string, notice boolean, words array<string>, template array<int>, needed int, span int")
-    rank_of = F.create_map(*[F.lit(x) for item in ranks.items() for x in item])
-    texts = docs.select("id", "text_hash", "low", F.array_intersect(F.split("low", _GAP), F.lit(list(ranks))).alias("tokens"))
-    texts = texts.filter(F.size("tokens") >= min(row[6] for row in index))
-    texts = texts.select("id", "text_hash", "low", F.array_sort(F.transform("tokens", lambda t: F.element_at(rank_of, t))).alias("ranks"))
-    firsts = F.filter(F.transform("ranks", lambda rank, at: F.struct(rank.alias("rank"), at.alias("at"))), lambda x: x["rank"].isin(sorted({row[0] for row in index})))
+        words = sorted(sets[name], key=ranks.get)
+        row = (name, len(words) >= NOTICE, words, needed(len(words)), span(text))
+        index += [(token, at, *row) for at, token in enumerate(words[: len(words) - needed(len(words)) + 1])]
+    first = sorted({row[0] for row in index})
+    prefix = spark.createDataFrame(index, "token string, word_at int, label string, notice boolean, words array<string>, needed int, span int")
+    # in the order of the ranks; held by one row, so that no later filter works it out again
+    held = F.array_intersect(F.lit(by_rank), F.split("low", _GAP))
+    texts = docs.select("id", "text_hash", "low", F.explode(F.array(held)).alias("tokens"))
+    texts = texts.filter((F.size("tokens") >= min(row[5] for row in index)) & F.arrays_overlap("tokens", F.lit(first)))
+    firsts = F.filter(F.transform("tokens", lambda token, at: F.struct(token.alias("token"), at.alias("at"))), lambda x: x["token"].isin(first))
     probes = texts.select("*", F.inline(firsts))
     # the index has a row per template and prefix token, whatever the corpus
-    pairs = probes.join(F.broadcast(prefix), "rank").filter(F.size("ranks") >= F.col("needed"))
-    rest = F.least(F.size("ranks") - F.col("at"), F.size("template") - F.col("template_at"))
-    earlier = F.arrays_overlap(F.slice("ranks", F.lit(1), F.col("at")), F.slice("template", F.lit(1), F.col("template_at")))
-    pairs = pairs.filter((rest >= F.col("needed")) & ~earlier & (F.size(F.array_intersect("ranks", "template")) >= F.col("needed")))
-    by_line, hits = _best(F.col("low"))
-    blocks = pairs.select("id", "text_hash", "label", "notice", "words", "needed", "span", by_line.alias("by_line"), hits.alias("hits"))
-    best = F.when(F.col("notice"), F.greatest(_in_lines(), _in_words())).otherwise(_in_lines())
-    found = blocks.select("id", "text_hash", "label", "words", "needed", best.alias("shared")).filter(F.col("shared") >= F.col("needed"))
-    return found.select("id", "text_hash", "label", (F.col("shared") / F.size("words")).alias("containment"))
+    pairs = probes.join(F.broadcast(prefix), "token").filter(F.size("tokens") >= F.col("needed"))
+    rest = F.least(F.size("tokens") - F.col("at"), F.size("words") - F.col("word_at"))
+    earlier = F.arrays_overlap(F.slice("tokens", F.lit(1), F.col("at")), F.slice("words", F.lit(1), F.col("word_at")))
+    pairs = pairs.filter((rest >= F.col("needed")) & ~earlier & (F.size(F.array_intersect("tokens", "words")) >= F.col("needed")))
+    by_line, hits = _shared(F.col("low"))
+    blocks = pairs.select("id", "text_hash", "label", "notice", "words", "needed", "span", F.inline(F.array(F.struct(by_line.alias("by_line"), hits.alias("hits")))))
+    found = blocks.select("id", "text_hash", "label", "words", "needed", F.explode(F.array(F.greatest(_in_lines(), _in_words()))).alias("shared"))
+    return found.filter(F.col("shared") >= F.col("needed")).select("id", "text_hash", "label", (F.col("shared") / F.size("words")).alias("containment"))
 
 
 def _spaces(text: Column) -> Column:

@@ -117,6 +117,20 @@ def test_license_notices_at_every_offset_and_wrap(spark):
     assert min(score for _, score in got.values()) >= license_scan.CONTAINMENT
 
 
+def test_license_sentences_split_at_every_word(spark):
+    rows, want = [], {}
+    for name, text in license_scan.TEMPLATES:
+        if len(license_scan.template_tokens(text)) < license_scan.NOTICE:
+            words = text.split()
+            for at in range(1, len(words)):
+                want[len(rows)] = name
+                rows.append((len(rows), f"before\n * {' '.join(words[:at])}\n * {' '.join(words[at:])}\nafter"))
+    rows.append((len(rows), "Released\n" + "other words\n" * 40 + "under the MIT License"))
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [rows[i] for i, name in want.items() if name not in got[i]] == []
+    assert "mit-1" not in got[len(rows) - 1]
+
+
 # 2
 
 
