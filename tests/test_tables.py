@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from offerloom.functions.similarity import token_set
 from offerloom.operators import classify, dedup, frontier, matching, merge, publish, ranking
 from offerloom.sources import readers, writers
 from offerloom.streaming import ingest
@@ -90,6 +91,18 @@ def test_grouping_by_identifiers(spark):
     assert {r.seq: r.group_id for r in matching.greedy_groups(df, ["a", "b", "c"]).collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
 
 
+
+def test_scored_best_of_all_products(spark):
+    words = "gants latex limes gutta ciment fraise masque turbine silicone".split()
+    rng = random.Random(1)
+    products = [(1, "gants blancs poudre"), (2, "stomatologie")] + [(i, "gants " + " ".join(rng.sample(words[1:], 3))) for i in range(3, 560)]
+    offers = [(1, "gants blancs poudre"), (2, "stomatologye"), (3, "gants latex"), (4, "gants poudrez"), (5, "limes ciments")]
+    side = lambda rows, key: spark.createDataFrame([(*r, "", "", "", "", "") for r in rows], f"{key} long, name string, ean string, manufacturer_reference string, brand string, variant string, packaging string")
+    got = {r.offer_id: r.product_id for r in matching.scored_matches(side(offers, "offer_id"), side(products, "product_id")).collect()}
+    assert got == {o: max((round(token_set(name, y), 9), p) for p, y in products)[1] for o, name in offers}
+    assert (got[1], got[2]) == (1, 2)
+
+
 def test_frontier(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e")], "source string, target string")
     found = frontier.reach(spark.createDataFrame([("a",)], "url string"), links, 3)
