@@ -38,8 +38,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Encoder:
     """Ids of whole texts by the tokenizer in ``path``; ``ranks`` holds the same vocabulary.
 
-    Texts in common scripts are encoded with the ranks, which is several times faster and gives the same ids; all others
-    by the tokenizer itself. Strings of special tokens in a text are ordinary text.
+    Texts in common scripts are encoded with the ranks, which is several times faster and gives the same ids; all others,
+    and those that hold the string of an added token, by the tokenizer itself at its defaults.
     """
 
     def __init__(self, path: str, ranks: str):
@@ -50,13 +50,14 @@ class Encoder:
             vocabulary = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=vocabulary, special_tokens={})
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.widths = np.zeros(max(vocabulary.values()) + 2, np.int64)
-        for token, rank in vocabulary.items():
+        added = {rank: token.content for rank, token in self.tokenizer.get_added_tokens_decoder().items()}
+        self.slow = re.compile("|".join([_OTHER_SCRIPT.pattern, *map(re.escape, added.values())]))
+        self.widths = np.zeros(max(*vocabulary.values(), *added) + 2, np.int64)
+        for token, rank in [*vocabulary.items(), *((content.encode(), rank) for rank, content in added.items())]:
             self.widths[rank] = len(token)
 
     def ids(self, text: str) -> np.ndarray:
-        if _OTHER_SCRIPT.search(text):
+        if self.slow.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return self.fast.encode_to_numpy(text).astype("<u4", copy=False)
 

@@ -391,6 +391,21 @@ def test_ids_equal_tokenizer(text):
     assert packing.encoder().ids(text).tolist() == _encode(text).ids
 
 
+
+def test_added_tokens_equal_plain_call(spark):
+    from tokenizers import Tokenizer
+
+    plain, end = Tokenizer.from_file(packing.tokenizer_path()), "<|endoftext|>"
+    for text in (f"a {end} b", end, f"{end}{end}\n{end}", f"été {end}\nnext line {end} x", f"你好{end}", "<|endoftext", "a <|endoftext|b>"):
+        want = plain.encode(text, add_special_tokens=False)
+        own = packing.encoder()
+        assert own.ids(text).tolist() == want.ids
+        if text.isascii():
+            assert own.first_chars(text, own.ids(text)).tolist() == [a for a, _ in want.offsets]
+    df = spark.createDataFrame([(1, f"a {end} b")], "doc_id long, text string")
+    assert {r.doc_tokens for r in packing.pack(df).collect()} == {5} and token_counts.attribute_tokens(df).first().doc_tokens == 4
+
+
 def test_sections_add_up(docs):
     rows = token_counts.attribute_tokens(docs).toPandas()
     for i in (3, 11, 13):
