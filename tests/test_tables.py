@@ -103,6 +103,16 @@ def test_scored_best_of_all_products(spark):
     assert (got[1], got[2]) == (1, 2)
 
 
+
+def test_overlap_pairs_of_frequent_tokens(spark):
+    rng = random.Random(2)
+    sets = {i: {"gants", "latex", f"lot{i // 4}", *rng.sample(["rouge", "jaune", "bleu", "vert", "petit"], 2)} for i in range(1100)}
+    df = spark.createDataFrame([(i, f"m{i % 3}", " ".join(sorted(t))) for i, t in sets.items()], "offer_id long, merchant string, name string")
+    for least in (4, 5):
+        got = {(r.a, r.b): r.common for r in matching.token_overlap_pairs(df, least).collect()}
+        assert got == {(a, b): n for a in sets for b in range(a + 1, len(sets)) if a % 3 != b % 3 and (n := len(sets[a] & sets[b])) >= least}
+
+
 def test_frontier(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e")], "source string, target string")
     found = frontier.reach(spark.createDataFrame([("a",)], "url string"), links, 3)
