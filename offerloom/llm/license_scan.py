@@ -1,10 +1,13 @@
 """License scan by an exact set-similarity join, in DataFrame operations only.
 
-A text's words are compared with license templates as sets of tokens. A block of text matches a template if it holds at
-least CONTAINMENT of the template's tokens. Templates of one sentence are compared with lines, longer notices with windows of
-lines from every line on, and both with runs of words, which do not depend on line breaks. The template tokens are ordered by their frequency in the corpus, rarest first, and three filters leave few pairs:
-a text with a block that matches holds one of the template's first tokens (prefix), as many template tokens as are needed
-(length), and behind the first shared token enough of both are left (position). The blocks of what remains are counted exactly.
+Blocks of text are runs of words, whatever the line breaks. A block matches a license template, as sets of tokens, if it
+holds at least CONTAINMENT of the template's tokens in SPAN times the template's words. The template tokens are ordered by
+their frequency in the corpus, rarest first, and three filters leave few pairs of a text and a template: a text with a block
+that matches holds one of the template's first tokens (prefix), as many template tokens as are needed (length), and behind
+the first shared token enough of both are left (position). The blocks of what remains are counted exactly.
+
+The texts are read once. That reading writes, per row, which template tokens it holds and, if they are as many as some
+template needs, the places of all of them; everything else works on this slim table.
 """
 
 from __future__ import annotations
@@ -15,18 +18,15 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from offerloom.llm.texts import ascii_lower, table
+from offerloom.plans.lineage import cut
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 CONTAINMENT = 0.9
-#: Lines of a window, which starts at any line; lines from one window to the next in the SQL only.
-WINDOW, STEP = 12, 6
-#: Words of a run of words, as a multiple of the template's words; room for what a notice has in between, such as an address.
+#: Words of a block, as a multiple of the template's words; room for what a notice has in between, such as an address.
 SPAN = 1.5
-#: Distinct tokens from which a template is a notice that is looked for in windows.
-NOTICE = 24
 #: The wording of well-known notices.
 TEMPLATES = (
     ("mit-1", "Released under the MIT License"),
@@ -56,125 +56,111 @@ def needed(tokens: int) -> int:
 
 
 def span(text: str) -> int:
-    """Words of the runs that a template of this text is looked for in."""
+    """Words of the blocks that are compared with a template of this text."""
     return math.ceil(SPAN * len(re.findall(WORD, text.lower())))
 
 
-def token_ranks(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """The template tokens by the number of documents that hold them, over all documents, rarest first, then by code point."""
-    held = F.array_intersect(F.split(ascii_lower(F.coalesce("text", F.lit(""))), _GAP), F.lit(vocabulary))
-    rows = docs.select(F.explode(held).alias("token")).groupBy("token").count().collect()
-    n = {r["token"]: r["count"] for r in rows}
-    return {t: i for i, t in enumerate(sorted(vocabulary, key=lambda t: (n.get(t, 0), t)))}
-
-
-def _shared(low: Column) -> tuple[Column, Column]:
-    """Per line the template's words, and the places of all of them in the text, of a pair of a text and a template."""
-    by_line = F.transform(F.split(low, "\n"), lambda x: F.array_intersect(F.split(x, _GAP), F.col("words")))
-    placed = F.transform(F.split(low, _GAP), lambda word, at: F.struct(at.alias("at"), word.alias("word")))
-    return by_line, F.filter(placed, lambda x: F.array_contains(F.col("words"), x["word"]))
+def slim_rows(docs: DataFrame, templates: tuple[tuple[str, str], ...]) -> DataFrame:
+    """row, doc_id, n_words, held (distinct template and phrase tokens), hits (their places), without the texts.
 
-
-def _in_lines() -> Column:
-    """Most tokens of the template in WINDOW lines in a row, from any line, or for a short template in one line."""
-    windows = F.transform(F.sequence(F.lit(1), F.size("by_line")), lambda i: F.size(F.array_distinct(F.flatten(F.slice(F.col("by_line"), i, F.lit(WINDOW))))))
-    return F.when(F.col("notice"), F.array_max(windows)).otherwise(F.array_max(F.transform("by_line", F.size)))
+    ``hits`` is empty where the tokens of the whole text are too few for every template and phrase.
+    """
+    sets = [template_tokens(text) for _, text in templates]
+    parts = [phrase.split() for phrase, _ in PHRASES]
+    vocabulary = F.lit(sorted({t for s in [*sets, *parts] for t in s}))
+    words = F.split(ascii_lower(F.coalesce("text", F.lit(""))), _GAP)
+    # held by one row, so that no later expression splits the text again
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(words)).alias("words"))
+    rows = rows.select("*", F.explode(F.array(F.array_intersect(vocabulary, "words"))).alias("held"))
+    # an empty word stands before a gap at the start and after one at the end
+    lead = (F.col("words")[0] == "").cast("int")
+    n_words = F.size("words") - lead - F.when((F.size("words") > 1) & (F.element_at("words", -1) == ""), 1).otherwise(0)
+    enough = F.lit(False)
+    for tokens, least in [*((s, needed(len(s))) for s in sets), *((p, len(p)) for p in parts)]:
+        enough = enough | (F.size(F.array_intersect("held", F.lit(tokens))) >= least)
+    placed = F.transform("words", lambda word, at: F.struct((at - lead).alias("at"), word.alias("word")))
+    hits = F.when(enough & (F.size("held") > 0), F.filter(placed, lambda x: F.array_contains("held", x["word"]))).otherwise(F.array().cast("array<struct<at:int,word:string>>"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", n_words.cast("long").alias("n_words"), "held", hits.alias("hits"))
+
+
+def token_order(slim: DataFrame, vocabulary: list[str]) -> list[str]:
+    """The template tokens by the number of documents that hold them, over all documents, rarest first, then by code point."""
+    n = {r["token"]: r["count"] for r in slim.select(F.explode("held").alias("token")).groupBy("token").count().collect()}
+    return sorted(vocabulary, key=lambda t: (n.get(t, 0), t))
 
 
-def _in_words() -> Column:
-    """Most tokens of the template in ``span`` words in a row, however they are broken into lines; 0 if it is too few.
+def _most_in_block() -> Column:
+    """Most tokens of the template in ``span`` words in a row; 0 if it is too few.
 
-    A run that holds the most begins at a template word, and its first ``needed`` template words lie inside the span.
+    A block that holds the most begins at a template word, and its first ``needed`` template words lie inside the span.
     """
-    hits, span = F.col("hits"), F.col("span")
+    hits, span = F.col("inside"), F.col("span")
     place = lambda i: F.get(hits, i)["at"]
     starts = F.filter(F.sequence(F.lit(0), F.size(hits)), lambda i: F.coalesce(place(i + F.col("needed") - 1) - place(i) < span, F.lit(False)))
     inside = lambda i: F.filter(F.slice(hits, i + 1, span), lambda x: x["at"] - place(i) < span)
     return F.coalesce(F.array_max(F.transform(starts, lambda i: F.size(F.array_distinct(inside(i)["word"])))), F.lit(0))
 
 
-def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """id, text_hash, label, containment: every template that a block of ``docs`` (id, low, text_hash) meets, with its best block.
+def matches(slim: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+    """row, label, containment: every template that a block of a row of ``slim_rows`` meets, with its best block.
 
     The join pairs whole texts with templates, which loses nothing, as a text holds the tokens of all its blocks. A pair
     appears once, at its first shared token; then the blocks of the text are compared with the template.
     """
-    spark = docs.sparkSession
     sets = {name: template_tokens(text) for name, text in templates}
-    ranks = token_ranks(docs.select(F.col("low").alias("text")), sorted({t for s in sets.values() for t in s}))
-    by_rank = sorted(ranks, key=ranks.get)
+    by_rank = token_order(slim, sorted({t for s in sets.values() for t in s}))
     index = []
     for name, text in templates:
-        words = sorted(sets[name], key=ranks.get)
-        row = (name, len(words) >= NOTICE, words, needed(len(words)), span(text))
+        words = sorted(sets[name], key=by_rank.index)
+        row = (name, words, needed(len(words)), span(text))
         index += [(token, at, *row) for at, token in enumerate(words[: len(words) - needed(len(words)) + 1])]
-    first = sorted({row[0] for row in index})
-    prefix = spark.createDataFrame(index, "token string, word_at int, label string, notice boolean, words array<string>, needed int, span int")
-    # in the order of the ranks; held by one row, so that no later filter works it out again
-    held = F.array_intersect(F.lit(by_rank), F.split("low", _GAP))
-    texts = docs.select("id", "text_hash", "low", F.explode(F.array(held)).alias("tokens"))
-    texts = texts.filter((F.size("tokens") >= min(row[5] for row in index)) & F.arrays_overlap("tokens", F.lit(first)))
-    firsts = F.filter(F.transform("tokens", lambda token, at: F.struct(token.alias("token"), at.alias("at"))), lambda x: x["token"].isin(first))
-    probes = texts.select("*", F.inline(firsts))
+    prefix = slim.sparkSession.createDataFrame(index, "token string, word_at int, label string, words array<string>, needed int, span int")
+    texts = slim.filter(F.size("hits") > 0).select("row", "hits", F.array_intersect(F.lit(by_rank), "held").alias("tokens"))
+    probes = texts.select("*", F.posexplode("tokens").alias("at", "token"))
     # the index has a row per template and prefix token, whatever the corpus
     pairs = probes.join(F.broadcast(prefix), "token").filter(F.size("tokens") >= F.col("needed"))
     rest = F.least(F.size("tokens") - F.col("at"), F.size("words") - F.col("word_at"))
     earlier = F.arrays_overlap(F.slice("tokens", F.lit(1), F.col("at")), F.slice("words", F.lit(1), F.col("word_at")))
     pairs = pairs.filter((rest >= F.col("needed")) & ~earlier & (F.size(F.array_intersect("tokens", "words")) >= F.col("needed")))
-    by_line, hits = _shared(F.col("low"))
-    blocks = pairs.select("id", "text_hash", "label", "notice", "words", "needed", "span", F.inline(F.array(F.struct(by_line.alias("by_line"), hits.alias("hits")))))
-    found = blocks.select("id", "text_hash", "label", "words", "needed", F.explode(F.array(F.greatest(_in_lines(), _in_words()))).alias("shared"))
-    return found.filter(F.col("shared") >= F.col("needed")).select("id", "text_hash", "label", (F.col("shared") / F.size("words")).alias("containment"))
-
+    of_template = F.filter("hits", lambda x: F.array_contains(F.col("words"), x["word"]))
+    blocks = pairs.select("row", "label", "words", "needed", "span", F.explode(F.array(of_template)).alias("inside"))
+    found = blocks.select("row", "label", "words", "needed", F.explode(F.array(_most_in_block())).alias("shared"))
+    return found.filter(F.col("shared") >= F.col("needed")).select("row", "label", (F.col("shared") / F.size("words")).alias("containment"))
 
-def _spaces(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
+def _begins(parts: list[str]) -> Column:
+    """The word numbers at which these words stand one after the other."""
 
-def _places(low: Column) -> dict[str, Column]:
-    """For each base label n (places of its phrase) and first and last (their word numbers).
+    def here(x: Column, i: Column) -> Column:
+        found = x["word"] == parts[0]
+        for k, part in enumerate(parts[1:], 1):
+            after = F.get("hits", i + k)
+            found = found & (after["word"] == part) & (after["at"] == x["at"] + k)
+        return F.coalesce(found, F.lit(False))
 
-    The words, each after one space, are cut at the phrase; the words before the first cut and after the last one give
-    the numbers. Texts without the phrase's words are not cut up.
-    """
-    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, _GAP, " ")), F.lit(" "))
-    found = {}
-    for phrase, label in PHRASES:
-        parts = phrase.split()
-        cut_up = F.split(spaced, f" {phrase}(?= )")
-        n = F.size(cut_up) - 1
-        last = _spaces(spaced) - 1 - (_spaces(F.element_at(cut_up, -1)) - 1) - len(parts)
-        here = F.struct(n.alias("n"), F.when(n > 0, _spaces(cut_up[0])).alias("first"), F.when(n > 0, last).alias("last"))
-        held = low.contains(parts[0])
-        for part in parts[1:]:
-            held = held & low.contains(part)
-        found[label] = F.when(held, here).otherwise(F.struct(F.lit(0).alias("n"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")))
-    return found
+    return F.filter("hits", here)["at"]
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``score`` is 1 with a base phrase, else the largest containment of a matching block, else 0. Null and empty texts have no
-    words and no labels. Rows repeated with one id and text get equal results; rows of one id with other texts their own. An
-    empty table gives no rows. Other columns are not read.
+    words and no labels. Repeated rows, also of one id with other texts, and rows without id each get a result of their own.
+    An empty table gives no rows. Other columns are not read.
     """
-    low = ascii_lower(F.coalesce("text", F.lit("")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), low.alias("low")).withColumn("text_hash", F.xxhash64("low"))
-    found = matches(rows, templates).groupBy("id", "text_hash").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    found = found.select(F.col("id").alias("i"), F.col("text_hash").alias("h"), "more", "best")
-    places = _places(F.col("low"))
-    base = rows.select("id", "text_hash", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"), F.struct(*[c.alias(label) for label, c in places.items()]).alias("places"))
-    joined = base.join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")), "left")
-    every = lambda field: [F.col(f"places.{label}.{field}") for label in places]
-    labels = F.array_compact(F.array(*[F.when(F.col(f"places.{label}.n") > 0, F.lit(label)) for label in places]))
+    slim = cut(slim_rows(docs, templates), "slim")
+    found = matches(slim, templates).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    base = slim.select("row", "doc_id", "n_words", F.explode(F.array(F.struct(*[_begins(phrase.split()).alias(label) for phrase, label in PHRASES]))).alias("places"))
+    joined = base.join(found, "row", "left")
+    every = [F.col(f"places.{label}") for _, label in PHRASES]
+    labels = F.array_compact(F.array(*[F.when(F.size(c) > 0, F.lit(label)) for c, (_, label) in zip(every, PHRASES)]))
     more = F.coalesce("more", F.array().cast("array<string>"))
     return joined.select(
-        F.col("id").alias("doc_id"),
+        "doc_id",
         "n_words",
-        sum(every("n"), F.lit(0)).cast("long").alias("n_base"),
-        F.least(*every("first")).cast("long").alias("first_word"),
-        F.greatest(*every("last")).cast("long").alias("last_word"),
+        sum(map(F.size, every), F.lit(0)).cast("long").alias("n_base"),
+        F.least(*map(F.array_min, every)).cast("long").alias("first_word"),
+        F.greatest(*map(F.array_max, every)).cast("long").alias("last_word"),
         F.array_join(F.array_sort(labels), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(labels, more))), ",").alias("labels"),
         F.when(F.size(labels) > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
@@ -186,8 +172,8 @@ def op1_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """Every block against every template, without filters."""
-    rows = ", ".join(f"('{name}', '{'window' if len(t) >= NOTICE else 'line'}', {t!r}, {needed(len(t))})" for name, t in ((n, template_tokens(x)) for n, x in TEMPLATES))
+    """Every template against every run of so many words that begins at one of its words; other runs hold no more."""
+    rows = ", ".join(f"('{name}', {template_tokens(text)!r}, {needed(len(template_tokens(text)))}, {span(text)})" for name, text in TEMPLATES)
     base = "".join(
         f"""
   SELECT r, i, '{label}' AS label FROM w, unnest(range(0, len(words))) AS u(i)
@@ -198,29 +184,27 @@ def _sql() -> str:
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
 w AS (
-  SELECT r, doc_id, low, regexp_extract_all(low, '{WORD}') AS words, string_split(low, chr(10)) AS lines FROM d),
+  SELECT r, doc_id, regexp_extract_all(low, '{WORD}') AS words FROM d),
 p AS ({base}),
-t(label, kind, tokens, needed) AS (VALUES {rows}),
+t(label, tokens, needed, span) AS (VALUES {rows}),
+v AS (SELECT label, needed, span, len(tokens) AS n_tokens, unnest(tokens) AS token FROM t),
+o AS (SELECT r, unnest(words) AS token, generate_subscripts(words, 1) AS at FROM w),
+h AS (SELECT o.r, v.label, v.needed, v.span, v.n_tokens, o.at, o.token FROM o JOIN v USING (token)),
 b AS (
-  SELECT r, 'line' AS kind, unnest(lines) AS body FROM w WHERE contains(low, 'licen') OR contains(low, 'permi') OR contains(low, 'software')
-  UNION ALL
-  SELECT r, 'window', array_to_string(lines[i + 1 : i + {WINDOW}], chr(10)) FROM w, unnest(range(0, greatest(len(lines) - 1 - {STEP}, 0) + 1, {STEP})) AS u(i)
-  WHERE contains(low, 'licen') OR contains(low, 'permi') OR contains(low, 'software')),
-s AS (
-  SELECT r, kind, list_distinct(regexp_extract_all(body, '{WORD}')) AS tokens FROM b),
+  SELECT x.r, x.label, x.at, any_value(x.needed) AS needed, count(DISTINCT y.token) AS shared, any_value(x.n_tokens) AS n_tokens
+  FROM h x JOIN h y ON x.r = y.r AND x.label = y.label AND y.at >= x.at AND y.at < x.at + x.span GROUP BY x.r, x.label, x.at),
 m AS (
-  SELECT r, t.label, max(len(list_intersect(s.tokens, t.tokens)) / len(t.tokens)) AS containment
-  FROM s JOIN t ON s.kind = t.kind WHERE len(list_intersect(s.tokens, t.tokens)) >= t.needed GROUP BY r, t.label),
+  SELECT r, label, max(shared / n_tokens) AS containment FROM b WHERE shared >= needed GROUP BY r, label),
 g AS (
   SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY r),
 e AS (
   SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM p UNION ALL SELECT r, label FROM m) GROUP BY r),
-h AS (
+s AS (
   SELECT r, max(containment) AS best FROM m GROUP BY r)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,
        coalesce(g.labels, '') AS base_labels, coalesce(e.labels, '') AS labels,
        CAST(CASE WHEN n > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS DOUBLE) AS score
-FROM w LEFT JOIN g USING (r) LEFT JOIN e USING (r) LEFT JOIN h USING (r)"""
+FROM w LEFT JOIN g USING (r) LEFT JOIN e USING (r) LEFT JOIN s USING (r)"""
 
 
 ORACLES = {"op1_license_scan": _sql()}
