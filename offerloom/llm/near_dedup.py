@@ -3,7 +3,7 @@
 A document is the set of its 5-word shingles. Documents with equal sets form a class; all further work is on one row per
 class. Each class gets a SetSketch (Ertl, 2021): register i holds K = floor(1 - log_B(min over the set of an exponentially
 distributed hash)), truncated to a byte. Sketches merge by taking maxima, and equal registers are as likely as the sets are
-similar. Bands of four registers propose candidates; the joint maximum-likelihood estimate from the numbers of larger,
+similar. Bands of six registers propose candidates; the joint maximum-likelihood estimate from the numbers of larger,
 smaller and equal registers discards hopeless ones; the rest are decided on the full sets.
 
 Candidates never become all pairs of a bucket. First each class is compared with one leader of each of its buckets. Links
@@ -14,6 +14,7 @@ join two components leave the task. What is lost by this is nothing that could c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,18 @@ from offerloom.plans.lineage import broadcast_if, cut
 WORDS_IN_SHINGLE = 5
 #: Links have THRESHOLD[1] * intersection >= THRESHOLD[0] * union.
 THRESHOLD = (75, 100)
-REGISTERS, BAND = 128, 4
+#: 42 whole bands. Unrelated sets of one size agree in a register with probability 0.024, so in some band with 8e-9; sets with
+#: a similarity of 0.75 agree with 0.76 and miss all bands with 1.2e-4, with 0.8 with 1e-6.
+REGISTERS, BAND = 256, 6
 BASE, OFFSET = 1.1, 40
-#: Pairs estimated below this are not verified: four standard errors of 128 registers under the threshold.
-ESTIMATE = 0.60
-#: Classes of a bucket that one task compares with as many others, and shingles that these classes have on average at most.
-BLOCK, BLOCK_SHINGLES = 2048, 3_000_000
+#: Pairs estimated below this are not verified: more than four standard errors of 256 registers under the threshold.
+ESTIMATE = 0.63
+#: Classes of a bucket that are compared with as many others at once, and shingles that these classes have on average at most.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+#: Pairs of classes that a task compares on average, and classes whose texts it compares.
+PAIRS_IN_TASK, TEXTS_IN_TASK = 4_000_000, 2_000
+#: Classes from which a bucket's rows are joined by a broadcast of such buckets, so that they stay spread over tasks.
+LARGE_BUCKET = 100_000
 #: Most ids broadcast to a reading of the texts; beyond it the join is shuffled.
 IDS_BROADCAST = 500_000
 
@@ -209,9 +216,19 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "n_shingles", F.explode(F.array(*starts)).alias("b")).select("rep", "n_shingles", "b.band", "b.bucket")
 
 
+def _of_bucket(bands: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``bands`` joined with ``buckets`` (bucket, n, ...); rows of very large buckets are not gathered by their bucket."""
+    large = buckets.filter(F.col("n") > LARGE_BUCKET)
+    n_large = large.count()
+    if not n_large:
+        return bands.join(buckets, "bucket")
+    # a bucket in LARGE_BUCKET rows at most
+    return bands.join(buckets.filter(F.col("n") <= LARGE_BUCKET), "bucket").unionByName(bands.join(broadcast_if(large, n_large, IDS_BROADCAST), "bucket"))
+
+
 def _first_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, leaders: DataFrame) -> DataFrame:
     """Links between classes and the leaders of their buckets."""
-    pairs = bands.select("rep", "bucket").join(leaders, "bucket").filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = _of_bucket(bands.select("rep", "bucket"), leaders).filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     slim = classes.select("rep", "n_shingles", "registers")
     pairs = pairs.join(slim.toDF("a", "na", "ra"), "a").join(slim.toDF("b", "nb", "rb"), "b")
     pairs = cut(pairs.filter(_likely_registers("ra", "rb", "na", "nb")).select("a", "b"), "pairs")
@@ -221,24 +238,34 @@ def _first_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, leaders:
     return cut(texts.filter(_linked_texts("ba", "bb")).select("a", "b"), "links")
 
 
-def _rest_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, found: DataFrame) -> DataFrame:
-    """Links inside buckets whose members are in several components after the first links."""
+def _rest_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, found: DataFrame, block: int) -> DataFrame | None:
+    """Links inside buckets whose members are in several components after the first links; None without such buckets.
+
+    Both blocks of every pair of blocks of a bucket meet in one group; the number of tasks follows from the number of pairs.
+    """
     label = found.withColumnRenamed("node", "rep")
     members = bands.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).filter("n > 2 and least <> most")
-    # both blocks of every pair of blocks of a bucket meet in a task of their own
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int")
-    members = members.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("size") / BLOCK_SHINGLES)).cast("int")
+    mixed = cut(mixed.select("bucket", "n", blocks.alias("blocks")), "mixed")
+    pairs = mixed.agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0]
+    if not pairs:
+        return None
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / PAIRS_IN_TASK))
+    members = _of_bucket(members, mixed).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).join(classes.select("rep", "registers"), "rep")
-    columns = [x.split()[0] for x in _IN_BLOCK.split(", ")]
-    kept = cut(members.select(*columns).groupBy("bucket", "i", "j").applyInPandas(lambda g: _survivors(g)[columns], _IN_BLOCK), "survivors")
+    columns, group = [x.split()[0] for x in _IN_BLOCK.split(", ")], ["bucket", "i", "j"]
+    kept = cut(members.select(*columns).repartition(tasks, *group).groupBy(*group).applyInPandas(lambda g: _survivors(g)[columns], _IN_BLOCK), "survivors")
+    n_kept = kept.count()
+    if not n_kept:
+        return None
     ids = cut(kept.select("rep").distinct(), "ids")
     sets = _sets(docs, ids, ids.count())
-    return cut(kept.join(sets, "rep").groupBy("bucket", "i", "j").applyInPandas(_verified, "a long, b long"), "links")
+    return cut(kept.join(sets, "rep").repartition(max(8, math.ceil(n_kept / TEXTS_IN_TASK)), *group).groupBy(*group).applyInPandas(_verified, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
 
     Null and empty texts and texts without words have an empty set, link with nothing and are kept. Rows repeated with one id
@@ -249,13 +276,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers"))
     classes = cut(classes, "classes")
     buckets = _bands(classes)
-    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "leader")
+    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = cut(shared, "buckets")
     bands = cut(buckets.join(shared, "bucket", "left_semi"), "bands")
     first = _first_links(docs, classes, bands, shared)
     found = cut(components(first), "found")
-    rest = _rest_links(docs, classes, bands, found)
-    if rest.limit(1).count():
+    rest = _rest_links(docs, classes, bands, found, block)
+    if rest is not None and rest.limit(1).count():
         found = cut(components(first.unionByName(rest)), "found")
     of_class = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component"))
     # classes of one row need no join; the join of the others may be split at a large class
@@ -273,3 +300,21 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir))
+
+
+#: Plain sets and all pairs with a shared shingle.
+ORACLES = {
+    "op2_minhash_near_dedup": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))) END AS shingles FROM w),
+e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+l AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+c(node, reached) AS (SELECT doc_id, doc_id FROM s UNION SELECT c.node, l.b FROM c JOIN l ON c.reached = l.a)
+SELECT doc_id, CAST(any_value(len(shingles)) AS BIGINT) AS n_shingles, min(reached) AS component_id, doc_id = min(reached) AS kept
+FROM s JOIN c ON c.node = s.doc_id GROUP BY doc_id"""
+}

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLES = license_scan.ORACLES | exact_dedup.ORACLES | mixing.ORACLES
+ORACLES = license_scan.ORACLES | near_dedup.ORACLES | exact_dedup.ORACLES | mixing.ORACLES
