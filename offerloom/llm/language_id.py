@@ -1,16 +1,18 @@
 """Language identification by prediction by partial matching.
 
-For each language a context tree of orders 0 to 3 over the text's bytes is counted on a bounded sample. A byte's code length
-in a context that saw it is that of c / (n + u), with the count c of the byte, the n bytes and the u distinct bytes seen
-there; else the escape u / (n + u) is coded and the next shorter context is asked, down to equal shares. The statistics are
-frozen, so the code length of every context and byte is known beforehand, and a text costs one lookup per byte.
-
-Bytes are lower-cased and mapped to an alphabet of the sample's most frequent bytes; all others share one symbol. All
-languages code the same symbols, so their code lengths compare. The language with the shortest code wins.
+For each language a context tree of orders 0 to ORDER over the text's bytes is counted on a bounded sample. A byte's code
+length in a context that saw it is that of c / (n + u), with the count c of the byte, the n bytes and the u distinct bytes seen
+there; else the escape u / (n + u) is coded and the next shorter context is asked, down to equal shares of all 256 bytes. The
+statistics are frozen, so code lengths are known beforehand for every context and byte that some language has seen; a byte is
+looked up once for GROUP languages, and only what none of them has seen is coded escape by escape.
+
+A-Z are lower-cased; all other bytes are kept as they are. All languages code the same bytes, so their code lengths compare.
+The language with the shortest code wins.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,156 +20,205 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from offerloom.llm.texts import as_bytes, crc32_of_id, table
-from offerloom.plans.lineage import cut
-
-#: Most documents per language that the trees are counted on.
-SAMPLE = 2_000
-#: Symbols of the alphabet, and bytes of the longest context.
-ALPHABET, ORDER = 40, 3
+from offerloom.llm.texts import as_bytes, crc32_of_id, release, table
+from offerloom.plans.lineage import broadcast_if, cut
+
+#: Most documents per language, and bytes of all languages together, that the trees are counted on; every language gets the same share
+#: of the bytes and one document at least.
+SAMPLE, SAMPLE_BYTES = 2_000, 16_000_000
+#: Documents longer than this share of a language's bytes are taken only after all others.
+LONG = 8
+#: Most languages; more values of ``lang`` are refused.
+LANGUAGES = 1_000
+#: Bytes of the longest context; a context and its byte are one integer.
+ORDER = 4
+#: Languages that share a table of code lengths, and bytes that are looked up at a time.
+GROUP, PIECE = 8, 1 << 19
 UNDETERMINED = "und"
+_MASKS = [(1 << 8 * (k + 1)) - 1 for k in range(ORDER + 1)]
 _cache: dict = {}
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    """lang and the text's bytes of at most SAMPLE documents per language outside the held-out part, those with the smallest hashes.
+    """lang and the text's bytes of the sample: documents outside the held-out part, those with the smallest hashes of their ids.
 
-    The numbers of documents per language, one row each as the model has one table each, tell how small the hashes must be:
-    twice the sample passes that filter, so that no task orders all documents of a language.
+    The numbers of documents per language tell how small the hashes must be: twice the sample passes that filter, so that no
+    task orders all documents of a language. Of rows repeated with one id one is taken.
     """
-    known = docs.select(F.col("doc_id").cast("long").alias("id"), "lang").filter(F.col("lang").isNotNull() & (crc32_of_id("id") % 5 != 0))
-    known = known.withColumn("hash", F.xxhash64("id"))
-    most = {r["lang"]: min(1.0, 2 * SAMPLE / r["count"]) for r in known.groupBy("lang").count().collect()}
-    if most:
-        share = F.element_at(F.create_map(*[F.lit(x) for item in most.items() for x in item]), F.col("lang"))
-        known = known.filter(F.col("hash") / 2.0**64 + 0.5 <= share)
-    turn = F.row_number().over(W.partitionBy("lang").orderBy("hash", "id"))
-    chosen = known.withColumn("turn", turn).filter(F.col("turn") <= SAMPLE).select(F.col("id").alias("chosen")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "lang", as_bytes().alias("body")).filter(F.col("lang").isNotNull())
-    return texts.join(F.broadcast(chosen), F.col("id").eqNullSafe(F.col("chosen")), "left_semi").select("lang", "body")
-
-
-def _symbols(data: bytes, alphabet: np.ndarray) -> np.ndarray:
-    return alphabet[np.frombuffer(data.lower(), np.uint8)]
-
-
-def _contexts(symbols: np.ndarray, order: int) -> np.ndarray:
-    """For each symbol the number of its context of the given order and itself; the alphabet's symbol 0 stands before a text."""
-    index = symbols.astype(np.int32)
-    for k in range(1, order + 1):
-        index[k:] += symbols[:-k].astype(np.int32) * ALPHABET**k
-    return index
-
-
-def _joined(bodies: list[bytes], alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' symbols, each text after ORDER zeros, and where the texts begin."""
-    gap = bytes([_gap_byte(alphabet)]) * ORDER
-    starts = np.cumsum([0, *(len(b) + ORDER for b in bodies)])[:-1]
-    return _symbols(gap + gap.join(bodies) if bodies else b"", alphabet), starts
-
-
-def _gap_byte(alphabet: np.ndarray) -> int:
-    return int(np.flatnonzero(alphabet == 0)[0])
-
+    known = docs.select(F.col("doc_id").cast("long").alias("id"), "lang", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
+    known = known.filter(F.col("lang").isNotNull() & (crc32_of_id("id") % 5 != 0)).withColumn("hash", F.xxhash64("id"))
+    langs = cut(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langs")
+    n_langs = langs.count()
+    if n_langs > LANGUAGES:
+        raise ValueError(f"{n_langs} values of lang; at most {LANGUAGES} can be learned")
+    share = langs.select(F.col("lang").alias("l"), F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.col("n")).alias("share"))
+    # at most LANGUAGES rows
+    known = known.join(F.broadcast(share), F.col("lang") == F.col("l")).filter(F.col("hash") / 2.0**64 + 0.5 <= F.col("share"))
+    known = known.groupBy("lang", "id", "hash").agg(F.max("size").alias("size"))
+    most = SAMPLE_BYTES // max(1, n_langs)
+    order = W.partitionBy("lang").orderBy(F.col("size") > most // LONG, "hash", "id")
+    before = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1))
+    known = known.withColumns({"turn": F.row_number().over(order), "before": F.coalesce(before, F.lit(0))})
+    chosen = cut(known.filter((F.col("turn") <= SAMPLE) & (F.col("before") < most)).select("lang", "id", "size"), "chosen")
+    texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("lang").alias("l"), as_bytes().alias("body"))
+    same = F.col("i").eqNullSafe(F.col("id")) & (F.col("l") == F.col("lang")) & (F.octet_length("body") == F.col("size"))
+    rows = texts.join(broadcast_if(chosen, chosen.count(), SAMPLE * LANGUAGES), same).select("lang", "id", "size", "body")
+    return rows.groupBy("lang", "id", "size").agg(F.min("body").alias("body")).select("lang", "body")
+
+
+def _grams(data: bytes) -> np.ndarray:
+    """For each byte it and the ORDER bytes before, as one integer with the byte itself lowest."""
+    b = np.frombuffer(data, np.uint8).astype(np.int64)
+    out = b.copy()
+    for k in range(1, ORDER + 1):
+        out[k:] |= b[:-k] << 8 * k
+    return out
+
+
+def _padded(body: bytes) -> Iterator[bytes]:
+    """The lower-cased text in pieces, each with the ORDER bytes before it; zeros stand before a text."""
+    body = bytes(ORDER) + body.lower()
+    for at in range(ORDER, len(body), PIECE):
+        yield body[at - ORDER : at + PIECE]
+
+
+def _text_grams(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of the pieces' own bytes, and where each piece begins among them."""
+    sizes = np.array([len(p) for p in pieces])
+    ends = np.cumsum(sizes)
+    own = np.ones(ends[-1], bool)
+    own[(ends - sizes)[:, None] + np.arange(ORDER)] = False
+    return _grams(b"".join(pieces))[own], np.cumsum(sizes - ORDER) - (sizes - ORDER)
+
+
+def _count(group: pd.DataFrame) -> pd.DataFrame:
+    """The grams of a language's sample with their numbers."""
+    parts = [np.unique(_text_grams([p])[0], return_counts=True) for b in group.body for p in _padded(b)]
+    keys, counts = _merged([k for k, _ in parts], [c for _, c in parts])
+    return pd.DataFrame({"lang": group.lang.iloc[0], "gram": [keys.astype("<i8").tobytes()], "n": [counts.astype("<i4").tobytes()]})
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found, where = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(where, np.concatenate(counts), len(found)).astype(np.int64)
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``keys`` are in the sorted ``table``, and whether they are."""
+    at = np.minimum(np.searchsorted(table, keys), max(0, len(table) - 1))
+    return at, (table[at] == keys) if len(table) else np.zeros(len(keys), bool)
+
+
+class Tables:
+    """Code lengths of up to GROUP languages: per order the grams and the contexts that one of them has seen."""
+
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
+        self.orders = []
+        for order in range(ORDER + 1):
+            seen = [_merged([k & _MASKS[order]], [n]) for k, n in counts]
+            grams = np.unique(np.concatenate([k for k, _ in seen]))
+            contexts = np.unique(grams >> 8)
+            if order:
+                lower = self.orders[-1]
+                bits = lower[1][np.searchsorted(lower[0], grams & _MASKS[order - 1])].copy()
+            else:
+                bits = np.full((len(grams), len(counts)), 8.0, np.float32)
+            escapes = np.zeros((len(contexts), len(counts)), np.float32)
+            for column, (keys, n) in enumerate(seen):
+                of = np.searchsorted(contexts, keys >> 8)
+                total, distinct = np.bincount(of, n, len(contexts)), np.bincount(of, minlength=len(contexts))
+                some = distinct > 0
+                escapes[some, column] = np.log2((total + distinct)[some] / distinct[some])
+                bits[:, column] += escapes[np.searchsorted(contexts, grams >> 8), column]
+                bits[np.searchsorted(grams, keys), column] = np.log2((total + distinct)[of] / n)
+            self.orders.append((grams, bits, contexts, escapes))
+        self.width = len(counts)
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """Code length of each gram's last byte, a column per language."""
+        out = np.zeros((len(grams), self.width), np.float32)
+        rest = np.arange(len(grams))
+        for order in range(ORDER, -1, -1):
+            known, bits, contexts, escapes = self.orders[order]
+            keys = grams[rest] & _MASKS[order]
+            at, hit = _find(known, keys)
+            out[rest[hit]] += bits[at[hit]]
+            rest, keys = rest[~hit], keys[~hit]
+            at, hit = _find(contexts, keys >> 8)
+            out[rest[hit]] += escapes[at[hit]]
+        out[rest] += 8.0
+        return out
 
-def _count_bytes(group: pd.DataFrame) -> pd.DataFrame:
-    counts = sum((np.bincount(np.frombuffer(b.lower(), np.uint8), minlength=256) for b in group.body), np.zeros(256, np.int64))
-    return pd.DataFrame({"byte": np.arange(256), "n": counts})
 
+class Model:
+    """Per language the grams of the longest order and their numbers; shorter ones are their sums."""
 
-def _count_contexts(alphabet: np.ndarray):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(ALPHABET ** (ORDER + 1), np.int64)
-        for at in range(0, len(group), 64):
-            symbols, _ = _joined(group.body.iloc[at : at + 64].tolist(), alphabet)
-            total += np.bincount(_contexts(symbols, ORDER)[ORDER:], minlength=len(total))
-        seen = np.flatnonzero(total)
-        return pd.DataFrame({"lang": group.lang.iloc[0], "context": [seen.astype("<i4").tobytes()], "n": [total[seen].astype("<i4").tobytes()]})
+    def __init__(self, counts: dict[str, tuple[bytes, bytes]]):
+        self.langs, self.key = sorted(counts), uuid.uuid4().hex
+        self.counts = [tuple(np.frombuffer(x, kind) for x, kind in zip(counts[lang], ("<i8", "<i4"))) for lang in self.langs]
 
-    return run
+    def tables(self) -> list[Tables]:
+        return [Tables(self.counts[at : at + GROUP]) for at in range(0, len(self.counts), GROUP)]
 
 
-class Model:
-    """The alphabet and, per language, the counts of the longest contexts; shorter ones are their sums."""
-
-    def __init__(self, alphabet: np.ndarray, counts: dict[str, tuple[bytes, bytes]]):
-        self.alphabet, self.langs, self.counts = alphabet, sorted(counts), counts
-
-    def code_lengths(self) -> np.ndarray:
-        """Bits of each context and symbol, a column per language."""
-        out = np.zeros((ALPHABET ** (ORDER + 1), len(self.langs)), np.float32)
-        for column, lang in enumerate(self.langs):
-            context, n = (np.frombuffer(x, "<i4") for x in self.counts[lang])
-            full = np.bincount(context, n, ALPHABET ** (ORDER + 1))
-            share = np.full(ALPHABET, 1.0 / ALPHABET)
-            for order in range(ORDER + 1):
-                c = full.reshape(-1, ALPHABET ** (order + 1)).sum(0).reshape(-1, ALPHABET)
-                seen, distinct = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-                # the shorter context drops the oldest symbol
-                shorter = np.tile(share.reshape(-1, ALPHABET), (ALPHABET if order else 1, 1))
-                escape = np.where(seen > 0, distinct / np.maximum(seen + distinct, 1), 1.0)
-                share = np.where(c > 0, c / np.maximum(seen + distinct, 1), escape * shorter)
-            out[:, column] = -np.log2(share.reshape(-1))
-        return out
+def fit(docs: DataFrame) -> Model:
+    """Count the trees, a task per language of bounded bytes. The driver gets the distinct grams of the bounded samples."""
+    rows = training_rows(docs)
+    return Model({r["lang"]: (bytes(r["gram"]), bytes(r["n"])) for r in rows.groupBy("lang").applyInPandas(_count, "lang string, gram binary, n binary").collect()})
 
 
-def fit(docs: DataFrame) -> Model:
-    """Count the trees. The driver gets 256 byte counts per language and the bounded samples' contexts."""
-    rows = cut(training_rows(docs), "sample")
-    by_byte = rows.groupBy("lang").applyInPandas(_count_bytes, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
-    frequent = by_byte.filter("n > 0").orderBy(F.desc("n"), "byte").limit(ALPHABET - 1).collect()
-    alphabet = np.zeros(256, np.uint8)
-    alphabet[[r["byte"] for r in frequent]] = np.arange(1, len(frequent) + 1)
-    counted = rows.groupBy("lang").applyInPandas(_count_contexts(alphabet), "lang string, context binary, n binary")
-    return Model(alphabet, {r["lang"]: (bytes(r["context"]), bytes(r["n"])) for r in counted.collect()})
+def text_bits(bodies: list[bytes], tables: list[Tables]) -> np.ndarray:
+    """Code length of each text in each language."""
+    total = np.zeros((len(bodies), sum(t.width for t in tables)))
+    pieces = [(i, p) for i, b in enumerate(bodies) for p in _padded(b)]
+    while pieces:
+        n, size = 0, 0
+        while n < len(pieces) and size < PIECE:
+            size += len(pieces[n][1])
+            n += 1
+        some, pieces = pieces[:n], pieces[n:]
+        grams, starts = _text_grams([p for _, p in some])
+        # words repeat, so every distinct gram is looked up once
+        distinct, where = np.unique(grams, return_inverse=True)
+        column = 0
+        for t in tables:
+            bits = t.bits(distinct)[where]
+            np.add.at(total[:, column : column + t.width], [i for i, _ in some], np.add.reduceat(bits, starts, 0, dtype=np.float64))
+            column += t.width
+    return total
 
 
 def _identify(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
-        if _cache.get("counts") != own.counts:
-            _cache.update(counts=own.counts, bits=own.code_lengths())
-        bits, langs = _cache["bits"], own.langs
+        if _cache.get("key") != own.key:
+            _cache.update(key=own.key, tables=own.tables())
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 texts = [t or "" for t in batch.column(1).slice(at, 256).to_pylist()]
                 letters = [any(map(str.isalpha, t)) for t in texts]
                 found, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-                if langs and any(letters):
-                    total = _text_bits([t.encode("utf-8", "surrogatepass") for t in texts], own.alphabet, bits)
+                if own.langs and any(letters):
+                    total = text_bits([t.encode("utf-8", "surrogatepass") if ok else b"" for t, ok in zip(texts, letters)], _cache["tables"])
+                    # of equal lengths the first language by code point
                     best = total.argmin(1)
-                    shares = 1 / np.exp2(np.minimum(1000, total.min(1, keepdims=True) - total) * 1.0).sum(1)
-                    for i, ok in enumerate(letters):
-                        if ok:
-                            found[i], scores[i] = langs[best[i]], shares[i]
+                    shares = 1 / np.exp2(np.maximum(-1000, total.min(1, keepdims=True) - total)).sum(1)
+                    for i in np.flatnonzero(letters):
+                        found[i], scores[i] = own.langs[best[i]], shares[i]
                 yield pa.record_batch([batch.column(0).slice(at, 256), pa.array(found), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+        release()
 
     return run
 
 
-def _text_bits(bodies: list[bytes], alphabet: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Code length of each text in each language."""
-    total = np.zeros((len(bodies), bits.shape[1]))
-    some, size = [], 0
-    for i, b in enumerate(bodies):
-        some.append(i)
-        size += len(b)
-        if size > 1 << 19 or i == len(bodies) - 1:
-            symbols, starts = _joined([bodies[j] for j in some], alphabet)
-            index = _contexts(symbols, ORDER)
-            for part, begin in enumerate(starts):
-                stop = begin + ORDER + len(bodies[some[part]])
-                for cut_at in range(begin + ORDER, stop, 1 << 20):
-                    total[some[part]] += bits[index[cut_at : min(stop, cut_at + (1 << 20))]].sum(0, dtype=np.float64)
-            some, size = [], 0
-    return total
-
-
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of ``docs``: doc_id, lang_pred, score (the share of the best language when code lengths are likelihoods).
 
-    Texts that are null, empty or without a letter are ``und`` with score 0, as is all if no language was learned. Repeated rows
-    are judged each; an empty table gives no rows. Only doc_id and text are read.
+    Texts that are null, empty or without a letter are ``und`` with score 0, as is all if no language was learned. Of languages
+    with equal code lengths the first by code point wins. Repeated rows are judged each; an empty table gives no rows. Only
+    doc_id and text are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_identify(shared), "doc_id long, lang_pred string, score double")
