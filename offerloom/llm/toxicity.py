@@ -181,8 +181,9 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = cut(labelled_sample(docs, labels, "toxic", SAMPLE).withColumn("least", least_shingle("text")), "sample")
-    # copies would make the words of one toxic text look like evidence
-    lexicon = learn_lexicon(sample.dropDuplicates(["least", "label"]))
+    # copies would make the words of one toxic text look like evidence; of each group the smallest id counts
+    single = sample.groupBy("least", "label").agg(F.min(F.struct("doc_id", "text")).alias("first"))
+    lexicon = learn_lexicon(single.select("label", "first.text"))
     rows = sample.select("label", measure_with(lexicon)("text").alias("m")).select("label", "m.total", "m.density").toPandas()
     curve = fit_curve(np.log1p(rows[["total", "density"]].to_numpy(float)).reshape(-1, 2), rows.label.to_numpy(float))
     return Model(lexicon, curve.tolist())

@@ -195,6 +195,33 @@ def test_drifting_copies_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.collect())
 
 
+def test_blocks_equal_brute_force(spark, monkeypatch):
+    """Buckets of many classes that the leaders don't link: pairs meet in small blocks, and large buckets are broadcast."""
+    monkeypatch.setattr(near_dedup, "LARGE_BUCKET", 20)
+    rng, rows = np.random.default_rng(6), []
+    for _ in range(2):
+        words = [f"v{x}" for x in rng.integers(0, 10_000, 120)]
+        for _ in range(90):
+            own = list(words)
+            for at in rng.choice(120, 6, replace=False):
+                own[at] = f"n{rng.integers(0, 10_000)}"
+            rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join([*own[:-1], f"m{rng.integers(0, 10_000)}"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(near_dedup, "cut", lambda frame, name="step", cut=near_dedup.cut: seen.append((name, out := cut(frame, name))) or out)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, block=7).collect()}
+    assert got == brute_components(rows)
+    mixed = next(frame for name, frame in seen if name == "mixed")
+    assert mixed.agg(F.max("blocks")).first()[0] > 2
+
+
+def test_chance_of_unrelated_sets_to_meet():
+    rng = np.random.default_rng(7)
+    k = np.stack([near_dedup.sketch(np.unique(rng.integers(0, 1 << 62, 400, np.uint64))) for _ in range(600)])
+    agree = np.mean([(k[i] == k[i + 1 :]).mean() for i in range(599)])
+    assert agree < 0.027 and near_dedup.REGISTERS // near_dedup.BAND * agree**near_dedup.BAND < 2e-8
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     a, b = (np.unique(rng.integers(0, 1 << 62, 2000, np.uint64)) for _ in range(2))
@@ -291,6 +318,42 @@ def test_toxic_held_out(spark):
     assert np.mean([got[i] == t for i, _, t in rows if zlib.crc32(str(i).encode()) % 3 == 1]) > 0.98
 
 
+def test_lexicon_and_scores_equal_brute_force(spark):
+    rng, pool = np.random.default_rng(12), ["zork", "bl4rg", "tree", "hill", "rain", "stone", "fnord", "bird", "s@ddle", "moon"]
+    rows = [(i, " ".join(rng.choice(pool[: 10 if i % 4 == 0 else 6][2:] if i % 4 else pool, 12)), int(i % 4 == 0)) for i in range(240)]
+    rows += [(1000 + i, rows[0][1] + " end", 1) for i in range(9)]  # near copies count once
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(0, "a later text of one id")] * 3 + [(7777, None)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    known = [(i, min(t, "a later text of one id") if i == 0 else t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    single = {}
+    for i, t, y in sorted(known):
+        words = t.encode().lower().split()
+        single.setdefault((min(near_dedup.shingles(t.encode())) >> np.uint64(1), y), t) if words else None
+    held = [({w for v in toxicity.views(t) for w in re.findall("[a-z]{3,}", v)}, y) for (_, y), t in single.items()]
+    toxic, clean = sum(y for _, y in held), sum(1 - y for _, y in held)
+    n, t = Counter(w for ws, _ in held for w in ws), Counter(w for ws, y in held if y for w in ws)
+    tried, want, share = sum(t[w] >= 3 for w in n), {}, toxic / (toxic + clean)
+    for w in n:
+        c = n[w] - t[w]
+        if t[w] >= 3:
+            ratio = t[w] * np.log(t[w] / (n[w] * share)) + (c * np.log(c / (n[w] * (1 - share))) if c else 0)
+            weight = np.log((t[w] + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
+            if weight > 1 and ratio >= toxicity.EVIDENCE + np.log(tried):
+                want[w] = round(weight, 6)
+    assert want and model.lexicon == want
+    again = toxicity.fit(docs.repartition(7), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert again.lexicon == model.lexicon and np.allclose(again.curve, model.curve)
+    texts = {i: t for i, t, _ in rows if i} | {7777: ""}
+    for r in toxicity.score(docs, model).filter("doc_id <> 0").collect():
+        # the words of the lexicon have three letters or more, so no view finds two of them at one place
+        places = {(m.start(), m.group()) for v in toxicity.views(texts[r.doc_id]) for m in re.finditer("[a-z]+", v)}
+        total = sum(want.get(w, 0) for _, w in places)
+        density = 100 * total / max(20, texts[r.doc_id].count(" ") + 1)
+        a, b, c = model.curve
+        assert abs(r.score - 1 / (1 + np.exp(-(a + b * np.log1p(total) + c * np.log1p(density))))) < 1e-9
+        assert r.predicted == (r.score >= toxicity.LEVEL)
+
+
 # 5
 
 
@@ -300,32 +363,63 @@ def test_languages_held_out(spark):
     assert (rows.lang == rows.lang_pred)[rows.held_out].mean() > 0.95
 
 
-def test_code_lengths_equal_plain_ppm(spark):
-    rows = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("abracadabra abra", "x"), ("the cat sat on the mat", "y")] * 3)], "doc_id long, text string, lang string")
-    model = language_id.fit(rows)
-    bits = language_id._text_bits([b"abra cat"], model.alphabet, model.code_lengths())[0]
-    v, order = language_id.ALPHABET, language_id.ORDER
+SCRIPTS = {
+    "en": "the cat sat on the mat", "de": "die Katze saß auf der Matte", "ru": "кошка сидела на коврике", "bg": "котката седеше на килима",
+    "zh": "猫坐在垫子上", "ja": "猫はマットの上に座った", "th": "แมวนั่งอยู่บนเสื่อ", "lo": "ແມວນັ່ງຢູ່ເທິງເສື່ອ", "x": "abracadabra abra", "y": "\x00\x01 zz",
+}
+
+
+def test_code_lengths_equal_plain_ppm(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "PIECE", 16)  # texts are then coded in several pieces
+    rows = [(i, t * (1 + i % 2), lang) for i, (lang, t) in enumerate(list(SCRIPTS.items()) * 4) if zlib.crc32(str(i).encode()) % 5]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted(SCRIPTS) and len(model.langs) > language_id.GROUP
+    order, asked = language_id.ORDER, [b"abra cat", "сидела 猫 แมว Matte!".encode(), b"", "ZZ\U0001f600".encode()]
+    bits = language_id.text_bits(asked, model.tables())
     for column, lang in enumerate(model.langs):
-        context, n = (np.frombuffer(x, "<i4") for x in model.counts[lang])
         counts = [defaultdict(Counter) for _ in range(order + 1)]
-        for c, k in zip(context, n):
-            digits = [c // v**i % v for i in range(order, -1, -1)]
-            for o in range(order + 1):
-                counts[o][tuple(digits[order - o : order])][digits[-1]] += int(k)
-
-        def share(ctx, s):
-            if ctx is None:
-                return 1 / v
-            seen = counts[len(ctx)][ctx]
-            shorter = ctx[1:] if ctx else None
+        for _, text, own in rows:
+            data = bytes(order) + text.encode().lower()
+            for i in range(order, len(data) if own == lang else 0):
+                for o in range(order + 1):
+                    counts[o][data[i - o : i]][data[i]] += 1
+
+        def share(context, byte):
+            if context is None:
+                return 1 / 256
+            seen = counts[len(context)][context]
+            shorter = context[1:] if context else None
             total, distinct = sum(seen.values()), len(seen)
             if not total:
-                return share(shorter, s)
-            return seen[s] / (total + distinct) if seen[s] else distinct / (total + distinct) * share(shorter, s)
+                return share(shorter, byte)
+            return seen[byte] / (total + distinct) if seen[byte] else distinct / (total + distinct) * share(shorter, byte)
 
-        symbols = [0] * order + [int(model.alphabet[b]) for b in b"abra cat"]
-        want = sum(-np.log2(share(tuple(symbols[i - order : i]), symbols[i])) for i in range(order, len(symbols)))
-        assert abs(want - bits[column]) < 1e-3
+        for text, got in zip(asked, bits[:, column]):
+            data = bytes(order) + text.lower()
+            assert abs(sum(-np.log2(share(data[i - order : i], data[i])) for i in range(order, len(data))) - got) < 1e-3
+
+
+def test_languages_of_one_script(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, "".join(rng.permutation(list(SCRIPTS[lang] * 8))), lang) for i, lang in enumerate(["th", "lo", "ru", "zh", "ja", "bg"] * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(df, language_id.fit(df)).collect()}
+    assert all(got[i] == lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_sample_is_bounded_and_ties_are_defined(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 400)
+    rows = [(i, "long " * 400 if i % 7 == 0 else "word " * 4, "ab"[i % 2]) for i in range(200)] + [(1, "word " * 4, "b")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sizes = Counter()
+    for r in language_id.training_rows(df).collect():
+        sizes[r.lang] += len(r.body)
+    assert sizes == {"a": 200, "b": 200}
+    same = spark.createDataFrame([(i, "same text", lang) for i, lang in enumerate("abab" * 10)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language_id.identify(same, language_id.Model({x: (np.array([97]).tobytes(), np.array([1], "<i4").tobytes()) for x in "ba"})).collect()} == {"a"}
+    monkeypatch.setattr(language_id, "LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        language_id.fit(df)
 
 
 def test_undetermined(docs):
@@ -430,6 +524,39 @@ def test_sections_add_up(docs):
         assert sums.tokens.sum() == len(_encode(TEXTS[i]).ids) == of.doc_tokens.iloc[0]
 
 
+def brute_sections(text, starts):
+    starts = sorted({0, *(s for s in starts if s is not None and 0 < s < len(text))})
+    stops, spans = [*starts[1:], len(text)], _encode(text).offsets
+    ends = [a for a, _ in spans[1:]] + [len(text)]
+    rows = [[s, e, 0, 0, len(spans)] for s, e in zip(starts, stops)]
+    for (first, _), end in zip(spans, ends):
+        k = max(i for i, s in enumerate(starts) if s <= first)
+        rows[k][2] += 1
+        rows[k][3] += end > stops[k]
+    return rows
+
+
+def test_any_sections_equal_brute_force(spark):
+    rng, rows = np.random.default_rng(10), []
+    pool = ["hello", " ", "\n", "wörld", "12", "  ", "'s", "the", "\t", "é", "x" * 30]
+    cases = [("hello", []), ("hello", [3, 6]), ("", []), ("hello", [0, 99]), ("hello", [4, None, 2, 2, -1]), (None, [1])]
+    cases += [("".join(rng.choice(pool, rng.integers(0, 12))), [int(x) for x in rng.integers(-2, 40, rng.integers(0, 6))]) for _ in range(120)]
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(cases)], "doc_id long, text string, cuts array<long>")
+    for r in token_counts.attribute_tokens(df, "cuts").orderBy("doc_id", "section").collect():
+        rows.append((r.doc_id, [r.start, r.stop, r.tokens, r.crossing, r.doc_tokens]))
+    assert rows == [(i, row) for i, (t, s) in enumerate(cases) for row in brute_sections(t or "", s)]
+
+
+def test_fields_share_one_encoding(spark):
+    df = spark.createDataFrame([(1, "A title", None, "the body\nof text"), (2, None, None, None), (3, "x", "y", "")], "doc_id long, a string, b string, c string")
+    rows = token_counts.attribute_to_fields(df, ["a", "b", "c"]).collect()
+    for i, text in ((1, "A title\n\nthe body\nof text"), (2, "\n\n"), (3, "x\ny\n")):
+        of = [r for r in rows if r.doc_id == i]
+        assert [r.field for r in of] == ["a", "b", "c"] and of[-1].stop == len(text)
+        assert sum(r.tokens for r in of) == len(_encode(text).ids) == of[0].doc_tokens
+    assert [(r.start, r.stop) for r in rows if r.doc_id == 1] == [(0, 8), (8, 9), (9, 25)]
+
+
 def test_crossing_token_goes_to_its_start(spark):
     df = spark.createDataFrame([(1, "hello\n\nworld hello", [0, 6, 7, 9])], "doc_id long, text string, cuts array<long>")
     rows = token_counts.attribute_tokens(df, "cuts").orderBy("section").collect()
