@@ -307,14 +307,16 @@ ORACLES = {
     "op2_minhash_near_dedup": """
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
-s AS (
-  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))) END AS shingles FROM w),
-e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+x AS (SELECT doc_id, len(words) AS k, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM w),
+g AS (
+  SELECT doc_id, k, place, concat_ws(' ', word, lead(word) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS shingle
+  FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY place)),
+s AS (SELECT DISTINCT doc_id, shingle FROM g WHERE place <= greatest(1, k - 4)),
+e AS (SELECT doc_id, count(*) OVER (PARTITION BY doc_id) AS n, shingle FROM s),
 l AS (
   SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
   GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
-c(node, reached) AS (SELECT doc_id, doc_id FROM s UNION SELECT c.node, l.b FROM c JOIN l ON c.reached = l.a)
-SELECT doc_id, CAST(any_value(len(shingles)) AS BIGINT) AS n_shingles, min(reached) AS component_id, doc_id = min(reached) AS kept
-FROM s JOIN c ON c.node = s.doc_id GROUP BY doc_id"""
+n AS (SELECT doc_id, count(shingle) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+c(node, reached) AS (SELECT doc_id, doc_id FROM n UNION SELECT c.node, l.b FROM c JOIN l ON c.reached = l.a)
+SELECT doc_id, any_value(n) AS n_shingles, min(reached) AS component_id, doc_id = min(reached) AS kept FROM n JOIN c ON c.node = n.doc_id GROUP BY doc_id"""
 }
