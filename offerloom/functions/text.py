@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -17,6 +20,31 @@ BRAND_ALIASES = {
 }
 #: References that stand for none.
 INVALID_REFERENCES = ("", ".", "-", "--", "n/a", "na", "n.c.", "nc", "n/c", "s/o", "aucun", "divers")
+#: The further placeholders of the other reference validators.
+UNSTATED_REFERENCES = ("non renseigne", "non renseigné")
+HEADER_REFERENCES = ("", "nom", "name", "r", "ref", "reference", "none", "null")
+MARKED_REFERENCES = ("nom", "name", "r", "ref", "reference", "référence")
+NO_PAGE_REFERENCE = r"(?iu)^(?:S/?O|N/?A|N\.A\.|NC|N/C|Non renseigné|Aucun|DIVERS)$"
+#: Words that only code has.
+CODE_WORDS = ("function", "type_id", "writerecentlyviewed", "require(", "datalayer")
+#: Parts of addresses that no product page has, by the four rules for product pages.
+ARCHIVE_DENIED = ("/centre-aide/", "/qui-sommes-nous/", "/catalogsearch/", "/customer/", "/checkout/", "/mentions-", "/conditions-", "/contact", "/faq", "/blog/", "/media/", "/static/")
+PREFIX_DENIED = ("/brands/", "/categories/", "/sitemap", "/contact", "/account", "/cart", "/media/", "/static/")
+HOST_DENIED = ("/customer/", "/checkout/", "/catalogsearch/", "/contact", "/sitemap", "/brands", "/marques", "/media/", "/static/", "/catalog/category/")
+CATEGORY_DENIED = ("/nos-marques/", "/marques/", "/offre-gacd/")
+SERVICE_PATHS = r"/(customer|checkout|cart|catalogsearch|search|contact|mentions|conditions|privacy|cookies|newsletter|login|account|wishlist)(/|$)"
+#: How prices are read from pages: pattern, whether the last match counts, characters taken out before the comma
+#: becomes a dot. Where dots are taken out, "12.50 €" is 1250.
+PRICE_FORMS = {
+    "thousands": (r"(\d{1,4}(?:[ .]\d{3})*[,.]\d{2})\s*€", False, "[ .]"),
+    "page": (r"(\d{1,5}(?:[ .\x{202f}]\d{3})*[,.]\d{2})\s*€", False, r"[ .\x{202f}]"),
+    "listing": (r"(\d{1,3}(?:[\s\x{a0}]\d{3})*(?:[,.]\d{2})?)\s*€", False, r"[ \x{a0}]"),
+    "spaced": (r"([0-9][0-9\s\x{a0}\x{202f}]*[,.][0-9]{2})\s*€", False, r"[\s\x{a0}\x{202f}]"),
+    "last": (r"(\d{1,6}(?:[\s\x{a0}\x{202f}]\d{3})*[,.]\d{2})\s*€", True, r"[ \x{a0}\x{202f}]"),
+    "net": (r"(?i)([0-9][0-9\s]*[,.][0-9]{2})\s*€\s*HT", False, " "),
+    "offer": (r"(\d{1,5}(?:[\s\x{a0}\x{202f}]\d{3})*[,.]\d{2})\s*€", False, r"[ \x{a0}\x{202f}]"),
+    "family": (r"(\d{1,5}(?:[\s\x{a0}]\d{3})*[,.]\d{2})\s*€", False, r"[ \x{a0}]"),
+}
 #: Words that a name is not recognised by.
 STOP_WORDS = tuple("de du des la le les un une pour avec sans et en au aux par sur boite coffret lot unite dental dentaire".split())
 #: Manufacturer references that are placeholders.
@@ -44,7 +72,11 @@ VARIANTS = (
     r"\b(?:XS|S|M|L|XL)\b",
 )
 
-_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&eacute;": "é", "&egrave;": "è", "&agrave;": "à", "&euro;": "€", "&deg;": "°", "&amp;": "&"}
+#: The named entities of HTML 4 and the apostrophe, as one constant; numeric ones are read by their number.
+_ENTITIES = json.dumps({name: chr(code) for name, code in html.entities.name2codepoint.items()} | {"apos": "'"})
+#: What the numbers 128 to 159 stand for in pages.
+_WINDOWS = [bytes([code]).decode("cp1252", "replace") for code in range(128, 160)]
+_ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
 def _decompositions() -> tuple[str, str, dict[str, str]]:
@@ -69,12 +101,27 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that it names several times, worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unescape(value: Column | str) -> Column:
-    """The entities that catalogues use; others stay as they are."""
-    out = col(value)
-    for entity, char in _ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """Named and numeric entities as characters, those that are closed with a semicolon; unknown ones stay as they are.
+
+    The text is cut at its entities and each is looked up by itself, so nothing is unescaped twice.
+    """
+    text = col(value)
+    names, gaps = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1)), F.split(text, _ENTITY)
+    named = F.from_json(F.lit(_ENTITIES), "map<string,string>")
+
+    def shown(x: Column) -> Column:
+        code = F.when(F.lower(F.substring(x, 2, 1)) == "x", F.conv(F.substring(x, 3, 9), 16, 10)).otherwise(F.substring(x, 2, 9)).cast("int")
+        drawn = F.when(code.between(128, 159), F.get(F.lit(_WINDOWS), code - 128)).when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(F.when(F.startswith(x, F.lit("#")), drawn).otherwise(named[x]), F.concat(F.lit("&"), x, F.lit(";")))
+
+    joined = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), names.alias("name")), lambda z: F.concat(z["gap"], F.coalesce(bound(z["name"], shown), F.lit("")))), "")
+    return F.when(text.contains("&") & text.contains(";"), joined).otherwise(text)
 
 
 def clean(value: Column | str) -> Column:
@@ -106,23 +153,26 @@ def normalize_reference(value: Column | str) -> Column:
 
 
 def normalize_brand(value: Column | str) -> Column:
-    folded, out = fold(value), None
-    for spelled, meant in BRAND_ALIASES.items():
-        out = F.when(folded == spelled, meant) if out is None else out.when(folded == spelled, meant)
-    return out.otherwise(folded)
+    def known(folded: Column) -> Column:
+        out = F
+        for spelled, meant in BRAND_ALIASES.items():
+            out = out.when(folded == spelled, meant)
+        return out.otherwise(folded)
+
+    return bound(fold(value), known)
 
 
 def group_brand(value: Column | str) -> Column:
     """The brand key of the grouping: no spaces, no trailing number."""
     key = F.replace(F.regexp_replace(fold(value), r"\s+\d+$", ""), F.lit(" "), F.lit(""))
-    return F.when(key.isin("3m", "3mespe", "3moralcare"), "solventum").when(key == "dentsply", "dentsplysirona").otherwise(key)
+    return bound(key, lambda k: F.when(k.isin("3m", "3mespe", "3moralcare"), "solventum").when(k == "dentsply", "dentsplysirona").otherwise(k))
 
 
 def parse_price(value: Column | str) -> Column:
     """The first number: with a comma, dots are thousands and the comma is the decimal sign."""
     raw = F.regexp_extract(clean(value), r"(\d[\d\s\x{202f}.]*(?:[,.]\d{1,2})?)", 1)
     raw = F.regexp_replace(raw, r"[\s\x{202f}]", "")
-    return F.when(raw.contains(","), F.replace(F.replace(raw, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(raw).try_cast("double")
+    return bound(raw, lambda r: F.when(r.contains(","), F.replace(F.replace(r, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(r)).try_cast("double")
 
 
 def valid_price(value: Column) -> Column:
@@ -136,26 +186,27 @@ def normalize_stock(value: Column | str, compat: bool = True) -> Column:
 
     ``compat`` tests availability first, so that "indisponible" counts as in stock; else unavailability comes first.
     """
-    s = fold(value)
-    gone = s.contains("arrete") | s.contains("indisponible") | s.contains("discontinued")
-    out = F.when(s == "", None)
-    if not compat:
-        out = out.when(gone, "discontinued").when(s.contains("reappro") | s.contains("rupture"), "backorder")
-    out = out.when(s.contains("en stock") | s.contains("disponible"), "in_stock").when(s.contains("sur commande"), "on_order")
-    out = out.when(s.contains("reappro") | s.contains("rupture"), "backorder").when(gone, "discontinued")
-    return out.otherwise("unknown")
+
+    def state(s: Column) -> Column:
+        gone = s.contains("arrete") | s.contains("indisponible") | s.contains("discontinued")
+        late = s.contains("reappro") | s.contains("rupture")
+        out = F.when(s == "", None)
+        if not compat:
+            out = out.when(gone, "discontinued").when(late, "backorder")
+        out = out.when(s.contains("en stock") | s.contains("disponible"), "in_stock").when(s.contains("sur commande"), "on_order")
+        return out.when(late, "backorder").when(gone, "discontinued").otherwise("unknown")
+
+    return bound(fold(value), state)
 
 
 def extract_packaging(name: Column | str) -> Column:
-    folded = fold(name)
-    found = [F.regexp_extract_all(folded, F.lit(pattern), F.lit(group)) for pattern, group in PACKAGING]
-    return F.trim(F.array_join(F.flatten(F.array(*found)), " "))
+    found = lambda folded: F.array_join(F.flatten(F.array(*[F.regexp_extract_all(folded, F.lit(pattern), F.lit(group)) for pattern, group in PACKAGING])), " ")
+    return F.trim(bound(fold(name), found))
 
 
 def variant_tokens(name: Column | str) -> Column:
     """The distinct variant tokens, sorted, without spaces."""
-    text = F.upper(clean(name))
-    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0)) for pattern in VARIANTS]))
+    found = bound(F.upper(clean(name)), lambda text: F.flatten(F.array(*[F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0)) for pattern in VARIANTS])))
     return F.array_sort(F.array_distinct(F.transform(found, lambda t: F.regexp_replace(t, r"\s+", ""))))
 
 
@@ -164,20 +215,69 @@ def name_tokens(value: Column | str) -> Column:
     return F.array_distinct(F.filter(F.split(fold(value), " "), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS)))
 
 
-def clean_reference(value: Column | str) -> Column:
-    """The trimmed reference, null for placeholders."""
+def clean_reference(value: Column | str, placeholders: tuple[str, ...] = INVALID_REFERENCES, longest: int | None = None) -> Column:
+    """The trimmed reference, null for placeholders and, with ``longest``, for what is longer."""
     text = F.trim(col(value))
-    return F.when(~F.lower(text).isin(*INVALID_REFERENCES), text)
+    ok = ~F.lower(text).isin(*placeholders)
+    return F.when(ok if longest is None else ok & (F.length(text) <= longest), text)
+
+
+def enriched_reference(value: Column | str) -> Column:
+    """The validator of enrichments: also what says that it isn't stated is a placeholder, and 80 characters are the most."""
+    return clean_reference(value, (*INVALID_REFERENCES, *UNSTATED_REFERENCES), 80)
+
+
+def header_reference(value: Column | str) -> Column:
+    """The validator of published catalogues: white space collapsed, no column headings."""
+    return clean_reference(F.regexp_replace(F.coalesce(col(value), F.lit("")), r"(?U)\s+", " "), HEADER_REFERENCES)
+
+
+def marked_reference(value: Column | str) -> Column:
+    """The validator of references behind a marker: signs around it go; two characters or more of a reference, no headings; else empty."""
+    text = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(col(value), F.lit("")), r"(?U)\s+", " ")), r"^[|:;,.()\[\]{}]+|[|:;,.()\[\]{}]+$", "")
+    return bound(text, lambda text: F.when(text.rlike(r"^(?i)[A-Z0-9][A-Z0-9._/\-]{1,60}$") & ~F.lower(text).isin(*MARKED_REFERENCES), text).otherwise(""))
+
+
+def plain_value(value: Column | str, longest: int = 100) -> Column:
+    """A value as people write it: not too long, without the signs and words of code; else null."""
+    text = F.trim(F.regexp_replace(col(value), r"(?U)\s+", " "))
+    code = text.rlike(r"[{}\[\];]")
+    for word in CODE_WORDS:
+        code = code | F.lower(text).contains(word)
+    return F.when((text != "") & (F.length(text) <= longest) & ~code, text)
+
+
+def page_reference(value: Column | str) -> Column:
+    """A plain value of 60 characters at most that is no placeholder; else null."""
+    text = plain_value(value, 60)
+    return F.when(~text.rlike(NO_PAGE_REFERENCE), text)
+
+
+def number(value: Column | str) -> Column:
+    """A trimmed number with a decimal comma or dot."""
+    return F.replace(F.trim(col(value)), F.lit(","), F.lit(".")).try_cast("double")
+
+
+def price_by(value: Column | str, form: str) -> Column:
+    """A price in a page's text by one of PRICE_FORMS; null without one. See there for what each does with dots."""
+    pattern, last, gone = PRICE_FORMS[form]
+    found = F.regexp_extract_all(col(value), F.lit(pattern), F.lit(1))
+    raw = F.try_element_at(found, F.lit(-1 if last else 1))
+    return F.replace(F.regexp_replace(raw, gone, ""), F.lit(","), F.lit(".")).try_cast("double")
+
+
+def bare_price(value: Column | str) -> Column:
+    """The first number of a text without its spaces, comma or dot as decimal sign, two decimals at most."""
+    raw = F.replace(F.regexp_replace(col(value), r"[ \x{a0}\x{202f}]", ""), F.lit(","), F.lit("."))
+    return F.nullif(F.regexp_extract(raw, r"(\d+(?:\.\d{1,2})?)", 1), F.lit("")).try_cast("double")
 
 
 def manufacturer_key(value: Column | str) -> Column:
-    key = normalize_reference(value)
-    return F.when((F.length(key) >= 4) & ~key.isin(*NO_REFERENCES), key)
+    return bound(normalize_reference(value), lambda key: F.when((F.length(key) >= 4) & ~key.isin(*NO_REFERENCES), key))
 
 
 def ean(value: Column | str) -> Column:
-    key = normalize_reference(value)
-    return F.when(key.rlike(r"^\d{8,14}$"), key)
+    return bound(normalize_reference(value), lambda key: F.when(key.rlike(r"^\d{8,14}$"), key))
 
 
 def reference_value(value: Column | str) -> Column:
@@ -200,24 +300,77 @@ def page_url(url: Column | str) -> Column:
     return F.when(page.isNotNull(), F.concat(base, F.lit("?p="), page)).otherwise(base)
 
 
-def title_from_slug(url: Column | str) -> Column:
-    """The last part of the path as a title: no extension, no reference number at the end, words with a capital."""
-    tail = F.regexp_replace(F.regexp_extract(F.coalesce(F.try_parse_url(col(url), F.lit("PATH")), F.lit("")), "([^/]*)/?$", 1), r"\.html?$", "")
-    words = F.filter(F.split(F.regexp_replace(tail, r"[-_]+", " "), " "), lambda w: w != "")
-    shown = F.transform(words, lambda w: F.when(w.rlike(r"\d"), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))))
-    return F.array_join(shown, " ")
+#: Fixed value: a reference at the end of an address.
+_URL_REFERENCE = r"(?i)-(\d{2,5}-\d{2,5})\.html$"
+
+
+def _path(url: Column) -> Column:
+    return F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#;]*)", 1)
+
+
+def host(url: Column | str) -> Column:
+    return F.lower(F.regexp_extract(col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+
+def title_from_slug(url: Column | str, default: str = "") -> Column:
+    """The last part of the path as a title: no extension, no reference at the end, words with a capital, the rest as it is."""
+    path = _path(col(url))
+    unquoted = F.replace(F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path), F.lit("\x00"), F.lit(""))
+    tail = F.regexp_replace(F.regexp_extract(unquoted, "([^/]*)/*$", 1), r"(?i)\.html$", "")
+    bare = F.regexp_replace(F.regexp_replace(F.concat(tail, F.lit(".html")), _URL_REFERENCE, ""), r"\.html$", "")
+    words = F.filter(F.split(F.regexp_replace(bare, r"(?U)[-_\s]+", " "), " "), lambda w: w != "")
+    return F.coalesce(F.nullif(F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), " "), F.lit("")), F.lit(default))
 
 
 def reference_from_url(url: Column | str) -> Column:
-    """Digits that close the last part of the path, else null."""
-    return F.nullif(F.regexp_extract(col(url), r"(\d{3,})(?:\.html?)?/?(?:\?.*)?$", 1), F.lit(""))
+    """The reference of two numbers that closes the path before .html, else null."""
+    return F.nullif(F.regexp_extract(_path(col(url)), _URL_REFERENCE, 1), F.lit(""))
+
+
+def _has_any(text: Column, parts: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for part in parts:
+        out = out | text.contains(part)
+    return out
 
 
 def product_address(url: Column | str) -> Column:
-    """Whether an address looks like a product page: .html outside the account and service pages."""
-    u = F.lower(col(url))
-    denied = u.rlike(r"/(customer|checkout|catalogsearch|account|cart|panier|contact|cms|blog|wishlist)(/|\.|$)")
-    return F.coalesce(u.rlike(r"\.html?(\?.*)?$") & ~denied, F.lit(False))
+    """Whether an archived address looks like a product page: it ends in .html or is an article, outside the service pages."""
+    low = F.lower(col(url))
+    return F.coalesce(~_has_any(low, ARCHIVE_DENIED) & (F.endswith(low, F.lit(".html")) | low.contains("/article-")), F.lit(False))
+
+
+def product_address_under(url: Column | str, prefix: str) -> Column:
+    """Whether an address under the prefix may be a product page: no sitemap, none of the shop's other pages."""
+    u = col(url)
+    return F.coalesce(F.startswith(u, F.lit(prefix)) & ~F.endswith(u, F.lit(".xml")) & ~_has_any(u, PREFIX_DENIED), F.lit(False))
+
+
+def product_address_of(url: Column | str, hosts: tuple[str, ...]) -> Column:
+    """Whether the address is a page of one of the hosts whose path ends in .html, outside the shop's other pages."""
+    path = F.lower(_path(col(url)))
+    return F.coalesce(host(url).isin(*hosts) & ~_has_any(path, HOST_DENIED) & F.endswith(path, F.lit(".html")), F.lit(False))
+
+
+def category_address(url: Column | str) -> Column:
+    """Whether an address may be a category: a page or folder, no article, no brand page, of queries only page numbers."""
+    u = col(url)
+    path, query = F.lower(_path(u)), F.regexp_extract(u, r"\?([^#]*)", 1)
+    ok = F.endswith(path, F.lit(".html")) | F.endswith(path, F.lit("/")) | u.contains("?p=") | u.contains("?page=")
+    return F.coalesce(~path.rlike(r"/article-\d+-") & ~_has_any(path, CATEGORY_DENIED) & ((query == "") | query.rlike(r"(^|&)(p|page)=\d+")) & ok, F.lit(False))
+
+
+def page_candidate(url: Column | str) -> Column:
+    """Whether a .html address outside the service pages may be a product or a category."""
+    path = _path(col(url))
+    return F.coalesce(F.endswith(F.lower(path), F.lit(".html")) & ~path.rlike("(?i)" + SERVICE_PATHS), F.lit(False))
+
+
+def site_address(url: Column | str, site: str) -> Column:
+    """The address if it is of the site and no service page; else empty."""
+    u = col(url)
+    ok = u.rlike("^https?://") & (F.lower(F.regexp_extract(u, "^[a-z]+://([^/?#]*)", 1)) == site) & ~_path(u).rlike("(?i)" + SERVICE_PATHS)
+    return F.when(F.coalesce(ok, F.lit(False)), u).otherwise("")
 
 
 def money(value: Column | str) -> Column:

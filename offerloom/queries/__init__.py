@@ -1,6 +1,6 @@
 """Registered queries on the driver's tables, each with equivalent SQL where SQL can say it."""
 
-from offerloom.queries import catalogue, compare, fields, tables
+from offerloom.queries import catalogue, compare, fields, pages, tables
 
-QUERIES = compare.QUERIES | catalogue.QUERIES | tables.QUERIES | fields.QUERIES
-ORACLES = compare.ORACLES | catalogue.ORACLES | tables.ORACLES | fields.ORACLES
+QUERIES = compare.QUERIES | catalogue.QUERIES | tables.QUERIES | fields.QUERIES | pages.QUERIES
+ORACLES = compare.ORACLES | catalogue.ORACLES | tables.ORACLES | fields.ORACLES | pages.ORACLES

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from offerloom.functions import pages as pg, text as tx
+from offerloom.functions import text as tx
 from offerloom.operators import classify, extract, matching
 from offerloom.queries.views import table
 
@@ -72,21 +72,6 @@ def page_profile(spark, d):
     return extract.profile(table(spark, d, "pages"), "html", "page_id")
 
 
-def page_reading(spark, d):
-    """Visible text and resolved links of pages, as a parser sees them."""
-    p = table(spark, d, "pages").select("page_id", pg.visible_text("html").alias("text"), pg.page_links("html", "url").alias("links"))
-    return p.select("page_id", F.length("text").cast("long").alias("n_chars"), F.size("links").cast("long").alias("n_links"))
-
-
-def block_split_extract(spark, d):
-    """Variant blocks of a page text: the last block of a reference wins."""
-    line = F.concat(F.lit("Réf : "), F.lit("L"), F.col("l_linenumber"), F.lit("  Fabricant: M"), F.col("l_partkey"), F.lit(" Prix 1 "), F.lpad(F.col("l_quantity").cast("int").cast("string"), 3, "0"), F.lit(",50 € "), F.when(F.col("l_returnflag") == "A", "En stock").otherwise("Rupture"), F.lit(" "))
-    rows = table(spark, d, "lineitem")
-    pages = rows.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", line.alias("line")))).getField("line"), "").alias("text"))
-    found = extract.variants(pages, "text", "l_orderkey")
-    return found.select("l_orderkey", "merchant_reference", "manufacturer_reference", "price_eur", "availability")
-
-
 def category_classifier(spark, d):
     rows = table(spark, d, "documents").select("doc_id", classify.category("text").alias("category"))
     return rows
@@ -163,7 +148,7 @@ def props_parse(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     normalize_reference, brand_alias, stock_normalize, price_parse, packaging_tokens, variant_tokens, fold_text, clean_references, url_canonical, title_from_slug,
-    link_extraction, page_profile, page_reading, block_split_extract, category_classifier, base_category_classifier, qc_flags, completeness_score, strong_id_match,
+    link_extraction, page_profile, category_classifier, base_category_classifier, qc_flags, completeness_score, strong_id_match,
     scored_match, match_routes, token_overlap_pairs, greedy_grouping, props_parse,
 )}
 
@@ -203,9 +188,6 @@ ORACLES = {
     "page_profile": """SELECT page_id, CAST(length(html) AS BIGINT) AS n_chars, CAST(len(regexp_extract_all(html, '<a\\s')) AS BIGINT) AS n_links, CAST(len(regexp_extract_all(html, '<script')) AS BIGINT) AS n_scripts,
   CAST(len(regexp_extract_all(html, '[0-9]+[,.][0-9]{2}\\s*(€|EUR)')) AS BIGINT) AS n_prices, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title,
   contains(lower(html), 'captcha') OR contains(lower(html), 'verify you are human') OR contains(lower(html), 'access denied') AS challenged FROM pages""",
-    "block_split_extract": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM lineitem)
-SELECT l_orderkey, 'L' || l_linenumber AS merchant_reference, 'M' || l_partkey AS manufacturer_reference, 1000.5 + CAST(l_quantity AS INTEGER) AS price_eur,
-  CASE WHEN l_returnflag = 'A' THEN 'En stock' ELSE 'Rupture' END AS availability FROM l WHERE rn = 1""",
     "category_classifier": f"SELECT doc_id, {_CATEGORY} AS category FROM (SELECT doc_id, {_ascii('text')} AS hay FROM documents)",
     "base_category_classifier": f"SELECT doc_id, {_BASE} AS category FROM (SELECT doc_id, {_fold('text')} AS hay FROM documents)",
     "qc_flags": """SELECT p_partkey, concat_ws(',', CASE WHEN p_retailprice > 1500 THEN 'missing_price' END, CASE WHEN p_brand = 'Brand#1' THEN 'missing_brand' END,
