@@ -29,19 +29,43 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
+def cut(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The result survives the loss of any executor and is computed once however often it is read. The files go when
-    the driver ends.
+    the driver ends, or with ``free``. With ``by`` they are partitioned by that column.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/offerloom-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(*cuts: DataFrame) -> None:
+    """Delete the files of tables that nothing reads any more."""
+    for df in cuts:
+        for file in df.inputFiles()[:1]:
+            if (at := file.find("/offerloom-")) >= 0:
+                _remove(df.sparkSession, file[: file.index("/", at + 1)])
+
+
+class Growing:
+    """A table in the shared folder that rows are appended to; what is there is never written again."""
+
+    def __init__(self, spark: SparkSession, schema, name: str):
+        self.spark, self.schema = spark, schema
+        self.path = f"{shared_dir(spark)}/offerloom-{uuid.uuid4().hex}/{name}"
+        spark.createDataFrame([], schema).write.parquet(self.path)
+        atexit.register(_remove, spark, self.path)
+
+    def add(self, df: DataFrame) -> None:
+        df.write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` are at most ``most``; else as it is, for a shuffle join."""
     return F.broadcast(df) if rows <= most else df
