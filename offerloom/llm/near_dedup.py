@@ -211,9 +211,9 @@ _IN_BLOCK = "bucket long, band int, i int, j int, block int, rep long, component
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """A row per class and band: band, bucket (a hash of the band's number and registers), rep."""
-    starts = [F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("registers", 1 + i * BAND, BAND)).alias("bucket")) for i in range(REGISTERS // BAND)]
-    return classes.select("rep", "n_shingles", F.explode(F.array(*starts)).alias("b")).select("rep", "n_shingles", "b.band", "b.bucket")
+    """A row per class and band: rep, bucket (a hash of the band's registers, with the band's number in the low bits)."""
+    starts = [F.xxhash64(F.lit(i), F.substring("registers", 1 + i * BAND, BAND)).bitwiseAND(F.lit(-64)).bitwiseOR(F.lit(i)) for i in range(REGISTERS // BAND)]
+    return classes.select("rep", F.explode(F.array(*starts)).alias("bucket"))
 
 
 def _of_bucket(bands: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -244,7 +244,8 @@ def _rest_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, found: Da
     Both blocks of every pair of blocks of a bucket meet in one group; the number of tasks follows from the number of pairs.
     """
     label = found.withColumnRenamed("node", "rep")
-    members = bands.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    members = bands.join(label, "rep", "left").join(classes.select("rep", "n_shingles"), "rep")
+    members = members.select("rep", "bucket", "n_shingles", F.coalesce("component", "rep").alias("component"), F.col("bucket").bitwiseAND(F.lit(63)).cast("int").alias("band"))
     mixed = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).filter("n > 2 and least <> most")
     blocks = F.ceil(F.greatest(F.col("n") / block, F.col("size") / BLOCK_SHINGLES)).cast("int")
     mixed = cut(mixed.select("bucket", "n", blocks.alias("blocks")), "mixed")
@@ -279,9 +280,11 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = cut(shared, "buckets")
     bands = cut(buckets.join(shared, "bucket", "left_semi"), "bands")
-    first = _first_links(docs, classes, bands, shared)
+    # most classes share no bucket; their registers are not moved again
+    active = cut(classes.select("rep", "n_shingles", "registers").join(bands.select("rep").distinct(), "rep", "left_semi"), "active")
+    first = _first_links(docs, active, bands, shared)
     found = cut(components(first), "found")
-    rest = _rest_links(docs, classes, bands, found, block)
+    rest = _rest_links(docs, active, bands, found, block)
     if rest is not None and rest.limit(1).count():
         found = cut(components(first.unionByName(rest)), "found")
     of_class = classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component"))
