@@ -20,11 +20,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from offerloom.llm.texts import table
 from offerloom.plans.lineage import broadcast_if, cut
 
-#: Rows whose fingerprints one owner merges, on average.
-OWNED = 500_000
+#: Rows whose fingerprints one owner merges, on average; so many that a sender's message to an owner holds hundreds of them.
+OWNED = 4_000_000
 #: Most suspects whose ids are broadcast to the second reading of the texts; beyond it the join is shuffled.
 SUSPECTS_BROADCAST = 500_000
-FINGERPRINT_BITS = 60
+#: Bits of a fingerprint that are kept, and that are sent: 14 more than number the rows, so one row in 16,000 is suspected by chance.
+FINGERPRINT_BITS, SENT_BITS = 60, 14
 
 
 def normalised(text: Column) -> Column:
@@ -60,15 +61,19 @@ def golomb_decode(blob: bytes, count: int, span: int) -> np.ndarray:
     return np.cumsum((quotients.astype(np.int64) << k) + low + 1) - 1
 
 
-def _owner_of(values: np.ndarray, owners: int) -> tuple[np.ndarray, int]:
-    span = -(-(1 << FINGERPRINT_BITS) // owners)
-    return values // span, span
+def sent_bits(rows: int) -> int:
+    return min(FINGERPRINT_BITS, max(24, rows.bit_length() + SENT_BITS))
+
+
+def _span(owners: int, bits: int) -> int:
+    """Fingerprints of an owner's range."""
+    return -(-(1 << bits) // owners)
 
 
 _SENT = "sender long, owner long, n long, blob binary, several binary"
 
 
-def _send(owners: int):
+def _send(owners: int, bits: int):
     """Per sender and owner the coded fingerprints; the rows of a sender arrive in one task, a few bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,18 +84,19 @@ def _send(owners: int):
                 held.setdefault(int(s), []).append(value[sender == s])
         for s, parts in held.items():
             values, counts = np.unique(np.concatenate(parts), return_counts=True)
-            owner, span = _owner_of(values, owners)
+            span = _span(owners, bits)
+            owner = values // span
             rows = [(s, int(o), int((m := owner == o).sum()), golomb_encode(values[m] - o * span, span), np.packbits(counts[m] > 1).tobytes()) for o in np.unique(owner)]
             yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["sender", "owner", "n", "blob", "several"]), preserve_index=False)
 
     return run
 
 
-def _answer(owners: int):
+def _answer(owners: int, bits: int):
     """The owner's bitmaps: which of each sender's fingerprints occur twice or more anywhere."""
 
     def run(sent: pd.DataFrame) -> pd.DataFrame:
-        span = _owner_of(np.zeros(1, np.int64), owners)[1]
+        span = _span(owners, bits)
         lists = [golomb_decode(b, n, span) for b, n in zip(sent.blob, sent.n)]
         several = [np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(sent.several, sent.n)]
         everything = np.concatenate(lists)
@@ -105,11 +111,11 @@ def _answer(owners: int):
 _ANSWERED = "sender long, owner long, n long, blob binary, bitmap binary"
 
 
-def _suspected(owners: int):
+def _suspected(owners: int, bits: int):
     """The fingerprints under a sender's set bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = _owner_of(np.zeros(1, np.int64), owners)[1]
+        span = _span(owners, bits)
         for batch in batches:
             senders, values = [], []
             for sender, owner, n, blob, bitmap in zip(*(batch.column(i).to_pylist() for i in range(5))):
@@ -132,10 +138,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def suspects(rows: DataFrame, count: int) -> DataFrame:
     """The rows of ``fingerprints`` whose fingerprint occurs twice or more, found by the coded exchange."""
-    owners = max(8, -(-count // OWNED))
-    sent = rows.select("sender", "fingerprint").mapInArrow(_send(owners), _SENT)
-    answers = sent.groupBy("owner").applyInPandas(_answer(owners), _ANSWERED)
-    marked = answers.select(*(x.split()[0] for x in _ANSWERED.split(", "))).mapInArrow(_suspected(owners), "sender long, fingerprint long")
+    owners, bits = max(8, -(-count // OWNED)), sent_bits(count)
+    rows = rows.withColumn("fingerprint", F.shiftright("fingerprint", FINGERPRINT_BITS - bits))
+    sent = rows.select("sender", "fingerprint").mapInArrow(_send(owners, bits), _SENT)
+    answers = sent.groupBy("owner").applyInPandas(_answer(owners, bits), _ANSWERED)
+    marked = answers.select(*(x.split()[0] for x in _ANSWERED.split(", "))).mapInArrow(_suspected(owners, bits), "sender long, fingerprint long")
     # a fingerprint is marked once per sender, and both key the join: a hot fingerprint's rows stay spread over its senders
     marked = cut(marked.distinct(), "marked")
     return rows.join(broadcast_if(marked, marked.count(), SUSPECTS_BROADCAST), ["sender", "fingerprint"])
@@ -183,9 +190,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         F.lower(F.hex("sha")).alias("text_sha256"),
         "n_chars",
     )
-    # rows repeated with the id that stays: only one of them is kept
-    firsts = joined.filter("kept and group_size > 1").withColumn("kept", F.row_number().over(W.partitionBy("text_sha256").orderBy("n_chars")) == 1)
-    return joined.filter("not (kept and group_size > 1)").unionByName(firsts).drop("n_chars")
+    # rows repeated with the id that stays are alike in all columns: they are counted, and one of them is kept
+    columns = ["doc_id", "keep_id", "group_size", "text_sha256"]
+    firsts = joined.filter("kept and group_size > 1").groupBy(*columns).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    firsts = firsts.select(*columns, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("turn")).select(*columns, (F.col("turn") == 1).alias("kept"))
+    return joined.filter("not (kept and group_size > 1)").drop("n_chars").unionByName(firsts).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
