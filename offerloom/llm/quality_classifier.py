@@ -1,8 +1,8 @@
 """Quality classifier: nearest neighbours among labelled latent-semantic vectors.
 
 A text becomes counts of terms: hashed words, word shapes, and levels of the measures of its repetition, signs and length.
-Inverse document frequencies and a truncated singular value decomposition of a bounded labelled sample project the counts to
-a short unit vector. The labelled vectors are broadcast; for blocks of documents the cosines with all of them are computed
+Inverse document frequencies, counted over all documents, and a truncated singular value decomposition of a bounded labelled
+sample project the counts to a short unit vector. The labelled vectors are broadcast; for blocks of documents the cosines with all of them are computed
 exactly, and the labels of the nearest are averaged with weights that grow with the cosine.
 """
 
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -22,9 +23,11 @@ from offerloom.plans.lineage import cut
 
 #: Most labelled documents, which is also the number of broadcast vectors.
 SAMPLE = 4_000
-DIMENSIONS, NEIGHBOURS = 32, 15
+DIMENSIONS, NEIGHBOURS = 64, 15
+#: Steps of the subspace iteration that finds the singular vectors.
+STEPS = 8
 #: Hash buckets of words and of word shapes, and levels of each measure.
-WORD_TERMS, SHAPE_TERMS, LEVELS = 512, 256, 8
+WORD_TERMS, SHAPE_TERMS, LEVELS = 4096, 256, 8
 #: How much the three kinds of terms weigh.
 WEIGHTS = (0.15, 1.0, 1.0)
 SHARPNESS = 8.0
@@ -49,13 +52,41 @@ class _Terms(dict):
 _terms = _Terms()
 
 
+def _words(text: str | None) -> np.ndarray:
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    return np.fromiter(map(_terms.__getitem__, words), np.int64, len(words))
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a task's documents hold each word and shape term, and how many there are (as term -1)."""
+    n, total = np.zeros(WORD_TERMS + SHAPE_TERMS, np.int64), 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            both = np.unique(_words(text))
+            n[np.unique(both // SHAPE_TERMS)] += 1
+            n[WORD_TERMS + np.unique(both % SHAPE_TERMS)] += 1
+            total += 1
+    _terms.clear()
+    terms = np.flatnonzero(n)
+    yield pa.record_batch([pa.array(np.append(terms, -1)), pa.array(np.append(n[terms], total))], ["term", "n"])
+
+
+def inverse_frequencies(docs: DataFrame) -> np.ndarray:
+    """The weight of each term by the share of all documents that hold it; levels of measures weigh 1. The driver gets a row per term."""
+    rows = docs.select("text").mapInArrow(_held, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    held = {r["term"]: r["n"] for r in rows}
+    total, out = held.pop(-1, 0), np.ones(TERMS, np.float32)
+    n = np.zeros(WORD_TERMS + SHAPE_TERMS)
+    n[list(held)] = list(held.values())
+    out[: len(n)] = np.log((1 + total) / (1 + n)) + 0.3
+    return out
+
+
 def counts(text: str | None) -> np.ndarray:
     """The weighted term counts of a text."""
-    text = text or ""
-    words = text.encode("utf-8", "surrogatepass").split()
-    both = np.fromiter(map(_terms.__getitem__, words), np.int64, len(words))
+    both = _words(text)
     out = np.zeros(TERMS, np.float32)
-    n = max(1, len(words))
+    n = max(1, len(both))
     out[:WORD_TERMS] = np.bincount(both // SHAPE_TERMS, minlength=WORD_TERMS) / n
     out[WORD_TERMS : WORD_TERMS + SHAPE_TERMS] = np.bincount(both % SHAPE_TERMS, minlength=SHAPE_TERMS) / n
     n_words, chars, symbols, dup_lines, repeated, lines, letters, capitals, marks, most = measure(text)
@@ -93,16 +124,23 @@ class Model:
         return np.clip((weight * self.labels[near]).sum(1) / weight.sum(1), 0, 1)
 
 
+def right_vectors(x: np.ndarray, k: int) -> np.ndarray:
+    """The first ``k`` right singular vectors, by subspace iteration from a fixed start with some vectors to spare."""
+    q = np.random.default_rng(7).standard_normal((x.shape[1], min(x.shape[1], k + 16))).astype(np.float32)
+    for _ in range(STEPS):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    _, _, small = np.linalg.svd(x @ q, full_matrices=False)
+    return (q @ small.T)[:, :k]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = cut(labelled_sample(docs, labels, "quality", SAMPLE), "sample")
     rows = sample.select("doc_id", "label", _counts("text").alias("terms")).orderBy("doc_id", "terms").limit(SAMPLE).toPandas()
     if not len(rows):
         return Model(np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
     x = np.stack([np.frombuffer(b, np.float16) for b in rows.terms]).astype(np.float32)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.3
-    # right singular vectors from the terms' Gram matrix
-    _, right = np.linalg.eigh((x * idf).T @ (x * idf))
-    projection = (idf[:, None] * right[:, ::-1][:, : min(DIMENSIONS, len(x))]).astype(np.float32)
+    idf = inverse_frequencies(docs)
+    projection = (idf[:, None] * right_vectors(x * idf, min(DIMENSIONS, len(x)))).astype(np.float32)
     model = Model(projection, np.zeros((0, 1), np.float32), rows.label.to_numpy(np.float32))
     model.vectors = model.project(x).astype(np.float32)
     return model
