@@ -131,30 +131,29 @@ def _posteriors(codes: DataFrame) -> Column:
     return F.lit([float(round(x, 12)) for x in fit(histogram)])
 
 
-def _scored(docs: DataFrame, column: str) -> tuple[DataFrame, Column]:
-    """``docs`` with its counts in ``column``, and the posterior of a row."""
-    counted = docs.withColumn(column, measures(docs["text"]))
-    posteriors = _posteriors(counted.select(_code(column).alias("code")))
-    return counted, F.element_at(posteriors, _code(column) + 1)
-
-
 def judge(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, the counts, votes, posterior, base_failed, kept.
+    """One row per row of ``docs``: doc_id, the counts, votes (-1, 0 or 1 by rule), posterior, base_failed, kept.
 
     ``kept`` is false if the base rules fail, else whether the posterior reaches the threshold. Null texts have no words and
     fail the base rules. Repeated rows are judged each; an empty table gives no rows. Other columns are not read.
     """
     counted = cut(docs.select("doc_id", measures("text").alias("counts")), "counts")
     posterior = F.element_at(_posteriors(counted.select(_code("counts").alias("code"))), _code("counts") + 1)
-    rows = counted.select("doc_id", "counts.*", posterior.alias("posterior"), _base_failed("counts").alias("base_failed"))
+    votes = F.struct(*[(F.floor(_code("counts") / 3 ** (len(RULES) - 1 - i)) % 3 - 1).cast("int").alias(name) for i, (name, *_) in enumerate(RULES)])
+    rows = counted.select("doc_id", "counts.*", votes.alias("votes"), posterior.alias("posterior"), _base_failed("counts").alias("base_failed"))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= THRESHOLD))
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with the columns of ``docs``."""
-    name = "_counts" + "_" * max(map(len, docs.columns))
-    counted, posterior = _scored(docs, name)
-    return counted.filter(~_base_failed(name) & (posterior >= THRESHOLD)).select(*[f"`{c}`" for c in docs.columns])
+    """The rows of ``docs`` that ``judge`` keeps, with the columns of ``docs``.
+
+    The rows are written once with their votes, so that the texts are measured once.
+    """
+    own = "_" * (1 + max(map(len, docs.columns)))  # a name that docs doesn't have
+    counted = docs.withColumn(own, measures(docs["text"]))
+    voted = cut(counted.withColumn(own, F.struct(_code(own).alias("code"), _base_failed(own).alias("failed"))), "voted")
+    posterior = F.element_at(_posteriors(voted.select(F.col(f"{own}.code").alias("code"))), F.col(f"{own}.code") + 1)
+    return voted.filter(~F.col(f"{own}.failed") & (posterior >= THRESHOLD)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
