@@ -28,6 +28,20 @@ def next_pages(queue: DataFrame, batch: int) -> DataFrame:
     return queue.filter("status = 'pending'").orderBy("depth", "url").limit(batch)
 
 
+def next_jobs(cursors: DataFrame, batch: int, most_page: int) -> DataFrame:
+    """root, page: the next ``batch`` listing pages, taken from the roots in turn; ``cursors`` has root, place (the roots' order), next_page."""
+    pages = cursors.select("root", "place", "next_page", F.explode(F.when(F.col("next_page") < most_page, F.sequence(F.col("next_page"), F.least(F.lit(most_page - 1), F.col("next_page") + batch - 1)))).alias("page"))
+    return pages.orderBy(F.col("page") - F.col("next_page"), "place").limit(batch).select("root", "page")
+
+
+def advance(cursors: DataFrame, jobs: DataFrame, done: DataFrame) -> DataFrame:
+    """The cursors behind the jobs; a root goes back to its first page that was not done."""
+    left = jobs.join(done.select("root", "page"), ["root", "page"], "left_anti").groupBy("root").agg(F.min("page").alias("__left"))
+    taken = jobs.groupBy("root").agg((F.max("page") + 1).alias("__next"))
+    out = cursors.join(taken, "root", "left").join(left, "root", "left")
+    return out.withColumn("next_page", F.coalesce("__left", "__next", "next_page")).drop("__left", "__next")
+
+
 def mark(queue: DataFrame, results: DataFrame) -> DataFrame:
     """The queue with the new states of (url, kind); one address may be of two kinds with a state each."""
     new = results.select("url", "kind", F.col("status").alias("__new"))

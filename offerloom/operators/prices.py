@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from offerloom.functions.text import js_round
+from offerloom.functions.text import is_set, js_round
 from offerloom.operators.ranking import first_per_key, turn
 
 
@@ -20,9 +20,14 @@ def comparison(offers: DataFrame, product: str, merchant: str, price: str) -> Da
     )
 
 
-def nested_export(offers: DataFrame, product: str, merchant: str, price: str) -> DataFrame:
-    """A product's offers as an array sorted by price, then merchant; offers without price are left out of it."""
-    return offers.groupBy(product).agg(F.array_sort(F.collect_list(F.when(F.col(price).isNotNull(), F.struct(F.col(price).alias("value"), F.col(merchant).alias("merchant"))))).alias("prices"))
+def nested_export(offers: DataFrame, product: str, merchant: str, price: str, image: str | None = None) -> DataFrame:
+    """A product's offers as an array sorted by price, then merchant; offers without price are left out of it.
+
+    With ``image`` also the first image that is set, in the order of merchants.
+    """
+    listed = F.array_sort(F.collect_list(F.when(F.col(price).isNotNull(), F.struct(F.col(price).alias("value"), F.col(merchant).alias("merchant"))))).alias("prices")
+    first = [F.min(F.when(is_set(image), F.struct(F.col(merchant).alias("m"), F.col(image).alias("i")))).getField("i").alias("image")] if image else []
+    return offers.groupBy(product).agg(listed, *first)
 
 
 def median_savings(offers: DataFrame, product: str, price: str) -> DataFrame:
@@ -38,11 +43,23 @@ def bar_widths(ranked: DataFrame, product: str, price: str, least: float = 18.0)
     return ranked.join(dearest, product).withColumn("bar_percent", F.greatest(F.lit(least), 100 * F.col(price) / F.col("__max"))).drop("__max")
 
 
+def offer_savings(offers: DataFrame, product: str, price: str) -> DataFrame:
+    """Each offer against its product: saving_percent (of the median, whole per cent) and bar_percent (of the dearest, 100 at most)."""
+    sums = offers.groupBy(product).agg(F.median(price).alias("median_price"), F.max(price).alias("__max"))
+    saving = F.when(F.col("median_price") > 0, js_round((F.col("median_price") - F.col(price)) / F.col("median_price") * 100)).otherwise(0)
+    bar = F.when(F.col("__max") > 0, F.least(F.lit(100.0), 100 * F.col(price) / F.col("__max"))).otherwise(0.0)
+    return offers.join(sums, product).withColumns({"saving_percent": saving.cast("long"), "bar_percent": bar}).drop("__max")
+
+
 def merchant_baskets(items: DataFrame, prices: DataFrame, basket: str, item: str, merchant: str, price: str, quantity: str) -> DataFrame:
-    """Per basket and merchant: covered items and total. ``complete`` if the merchant has all of the basket's items."""
-    size = items.groupBy(basket).agg(F.count_distinct(item).alias("n_items"))
-    offered = items.join(prices, item).groupBy(basket, merchant).agg(F.count_distinct(item).alias("covered"), F.sum(F.col(price) * F.col(quantity)).alias("total"))
-    return offered.join(size, basket).withColumn("complete", F.col("covered") == F.col("n_items"))
+    """Per basket and merchant: covered items, the basket's n_items, total. ``complete`` if the merchant has all of the basket's items.
+
+    ``items`` has a row per basket and item, ``prices`` one per item and merchant. The size of a basket goes along with its items.
+    """
+    sized = items.withColumn("n_items", F.count(F.lit(1)).over(W.partitionBy(basket)))
+    offered = sized.join(prices, item).groupBy(basket, merchant)
+    offered = offered.agg(F.count(F.lit(1)).alias("covered"), F.first("n_items").alias("n_items"), F.sum(F.col(price) * F.col(quantity)).alias("total"))
+    return offered.withColumn("complete", F.col("covered") == F.col("n_items"))
 
 
 def best_partial(baskets: DataFrame, basket: str, merchant: str, most: int = 5) -> DataFrame:
@@ -57,6 +74,22 @@ def cheapest_split(items: DataFrame, prices: DataFrame, basket: str, item: str,
     return items.join(cheapest, item).groupBy(basket, merchant).agg(F.count(F.lit(1)).alias("n_items"), F.sum(F.col(price) * F.col(quantity)).alias("subtotal"))
 
 
-def cart(events: DataFrame, key: str, change: str, order: Sequence[str] = ()) -> DataFrame:
-    """Quantities of a cart from its additions and removals: never below one unless removed altogether."""
-    return events.groupBy(key).agg(F.sum(change).alias("qty")).filter("qty <> 0").withColumn("qty", F.greatest(F.lit(1), F.col("qty")))
+def split_totals(split: DataFrame, basket: str) -> DataFrame:
+    """Per basket of ``cheapest_split``: the number of merchants, of items, and the grand total."""
+    return split.groupBy(basket).agg(F.count(F.lit(1)).alias("n_merchants"), F.sum("n_items").alias("n_items"), F.sum("subtotal").alias("total"))
+
+
+def cart(events: DataFrame, keys: Sequence[str], action: str, value: str, seq: str) -> DataFrame:
+    """The quantity of each item in its cart after all events; items that were removed are not listed.
+
+    Actions are add (one more, or a new item), set (the quantity to ``value``, one at least, if the item is there) and remove. What
+    counts are the events after the last removal: of these the last set behind the first add, and the adds behind it.
+    """
+    removed = events.filter(F.col(action) == "remove").groupBy(*keys).agg(F.max(seq).alias("__removed"))
+    live = events.filter(F.col(action).isin("add", "set")).join(removed, list(keys), "left").filter(F.col("__removed").isNull() | (F.col(seq) > F.col("__removed")))
+    added = live.filter(F.col(action) == "add").groupBy(*keys).agg(F.min(seq).alias("__added"))
+    live = live.join(added, list(keys)).filter(F.col(seq) >= F.col("__added"))
+    placed = live.filter(F.col(action) == "set").groupBy(*keys).agg(F.max(F.struct(F.col(seq).alias("at"), F.greatest(F.lit(1), F.col(value)).alias("qty"))).alias("__set"))
+    adds = live.filter(F.col(action) == "add").join(placed, list(keys), "left").groupBy(*keys)
+    out = adds.agg(F.count_if(F.col("__set").isNull() | (F.col(seq) > F.col("__set.at"))).alias("more"), F.first("__set.qty").alias("base"))
+    return out.select(*keys, (F.col("more") + F.coalesce("base", F.lit(0))).cast("long").alias("qty"))

@@ -7,9 +7,10 @@ from urllib.parse import urlsplit
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from offerloom.functions import text as tx
+from offerloom.operators.ranking import numbered
 
 
 def usable(name: Column, price: Column, image: Column, url: Column) -> Column:
@@ -31,16 +32,8 @@ def published(offers: DataFrame, merchant: str) -> DataFrame:
 
 
 def with_ids(df: DataFrame, prefix: str, order: list[str], column: str = "id", parts: int = 64) -> DataFrame:
-    """Dense ids prefix-1, prefix-2, ... in the given order.
-
-    Rows are numbered inside ranges of the order; the ranges' sizes, a row each, give what to add. No task sees all rows.
-    """
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    numbered = ranged.withColumn("__at", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
-    sizes = numbered.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select(F.col("__part").alias("p"), (F.sum("n").over(W.orderBy("__part")) - F.col("n")).alias("before"))
-    out = numbered.join(F.broadcast(before), F.col("__part") == F.col("p"))  # a row per range, ``parts`` at most
-    return out.withColumn(column, F.concat(F.lit(f"{prefix}-"), F.col("before") + F.col("__at"))).drop("__part", "__at", "p", "before")
+    """Dense ids prefix-1, prefix-2, ... in the given order."""
+    return numbered(df, order, column, parts).withColumn(column, F.concat(F.lit(f"{prefix}-"), F.col(column)))
 
 
 def image_for(reference: Column, images: Column, default: Column | None = None) -> Column:

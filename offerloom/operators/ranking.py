@@ -62,3 +62,16 @@ def key_range(df: DataFrame, key: str, low: str, high: str, most: int | None = N
     before = df.filter(F.col(key) < low).agg(F.max(key).alias("__last"))
     found = inside.unionByName(df.join(F.broadcast(before), F.col(key) == F.col("__last")).drop("__last"))
     return found.orderBy(key).limit(most) if most else found
+
+
+def numbered(df: DataFrame, order: Sequence[str], column: str, parts: int = 64) -> DataFrame:
+    """The rows with their numbers 1, 2, ... in the given order.
+
+    Rows are numbered inside ranges of the order; the ranges' sizes, a row each, give what to add. No task sees all rows.
+    """
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    inside = ranged.withColumn("__at", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
+    sizes = inside.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select(F.col("__part").alias("__p"), (F.sum("n").over(W.orderBy("__part")) - F.col("n")).alias("__before"))
+    out = inside.join(F.broadcast(before), F.col("__part") == F.col("__p"))  # a row per range, ``parts`` at most
+    return out.withColumn(column, F.col("__before") + F.col("__at")).drop("__part", "__at", "__p", "__before")

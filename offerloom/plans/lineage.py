@@ -50,6 +50,18 @@ def free(*cuts: DataFrame) -> None:
                 _remove(df.sparkSession, file[: file.index("/", at + 1)])
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/offerloom-{uuid.uuid4().hex}/{name}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path, if it is there."""
+    _remove(spark, path)
+
+
 class Growing:
     """A table in the shared folder that rows are appended to; what is there is never written again."""
 

@@ -58,19 +58,13 @@ def latest_capture_per_url(spark, d):
     return ranking.first_per_key(e, ["url"], [F.desc("ts"), F.asc("event_id")])
 
 
-def titles_cleaned(spark, d):
-    name = F.concat_ws(" ", "p_name", F.concat(F.lit("REF"), F.col("p_partkey")), F.col("p_brand"), F.lit("à partir de 12,50 €"))
-    title = publish.cleaned_title(name, F.col("p_brand"), F.concat(F.lit("REF"), F.col("p_partkey")))
-    return table(spark, d, "part").select("p_partkey", title.alias("title"))
-
-
 def top_category_merchants(spark, d):
     """Distinct merchants and categories on offer."""
     rows = latest_offers(spark, d).join(table(spark, d, "part"), F.col("product") == F.col("p_partkey"))
     return rows.groupBy("p_type").agg(F.count_distinct("merchant").alias("n_merchants"), F.count_distinct("product").alias("n_products"))
 
 
-QUERIES = {f.__name__: f for f in (published_offers, canonical_ids, merge_counters, tiered_key_groups, category_shelves, nested_price_filter, latest_capture_per_url, titles_cleaned, top_category_merchants)}
+QUERIES = {f.__name__: f for f in (published_offers, canonical_ids, merge_counters, tiered_key_groups, category_shelves, nested_price_filter, latest_capture_per_url, top_category_merchants)}
 
 ORACLES = {
     "published_offers": """WITH r AS (SELECT 'shop' AS merchant, p_name AS name, p_brand AS brand, CASE WHEN p_size > 10 THEN p_retailprice WHEN p_size > 5 THEN p_retailprice / 3 ELSE -1 END AS price,
@@ -84,6 +78,5 @@ SELECT CASE WHEN b.p_partkey IS NULL THEN 'added' WHEN r.p_partkey IS NULL THEN
     "nested_price_filter": f"WITH {LATEST} SELECT product, count(*) AS n, count(*) FILTER (WHERE price < 2000) AS n_low FROM l GROUP BY product",
     "latest_capture_per_url": """WITH e AS (SELECT user_id AS url, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, event_id, event_type FROM events WHERE event_type <> 'error')
 SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts DESC, event_id) = 1""",
-    "titles_cleaned": "SELECT p_partkey, p_name AS title FROM part",
     "top_category_merchants": f"WITH {LATEST} SELECT p_type, count(DISTINCT merchant) AS n_merchants, count(DISTINCT product) AS n_products FROM l JOIN part ON p_partkey = product GROUP BY p_type",
 }

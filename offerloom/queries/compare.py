@@ -11,9 +11,8 @@ from offerloom.queries.views import CENTS, ITEMS, LATEST, OBSERVATIONS, TIE, bas
 
 def latest_offer_per_merchant_product(spark, d):
     """Every product of every merchant with its newest observation."""
-    sold = observations(spark, d).select("merchant", "product").distinct()
-    rows = sold.join(table(spark, d, "part"), F.col("product") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("merchant") == F.col("s_suppkey"))
-    return rows.join(latest_offers(spark, d), ["merchant", "product"], "left").select("product", "p_name", "p_brand", "merchant", "s_name", "price", "availability", "scraped_at")
+    rows = latest_offers(spark, d).join(table(spark, d, "part"), F.col("product") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("merchant") == F.col("s_suppkey"))
+    return rows.select("product", "p_name", "p_brand", "merchant", "s_name", "price", "availability", "scraped_at")
 
 
 def product_comparison_export(spark, d):
@@ -22,9 +21,10 @@ def product_comparison_export(spark, d):
 
 
 def nested_offer_export(spark, d):
-    rows = prices.nested_export(latest_offers(spark, d), "product", "merchant", "price")
+    offers = latest_offers(spark, d).withColumn("image", F.when(F.col("merchant") % 3 == 0, F.concat(F.lit("i"), F.col("merchant"))).otherwise(""))
+    rows = prices.nested_export(offers, "product", "merchant", "price", "image")
     listed = F.array_join(F.transform("prices", lambda x: x.merchant.cast("string")), ",")
-    return rows.select("product", F.size("prices").cast("long").alias("n_offers"), listed.alias("merchants"), F.col("prices")[0]["value"].alias("first_price"))
+    return rows.select("product", F.size("prices").cast("long").alias("n_offers"), listed.alias("merchants"), F.col("prices")[0]["value"].alias("first_price"), "image")
 
 
 def latest_run_per_merchant(spark, d):
@@ -67,10 +67,47 @@ def basket_quantities(spark, d):
     return basket_items(spark, d).groupBy("basket").agg(F.sum("qty").alias("qty"), F.count(F.lit(1)).alias("n_items"))
 
 
+def cheapest_split_total(spark, d):
+    """What all of a basket costs at the cheapest merchant of each item, and at how many merchants."""
+    rows = prices.cheapest_split(basket_items(spark, d), latest_offers(spark, d).select("product", "merchant", "price"), "basket", "product", "merchant", "price", "qty")
+    return prices.split_totals(rows, "basket").select("basket", "n_merchants", "n_items", cents("total").alias("total"))
+
+
+def offer_savings(spark, d):
+    rows = prices.offer_savings(latest_offers(spark, d).select("product", "merchant", "price"), "product", "price")
+    return rows.select("product", "merchant", "saving_percent", F.round("bar_percent", 6).alias("bar_percent"))
+
+
+def _cart_events(spark, d):
+    """Events as clicks in carts of two items: errors remove, every fifth event sets a quantity that may be below one, the others add."""
+    e, kind = table(spark, d, "events"), F.col("event_id") % 5
+    action = F.when(F.col("event_type") == "error", "remove").when(kind == 0, "set").otherwise("add")
+    return e.select("user_id", (F.col("event_id") % 2).alias("item"), "event_id", action.alias("action"), (F.col("event_id") % 4 - 1).alias("qty"))
+
+
 def cart_state(spark, d):
-    """Clicks add, errors remove; a product still in the cart has at least one."""
-    change = F.when(F.col("event_type") == "error", -1).otherwise(1)
-    return prices.cart(table(spark, d, "events").withColumn("change", change), "user_id", "change")
+    """Carts after all clicks: adding, setting and removing, in their order."""
+    return prices.cart(_cart_events(spark, d), ["user_id", "item"], "action", "qty", "event_id")
+
+
+def category_names(spark, d):
+    """Distinct categories in the order of the language: accents and capitals count only between equal letters."""
+    accented = F.when(F.col("p_type") == "ECONOMY", "Économie").when(F.col("p_type") == "SMALL", "eau").when(F.col("p_type") == "LARGE", "Œuvre").otherwise(F.lower("p_type"))
+    rows = table(spark, d, "part").select(accented.alias("category")).distinct().withColumn("place", F.collate("category", "UNICODE_CI_AI"))
+    return rows.orderBy("place", "category").select("category")
+
+
+def search_with_filters(spark, d):
+    """Search by words together with a category and a bound of quality."""
+    hay = F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type"))
+    flags = classify.quality_flags({"missing_price": F.col("p_retailprice") > 1500, "small": F.col("p_size") < 5})
+    return table(spark, d, "part").filter(hay.contains("ring") & (F.col("p_type") == "ECONOMY") & (F.size(flags) == 0)).select("p_partkey", "p_name")
+
+
+def payload_counters(spark, d):
+    """The head of an exported catalogue: its number of offers, with price, with stock, of merchants, and the newest capture."""
+    rows = latest_offers(spark, d)
+    return rows.agg(F.count(F.lit(1)).alias("count"), F.count("price").alias("with_price"), F.count_if(F.col("availability") == "A").alias("in_stock"), F.count_distinct("merchant").alias("merchants"), F.max("scraped_at").alias("captured_at"))
 
 
 def keyword_search_page(spark, d):
@@ -123,7 +160,7 @@ def price_display(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     latest_offer_per_merchant_product, product_comparison_export, nested_offer_export, latest_run_per_merchant, price_median_savings, top3_offers_per_product,
-    offer_price_bars, single_merchant_basket, partial_coverage_top5, cheapest_split_basket, basket_quantities, cart_state, keyword_search_page,
+    offer_price_bars, single_merchant_basket, partial_coverage_top5, cheapest_split_basket, cheapest_split_total, offer_savings, category_names, search_with_filters, payload_counters, basket_quantities, cart_state, keyword_search_page,
     nulls_first_listing, range_scan_with_predecessor, status_counts, category_histogram, completeness_report, active_merchants, filtered_offer_total, price_display,
 )}
 
@@ -140,7 +177,8 @@ LEFT JOIN l ON l.merchant = s.merchant AND l.product = s.product""",
 SELECT product, p_name, p_brand, count(price) AS n_offers, min(price) AS min_price, max(price) AS max_price, first(merchant ORDER BY price, merchant) AS cheapest_merchant
 FROM l JOIN part ON p_partkey = product GROUP BY ALL""",
     "nested_offer_export": f"""WITH {LATEST}
-SELECT product, count(*) AS n_offers, string_agg(CAST(merchant AS VARCHAR), ',' ORDER BY price, merchant) AS merchants, min(price) AS first_price FROM l GROUP BY product""",
+SELECT product, count(*) AS n_offers, string_agg(CAST(merchant AS VARCHAR), ',' ORDER BY price, merchant) AS merchants, min(price) AS first_price,
+  first('i' || merchant ORDER BY merchant) FILTER (WHERE merchant % 3 = 0) AS image FROM l GROUP BY product""",
     "latest_run_per_merchant": f"""WITH {OBSERVATIONS},
 r AS (SELECT merchant, CAST(year(scraped_at) AS BIGINT) AS run_id, max(scraped_at) AS finished_at, count(*) AS item_count FROM o GROUP BY ALL)
 SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY merchant ORDER BY finished_at DESC, run_id DESC) = 1""",
@@ -156,8 +194,18 @@ SELECT product, merchant, round(greatest(18.0, 100 * price / max(price) OVER (PA
 b AS (SELECT product, merchant, price FROM l QUALIFY row_number() OVER (PARTITION BY product ORDER BY price, merchant) = 1)
 SELECT basket, merchant, count(*) AS n_items, {CENTS.format("sum(price * qty)")} AS subtotal FROM i JOIN b USING (product) GROUP BY ALL""",
     "basket_quantities": f"WITH {ITEMS} SELECT basket, sum(qty) AS qty, count(*) AS n_items FROM i GROUP BY basket",
-    "cart_state": """SELECT user_id, CAST(greatest(1, sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END)) AS BIGINT) AS qty FROM events
-GROUP BY user_id HAVING sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) <> 0""",
+    "cheapest_split_total": f"""WITH {LATEST}, {ITEMS},
+b AS (SELECT product, merchant, price FROM l QUALIFY row_number() OVER (PARTITION BY product ORDER BY price, merchant) = 1)
+SELECT basket, count(DISTINCT merchant) AS n_merchants, count(*) AS n_items, {CENTS.format("sum(price * qty)")} AS total FROM i JOIN b USING (product) GROUP BY basket""",
+    "offer_savings": f"""WITH {LATEST}, m AS (SELECT *, median(price) OVER (PARTITION BY product) AS med, max(price) OVER (PARTITION BY product) AS top FROM l)
+SELECT product, merchant, CAST(CASE WHEN med > 0 THEN floor((med - price) / med * 100 + 0.5) ELSE 0 END AS BIGINT) AS saving_percent, round(least(100.0, 100 * price / top), 6) AS bar_percent FROM m""",
+    "category_names": """SELECT DISTINCT CASE p_type WHEN 'ECONOMY' THEN 'Économie' WHEN 'SMALL' THEN 'eau' WHEN 'LARGE' THEN 'Œuvre' ELSE lower(p_type) END AS category FROM part""",
+    "search_with_filters": """SELECT p_partkey, p_name FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'ring') AND p_type = 'ECONOMY' AND p_retailprice <= 1500 AND p_size >= 5""",
+    "payload_counters": f"WITH {LATEST} SELECT count(*) AS count, count(price) AS with_price, count(*) FILTER (WHERE availability = 'A') AS in_stock, count(DISTINCT merchant) AS merchants, max(scraped_at) AS captured_at FROM l",
+    "cart_state": """WITH RECURSIVE e AS (SELECT user_id, event_id % 2 AS item, event_type = 'error' AS gone, event_id % 5 = 0 AS placed, event_id % 4 - 1 AS qty, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id) AS turn FROM events),
+s AS (SELECT user_id, item, CAST(0 AS BIGINT) AS turn, CAST(0 AS BIGINT) AS n FROM (SELECT DISTINCT user_id, item FROM e)
+  UNION ALL SELECT s.user_id, s.item, e.turn, CASE WHEN e.gone THEN 0 WHEN e.placed THEN CASE WHEN s.n > 0 THEN greatest(1, e.qty) ELSE 0 END ELSE s.n + 1 END FROM s JOIN e ON e.user_id = s.user_id AND e.item = s.item AND e.turn = s.turn + 1)
+SELECT user_id, item, n AS qty FROM s JOIN (SELECT user_id, item, max(turn) AS turn FROM e GROUP BY user_id, item) USING (user_id, item, turn) WHERE n > 0""",
     "keyword_search_page": """SELECT p_partkey, p_name, p_retailprice FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'ring')
 ORDER BY p_retailprice, p_partkey LIMIT 60 OFFSET 60""",
     "nulls_first_listing": "SELECT p_partkey, nullif(p_size, 11) AS size, lower(p_name) AS name FROM part ORDER BY size NULLS FIRST, name, p_partkey",

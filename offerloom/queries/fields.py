@@ -17,17 +17,6 @@ def normalize_reference(spark, d):
     return _products(spark, d).select("p_partkey", tx.normalize_reference(F.concat_ws(" - ", "p_name", "p_brand")).alias("reference"))
 
 
-def brand_alias(spark, d):
-    spelled = F.when(F.col("p_partkey") % 4 == 0, "3M ESPE").when(F.col("p_partkey") % 4 == 1, "Dentsply").when(F.col("p_partkey") % 4 == 2, " Micro  Mega").otherwise(F.col("p_brand"))
-    return _products(spark, d).select("p_partkey", tx.normalize_brand(spelled).alias("brand"), tx.group_brand(spelled).alias("group_brand"))
-
-
-def stock_normalize(spark, d):
-    said = F.when(F.col("l_returnflag") == "A", "Disponible sous 3 jours").when(F.col("l_returnflag") == "N", "Sur commande").when(F.col("l_linestatus") == "F", "Rupture de stock").otherwise("Arrêté")
-    rows = table(spark, d, "lineitem").select(tx.normalize_stock(said).alias("stock"), "l_returnflag", "l_linestatus")
-    return rows.groupBy("stock", "l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
-
-
 def price_parse(spark, d):
     """Prices written the French way, read back."""
     o = table(spark, d, "orders")
@@ -35,35 +24,14 @@ def price_parse(spark, d):
     return o.select("o_orderkey", tx.parse_price(written).alias("price"), tx.valid_price(F.col("o_totalprice")).alias("valid"))
 
 
-def packaging_tokens(spark, d):
-    name = F.concat_ws(" ", F.lit("Boîte de"), F.col("p_size").cast("string"), F.lit("limes,"), F.col("p_size").cast("string"), F.lit("g"), "p_name")
-    return _products(spark, d).select("p_partkey", tx.extract_packaging(name).alias("packaging"))
-
-
-def variant_tokens(spark, d):
-    name = F.concat_ws(" ", "p_name", F.concat(F.lit("A"), (F.col("p_size") % 4 + 1).cast("string")), F.concat(F.col("p_size").cast("string"), F.lit(" mm")), F.lit("XL"))
-    return _products(spark, d).select("p_partkey", F.array_join(tx.variant_tokens(name), ",").alias("tokens"))
-
-
 def fold_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(tx.fold("text")).alias("folded_md5"))
 
 
-def clean_references(spark, d):
-    raw = F.when(F.col("p_partkey") % 3 == 0, " N/A ").when(F.col("p_partkey") % 3 == 1, "--").otherwise(F.concat(F.lit(" 00"), F.col("p_partkey")))
-    key = F.when(F.col("p_size") > 25, F.lit("Reference")).otherwise(F.concat(F.lit("00-"), F.col("p_partkey") + 1000))
-    return _products(spark, d).select("p_partkey", tx.clean_reference(raw).alias("reference"), tx.manufacturer_key(key).alias("mfr"), tx.ean(F.lpad((F.col("p_partkey") + 1).cast("string"), 10, "3")).alias("ean"))
-
-
 def url_canonical(spark, d):
     return table(spark, d, "pages").select("page_id", tx.canonical_url("url").alias("key"), tx.page_url("url").alias("page_url"), tx.reference_from_url("url").alias("reference"))
 
 
-def title_from_slug(spark, d):
-    url = F.concat(F.lit("https://shop.example.com/c/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey"), F.lit(".html"))
-    return _products(spark, d).select("p_partkey", tx.title_from_slug(url).alias("title"), tx.product_address(url).alias("is_product"))
-
-
 def link_extraction(spark, d):
     return extract.links(table(spark, d, "pages"), "html", "page_id")
 
@@ -112,9 +80,8 @@ def strong_id_match(spark, d):
 
 
 def scored_match(spark, d):
-    offers, products = _offers_and_products(spark, d)
-    plain = [x.withColumns({"ean": F.lit(""), "manufacturer_reference": F.lit("")}) for x in (offers, products)]
-    return matching.scored_matches(*plain).withColumn("score", F.round("score", 6))
+    """The best product of each offer by identifiers, else by names, brands and packagings."""
+    return matching.scored_matches(*_offers_and_products(spark, d)).withColumn("score", F.round("score", 6))
 
 
 def match_routes(spark, d):
@@ -147,7 +114,7 @@ def props_parse(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    normalize_reference, brand_alias, stock_normalize, price_parse, packaging_tokens, variant_tokens, fold_text, clean_references, url_canonical, title_from_slug,
+    normalize_reference, price_parse, fold_text, url_canonical,
     link_extraction, page_profile, category_classifier, base_category_classifier, qc_flags, completeness_score, strong_id_match,
     scored_match, match_routes, token_overlap_pairs, greedy_grouping, props_parse,
 )}
@@ -170,24 +137,15 @@ _BASE = _first(classify.BASE_RULES, lambda pattern: f"regexp_matches(hay, '{patt
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 ORACLES = {
     "normalize_reference": "SELECT p_partkey, regexp_replace(upper(p_name || ' - ' || p_brand), '[^A-Z0-9]', '', 'g') AS reference FROM part",
-    "brand_alias": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'solventum' WHEN 1 THEN 'dentsply sirona' WHEN 2 THEN 'micro-mega' ELSE replace(lower(p_brand), '#', ' ') END AS brand,
-  CASE p_partkey % 4 WHEN 0 THEN 'solventum' WHEN 1 THEN 'dentsplysirona' WHEN 2 THEN 'micromega' ELSE 'brand' END AS group_brand FROM part""",
-    "stock_normalize": """SELECT CASE WHEN l_returnflag = 'A' THEN 'in_stock' WHEN l_returnflag = 'N' THEN 'on_order' WHEN l_linestatus = 'F' THEN 'backorder' ELSE 'discontinued' END AS stock,
-  l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL""",
     "price_parse": "SELECT o_orderkey, o_totalprice AS price, CASE WHEN o_totalprice > 0 THEN round(o_totalprice, 2) END AS valid FROM orders",
-    "packaging_tokens": """SELECT p_partkey, 'boite de ' || p_size || ' ' || p_size || ' limes ' || p_size || ' g' AS packaging FROM part""",
-    "variant_tokens": """SELECT p_partkey, array_to_string(list_sort(['A' || (p_size % 4 + 1), p_size || 'MM', 'XL']), ',') AS tokens FROM part""",
     "fold_text": f"SELECT doc_id, md5({_fold('text')}) AS folded_md5 FROM documents",
-    "clean_references": """SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN '00' || p_partkey END AS reference, CASE WHEN p_size <= 25 THEN '00' || (p_partkey + 1000) END AS mfr,
-  lpad(CAST(p_partkey + 1 AS VARCHAR), 10, '3') AS ean FROM part""",
     "url_canonical": """SELECT page_id, lower(regexp_replace(url, '/+$', '')) AS key,
   regexp_extract(url, '^[a-z]+://[^?#]*') || CASE WHEN regexp_matches(url, '[?&]p=') THEN '?p=' || regexp_extract(url, '[?&]p=([^&#]*)', 1) ELSE '' END AS page_url,
-  nullif(regexp_extract(url, '([0-9]{3,})(\\.html?)?/?(\\?.*)?$', 1), '') AS reference FROM pages""",
-    "title_from_slug": """SELECT p_partkey, array_to_string(list_transform(string_split(p_name || ' ' || p_partkey, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title, true AS is_product FROM part""",
+  nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '(?i)-([0-9]{2,5}-[0-9]{2,5})\.html$', 1), '') AS reference FROM pages""",
     "link_extraction": """SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*href=["'']([^"''#]+)', 1)) AS href FROM pages""",
     "page_profile": """SELECT page_id, CAST(length(html) AS BIGINT) AS n_chars, CAST(len(regexp_extract_all(html, '<a\\s')) AS BIGINT) AS n_links, CAST(len(regexp_extract_all(html, '<script')) AS BIGINT) AS n_scripts,
   CAST(len(regexp_extract_all(html, '[0-9]+[,.][0-9]{2}\\s*(€|EUR)')) AS BIGINT) AS n_prices, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title,
-  contains(lower(html), 'captcha') OR contains(lower(html), 'verify you are human') OR contains(lower(html), 'access denied') AS challenged FROM pages""",
+  lower(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1))) IN ('just a moment...', 'just a moment', 'checking your browser', 'attention required') AS challenged FROM pages""",
     "category_classifier": f"SELECT doc_id, {_CATEGORY} AS category FROM (SELECT doc_id, {_ascii('text')} AS hay FROM documents)",
     "base_category_classifier": f"SELECT doc_id, {_BASE} AS category FROM (SELECT doc_id, {_fold('text')} AS hay FROM documents)",
     "qc_flags": """SELECT p_partkey, concat_ws(',', CASE WHEN p_retailprice > 1500 THEN 'missing_price' END, CASE WHEN p_brand = 'Brand#1' THEN 'missing_brand' END,
@@ -200,7 +158,7 @@ SELECT offer_id, coalesce(a, b) AS product_id, CASE WHEN a IS NOT NULL THEN 'ean
     "token_overlap_pairs": f"""WITH o AS (SELECT p_partkey AS id, p_partkey % 3 AS m, list_distinct(list_filter(string_split('n' || (p_partkey // 3) || ' kk' || (p_partkey // 3) % 97 || ' zz' || (p_partkey // 3) % 89 || ' ' || lower(p_type), ' '), lambda x: len(x) > 1 AND x NOT IN ({_STOP}))) AS t
   FROM part),
 w AS (SELECT id, m, len(t) AS n, unnest(t) AS token FROM o),
-k AS (SELECT * FROM w WHERE len(token) >= 3 QUALIFY row_number() OVER (PARTITION BY token ORDER BY id) <= 500)
+k AS (SELECT * FROM w WHERE len(token) >= 3)
 SELECT x.id AS a, y.id AS b, count(*) AS common, count(*) / least(x.n, y.n) AS similarity FROM k x JOIN k y ON x.token = y.token AND x.id < y.id AND x.m <> y.m GROUP BY x.id, y.id, x.n, y.n HAVING count(*) >= 3""",
     "props_parse": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
 }

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from offerloom.operators import dedup, frontier, merge, ranking
-from offerloom.plans.lineage import shared_dir
+from offerloom.operators import classify, dedup, frontier, merge, ranking
 from offerloom.queries.views import OBSERVATIONS, TIE, observations, table
-from offerloom.streaming import ingest
 
 
 def tiered_dedupe(spark, d):
@@ -122,10 +118,18 @@ def tiered_lookup(spark, d):
     return merge.tiered_lookup(o.filter("o_orderkey >= 5000").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"), stored, [["o_orderpriority", "o_custkey"], ["o_orderstatus", "o_custkey"], ["o_custkey"]], "o_orderkey", "o_orderkey").select("o_orderkey", "found_id", F.col("found_tier").cast("long").alias("found_tier"))
 
 
+def _kinds():
+    return {"name_brand": F.concat_ws("|", "p_name", "p_brand"), "name_type_size": F.concat_ws("|", "p_name", "p_type", F.col("p_size").cast("string"))}
+
+
 def duplicate_groups(spark, d):
-    rows = table(spark, d, "part")
-    groups = dedup.duplicate_groups(rows, {"name_brand": F.concat_ws("|", "p_name", "p_brand"), "name_type_size": F.concat_ws("|", "p_name", "p_type", F.col("p_size").cast("string"))}, "p_partkey")
-    return groups.select("kind", "key", "n", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+    return dedup.duplicate_members(table(spark, d, "part"), _kinds(), "p_partkey")
+
+
+def duplicate_flags(spark, d):
+    """Quality flags of products, with those of the groups that they are in."""
+    rows = table(spark, d, "part").withColumn("flags", classify.quality_flags({"missing_price": F.col("p_retailprice") > 1500}))
+    return dedup.with_duplicate_flags(rows, _kinds(), "p_partkey", "flags").select("p_partkey", F.array_join("flags", ",").alias("flags"))
 
 
 def union_of_sources(spark, d):
@@ -155,28 +159,10 @@ def queue_marks(spark, d):
     return frontier.mark(queue, done).select("url", "kind", "status")
 
 
-def incremental_ingest(spark, d):
-    """Events streamed in batches into a table keyed by user; equal to the last event of each user."""
-    folder = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
-    events.filter("event_id % 3 = 0").write.parquet(f"{folder}/in/a")
-    events.filter("event_id % 3 = 1").write.parquet(f"{folder}/in/b")
-    events.filter("event_id % 3 = 2").write.parquet(f"{folder}/in/c")
-    last = [-1]
-    each = ingest.keyed_master(spark, f"{folder}/table", "user_id", "event_id")
-
-    def counted(batch, number):
-        each(batch, number)
-        last[0] = number
-
-    ingest.drain(ingest.arriving(spark, f"{folder}/in/*", events.schema, 1), f"{folder}/done", counted)
-    return ingest.latest_version(spark, f"{folder}/table", last[0])
-
-
 QUERIES = {f.__name__: f for f in (
     tiered_dedupe, first_wins_distinct, last_wins_by_key, richest_record_per_key, merge_override, merge_fill_only, merge_mixed_fallback_key, keep_old_when_null,
     upsert_change_history, scd_current_state, upsert_current, upsert_history, change_only_events, pending_anti_join, stored_semi_join, insert_or_ignore,
-    tiered_lookup, duplicate_groups, union_of_sources, frontier_reach, queue_marks, incremental_ingest,
+    tiered_lookup, duplicate_groups, duplicate_flags, union_of_sources, frontier_reach, queue_marks,
 )}
 
 LAYERS = """b AS (SELECT p_partkey, p_brand, CASE WHEN p_size > 25 THEN p_type END AS p_type, p_retailprice FROM part),
@@ -243,8 +229,10 @@ q AS (SELECT o_orderkey, (SELECT min(x.o_orderkey) FROM o x WHERE x.o_orderkey <
   (SELECT min(x.o_orderkey) FROM o x WHERE x.o_orderkey < 5000 AND x.s = o.s AND x.o_custkey = o.o_custkey) AS b,
   (SELECT min(x.o_orderkey) FROM o x WHERE x.o_orderkey < 5000 AND x.o_custkey = o.o_custkey) AS c FROM o WHERE o_orderkey >= 5000)
 SELECT o_orderkey, coalesce(a, b, c) AS found_id, CAST(CASE WHEN a IS NOT NULL THEN 1 WHEN b IS NOT NULL THEN 2 WHEN c IS NOT NULL THEN 3 END AS BIGINT) AS found_tier FROM q""",
-    "duplicate_groups": """WITH k AS (SELECT 'name_brand' AS kind, p_name || '|' || p_brand AS key, p_partkey FROM part UNION ALL SELECT 'name_type_size', p_name || '|' || p_type || '|' || p_size, p_partkey FROM part)
-SELECT kind, key, count(*) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS members FROM k GROUP BY kind, key HAVING count(*) > 1""",
+    "duplicate_groups": """WITH k AS (SELECT 'name_brand' AS kind, p_name || '|' || p_brand AS key, p_partkey AS member FROM part UNION ALL SELECT 'name_type_size', p_name || '|' || p_type || '|' || p_size, p_partkey FROM part)
+SELECT kind, key, count(*) OVER (PARTITION BY kind, key) AS n, member FROM k QUALIFY n > 1""",
+    "duplicate_flags": """SELECT p_partkey, concat_ws(',', CASE WHEN p_retailprice > 1500 THEN 'missing_price' END, CASE WHEN count(*) OVER (PARTITION BY p_name, p_brand) > 1 THEN 'duplicate_name_brand' END,
+  CASE WHEN count(*) OVER (PARTITION BY p_name, p_type, p_size) > 1 THEN 'duplicate_name_type_size' END) AS flags FROM part""",
     "union_of_sources": "SELECT id, count(*) AS n FROM (SELECT l_partkey AS id FROM lineitem UNION ALL SELECT p_partkey FROM part) GROUP BY id",
     "frontier_reach": """WITH RECURSIVE o AS (SELECT DISTINCT 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem),
 e AS (SELECT * FROM o UNION SELECT target, source FROM o UNION SELECT 'p0', 's1'),
@@ -252,5 +240,4 @@ r AS (SELECT 'p0' AS url, 0 AS depth UNION SELECT e.target, r.depth + 1 FROM r J
 SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY url""",
     "queue_marks": """SELECT CAST(o_orderkey AS VARCHAR) AS url, kind, CASE WHEN kind = 'listing' AND o_orderstatus = 'F' THEN 'done' ELSE 'pending' END AS status
 FROM orders, (VALUES ('listing'), ('product')) AS k(kind)""",
-    "incremental_ingest": "SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
 }

@@ -27,7 +27,8 @@ def latest_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def basket_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("basket"), F.col("l_partkey").alias("product")).agg(F.sum("l_quantity").alias("qty"))
+    # dealt by basket, which also serves what counts a basket's items
+    return table(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("basket"), F.col("l_partkey").alias("product")).agg(F.sum("l_quantity").alias("qty"))
 
 
 def cents(amount: str):

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from offerloom.functions import text as tx
+from offerloom.operators import frontier
 
 SEED = "merchant string, brand string, name string, merchant_reference string, manufacturer_reference string, variant string, price_eur string, availability string, source_url string"
 _OFFER_FIELDS = ("merchant", "source_url", "url", "name", "merchant_reference", "manufacturer_reference", "ean", "brand", "category", "variant", "packaging", "price_eur", "price", "availability", "image_url", "image", "captured_at")
@@ -17,14 +22,18 @@ def seed_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema=SEED, header=True, quote='"', escape='"').withColumn("price_eur", tx.parse_price("price_eur"))
 
 
+def seed_addresses(seed: DataFrame) -> DataFrame:
+    """The addresses of a seed list with the number of their rows, so that a page is fetched once for all of them."""
+    return seed.filter(tx.is_set("source_url")).groupBy("source_url").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def captures(spark: SparkSession, path: str) -> DataFrame:
     """Offers of capture files: an object with products, items or offers, or a list of offers; a file's header fills missing fields.
 
-    Files are found in subfolders as well. Broken files give no rows and stop nothing.
+    Files are found in subfolders as well, also compressed ones. Broken files give no rows and stop nothing.
     """
     raw = spark.read.schema(CAPTURE + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).json(path)
-    file = F.input_file_name()
-    raw = raw.withColumn("file", file)
+    raw = raw.withColumn("file", F.input_file_name())
     rows = F.coalesce("products", "items", "offers", F.array(F.struct(*_OFFER_FIELDS)))
     out = raw.select("file", F.col("merchant").alias("__m"), F.col("captured_at").alias("__c"), F.posexplode(rows).alias("position", "o"))
     return out.select("file", "position", *normalised_offer("o", F.col("__m"), F.col("__c"))).filter(tx.is_set("name"))
@@ -62,14 +71,22 @@ def url_list(spark: SparkSession, path: str, host: str | None = None) -> DataFra
     return rows.distinct()
 
 
-def sitemap(spark: SparkSession, path: str, host: str | None = None, least_priority: float = 0.0) -> DataFrame:
-    """loc and priority of sitemap files; a missing priority is 0.5."""
+def sitemap(spark: SparkSession, path: str, host: str | None = None, least_priority: float = 0.0, pages_only: bool = False) -> DataFrame:
+    """loc and priority of sitemap files; a missing priority is 0.5. ``pages_only`` keeps addresses that end in .html."""
     rows = spark.read.format("xml").option("rowTag", "url").schema("loc string, priority string, lastmod string").load(path)
     rows = rows.select(F.trim("loc").alias("loc"), F.coalesce(F.col("priority").try_cast("double"), F.lit(0.5)).alias("priority"), "lastmod")
-    rows = rows.filter(F.col("loc").isNotNull() & (F.col("priority") >= least_priority))
+    rows = rows.filter(F.col("loc").isNotNull() & (F.col("priority") >= least_priority) & (F.lower("loc").endswith(".html") | F.lit(not pages_only)))
     return rows.filter(F.try_parse_url("loc", F.lit("HOST")).isin(host, f"www.{host}")) if host else rows
 
 
+def sitemap_tree(files: DataFrame, root: str, most_depth: int = 5) -> DataFrame:
+    """Distinct page addresses of a sitemap index and of all sitemaps below it; ``files`` has url and body of the captured files."""
+    locs = lambda kind: F.regexp_extract_all("body", F.lit(rf"(?s)<{kind}>.*?<loc>\s*([^<]*?)\s*</loc>.*?</{kind}>"), F.lit(1))
+    links = files.select(F.col("url").alias("source"), F.explode(locs("sitemap")).alias("target"))
+    reached = frontier.reach(files.filter(F.col("url") == root).select("url"), links, most_depth)
+    return files.join(reached.select("url"), "url", "left_semi").select(F.explode(locs("url")).alias("url")).select(F.replace("url", F.lit("&amp;"), F.lit("&")).alias("url")).distinct()
+
+
 def html_pages(spark: SparkSession, path: str) -> DataFrame:
     """file and html of saved pages."""
     return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path, pathGlobFilter="*.html").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("html"))
@@ -80,14 +97,60 @@ def block_index(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split(F.trim("value"), r"\s+")
     get = lambda i: F.try_element_at(parts, F.lit(i))
     rows = spark.read.text(path).select(get(1).alias("surt"), get(2).alias("timestamp"), get(3).alias("cdx_file"), get(4).try_cast("long").alias("offset"), get(5).try_cast("long").alias("length"), get(6).try_cast("long").alias("block_id"))
-    return rows.filter("length is not null")
+    return rows.filter("length is not null and block_id is not null")
 
 
 def capture_index(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a capture index: key, timestamp and a JSON object."""
-    parts = F.split("value", " ", 3)
+    return index_lines(spark.read.text(path), "value")
+
+
+@F.pandas_udf(T.StringType())
+def _unzipped(blocks: pd.Series) -> pd.Series:
+    return blocks.map(lambda b: gzip.decompress(b).decode("utf-8", "replace"), na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def record_page(records: pd.Series) -> pd.Series:
+    """The pages in compressed archive records."""
+    return records.map(_page_of_record, na_action="ignore")
+
+
+def _page_of_record(record: bytes) -> str | None:
+    """The page in a compressed record: behind its own head and that of the answer, decoded as the answer or the page says."""
+    _, _, answer = gzip.decompress(record).partition(b"\r\n\r\n")
+    head, _, body = answer.partition(b"\r\n\r\n")
+    if b"content-encoding: gzip" in head.lower():
+        body = gzip.decompress(body)
+    told = re.search(rb"charset=[\"']?([\w-]+)", head, re.I) or re.search(rb"charset=[\"']?([\w-]+)", body[:4096], re.I)
+    try:
+        return body.decode(told.group(1).decode() if told else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
+def _ranges(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (file, offset, length, ...) with ``bytes``, those of the files under ``path``; a file is held by one task at a time."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    return files.join(wanted, "file").withColumn("bytes", F.expr("substring(content, offset + 1, length)")).drop("content")
+
+
+def block_lines(spark: SparkSession, path: str, blocks: DataFrame) -> DataFrame:
+    """file, offset, line: the lines of compressed blocks of index files, given by file, offset and length."""
+    rows = _ranges(spark, path, blocks).select("file", "offset", F.explode(F.split(_unzipped("bytes"), "\n")).alias("line"))
+    return rows.filter("line <> ''")
+
+
+def archived_pages(spark: SparkSession, path: str, captures: DataFrame) -> DataFrame:
+    """``captures`` (url, file, offset, length, ...) with the archived page of each as ``html``."""
+    return _ranges(spark, path, captures).withColumn("html", record_page("bytes")).drop("bytes")
+
+
+def index_lines(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Lines of a capture index as rows: key, timestamp, url, status, filename, offset, length; others are skipped."""
+    parts = F.split(line, " ", 3)
     schema = "url string, status string, filename string, offset string, length string, mime string"
-    rows = spark.read.text(path).filter(F.size(parts) == 3).select(parts[0].alias("urlkey"), parts[1].alias("timestamp"), F.from_json(parts[2], schema).alias("j"))
+    rows = lines.filter(F.size(parts) == 3).select(parts[0].alias("urlkey"), parts[1].alias("timestamp"), F.from_json(parts[2], schema).alias("j"))
     return rows.select("urlkey", "timestamp", "j.url", "j.status", "j.filename", F.col("j.offset").try_cast("long").alias("offset"), F.col("j.length").try_cast("long").alias("length")).filter("url is not null")
 
 

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
 
 
-def csv(df: DataFrame, path: str) -> None:
-    """With header; texts that hold quotes are quoted and doubled."""
-    df.write.mode("overwrite").option("escape", '"').csv(path, header=True)
+def csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """With header; texts that hold quotes are quoted and doubled. ``mark`` puts a byte-order mark at the start of each file."""
+    rows = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if mark else df
+    rows.write.mode("overwrite").option("escape", '"').csv(path, header=True)
 
 
 def json_and_csv(df: DataFrame, path: str) -> None:
+    """Both exports of a catalogue; the CSV with a byte-order mark, as spreadsheets want it."""
     json_lines(df, f"{path}/json")
-    csv(df, f"{path}/csv")
+    csv(df, f"{path}/csv", mark=True)
+
+
+def payload(df: DataFrame, path: str, counters: dict[str, Column]) -> None:
+    """A catalogue with a head of counters: ``head`` has one row, ``products`` the rows."""
+    json_lines(df.agg(F.count(F.lit(1)).alias("count"), *[c.alias(name) for name, c in counters.items()]), f"{path}/head")
+    json_lines(df, f"{path}/products")
 
 
 def url_list(df: DataFrame, column: str, path: str) -> None:
@@ -30,8 +38,10 @@ def run_partition(offers: DataFrame, runs: str, table: str, run_id: int) -> None
     counted.withColumn("finished_at", F.current_timestamp()).write.mode("append").parquet(runs)
 
 
-def script(df: DataFrame, name: str, path: str) -> None:
-    """A script that assigns the rows to a variable, one row per line, for a page of bounded size: the rows end up in one file."""
+def script(df: DataFrame, name: str, path: str, most: int = 100_000) -> None:
+    """A script that assigns the rows to a variable, one row per line, in one file for a page; more than ``most`` rows are refused."""
+    if (n := df.limit(most + 1).count()) > most:
+        raise ValueError(f"{n} rows or more are too many for a script; at most {most}")
     rows = df.select(F.lit(1).alias("part"), F.concat(F.to_json(F.struct(*df.columns)), F.lit(",")).alias("value"))
     head = df.sparkSession.createDataFrame([(0, f"window.{name}=["), (2, "];")], "part int, value string")
     head.unionByName(rows).coalesce(1).sortWithinPartitions("part").select("value").write.mode("overwrite").text(path)

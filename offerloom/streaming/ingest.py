@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 
-import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from offerloom.operators.merge import changes
 from offerloom.operators.ranking import last_wins
+from offerloom.plans.lineage import remove
+
+#: Parts of a keyed table; a batch writes only those that it touches.
+BUCKETS = 32
 
 
 def arriving(spark: SparkSession, path: str, schema, files_per_batch: int = 4, fmt: str = "parquet") -> DataFrame:
@@ -21,48 +25,91 @@ def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], N
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def append_lines(stream: DataFrame, path: str, checkpoint: str) -> None:
-    stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+class Blocked(Exception):
+    """A batch holds an answer that refuses access."""
 
 
-def keyed_master(spark: SparkSession, folder: str, key: str, seq: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that merges into a keyed table: the last row of a key wins, keys of earlier batches stay.
+def drain_until_blocked(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], blocked: str) -> bool:
+    """As ``drain``, but a batch with a row where ``blocked`` holds stops the run before it is worked off; whether that happened.
 
-    Version n + 1 is written beside version n, so a batch that is run again gives the same table.
+    That batch is not done: a later call begins with it.
     """
 
-    def each(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number:
-            rows = rows.unionByName(spark.read.parquet(f"{folder}/v{number - 1}"))
-        last_wins(rows, [key], [seq]).write.mode("overwrite").parquet(f"{folder}/v{number}")
+    def watched(batch: DataFrame, number: int) -> None:
+        if batch.filter(blocked).limit(1).count():
+            raise Blocked(f"batch {number}")
+        each(batch, number)
 
-    return each
+    try:
+        drain(stream, checkpoint, watched)
+    except StreamingQueryException as e:
+        if "Blocked" not in str(e):
+            raise
+        return True
+    return False
 
 
-def latest_version(spark: SparkSession, folder: str, number: int) -> DataFrame:
-    return spark.read.parquet(f"{folder}/v{number}")
+def append_lines(stream: DataFrame, path: str, checkpoint: str) -> None:
+    stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-_STATE = "price double, availability string, known boolean"
+class KeyedTable:
+    """A table with one row per key in a shared folder, in ``buckets`` parts by the key's hash.
 
+    Version n holds only the parts that batch n touched; ``versions/n`` says for every part in which version it is, one row each.
+    A batch that is run again writes the same version again. Parts that the last two versions don't name are deleted.
+    """
 
-def only_changes(stream: DataFrame, key: str = "product", price: str = "price", availability: str = "availability", time: str = "ts") -> DataFrame:
-    """Observations that differ from the last one of their key; equal ones are swallowed. The state is one row per key."""
-    schema = f"{key} string, {time} timestamp, {price} double, {availability} string"
+    def __init__(self, spark: SparkSession, folder: str, schema, key: str, buckets: int = BUCKETS):
+        self.spark, self.folder, self.key, self.buckets = spark, folder, key, buckets
+        self.schema = spark.createDataFrame([], schema).schema
+
+    def _versions(self, number: int) -> dict[int, int]:
+        if number < 0:
+            return {}
+        return {r["bucket"]: r["version"] for r in self.spark.read.schema("bucket int, version int").parquet(f"{self.folder}/versions/{number}").collect()}
+
+    def _parts(self, versions: dict[int, int], wanted: Sequence[int] | None = None) -> DataFrame:
+        paths = [f"{self.folder}/v{v}/bucket={b}" for b, v in sorted(versions.items()) if wanted is None or b in wanted]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def read(self, number: int) -> DataFrame:
+        """The table after batch ``number``."""
+        return self._parts(self._versions(number))
+
+    def merge(self, batch: DataFrame, number: int, fold: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Write version ``number``: ``fold`` of the touched parts and the batch."""
+        bucket = F.expr(f"cast(pmod(xxhash64(`{self.key}`), {self.buckets}) as int)")
+        before = self._versions(number - 1)
+        touched = sorted(r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect())
+        folded = fold(self._parts(before, touched), batch)
+        folded.withColumn("bucket", bucket).repartition(max(1, len(touched)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/v{number}")
+        after = before | dict.fromkeys(touched, number)
+        rows = [(b, v) for b, v in after.items()]
+        self.spark.createDataFrame(rows, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/versions/{number}")
+        if number > 1:
+            for b, v in self._versions(number - 2).items():
+                if before.get(b) != v:
+                    remove(self.spark, f"{self.folder}/v{v}/bucket={b}")
+
+
+def keyed_master(table: KeyedTable, seq: str) -> Callable[[DataFrame, int], None]:
+    """A batch function that merges into a keyed table: the last row of a key wins, keys of earlier batches stay."""
+    return lambda batch, number: table.merge(batch, number, lambda old, new: last_wins(old.unionByName(new), [table.key], [seq]))
+
+
+def change_log(table: KeyedTable, log: str, seq: str, watched: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """A batch function that writes the rows that differ from the last one of their key in a watched column, to a part of ``log`` per batch.
+
+    The keyed table remembers each key's last row. The log of a batch is written before the table, from the version before it, so a
+    batch that is run again gives the same rows.
+    """
 
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = tuple(state.get)[:2] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(time, kind="stable")
-        kept = []
-        for row in rows.itertuples(index=False):
-            p, a = getattr(row, price), getattr(row, availability)
-            now = (None if pd.isna(p) else float(p), None if pd.isna(a) else a)
-            if last is None or now != last:
-                kept.append((k[0], getattr(row, time), *now))
-                last = now
-        state.update((*last, True))
-        yield pd.DataFrame(kept, columns=[key, time, price, availability])
+    def each(batch: DataFrame, number: int) -> None:
+        last = table.read(number - 1).join(batch.select(table.key).distinct(), table.key, "left_semi")
+        rows = last.withColumn("__live", F.lit(False)).unionByName(batch.withColumn("__live", F.lit(True)))
+        changed = changes(rows, [table.key], ["__live", seq], watched).filter("__live").drop("__live")
+        changed.write.mode("overwrite").parquet(f"{log}/batch={number}")
+        keyed_master(table, seq)(batch, number)
 
-    rows = stream.select(F.col(key).cast("string").alias(key), time, price, availability)
-    return rows.groupBy(key).applyInPandasWithState(run, schema, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return each

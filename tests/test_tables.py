@@ -85,6 +85,80 @@ def test_grouping_equals_sequence(spark):
         assert got == dict(_sequential(offers))
 
 
+def _brute_groups(offers):
+    """Offer by offer: the group of the EAN joined last, else of the reference, else by shared words."""
+    groups, last = [], {}
+    for seq, merchant, name, ref, ean in offers:
+        fits = lambda g: merchant not in g["merchants"]
+        best = last.get(ean) if ean and fits(last.get(ean, {"merchants": {merchant}})) else None
+        if best is None and len(ref) >= 4:
+            best = next((g for g in groups if g["ref"] == ref and fits(g)), None)
+        if best is None:
+            mine, key = name.split(), (1, 0)
+            for g in sorted((g for g in groups if fits(g)), key=lambda g: min((mine.index(t) for t in mine if t in g["tokens"]), default=99)):
+                common = len(set(mine) & set(g["tokens"]))
+                score = (common, common / min(len(mine), len(g["tokens"])))
+                if common >= 2 and score > key:
+                    best, key = g, score
+        if best is None:
+            best = {"id": seq, "tokens": name.split(), "ref": ref, "ean": ean, "merchants": set()}
+            groups.append(best)
+        best["merchants"].add(merchant)
+        if best["ean"]:
+            last[best["ean"]] = best
+        yield seq, best["id"]
+
+
+def test_grouping_with_identifiers_equals_sequence(spark):
+    words = "gutta composite limes ciment silicone fraise turbine masque alginate resine".split()
+    for seed in range(4):
+        rng, offers = random.Random(seed), []
+        for m in range(4):
+            eans = rng.sample([f"1234567{i}" for i in range(8)], 6)  # each once in a merchant
+            refs = rng.sample([f"REF{i}" for i in range(8)], 6)
+            offers += [(m * 100 + i, f"m{m}", " ".join(rng.sample(words, 3)), refs[i] if rng.random() < 0.5 else "", eans[i] if rng.random() < 0.5 else "") for i in range(6)]
+        df = spark.createDataFrame([(s, m, n, "", r, e) for s, m, n, r, e in offers], "seq long, merchant string, name string, brand string, manufacturer_reference string, ean string")
+        got = {r.seq: r.group_id for r in matching.greedy_groups(df, ["m0", "m1", "m2", "m3"]).collect()}
+        assert got == dict(_brute_groups(offers))
+
+
+def test_strong_ids_are_normalised(spark):
+    offers = spark.createDataFrame([(1, " 4006-381 333931", "x"), (2, "", "4867-A2"), (3, None, "dup-1"), (4, "--", ".")], "offer_id long, ean string, manufacturer_reference string")
+    products = spark.createDataFrame([(9, "4006381333931", ""), (8, "4006381333931", None), (7, None, "4867A2"), (6, "", "DUP1"), (5, "", "dup 1"), (4, "-", "..")], "product_id long, ean string, manufacturer_reference string")
+    got = {r.offer_id: (r.product_id, r.why) for r in matching.strong_matches(offers, products).collect()}
+    assert got == {1: (8, "ean"), 2: (7, "manufacturer_reference")}
+
+
+def test_scored_best_equals_brute_force(spark):
+    """Identifiers, brands, packagings and variants in play; the newest of equals, and only of the shortlist."""
+    rng, words = random.Random(3), "gants latex limes gutta ciment fraise masque".split()
+    fields = "name string, ean string, manufacturer_reference string, brand string, variant string, packaging string"
+
+    def offer(i):
+        pick = lambda *xs: rng.choice(xs)
+        return (i, " ".join(rng.sample(words, 3)), pick("", "", "12345678", "87654321"), pick("", "", "R-100", "r100", "R200"), pick("", "Acme", "3M", "Solventum"), pick("", "A1", "A2"), pick("", "boite de 10", "boite de 20"))
+
+    offers, products = [offer(i) for i in range(40)], [offer(i) for i in range(60)]
+    got = {r.offer_id: (r.product_id, r.score, r.decision) for r in matching.scored_matches(spark.createDataFrame(offers, "offer_id long, " + fields), spark.createDataFrame(products, "product_id long, " + fields), newest=50).collect()}
+    alias = {"3m": "solventum"}
+    for i, name, ean, ref, brand, variant, pack in offers:
+        best = (-1, None)
+        for p, name2, ean2, ref2, brand2, variant2, pack2 in products[10:]:
+            r, r2 = (x.upper().replace("-", "") for x in (ref, ref2))
+            b, b2 = (alias.get(x.lower(), x.lower()) for x in (brand, brand2))
+            apart = bool(variant and variant2 and variant != variant2)
+            if ean and ean2:
+                score = float(ean == ean2)
+            elif r and r2:
+                score = (0.82 if b and b2 and b != b2 else 0.99) if r == r2 else 0.08
+            else:
+                known = 0.5 if not (b and b2) else float(b == b2)
+                score = min(1.0, max(0.0, 0.58 * token_set(name, name2) + 0.24 * known + 0.18 * (token_set(pack, pack2) if pack and pack2 else 0.5) - 0.28 * apart))
+            best = max(best, (round(score, 9), p))
+        decision = "auto_match" if best[0] >= matching.AUTO else "review" if best[0] >= matching.REVIEW else "no_match"
+        assert (round(got[i][1], 9), got[i][0], got[i][2]) == (*best, decision)
+
+
 def test_grouping_by_identifiers(spark):
     rows = [(1, "a", "gants latex", "X", "REF100", "12345678"), (2, "b", "autre chose", "X", "", "12345678"), (3, "b", "rien du tout", "Y", "REF-100", ""), (4, "c", "encore", "", "REF100", "")]
     df = spark.createDataFrame(rows, "seq long, merchant string, name string, brand string, manufacturer_reference string, ean string")
@@ -170,9 +244,10 @@ def test_change_stream(spark, tmp_path):
     rows = [("p", "2024-01-01 00:00:00", 1.0, "a"), ("p", "2024-01-02 00:00:00", 1.0, "a"), ("p", "2024-01-03 00:00:00", 2.0, "a"), ("q", "2024-01-01 00:00:00", None, None)]
     df = spark.createDataFrame(rows, "product string, ts string, price double, availability string").withColumn("ts", F.to_timestamp("ts"))
     df.write.parquet(str(tmp_path / "in"))
-    changes = ingest.only_changes(ingest.arriving(spark, str(tmp_path / "in"), df.schema))
-    seen = []
-    ingest.drain(changes, str(tmp_path / "done"), lambda batch, n: seen.extend(batch.collect()))
+    table = ingest.KeyedTable(spark, str(tmp_path / "table"), df.schema, "product", buckets=3)
+    each = ingest.change_log(table, str(tmp_path / "log"), "ts", ["price", "availability"])
+    ingest.drain(ingest.arriving(spark, str(tmp_path / "in"), df.schema), str(tmp_path / "done"), each)
+    seen = spark.read.parquet(str(tmp_path / "log")).collect()
     assert sorted((r.product, r.price) for r in seen if r.product == "p") == [("p", 1.0), ("p", 2.0)] and sum(r.product == "q" for r in seen) == 1
 
 
