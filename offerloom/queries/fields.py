@@ -141,7 +141,7 @@ ORACLES = {
     "fold_text": f"SELECT doc_id, md5({_fold('text')}) AS folded_md5 FROM documents",
     "url_canonical": """SELECT page_id, lower(regexp_replace(url, '/+$', '')) AS key,
   regexp_extract(url, '^[a-z]+://[^?#]*') || CASE WHEN regexp_matches(url, '[?&]p=') THEN '?p=' || regexp_extract(url, '[?&]p=([^&#]*)', 1) ELSE '' END AS page_url,
-  nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '(?i)-([0-9]{2,5}-[0-9]{2,5})\.html$', 1), '') AS reference FROM pages""",
+  nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '(?i)-([0-9]{2,5}-[0-9]{2,5})\\.html$', 1), '') AS reference FROM pages""",
     "link_extraction": """SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*href=["'']([^"''#]+)', 1)) AS href FROM pages""",
     "page_profile": """SELECT page_id, CAST(length(html) AS BIGINT) AS n_chars, CAST(len(regexp_extract_all(html, '<a\\s')) AS BIGINT) AS n_links, CAST(len(regexp_extract_all(html, '<script')) AS BIGINT) AS n_scripts,
   CAST(len(regexp_extract_all(html, '[0-9]+[,.][0-9]{2}\\s*(€|EUR)')) AS BIGINT) AS n_prices, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title,

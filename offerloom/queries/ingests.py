@@ -8,7 +8,9 @@ from offerloom.operators import upserts
 from offerloom.plans.lineage import cut
 from offerloom.queries.views import table
 
-_DAYS = [F.to_timestamp(F.lit(f"2024-01-0{n} 00:00:00")) for n in (1, 2)]
+
+def _days():
+    return [F.to_timestamp(F.lit(f"2024-01-0{n} 00:00:00")) for n in (1, 2)]
 
 
 def _batches(spark, d):
@@ -31,7 +33,7 @@ def _batches(spark, d):
 
 def _two_runs(spark, d, strict: bool = True):
     current, histories = spark.createDataFrame([], upserts.CURRENT), []
-    for batch, at in zip(_batches(spark, d), _DAYS):
+    for batch, at in zip(_batches(spark, d), _days()):
         done = upserts.daily_upsert(current, batch, at, "seed", strict)
         histories.append(done.history)
         current = cut(done.current, "current")
@@ -77,7 +79,7 @@ def _catalogue(spark, d):
     ref2 = F.when(kind == 1, F.concat(F.lit("qx-"), F.lpad(text("p_partkey"), 8, "0"))).when(kind == 2, F.concat(F.lit("ZZ"), text("p_partkey")))
     second = p.select(F.col("p_partkey").alias("seq"), F.when(kind == 3, "m1").otherwise("m2").alias("merchant"), F.when(kind == 3, F.concat(F.lit("A"), text("p_partkey"))).alias("merchant_reference"), F.concat(F.lit("b/"), text("p_partkey")).alias("url"), ref2.alias("manufacturer_reference"), ean.alias("ean"), F.concat(F.lit("zz"), F.md5(text("p_partkey"))).alias("name"), *same, *common)
     mp, products, offers = spark.createDataFrame([], upserts.MERCHANT_PRODUCT), spark.createDataFrame([], upserts.PRODUCT), None
-    for batch, at in zip((first, second), _DAYS):
+    for batch, at in zip((first, second), _days()):
         done = upserts.canonical_ingest(mp, products, batch, at)
         mp, products = cut(done.merchant_products, "merchant_products"), cut(done.products, "products")
         offers = done.offers if offers is None else offers.unionByName(done.offers)

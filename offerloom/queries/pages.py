@@ -30,8 +30,12 @@ def _text(c: str) -> Column:
     return F.col(c).cast("string")
 
 
-STOCK = F.when(F.col("l_returnflag") == "A", "En stock").when(F.col("l_returnflag") == "N", "SUR COMMANDE").otherwise("Arrêté")
-PRICE = F.when(F.col("l_returnflag") != "R", F.concat(F.lit("1 "), F.lpad(F.col("l_quantity").cast("int").cast("string"), 3, "0"), F.lit(",50&nbsp;€"))).otherwise("")
+def _stock() -> Column:
+    return F.when(F.col("l_returnflag") == "A", "En stock").when(F.col("l_returnflag") == "N", "SUR COMMANDE").otherwise("Arrêté")
+
+
+def _price() -> Column:
+    return F.when(F.col("l_returnflag") != "R", F.concat(F.lit("1 "), F.lpad(F.col("l_quantity").cast("int").cast("string"), 3, "0"), F.lit(",50&nbsp;€"))).otherwise("")
 
 
 def _order_pages(spark, d, line: Column, before: Column | None = None):
@@ -45,7 +49,7 @@ def _order_pages(spark, d, line: Column, before: Column | None = None):
 
 def _variant_line(named_last: bool = False) -> Column:
     name, shade = _tag("p", "Variante ", _text("l_partkey")), _tag("p", "TEINTE : A2")
-    return F.concat(_tag("div", "Réf. SHOP : ", F.concat(F.lit("L"), _text("l_linenumber"))), *((shade, name) if named_last else (name, shade)), _tag("p", "Réf. Fabricant : M", _text("l_partkey")), _tag("p", STOCK), _tag("p", PRICE))
+    return F.concat(_tag("div", "Réf. SHOP : ", F.concat(F.lit("L"), _text("l_linenumber"))), *((shade, name) if named_last else (name, shade)), _tag("p", "Réf. Fabricant : M", _text("l_partkey")), _tag("p", _stock()), _tag("p", _price()))
 
 
 def _with_text(rows, sign: str = " "):
@@ -89,7 +93,7 @@ def saved_page_offers(spark, d):
 
 def family_extract(spark, d):
     """Families of numeric references with an image for each. A price's thousands stay with the variant, as the rule for its end says."""
-    line = F.concat(F.lit('<img src="/img/logo.png"><img alt="photo 1000'), _text("l_linenumber"), F.lit('" src="/img/'), _text("l_orderkey"), F.lit("-"), _text("l_linenumber"), F.lit('.jpg">'), _tag("p", "Réf 1000", _text("l_linenumber"), " Taille ", _text("l_partkey"), " "), _tag("p", PRICE), _tag("p", "Réf fabriquant : M", _text("l_partkey")), _tag("p", STOCK))
+    line = F.concat(F.lit('<img src="/img/logo.png"><img alt="photo 1000'), _text("l_linenumber"), F.lit('" src="/img/'), _text("l_orderkey"), F.lit("-"), _text("l_linenumber"), F.lit('.jpg">'), _tag("p", "Réf 1000", _text("l_linenumber"), " Taille ", _text("l_partkey"), " "), _tag("p", _price()), _tag("p", "Réf fabriquant : M", _text("l_partkey")), _tag("p", _stock()))
     rows = _with_text(_order_pages(spark, d, line))
     found = extract.family_offers(rows, "text", "l_orderkey").join(rows.select("l_orderkey", "page", "url"), "l_orderkey")
     return found.select("l_orderkey", "merchant_reference", "manufacturer_reference", "variant", "price_eur", "availability", pages.image_of(F.col("page"), F.col("merchant_reference"), F.col("url")).alias("image_url"))
