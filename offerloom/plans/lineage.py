@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/offerloom"
+#: The paths that ``cut`` has written so far.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,21 +36,24 @@ def cut(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The result survives the loss of any executor and is computed once however often it is read. The files go when
-    the driver ends, or with ``free``. With ``by`` they are partitioned by that column.
+    the driver ends, or in ``cut_alone``. With ``by`` they are partitioned by that column.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/offerloom-{uuid.uuid4().hex}/{name}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     atexit.register(_remove, spark, path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free(*cuts: DataFrame) -> None:
-    """Delete the files of tables that nothing reads any more."""
-    for df in cuts:
-        for file in df.inputFiles()[:1]:
-            if (at := file.find("/offerloom-")) >= 0:
-                _remove(df.sparkSession, file[: file.index("/", at + 1)])
+def cut_alone(make: Callable[[], DataFrame], name: str = "step") -> DataFrame:
+    """``cut`` of what ``make`` returns; the tables that were written on the way there are deleted then."""
+    before = len(_made)
+    out = cut(make(), name)
+    for path in _made[before:-1]:
+        _remove(out.sparkSession, path)
+    del _made[before:-1]
+    return out
 
 
 def scratch(spark: SparkSession, name: str) -> str:

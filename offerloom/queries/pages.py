@@ -93,7 +93,7 @@ def saved_page_offers(spark, d):
 
 def family_extract(spark, d):
     """Families of numeric references with an image for each. A price's thousands stay with the variant, as the rule for its end says."""
-    line = F.concat(F.lit('<img src="/img/logo.png"><img alt="photo 1000'), _text("l_linenumber"), F.lit('" src="/img/'), _text("l_orderkey"), F.lit("-"), _text("l_linenumber"), F.lit('.jpg">'), _tag("p", "Réf 1000", _text("l_linenumber"), " Taille ", _text("l_partkey"), " "), _tag("p", _price()), _tag("p", "Réf fabriquant : M", _text("l_partkey")), _tag("p", _stock()))
+    line = F.concat(F.lit('<img src="/img/logo.png"><img alt="photo 1000'), _text("l_linenumber"), F.lit('" src="/img/'), F.translate(_text("l_orderkey"), "0123456789", "abcdefghij"), F.lit("-"), _text("l_linenumber"), F.lit('.jpg">'), _tag("p", "Réf 1000", _text("l_linenumber"), " Taille ", _text("l_partkey"), " "), _tag("p", _price()), _tag("p", "Réf fabriquant : M", _text("l_partkey")), _tag("p", _stock()))
     rows = _with_text(_order_pages(spark, d, line))
     found = extract.family_offers(rows, "text", "l_orderkey").join(rows.select("l_orderkey", "page", "url"), "l_orderkey")
     return found.select("l_orderkey", "merchant_reference", "manufacturer_reference", "variant", "price_eur", "availability", pages.image_of(F.col("page"), F.col("merchant_reference"), F.col("url")).alias("image_url"))
@@ -254,7 +254,7 @@ UNION ALL SELECT l_orderkey, 'L1', NULL, 'Commande ' || l_orderkey, first(price
     "saved_page_offers": _LINES + f""", k AS (SELECT {_NORMAL} AS availability, price FROM l {_LAST.format('l_linenumber, l_partkey')})
 SELECT availability, count(*) AS n, count(price) AS n_priced, round(sum(price), 2) AS total FROM k GROUP BY availability""",
     "family_extract": _LINES + f"""SELECT l_orderkey, '1000' || l_linenumber AS merchant_reference, 'M' || l_partkey AS manufacturer_reference, 'Taille ' || l_partkey || CASE WHEN price IS NULL THEN '' ELSE ' 1' END AS variant, price AS price_eur, stock AS availability,
-  '{SITE}/img/' || l_orderkey || '-' || l_linenumber || '.jpg' AS image_url FROM l """ + _FIRST.format("l_linenumber"),
+  '{SITE}/img/' || translate(CAST(l_orderkey AS VARCHAR), '0123456789', 'abcdefghij') || '-' || l_linenumber || '.jpg' AS image_url FROM l """ + _FIRST.format("l_linenumber"),
     "block_offers_extract": _LINES + f""", b AS (SELECT l_orderkey, 'AB' || l_linenumber AS merchant_reference, 1000.5 + CAST(l_quantity AS INTEGER) AS price FROM (SELECT * FROM l WHERE l_quantity > 10) {_FIRST.format('l_linenumber')}),
 a AS (SELECT * FROM b UNION ALL SELECT DISTINCT l_orderkey, 'S' || l_orderkey, NULL FROM l WHERE l_orderkey NOT IN (SELECT l_orderkey FROM b))
 SELECT l_orderkey, merchant_reference, 'Commande ' || l_orderkey AS name, price, 'Soins' AS category, '{SITE}/i/' || l_orderkey || '.png' AS image_url FROM a""",
