@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from offerloom.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
-from offerloom.plans.lineage import cut
+from offerloom.plans.lineage import cut_alone
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,5 +46,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        docs = cut_alone(lambda: stage(spark, docs, sf_dir), name)  # noqa: B023  called at once
     return STAGES[-1][1](spark, docs, sf_dir)
