@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from offerloom.functions.text import completeness
+from offerloom.plans.lineage import cut
 
 
 def turn(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> Column:
@@ -67,10 +68,11 @@ def key_range(df: DataFrame, key: str, low: str, high: str, most: int | None = N
 def numbered(df: DataFrame, order: Sequence[str], column: str, parts: int = 64) -> DataFrame:
     """The rows with their numbers 1, 2, ... in the given order.
 
-    Rows are numbered inside ranges of the order; the ranges' sizes, a row each, give what to add. No task sees all rows.
+    Rows are numbered inside ranges of the order; the ranges' sizes, a row each, give what to add. No task sees all rows. The
+    numbered rows are written once, as ranges are sampled anew each time they are made.
     """
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    inside = ranged.withColumn("__at", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
+    inside = cut(ranged.withColumn("__at", F.row_number().over(W.partitionBy("__part").orderBy(*order))), "numbered")
     sizes = inside.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select(F.col("__part").alias("__p"), (F.sum("n").over(W.orderBy("__part")) - F.col("n")).alias("__before"))
     out = inside.join(F.broadcast(before), F.col("__part") == F.col("__p"))  # a row per range, ``parts`` at most

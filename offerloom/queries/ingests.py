@@ -74,7 +74,7 @@ def _catalogue(spark, d):
     same = [F.lit(None).cast("string").alias(c) for c in ("brand", "category", "variant", "packaging", "image_url")]
     kind = F.col("p_partkey") % 4
     common = [F.lit("in_stock").alias("availability"), F.col("p_retailprice").alias("price"), F.lit("EUR").alias("currency")]
-    ean, ref = F.when(kind == 0, F.lpad(text("p_partkey"), 13, "3")), F.when(kind == 1, F.concat(F.lit("QX"), F.lpad(text("p_partkey"), 8, "0")))
+    ean, ref = F.when(kind == 0, F.lpad(text("p_partkey"), 13, "0")), F.when(kind == 1, F.concat(F.lit("QX"), F.lpad(text("p_partkey"), 8, "0")))
     first = p.select(F.col("p_partkey").alias("seq"), F.lit("m1").alias("merchant"), F.concat(F.lit("A"), text("p_partkey")).alias("merchant_reference"), F.concat(F.lit("a/"), text("p_partkey")).alias("url"), ref.alias("manufacturer_reference"), ean.alias("ean"), F.concat(F.lit("x"), F.sha1(text("p_partkey"))).alias("name"), *same, *common)
     ref2 = F.when(kind == 1, F.concat(F.lit("qx-"), F.lpad(text("p_partkey"), 8, "0"))).when(kind == 2, F.concat(F.lit("ZZ"), text("p_partkey")))
     second = p.select(F.col("p_partkey").alias("seq"), F.when(kind == 3, "m1").otherwise("m2").alias("merchant"), F.when(kind == 3, F.concat(F.lit("A"), text("p_partkey"))).alias("merchant_reference"), F.concat(F.lit("b/"), text("p_partkey")).alias("url"), ref2.alias("manufacturer_reference"), ean.alias("ean"), F.concat(F.lit("zz"), F.md5(text("p_partkey"))).alias("name"), *same, *common)
@@ -121,7 +121,7 @@ WHERE turn = 1 OR price IS DISTINCT FROM p OR stock IS DISTINCT FROM a GROUP BY
   price AS price_eur, stock AS availability, {_STAMP.format('last_day')} AS last_seen_at FROM l JOIN i USING (l_suppkey, l_partkey)""",
     "page_refresh": """SELECT 'u/' || p_partkey % 7 AS source_url, 'R' || p_partkey AS merchant_reference, CASE WHEN p_size > 30 THEN 'new' ELSE 'old' END AS manufacturer_reference, CASE WHEN p_size > 10 THEN p_retailprice ELSE 1.0 END AS price_eur,
   CASE WHEN p_size > 10 THEN 'En stock' ELSE '?' END AS availability, p_name, CASE WHEN p_size > 10 THEN 'refreshed' ELSE 'missing' END AS state FROM part""",
-    "canonical_ingest_products": """WITH b AS (SELECT p_partkey AS k, p_partkey % 4 AS kind, CASE WHEN p_partkey % 4 = 0 THEN lpad(CAST(p_partkey AS VARCHAR), 13, '3') END AS ean, 'x' || sha1(CAST(p_partkey AS VARCHAR)) AS n1, 'zz' || md5(CAST(p_partkey AS VARCHAR)) AS n2 FROM part)
+    "canonical_ingest_products": """WITH b AS (SELECT p_partkey AS k, p_partkey % 4 AS kind, CASE WHEN p_partkey % 4 = 0 THEN lpad(CAST(p_partkey AS VARCHAR), 13, '0') END AS ean, 'x' || sha1(CAST(p_partkey AS VARCHAR)) AS n1, 'zz' || md5(CAST(p_partkey AS VARCHAR)) AS n2 FROM part)
 SELECT 'm1' AS merchant, 'A' || k AS merchant_reference, 'a/' || k AS url, CASE WHEN kind = 3 THEN n2 ELSE n1 END AS name, CASE WHEN kind = 1 THEN 'QX' || lpad(CAST(k AS VARCHAR), 8, '0') END AS manufacturer_reference, ean, 'a/' || k AS made_by,
   CASE WHEN kind = 3 THEN TIMESTAMP '2024-01-02' ELSE TIMESTAMP '2024-01-01' END AS last_seen_at FROM b
 UNION ALL SELECT 'm2', NULL, 'b/' || k, n2, CASE kind WHEN 1 THEN 'QX' || lpad(CAST(k AS VARCHAR), 8, '0') WHEN 2 THEN 'ZZ' || k END, ean, CASE WHEN kind = 2 THEN 'b/' ELSE 'a/' END || k, TIMESTAMP '2024-01-02' FROM b WHERE kind <> 3""",
