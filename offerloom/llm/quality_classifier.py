@@ -59,12 +59,15 @@ def _words(text: str | None) -> np.ndarray:
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many of a task's documents hold each word and shape term, and how many there are (as term -1)."""
-    n, total = np.zeros(WORD_TERMS + SHAPE_TERMS, np.int64), 0
+    n, total, here = np.zeros(WORD_TERMS + SHAPE_TERMS, np.int64), 0, np.zeros(WORD_TERMS + SHAPE_TERMS, bool)
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            both = np.unique(_words(text))
-            n[np.unique(both // SHAPE_TERMS)] += 1
-            n[WORD_TERMS + np.unique(both % SHAPE_TERMS)] += 1
+            words = set((text or "").encode("utf-8", "surrogatepass").split())
+            both = np.fromiter(map(_terms.__getitem__, words), np.int64, len(words))
+            here[:] = False
+            here[both // SHAPE_TERMS] = True
+            here[WORD_TERMS + both % SHAPE_TERMS] = True
+            n += here
             total += 1
     _terms.clear()
     terms = np.flatnonzero(n)
