@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from offerloom.llm import exact_dedup, language_id, license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, token_counts, toxicity
+from offerloom.llm import exact_dedup, fill_middle, language_id, license_scan, mixing, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, token_counts, toxicity, transducer
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_mixing": mixing.op10_mixing,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_bpe_transducer": transducer.op12_bpe_transducer,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
-ORACLES = license_scan.ORACLES | near_dedup.ORACLES | exact_dedup.ORACLES | mixing.ORACLES
+ORACLES = license_scan.ORACLES | near_dedup.ORACLES | exact_dedup.ORACLES | mixing.ORACLES | fill_middle.ORACLES

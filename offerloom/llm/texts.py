@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,14 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 8 << 20) -> Iterator[list[list]]:
+    """The columns of ``batches`` as Python lists, some rows at a time: ``rows`` at most, fewer where rows are large."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            yield [column.slice(at, step).to_pylist() for column in batch.columns]
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words seen last."""
 
