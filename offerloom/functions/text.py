@@ -312,6 +312,14 @@ def host(url: Column | str) -> Column:
     return F.lower(F.regexp_extract(col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def surt(url: Column | str) -> Column:
+    """The key under which crawls sort an address: the host's parts from the last on, without www, then path and query, in small letters."""
+    u = col(url)
+    parts = F.split(F.regexp_replace(F.lower(F.regexp_extract(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1)), r"^www\d*\.", ""), r"\.")
+    tail = F.lower(F.regexp_replace(F.regexp_extract(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)", 1), "^(?!/)", "/"))
+    return F.concat(F.array_join(F.reverse(parts), ","), F.lit(")"), tail)
+
+
 def title_from_slug(url: Column | str, default: str = "") -> Column:
     """The last part of the path as a title: no extension, no reference at the end, words with a capital, the rest as it is."""
     path = _path(col(url))

@@ -105,18 +105,13 @@ def capture_index(spark: SparkSession, path: str) -> DataFrame:
     return index_lines(spark.read.text(path), "value")
 
 
-@F.pandas_udf(T.StringType())
-def _unzipped(blocks: pd.Series) -> pd.Series:
-    return blocks.map(lambda b: gzip.decompress(b).decode("utf-8", "replace"), na_action="ignore")
-
-
 @F.pandas_udf(T.StringType())
 def record_page(records: pd.Series) -> pd.Series:
     """The pages in compressed archive records."""
-    return records.map(_page_of_record, na_action="ignore")
+    return records.map(page_of_record, na_action="ignore")
 
 
-def _page_of_record(record: bytes) -> str | None:
+def page_of_record(record: bytes) -> str | None:
     """The page in a compressed record: behind its own head and that of the answer, decoded as the answer or the page says."""
     _, _, answer = gzip.decompress(record).partition(b"\r\n\r\n")
     head, _, body = answer.partition(b"\r\n\r\n")
@@ -129,23 +124,6 @@ def _page_of_record(record: bytes) -> str | None:
         return body.decode("utf-8", "replace")
 
 
-def _ranges(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (file, offset, length, ...) with ``bytes``, those of the files under ``path``; a file is held by one task at a time."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return files.join(wanted, "file").withColumn("bytes", F.expr("substring(content, offset + 1, length)")).drop("content")
-
-
-def block_lines(spark: SparkSession, path: str, blocks: DataFrame) -> DataFrame:
-    """file, offset, line: the lines of compressed blocks of index files, given by file, offset and length."""
-    rows = _ranges(spark, path, blocks).select("file", "offset", F.explode(F.split(_unzipped("bytes"), "\n")).alias("line"))
-    return rows.filter("line <> ''")
-
-
-def archived_pages(spark: SparkSession, path: str, captures: DataFrame) -> DataFrame:
-    """``captures`` (url, file, offset, length, ...) with the archived page of each as ``html``."""
-    return _ranges(spark, path, captures).withColumn("html", record_page("bytes")).drop("bytes")
-
-
 def index_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Lines of a capture index as rows: key, timestamp, url, status, filename, offset, length; others are skipped."""
     parts = F.split(line, " ", 3)
