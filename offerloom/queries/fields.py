@@ -81,7 +81,20 @@ def strong_id_match(spark, d):
 
 def scored_match(spark, d):
     """The best product of each offer by identifiers, else by names, brands and packagings."""
-    return matching.scored_matches(*_offers_and_products(spark, d)).withColumn("score", F.round("score", 6))
+    return matching.scored_matches(*_offers_and_products(spark, d)).withColumn("score", F.round("score", 6)).drop("n_scored")
+
+
+def best_match_full(spark, d):
+    """The best product of each offer where one is found for sure: by EAN, by reference, or by all words and the brand; else null."""
+    rows = _named_offers(spark, d).drop("ean", "manufacturer_reference").join(table(spark, d, "part").select(F.col("p_partkey").alias("offer_id"), "p_size"), "offer_id")
+    of = F.floor(F.col("offer_id") / 3)
+    rows = rows.withColumns({"brand": F.concat(F.lit("Brand#"), of % 25), "variant": F.lit(""), "packaging": F.lit(""), "ean": F.when(F.col("p_size") < 8, F.lpad((F.col("offer_id") % 500).cast("string"), 13, "3"))})
+    rows = rows.withColumn("manufacturer_reference", F.when(F.col("p_size").between(6, 15), F.concat(F.lit("mr-"), F.col("offer_id") % 700)))
+    short = F.when(F.col("offer_id") % 2 == 0, F.regexp_replace("name", " [a-z]+$", "")).otherwise(F.col("name"))
+    products, offers = rows.filter("offer_id % 3 = 0").withColumnRenamed("offer_id", "product_id"), rows.filter("offer_id % 3 <> 0").withColumn("name", short)
+    found = matching.scored_matches(offers, products)
+    sure = F.col("score") > 0.9
+    return found.select("offer_id", F.when(sure, F.col("product_id")).alias("product_id"), F.when(sure, F.round("score", 6)).alias("score"), F.when(sure, F.col("decision")).alias("decision"))
 
 
 def match_routes(spark, d):
@@ -116,7 +129,7 @@ def props_parse(spark, d):
 QUERIES = {f.__name__: f for f in (
     normalize_reference, price_parse, fold_text, url_canonical,
     link_extraction, page_profile, category_classifier, base_category_classifier, qc_flags, completeness_score, strong_id_match,
-    scored_match, match_routes, token_overlap_pairs, greedy_grouping, props_parse,
+    scored_match, best_match_full, match_routes, token_overlap_pairs, greedy_grouping, props_parse,
 )}
 
 
@@ -136,6 +149,22 @@ _CATEGORY = _first(classify.CATEGORY_RULES, lambda words: " OR ".join(f"contains
 _BASE = _first(classify.BASE_RULES, lambda pattern: f"regexp_matches(hay, '{pattern}')") + f" ELSE '{classify.BASE_DEFAULT}' END"
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 ORACLES = {
+    "best_match_full": """
+WITH r AS (
+  SELECT p_partkey AS id, 'Brand#' || (p_partkey // 3 % 25) AS brand, CASE WHEN p_size < 8 THEN lpad(CAST(p_partkey % 500 AS VARCHAR), 13, '3') END AS ean,
+         CASE WHEN p_size BETWEEN 6 AND 15 THEN 'MR' || p_partkey % 700 END AS ref,
+         ['n' || p_partkey // 3, 'kk' || (p_partkey // 3 % 97), 'zz' || (p_partkey // 3 % 89)] || CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 2 = 0 THEN [] ELSE [lower(p_type)] END AS words
+  FROM part),
+p AS (SELECT * FROM r WHERE id % 3 = 0 ORDER BY id DESC LIMIT 3000),
+s AS (
+  SELECT o.id AS offer_id, p.id AS product_id,
+         CASE WHEN o.ean IS NOT NULL AND p.ean IS NOT NULL THEN CASE WHEN o.ean = p.ean THEN 1.0 ELSE 0.0 END
+              WHEN o.ref IS NOT NULL AND p.ref IS NOT NULL THEN CASE WHEN o.ref <> p.ref THEN 0.08 WHEN o.brand = p.brand THEN 0.99 ELSE 0.82 END
+              WHEN o.brand = p.brand AND (list_has_all(p.words, o.words) OR list_has_all(o.words, p.words)) THEN 0.91 ELSE 0.0 END AS score
+  FROM r o, p WHERE o.id % 3 <> 0),
+b AS (SELECT offer_id, max_by(product_id, score * 1000000000 + product_id) AS product_id, max(score) AS score FROM s GROUP BY offer_id)
+SELECT offer_id, CASE WHEN score > 0.9 THEN product_id END AS product_id, CASE WHEN score > 0.9 THEN CAST(score AS DOUBLE) END AS score,
+       CASE WHEN score >= 0.93 THEN 'auto_match' WHEN score > 0.9 THEN 'review' END AS decision FROM b""",
     "normalize_reference": "SELECT p_partkey, regexp_replace(upper(p_name || ' - ' || p_brand), '[^A-Z0-9]', '', 'g') AS reference FROM part",
     "price_parse": "SELECT o_orderkey, o_totalprice AS price, CASE WHEN o_totalprice > 0 THEN round(o_totalprice, 2) END AS valid FROM orders",
     "fold_text": f"SELECT doc_id, md5({_fold('text')}) AS folded_md5 FROM documents",

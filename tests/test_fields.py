@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerloom.functions import text as tx
-from offerloom.functions.similarity import token_set, token_set_ratio
+from offerloom.functions.similarity import token_set
 from offerloom.operators import classify, extract, matching
 
 
@@ -72,12 +72,9 @@ def test_similarity():
 
 
 def _pair(spark, a, b):
-    fields = ("ean", "manufacturer_reference", "brand", "name", "variant", "packaging")
-    schema = ", ".join(f"{f} string" for f in fields)
-    sides = [spark.createDataFrame([tuple(x.get(f) for f in fields)], schema).select(matching.features().alias(n)) for n, x in (("a", a), ("b", b))]
-    row = sides[0].crossJoin(sides[1])
-    found = matching.pair_score("a", "b", token_set_ratio("a.name", "b.name"), token_set_ratio("a.pack", "b.pack"))
-    return row.select(found["score"].alias("score")).select("score", matching.decision(F.col("score")).alias("decision")).first()
+    fields = ("name", "ean", "manufacturer_reference", "brand", "variant", "packaging")
+    offers, products = (spark.createDataFrame([(1, *map(x.get, fields))], ", ".join([f"{key} long", *(f"{f} string" for f in fields)])) for key, x in (("offer_id", a), ("product_id", b)))
+    return matching.scored_matches(offers, products).first()
 
 
 def test_scores(spark):

@@ -5,7 +5,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from hypothesis import given, strategies as st
+
 from offerloom.functions.similarity import token_set
+from offerloom.operators.shortlist import Names
 from offerloom.operators import classify, dedup, frontier, matching, merge, publish, ranking
 from offerloom.sources import readers, writers
 from offerloom.streaming import ingest
@@ -159,6 +162,32 @@ def test_scored_best_equals_brute_force(spark):
         assert (round(got[i][1], 9), got[i][0], got[i][2]) == (*best, decision)
 
 
+def test_scored_best_needs_few_similarities(spark):
+    """Bounds leave less than one name in twenty of the whole shortlist to be compared, and the best stays the best of all."""
+    rng = random.Random(9)
+    syllables = "ba co di fu ga le mi no pa ro sa te vu xi zo".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
+    known = [word() for _ in range(400)]
+    products = [(i, " ".join(rng.sample(known, rng.randint(2, 6))), rng.choice(["", "Acme", "Bolo", "Kavo"])) for i in range(3000)]
+    offers = [(i, rng.choice(products)[1] if i % 2 else " ".join(rng.sample(known, 4)), rng.choice(["", "Acme", "Kavo"])) for i in range(60)]
+    offers = [(i, n.replace("o", "a", 1) if i % 3 == 0 else n, b) for i, n, b in offers]
+    fields = "name string, brand string, ean string, manufacturer_reference string, variant string, packaging string"
+    side = lambda rows, key: spark.createDataFrame([(*r, "", None, "", None) for r in rows], f"{key} long, {fields}")
+    rows = matching.scored_matches(side(offers, "offer_id"), side(products, "product_id")).collect()
+    assert sum(r.n_scored for r in rows) < 0.05 * len(offers) * len(products)
+    got = {r.offer_id: (round(r.score, 9), r.product_id) for r in rows}
+    for i, name, brand in offers:
+        scores = ((round(0.58 * token_set(name, n) + 0.24 * (0.5 if not (brand and b) else float(brand == b)) + 0.09, 9), p) for p, n, b in products)
+        assert got[i] == max(scores), i
+    assert matching.scored_matches(side(offers, "offer_id"), side([], "product_id")).count() == 0
+
+
+@given(st.lists(st.sampled_from("ab ba abc cab a b été".split()), max_size=5), st.lists(st.sampled_from("ab ba abc cab a b c".split()), max_size=5))
+def test_bounds_are_bounds(a, b):
+    a, b = " ".join(a), " ".join(b)
+    assert Names([b, ""]).most(a)[0] >= token_set(a, b) - 1e-12
+
+
 def test_grouping_by_identifiers(spark):
     rows = [(1, "a", "gants latex", "X", "REF100", "12345678"), (2, "b", "autre chose", "X", "", "12345678"), (3, "b", "rien du tout", "Y", "REF-100", ""), (4, "c", "encore", "", "REF100", "")]
     df = spark.createDataFrame(rows, "seq long, merchant string, name string, brand string, manufacturer_reference string, ean string")
