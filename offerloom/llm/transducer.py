@@ -25,7 +25,7 @@ from offerloom.llm.texts import release, slices, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bounds of a worker's tables; they are emptied beyond them, which costs time and changes no result.
-STATES_KEPT, JOINS_KEPT, PIECES_KEPT, PENDING_KEPT = 200_000, 200_000, 250_000, 1_000
+STATES_KEPT, JOINS_KEPT, PIECES_KEPT, PENDING_KEPT = 150_000, 150_000, 120_000, 1_000
 #: Longest piece, in characters, whose tokens are kept.
 PIECE_KEPT = 40
 #: Code points of Latin, Greek and Cyrillic with their marks and signs, all assigned long ago.
@@ -75,13 +75,12 @@ class Transducer:
             raise ValueError(f"a byte-level vocabulary has all bytes; missing: {missing[:5]}")
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        #: Beginnings of tokens, with the rank of those that are tokens.
-        self.begins = dict.fromkeys((token[:k] for token in ranks for k in range(1, len(token))), NO_TOKEN) | ranks
-        #: The lowest rank of the tokens with a beginning.
-        self.lowest: dict[bytes, int] = {}
+        #: Beginnings of tokens, with the lowest rank of the tokens that begin so.
+        self.lowest: dict[bytes, int] = {token: rank for token, rank in ranks.items()}
         for token, rank in ranks.items():
-            for k in range(1, len(token) + 1):
-                self.lowest[token[:k]] = min(rank, self.lowest.get(token[:k], NEVER))
+            for k in range(1, len(token)):
+                begun = token[:k]
+                self.lowest[begun] = min(rank, self.lowest.get(begun, NEVER))
         self.ends: dict[int, list[tuple[bytes, int]]] = {}
         #: Token to the two that it is merged from; a byte is merged from none.
         self.halves: dict[int, tuple[int, int]] = {ranks[one]: (NO_TOKEN, NO_TOKEN) for one in _ONE}
@@ -154,17 +153,16 @@ class Transducer:
 
     def move(self, paths: tuple, byte: int) -> tuple[State, tuple[int, ...]]:
         """The state after a byte and the tokens put out."""
-        one, begins, joins, ended, after = _ONE[byte], self.begins, self.joins, None, []
+        one, ranks, lowest, joins, ended, after = _ONE[byte], self.ranks, self.lowest, self.joins, None, []
         for path in paths:
             last, begun, held = path
             begun += one
-            rank = begins.get(begun)
-            if rank is None:
+            if begun not in lowest:
                 continue
             if last is not None and len(begun) <= 3 and self._free(last, begun):
                 last = None
             after.append((last, begun, held))
-            if ended is None and rank != NO_TOKEN:  # no other path ends a token here
+            if ended is None and (rank := ranks.get(begun)) is not None:  # no other path ends a token here
                 stays = last is None or joins.get(last << 32 | rank)
                 if stays is None:
                     if len(joins) >= JOINS_KEPT:
@@ -367,14 +365,17 @@ def decoder(path: str | None = None) -> Decoder:
     return Decoder({rank: token for token, rank in read_ranks(ranks_path(path)).items()})
 
 
-def _encode(path: str | None, pattern: str | None):
+def _encode(path: str | None, pattern: str | None, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path, pattern)
+        own, back = coder(path, pattern), decoder(path)
         for doc_id, text in slices(batches):
             found = [own.ids(t) for t in text]
             offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))
-            yield pa.record_batch([pa.array(doc_id, pa.int64()), lists], ["doc_id", "ids"])
+            columns = {"doc_id": pa.array(doc_id, pa.int64()), "ids": lists}
+            if decoded:
+                columns["decoded"] = pa.array(["".join(back.stream(f.tolist())) for f in found], pa.string())
+            yield pa.record_batch(columns)
         release()
 
     return run
@@ -391,8 +392,8 @@ def _decode(path: str | None):
     return run
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """One row per document: doc_id, ids (array of int).
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, decoded: bool = False) -> DataFrame:
+    """One row per document: doc_id, ids (array of int); with ``decoded`` also the text that the ids decode to.
 
     ``path`` is a file of ranks, ``pattern`` what is encoded separately; the defaults are the public ones. Null and empty
     texts have no ids. Repeated rows and rows without id are encoded like any other; other columns are not read; no row
@@ -400,7 +401,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     do not merge into, raises an error once a text needs it.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(_encode(path, pattern), "doc_id long, ids array<int>")
+    return rows.mapInArrow(_encode(path, pattern, decoded), "doc_id long, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -409,6 +410,6 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op12_bpe_transducer(spark, sf_dir: str) -> DataFrame:
-    both = decode(encode(table(spark, sf_dir)))
+    both = encode(table(spark, sf_dir), decoded=True)
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
