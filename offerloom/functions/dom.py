@@ -4,8 +4,12 @@
 
 * ``pieces``: the stripped texts outside scripts and styles, in order;
 * ``elements``: tag, at (number in document order), until (the number behind the last one inside), parent, first and stop (the
-  pieces inside are those from ``first`` up to ``stop``), attrs;
-* ``scripts``: the bodies of structured-data scripts.
+  pieces inside are those from ``first`` up to ``stop``), attrs, cards (the numbers of the cards around it, outermost first);
+* ``scripts``: the bodies of structured-data scripts;
+* ``euros``: for each piece how many before it hold a euro sign, and at the end how many do in all.
+
+A card is an element of one of the classes that listings use for a product. The parser's stack of open elements tells which cards
+are around an element, so nothing is searched for later.
 
 Everything has the size of the page: an element doesn't repeat its texts.
 """
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -22,14 +27,20 @@ _SILENT = {"script", "style", "noscript", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements that end where the next of their kind begins.
 _ROWS = ({"li"}, {"p"}, {"td", "th"}, {"tr"}, {"dt", "dd"}, {"option"})
-_ELEMENT = T.StructType([T.StructField("tag", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("at", "until", "parent", "first", "stop")), T.StructField("attrs", T.MapType(T.StringType(), T.StringType()))])
-PAGE = T.StructType([T.StructField("pieces", T.ArrayType(T.StringType())), T.StructField("elements", T.ArrayType(_ELEMENT)), T.StructField("scripts", T.ArrayType(T.StringType()))])
+_INTEGERS = T.ArrayType(T.IntegerType())
+_TEXTS = T.ArrayType(T.StringType())
+_ELEMENT = T.StructType([T.StructField("tag", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("at", "until", "parent", "first", "stop")), T.StructField("attrs", T.MapType(T.StringType(), T.StringType())), T.StructField("cards", _INTEGERS)])
+PAGE = T.StructType([T.StructField("pieces", _TEXTS), T.StructField("elements", T.ArrayType(_ELEMENT)), T.StructField("scripts", _TEXTS), T.StructField("euros", _INTEGERS)])
+TEXTS = T.StructType([T.StructField("pieces", _TEXTS), T.StructField("heading", T.StringType())])
+#: Classes of a listing's cards.
+CARD_CLASSES = ("product-item", "product-item-info", "item")
 
 
 class _Builder(HTMLParser):
-    def __init__(self):
+    def __init__(self, card_classes: frozenset[str] = frozenset()):
         super().__init__(convert_charrefs=True)
-        self.pieces, self.elements, self.scripts, self.open, self.silent = [], [], [], [], None
+        self.card_classes = card_classes
+        self.pieces, self.elements, self.scripts, self.open, self.silent, self.cards = [], [], [], [], None, []
 
     def handle_starttag(self, tag, attrs):
         for kind in _ROWS:
@@ -37,10 +48,12 @@ class _Builder(HTMLParser):
                 self._close(1)
         known = {k: v or "" for k, v in reversed(attrs)}
         at, here = len(self.elements), len(self.pieces)
-        self.elements.append({"tag": tag, "at": at, "until": at + 1, "parent": self.open[-1] if self.open else -1, "first": here, "stop": here, "attrs": known})
+        self.elements.append({"tag": tag, "at": at, "until": at + 1, "parent": self.open[-1] if self.open else -1, "first": here, "stop": here, "attrs": known, "cards": self.cards[:]})
         if tag in _VOID:
             return
         self.open.append(at)
+        if not self.card_classes.isdisjoint(known.get("class", "").split()):
+            self.cards.append(at)
         if tag in _SILENT and self.silent is None:
             self.silent = at
             if tag == "script" and "ld+json" in known.get("type", "").lower():
@@ -52,6 +65,8 @@ class _Builder(HTMLParser):
             e["until"], e["stop"] = len(self.elements), len(self.pieces)
             if e["at"] == self.silent:
                 self.silent = None
+            if self.cards and e["at"] == self.cards[-1]:
+                self.cards.pop()
 
     def handle_endtag(self, tag):
         for n, at in enumerate(reversed(self.open), 1):
@@ -70,17 +85,39 @@ class _Builder(HTMLParser):
         self._close(len(self.open))
 
 
-def _parse(html: str | None) -> dict:
-    builder = _Builder()
+def _parse(html: str | None, card_classes: frozenset[str]) -> dict:
+    builder = _Builder(card_classes)
     builder.feed(html or "")
     builder.close()
-    return {"pieces": builder.pieces, "elements": builder.elements, "scripts": builder.scripts}
+    euros = list(accumulate(("€" in piece for piece in builder.pieces), initial=0))
+    return {"pieces": builder.pieces, "elements": builder.elements, "scripts": builder.scripts, "euros": euros}
+
+
+def page_parser(card_classes: tuple[str, ...] = CARD_CLASSES):
+    """A function from a column of pages to the struct described above; a null page is empty."""
+    classes = frozenset(card_classes)
+
+    @F.pandas_udf(PAGE)
+    def parse(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_parse(x, classes) for x in html], columns=["pieces", "elements", "scripts", "euros"])
+
+    return parse
+
+
+parse_page = page_parser()
 
 
-@F.pandas_udf(PAGE)
-def parse_page(html: pd.Series) -> pd.DataFrame:
-    """The struct described above; a null page is empty."""
-    return pd.DataFrame([_parse(x) for x in html], columns=["pieces", "elements", "scripts"])
+@F.pandas_udf(TEXTS)
+def parse_texts(html: pd.Series) -> pd.DataFrame:
+    """``pieces`` and the first heading's text alone, for rules that ask for no elements."""
+    rows = []
+    for x in html:
+        builder = _Builder()
+        builder.feed(x or "")
+        builder.close()
+        h1 = next((e for e in builder.elements if e["tag"] == "h1"), None)
+        rows.append((builder.pieces, h1 and (" ".join(builder.pieces[h1["first"] : h1["stop"]]).strip() or None)))
+    return pd.DataFrame(rows, columns=["pieces", "heading"])
 
 
 Test = Callable[[Column], Column]

@@ -38,36 +38,42 @@ def _price() -> Column:
     return F.when(F.col("l_returnflag") != "R", F.concat(F.lit("1 "), F.lpad(F.col("l_quantity").cast("int").cast("string"), 3, "0"), F.lit(",50&nbsp;€"))).otherwise("")
 
 
-def _order_pages(spark, d, line: Column, before: Column | None = None):
+def _order_pages(spark, d, line: Column, before: Column | None = None, parse=dom.parse_page):
     """A page per order, with ``line`` for each of its line items."""
     lines = F.array_sort(F.collect_list(F.struct(*_LINE_ORDER, line.alias("line"))))["line"]
     rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(lines, "").alias("body"))
     body = F.concat(before if before is not None else F.lit(""), F.lit("<h1>Commande "), _text("l_orderkey"), F.lit("</h1>"), F.col("body"))
     rows = rows.select("l_orderkey", F.concat(F.lit(f"{SITE}/c/"), _text("l_orderkey"), F.lit(".html")).alias("url"), _html(body).alias("html"))
-    return rows.withColumn("page", dom.parse_page("html"))
+    return rows.withColumn("page", parse("html"))
 
 
 def _variant_line(named_last: bool = False) -> Column:
     name, shade = _tag("p", "Variante ", _text("l_partkey")), _tag("p", "TEINTE : A2")
-    return F.concat(_tag("div", "Réf. SHOP : ", F.concat(F.lit("L"), _text("l_linenumber"))), *((shade, name) if named_last else (name, shade)), _tag("p", "Réf. Fabricant : M", _text("l_partkey")), _tag("p", _stock()), _tag("p", _price()))
+    return F.concat(_tag("div", "Réf. SHOP : ", F.concat(F.lit("L"), _text("l_linenumber"))), *((shade, name) if named_last else (name, shade)), _tag("p", "Réf. Fabricant : M", _text("l_partkey")), _tag("p", "Norme Réf. ISO : 25"), _tag("p", "Réf. EAN : 34012", F.lpad(_text("l_partkey"), 8, "0")), _tag("p", _stock()), _tag("p", _price()))
 
 
 def _with_text(rows, sign: str = " "):
     return rows.withColumns({"text": dom.page_text(F.col("page"), sign), "title": dom.heading(F.col("page"))})
 
 
+def _texts(spark, d, line: Column, sign: str = " "):
+    """The texts of the orders' pages, without their elements."""
+    rows = _order_pages(spark, d, line, parse=dom.parse_texts)
+    return rows.select("l_orderkey", "url", dom.page_text(F.col("page"), sign).alias("text"), F.col("page.heading").alias("title"))
+
+
 def block_split_extract(spark, d):
     """Variant blocks of a page text: the last block of a reference wins, and the maker's reference starts no block."""
-    return extract.variants(_with_text(_order_pages(spark, d, _variant_line())), "text", "l_orderkey").drop("position")
+    return extract.variants(_texts(spark, d, _variant_line()), "text", "l_orderkey", "Shop").drop("position")
 
 
 def variant_offers_extract(spark, d):
-    found = extract.variant_offers(_with_text(_order_pages(spark, d, _variant_line())), "text", "l_orderkey", "title")
+    found = extract.variant_offers(_texts(spark, d, _variant_line()), "text", "l_orderkey", "title", "SHOP")
     return found.withColumn("position", F.col("position").cast("long"))
 
 
 def line_offers_extract(spark, d):
-    found = extract.line_offers(_with_text(_order_pages(spark, d, _variant_line()), "\n"), "text", "l_orderkey", "title")
+    found = extract.line_offers(_texts(spark, d, _variant_line(), "\n"), "text", "l_orderkey", "title", "SHOP")
     return found.drop("position")
 
 
@@ -75,19 +81,20 @@ def line_offers_with_skus(spark, d):
     """The last line item is told by an element alone."""
     sku = F.concat(F.lit('<div class="product-info-main"><div class="sku"><b class="value">L1</b></div></div><meta itemprop="sku" content="X'), _text("l_orderkey"), F.lit('">'))
     rows = _with_text(_order_pages(spark, d, _variant_line(), sku), "\n").withColumn("skus", pages.page_skus(F.col("page")))
-    return extract.line_offers(rows, "text", "l_orderkey", "title", extract.FAST_LINES, skus="skus").select("l_orderkey", "merchant_reference", "manufacturer_reference", "name", "price_eur", "availability")
+    return extract.line_offers(rows, "text", "l_orderkey", "title", "SHOP", extract.FAST_LINES, skus="skus").select("l_orderkey", "merchant_reference", "manufacturer_reference", "name", "price_eur", "availability")
 
 
 def line_offers_of_captures(spark, d):
-    return extract.line_offers(_with_text(_order_pages(spark, d, _variant_line(True)), "\n"), "text", "l_orderkey", "title", extract.CAPTURE_LINES).select("l_orderkey", "merchant_reference", "name", "price_eur")
+    return extract.line_offers(_texts(spark, d, _variant_line(True), "\n"), "text", "l_orderkey", "title", "SHOP", extract.CAPTURE_LINES).select("l_orderkey", "merchant_reference", "name", "price_eur")
 
 
 def saved_page_offers(spark, d):
     """Pages saved as files, read back, as offers."""
     folder = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
     _order_pages(spark, d, _variant_line()).select(F.translate("html", "\n", " ").alias("value")).write.text(folder, lineSep="\n")
-    saved = spark.read.text(folder).select(F.monotonically_increasing_id().alias("page_id"), dom.parse_page("value").alias("page"))
-    found = extract.variant_offers(_with_text(saved), "text", "page_id", "title")
+    saved = spark.read.text(folder).select(F.monotonically_increasing_id().alias("page_id"), dom.parse_texts("value").alias("page"))
+    saved = saved.select("page_id", dom.page_text(F.col("page")).alias("text"), F.col("page.heading").alias("title"))
+    found = extract.variant_offers(saved, "text", "page_id", "title", "SHOP")
     return found.groupBy("availability").agg(F.count(F.lit(1)).alias("n"), F.count("price_eur").alias("n_priced"), F.round(F.sum("price_eur"), 2).alias("total"))
 
 
@@ -101,9 +108,9 @@ def family_extract(spark, d):
 
 def block_offers_extract(spark, d):
     """Offer blocks with an old price before the price; orders of few items have no blocks, but a sku."""
-    block = F.when(F.col("l_quantity") > 10, F.concat(F.lit('<div class="box product-variation">'), _tag("span", "Réf. SHOP : AB", _text("l_linenumber")), F.lit("<s>9 999,00 €</s>"), _tag("b", "1 ", F.lpad(F.col("l_quantity").cast("int").cast("string"), 3, "0"), ",50 €"), F.lit("</div>"))).otherwise("")
+    block = F.when(F.col("l_quantity") > 10, F.concat(F.lit('<div class="box product-variation">'), _tag("span", "Réf. SHOP : AB", _text("l_linenumber")), F.lit("<s>9 999,00 €</s><i>Référence produit ABC-123</i><i>Kit de ACME PRO+ vendu</i>"), F.when(F.col("l_linenumber") == 2, "<u>Réf. XYZABC Ajouter au panier</u>").otherwise(""), _tag("b", "1 ", F.lpad(F.col("l_quantity").cast("int").cast("string"), 3, "0"), ",50 €"), F.lit("</div>"))).otherwise("")
     sku = F.concat(F.lit('<meta itemprop="sku" content="S'), _text("l_orderkey"), F.lit('"><meta property="og:image" content="/i/'), _text("l_orderkey"), F.lit('.png"><ul class="breadcrumb"><li><a href="/">Accueil</a></li><li><a href="/c">Soins</a></li></ul>'))
-    return pages.block_offers(_order_pages(spark, d, block, sku), "l_orderkey", "url").drop("position")
+    return pages.block_offers(_order_pages(spark, d, block, sku), "l_orderkey", "url", "Shop").drop("position")
 
 
 def _part_pages(spark, d, body: Column, head: Column | str = ""):
@@ -136,14 +143,15 @@ def _script(body: Column) -> Column:
 
 
 def _shaped_product() -> Column:
-    """A product in one of four shapes: alone, in a list, in a graph, with everything as lists."""
+    """A product in one of four shapes: alone, in a list, in a graph (also four graphs deep), with everything as lists."""
     plain = [("name", _quoted(F.col("p_name"))), ("sku", _quoted(F.concat(F.lit("S"), _text("p_partkey")))), ("mpn", _quoted(F.when(F.col("p_size") % 5 == 0, "N/C").otherwise(F.concat(F.lit("M-"), _text("p_partkey"))))), ("gtin13", _quoted(F.lpad(_text("p_partkey"), 13, "3")))]
     price = F.concat(_text("p_size"), F.lit(".50"))
     one = _ld(("@type", '"Product"'), *plain, ("brand", _ld(("name", _quoted(F.col("p_brand"))))), ("image", '"/a.png"'), ("offers", _ld(("price", price), ("availability", '"https://schema.org/InStock"'))))
     flat = _ld(("@type", '["Thing","Product"]'), *plain, ("brand", _quoted(F.col("p_brand"))), ("image", '["/b.png","/c.png"]'), ("offers", F.concat(F.lit("["), _ld(("price", _quoted(price)), ("availability", '"OutOfStock"')), F.lit("]"))))
     shape = F.col("p_partkey") % 4
     listed = F.concat(F.lit('[{"@type":"WebPage"},'), one, F.lit("]"))
-    graph = F.concat(F.lit('{"@context":"x","@graph":[{"@type":"BreadcrumbList"},'), flat, F.lit("]}"))
+    deeper = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit('{"@graph":[{"@graph":[{"@graph":['), flat, F.lit("]}]}]}"))).otherwise(flat)
+    graph = F.concat(F.lit('{"@context":"x","@graph":[{"@type":"BreadcrumbList"},'), deeper, F.lit("]}"))
     return F.concat(_script(F.lit("{broken")), F.when(shape == 0, _script(one)).when(shape == 1, _script(listed)).when(shape == 2, _script(graph)).otherwise(_script(flat)))
 
 
@@ -245,7 +253,7 @@ ORACLES = {
     "block_split_extract": _LINES + "SELECT l_orderkey, 'L' || l_linenumber AS merchant_reference, 'M' || l_partkey AS manufacturer_reference, price AS price_eur, stock AS availability FROM l " + _LAST.format("l_linenumber"),
     "variant_offers_extract": _LINES + f"""SELECT l_orderkey, min(place) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey) AS position, 'L' || l_linenumber AS merchant_reference, 'M' || l_partkey AS manufacturer_reference,
   'Variante ' || l_partkey AS name, price AS price_eur, {_NORMAL} AS availability FROM l """ + _LAST.format("l_linenumber, l_partkey"),
-    "line_offers_extract": _LINES + f"""SELECT l_orderkey, 'L' || l_linenumber AS merchant_reference, 'M' || l_partkey AS manufacturer_reference, CAST(NULL AS VARCHAR) AS ean, 'Variante ' || l_partkey AS name, 'Variante ' || l_partkey AS variant,
+    "line_offers_extract": _LINES + f"""SELECT l_orderkey, 'L' || l_linenumber AS merchant_reference, 'M' || l_partkey AS manufacturer_reference, '34012' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS ean, 'Variante ' || l_partkey AS name, 'Variante ' || l_partkey AS variant,
   price AS price_eur, {_AS_WRITTEN} AS availability FROM l """ + _FIRST.format("l_linenumber"),
     "line_offers_with_skus": _LINES + f"""SELECT l_orderkey, 'L' || l_linenumber AS merchant_reference, 'M' || l_partkey AS manufacturer_reference, 'Variante ' || l_partkey AS name, price AS price_eur, {_AS_WRITTEN} AS availability FROM l {_FIRST.format('l_linenumber')}
 UNION ALL SELECT l_orderkey, 'X' || l_orderkey, NULL, 'Commande ' || l_orderkey, first(price ORDER BY place) FILTER (WHERE price IS NOT NULL), NULL FROM l GROUP BY l_orderkey
@@ -256,8 +264,9 @@ SELECT availability, count(*) AS n, count(price) AS n_priced, round(sum(price),
     "family_extract": _LINES + f"""SELECT l_orderkey, '1000' || l_linenumber AS merchant_reference, 'M' || l_partkey AS manufacturer_reference, 'Taille ' || l_partkey || CASE WHEN price IS NULL THEN '' ELSE ' 1' END AS variant, price AS price_eur, stock AS availability,
   '{SITE}/img/' || translate(CAST(l_orderkey AS VARCHAR), '0123456789', 'abcdefghij') || '-' || l_linenumber || '.jpg' AS image_url FROM l """ + _FIRST.format("l_linenumber"),
     "block_offers_extract": _LINES + f""", b AS (SELECT l_orderkey, 'AB' || l_linenumber AS merchant_reference, 1000.5 + CAST(l_quantity AS INTEGER) AS price FROM (SELECT * FROM l WHERE l_quantity > 10) {_FIRST.format('l_linenumber')}),
-a AS (SELECT * FROM b UNION ALL SELECT DISTINCT l_orderkey, 'S' || l_orderkey, NULL FROM l WHERE l_orderkey NOT IN (SELECT l_orderkey FROM b))
-SELECT l_orderkey, merchant_reference, 'Commande ' || l_orderkey AS name, price, 'Soins' AS category, '{SITE}/i/' || l_orderkey || '.png' AS image_url FROM a""",
+a AS (SELECT *, 'ACME PRO+' AS brand FROM b UNION ALL SELECT l_orderkey, 'XYZABC', price, 'ACME PRO+' FROM b WHERE merchant_reference = 'AB2'
+      UNION ALL SELECT DISTINCT l_orderkey, 'S' || l_orderkey, NULL, '' FROM l WHERE l_orderkey NOT IN (SELECT l_orderkey FROM b))
+SELECT l_orderkey, merchant_reference, 'Commande ' || l_orderkey AS name, brand, price, 'Soins' AS category, '{SITE}/i/' || l_orderkey || '.png' AS image_url FROM a""",
     "net_price_extract": f"""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'IN' ELSE 'TX' END || p_partkey AS merchant_reference, p_name AS name, replace(p_brand, '#', ' ') AS brand, 'Accueil > ' || p_type AS category, p_size + 0.9 AS price_eur,
   CASE WHEN p_size > 20 THEN 'En stock' ELSE 'Stock épuisé' END AS availability, '{SITE}/i/' || p_partkey || '.jpg' AS image_url, '{SITE}/produit/' || p_partkey || '.html' AS source_url FROM part""",
     "structured_product_extract": """SELECT p_partkey, p_name AS name, 'S' || p_partkey AS sku, CASE WHEN p_size % 5 <> 0 THEN 'M-' || p_partkey END AS manufacturer_reference, lpad(CAST(p_partkey AS VARCHAR), 13, '3') AS ean, p_brand AS brand,
