@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import html.entities
 import json
 import unicodedata
@@ -72,29 +73,49 @@ VARIANTS = (
     r"\b(?:XS|S|M|L|XL)\b",
 )
 
-#: The named entities of HTML 4 and the apostrophe, as one constant; numeric ones are read by their number.
-_ENTITIES = json.dumps({name: chr(code) for name, code in html.entities.name2codepoint.items()} | {"apos": "'"})
+#: The named entities of HTML, with their semicolon or, for the old ones, without.
+_ENTITIES = json.dumps(html.entities.html5)
+#: Names that count without a semicolon, also with letters behind them; the longest first.
+_OLD_ENTITIES = "^(" + "|".join(sorted((name for name in html.entities.html5 if not name.endswith(";")), key=len, reverse=True)) + ")"
 #: What the numbers 128 to 159 stand for in pages.
-_WINDOWS = [bytes([code]).decode("cp1252", "replace") for code in range(128, 160)]
-_ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+_WINDOWS = [html.unescape(f"&#{code};") for code in range(128, 160)]
+_ENTITY = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
-def _decompositions() -> tuple[str, str, dict[str, str]]:
-    """Characters below U+2200 whose compatibility decomposition without marks is one other character, and those with several."""
-    one_from, one_to, several = "", "", {}
-    for code in [*range(0xA0, 0x2200), *range(0xFB00, 0xFB07)]:
+def _decompositions(form: str) -> tuple[str, str, dict[int, dict[int, str]]]:
+    """Of all characters those that a normal form without marks makes ASCII, in whole or in part: one to one, and by code in two levels."""
+    one_from, one_to, several = [], [], {}
+    for code in (*range(0xA0, 0xAC00), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)):
+        if 0x3400 <= code < 0xA000 or 0xD7A4 <= code < 0xF900:
+            continue
         char = chr(code)
-        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if plain != char and plain.isascii() and plain.isprintable():
-            if len(plain) == 1:
-                one_from, one_to = one_from + char, one_to + plain
-            elif len(plain) > 1:
-                several[char] = plain
-    return one_from, one_to, several
-
-
-_ONE_FROM, _ONE_TO, _SEVERAL = _decompositions()
-_MARKS = r"[̀-ͯ]"
+        plain = "".join(c for c in unicodedata.normalize(form, char) if not unicodedata.combining(c))
+        if plain == char or not any(c.isascii() for c in plain):
+            continue
+        if len(plain) == 1:
+            one_from.append(char)
+            one_to.append(plain)
+        else:
+            several.setdefault(code >> 8, {})[code & 0xFF] = plain
+    return "".join(one_from), "".join(one_to), several
+
+
+def _marks() -> str:
+    """A class of all characters that are combining, or become so, as ranges."""
+    codes, out, at = [c for c in range(0x300, 0x1F000) if all(map(unicodedata.combining, unicodedata.normalize("NFKD", chr(c))))], [], 0
+    while at < len(codes):
+        end = at
+        while end + 1 < len(codes) and codes[end + 1] == codes[end] + 1:
+            end += 1
+        out.append(f"\\x{{{codes[at]:x}}}-\\x{{{codes[end]:x}}}")
+        at = end + 1
+    return "[" + "".join(out) + "]"
+
+
+_ONE_FROM, _ONE_TO, _SEVERAL = _decompositions("NFKD")
+_CANONICAL_FROM, _CANONICAL_TO, _ = _decompositions("NFD")
+_SEVERAL_CLASS = "([" + "".join(rf"\x{{{high << 8 | low:x}}}" for high, block in _SEVERAL.items() for low in block) + "])"
+_MARKS, _LATIN_MARKS = _marks(), r"[\x{300}-\x{36f}]"
 
 
 def col(value: Column | str) -> Column:
@@ -107,7 +128,7 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def unescape(value: Column | str) -> Column:
-    """Named and numeric entities as characters, those that are closed with a semicolon; unknown ones stay as they are.
+    """Named and numeric entities as characters, old names also without a semicolon; unknown ones stay as they are.
 
     The text is cut at its entities and each is looked up by itself, so nothing is unescaped twice.
     """
@@ -115,13 +136,23 @@ def unescape(value: Column | str) -> Column:
     names, gaps = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1)), F.split(text, _ENTITY)
     named = F.from_json(F.lit(_ENTITIES), "map<string,string>")
 
+    def drawn(x: Column) -> Column:
+        digits = F.rtrim(x, F.lit(";"))
+        code = F.when(F.lower(F.substring(x, 2, 1)) == "x", F.conv(F.substring(digits, 3, 1000), 16, 10)).otherwise(F.substring(digits, 2, 1000)).try_cast("decimal(38,0)")
+
+        def char(c: Column) -> Column:
+            odd = c.between(1, 8) | (c == 11) | c.between(14, 31) | (c == 127) | c.between(0xFDD0, 0xFDEF) | ((c % 65536) >= 65534)
+            out = F.when(c.between(128, 159), F.get(F.lit(_WINDOWS), (c - 128).cast("int"))).when(c.isNull() | (c == 0) | c.between(0xD800, 0xDFFF) | (c > 0x10FFFF), "\ufffd").when(odd, "")
+            return out.otherwise(F.decode(F.unhex(F.lpad(F.hex(c.cast("long")), 8, "0")), "UTF-32"))
+
+        return bound(code, char)
+
     def shown(x: Column) -> Column:
-        code = F.when(F.lower(F.substring(x, 2, 1)) == "x", F.conv(F.substring(x, 3, 9), 16, 10)).otherwise(F.substring(x, 2, 9)).cast("int")
-        drawn = F.when(code.between(128, 159), F.get(F.lit(_WINDOWS), code - 128)).when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        return F.coalesce(F.when(F.startswith(x, F.lit("#")), drawn).otherwise(named[x]), F.concat(F.lit("&"), x, F.lit(";")))
+        old = bound(F.regexp_extract(x, _OLD_ENTITIES, 1), lambda o: F.when(o != "", F.concat(named[o], F.substr(x, F.length(o) + 1))))
+        return F.when(F.startswith(x, F.lit("#")), drawn(x)).otherwise(F.coalesce(named[x], old, F.concat(F.lit("&"), x)))
 
     joined = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), names.alias("name")), lambda z: F.concat(z["gap"], F.coalesce(bound(z["name"], shown), F.lit("")))), "")
-    return F.when(text.contains("&") & text.contains(";"), joined).otherwise(text)
+    return F.when(text.contains("&"), joined).otherwise(text)
 
 
 def clean(value: Column | str) -> Column:
@@ -130,17 +161,28 @@ def clean(value: Column | str) -> Column:
 
 
 def plain(value: Column | str) -> Column:
-    """Letters without accents, ligatures and fractions spelled out."""
-    out = F.translate(col(value), _ONE_FROM, _ONE_TO)
-    hits = [c for c in _SEVERAL if c in "ŒœÆæﬀﬁﬂﬃﬄﬅﬆ½¼¾…№℡™"]
-    for char in hits:
-        out = F.replace(out, F.lit(char), F.lit(_SEVERAL[char].replace("⁄", " ")))
-    return F.regexp_replace(out, _MARKS, "")
+    """Compatibility forms spelled out and without marks: ligatures, fractions, units, circled, wide and styled letters."""
+    table = F.from_json(F.lit(json.dumps({str(high): {str(low): text for low, text in block.items()} for high, block in _SEVERAL.items()})), "map<string,map<string,string>>")
+
+    def spelled(text: Column) -> Column:
+        code = lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")
+        named = lambda c: bound(code(c), lambda n: table[F.shiftright(n, 8).cast("string")][(n % 256).cast("string")])
+        pieces = F.arrays_zip(F.split(text, _SEVERAL_CLASS).alias("gap"), F.regexp_extract_all(text, F.lit(_SEVERAL_CLASS), F.lit(1)).alias("char"))
+        joined = F.array_join(F.transform(pieces, lambda z: F.concat(z["gap"], F.when(z["char"].isNotNull(), named(z["char"])).otherwise(""))), "")
+        return F.when(text.rlike(_SEVERAL_CLASS), joined).otherwise(text)
+
+    return F.regexp_replace(bound(F.translate(col(value), _ONE_FROM, _ONE_TO), spelled), _MARKS, "")
 
 
 def fold(value: Column | str) -> Column:
     """Lower case without accents; everything that is no ASCII letter or digit becomes one space."""
-    return F.trim(F.regexp_replace(plain(F.replace(F.replace(F.replace(F.lower(clean(value)), F.lit("½"), F.lit("1 2")), F.lit("¼"), F.lit("1 4")), F.lit("¾"), F.lit("3 4"))), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(plain(F.lower(clean(value))), "[^a-z0-9]+", " "))
+
+
+def front_fold(value: Column | str) -> Column:
+    """As ``fold``, by canonical forms alone and without entities: fractions, ligatures and raised digits become spaces."""
+    low = F.translate(F.lower(F.coalesce(col(value), F.lit(""))), _CANONICAL_FROM, _CANONICAL_TO)
+    return F.trim(F.regexp_replace(F.regexp_replace(low, _LATIN_MARKS, ""), "[^a-z0-9]+", " "))
 
 
 def ascii_key(value: Column | str) -> Column:
@@ -164,7 +206,7 @@ def normalize_brand(value: Column | str) -> Column:
 
 def group_brand(value: Column | str) -> Column:
     """The brand key of the grouping: no spaces, no trailing number."""
-    key = F.replace(F.regexp_replace(fold(value), r"\s+\d+$", ""), F.lit(" "), F.lit(""))
+    key = F.replace(F.regexp_replace(front_fold(value), r"\s+\d+$", ""), F.lit(" "), F.lit(""))
     return bound(key, lambda k: F.when(k.isin("3m", "3mespe", "3moralcare"), "solventum").when(k == "dentsply", "dentsplysirona").otherwise(k))
 
 
@@ -175,10 +217,27 @@ def parse_price(value: Column | str) -> Column:
     return bound(raw, lambda r: F.when(r.contains(","), F.replace(F.replace(r, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(r)).try_cast("double")
 
 
+def round_cents(value: Column) -> Column:
+    """A positive double rounded to two decimals by its exact binary value, ties to the even cent.
+
+    Whether the value lies above the middle 2k + 1 of two cents, in half cents, is asked of 200 times the value without rounding: its upper
+    26 bits and the rest are multiplied by themselves, both exactly, and compared with the odd number near by.
+    """
+
+    def rounded(x: Column) -> Column:
+        upper = bound(x * 134217729.0, lambda c: c - (c - x))
+        k = F.floor(x * 100.0).cast("double")
+        above = bound(upper, lambda u: (u * 200.0 - (2.0 * k + 1.0)) + (x - u) * 200.0)
+        cents = bound(above, lambda d: F.when(d > 0, k + 1.0).when(d < 0, k).otherwise(k + k % 2.0))
+        return F.when(x >= 1e13, x).otherwise(cents / 100.0)
+
+    return bound(value, rounded)
+
+
 def valid_price(value: Column) -> Column:
     """Finite and above zero, two decimals; else null."""
     price = value.try_cast("double")
-    return F.when(~F.isnan(price) & (price > 0) & (price < float("inf")), F.round(price, 2))
+    return F.when(~F.isnan(price) & (price > 0) & (price < float("inf")), round_cents(price))
 
 
 def normalize_stock(value: Column | str, compat: bool = True) -> Column:
@@ -210,9 +269,18 @@ def variant_tokens(name: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda t: F.regexp_replace(t, r"\s+", ""))))
 
 
+#: Fixed value: the front end's variants.
+FRONT_VARIANTS = r"\b(?:A[1-4](?:\.5)?|B[1-4]|C[1-4]|D[2-4]|XS|S|M|L|XL|\d+(?:[.,]\d+)?\s*(?:MM|ML|MG|G)|\d+\s*(?:PCS|PIECES|CAPSULES|SERINGUES|BLOCS))\b"
+
+
+def front_variants(value: Column | str) -> Column:
+    """The front end's distinct variants as written, in capitals and in order: with milligrams, without numbers and ISO sizes."""
+    return F.array_distinct(F.regexp_extract_all(F.upper(F.coalesce(col(value), F.lit(""))), F.lit(FRONT_VARIANTS), F.lit(0)))
+
+
 def name_tokens(value: Column | str) -> Column:
     """Distinct folded words of two letters or more that are no stop words, in order."""
-    return F.array_distinct(F.filter(F.split(fold(value), " "), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS)))
+    return F.array_distinct(F.filter(F.split(front_fold(value), " "), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS)))
 
 
 def clean_reference(value: Column | str, placeholders: tuple[str, ...] = INVALID_REFERENCES, longest: int | None = None) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
@@ -66,19 +65,23 @@ def split_by_completeness(rows: DataFrame, needed: list[str]) -> tuple[DataFrame
     return marked.filter(F.size("lacking") == 0).drop("lacking"), marked.filter(F.size("lacking") > 0)
 
 
-@F.pandas_udf(T.BooleanType())
-def robots_allow(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Whether a captured robots text lets everyone fetch the address; without a text all is allowed."""
-    known: dict[str, RobotFileParser] = {}
-    for texts, urls in batches:
-        out = []
-        for text, url in zip(texts, urls):
-            if not text:
-                out.append(True)
-                continue
-            if text not in known:
-                known.clear() if len(known) > 1000 else None
-                known[text] = RobotFileParser()
-                known[text].parse(text.splitlines())
-            out.append(known[text].can_fetch("*", urlsplit(url or "").path or "/"))
-        yield pd.Series(out, dtype=bool)
+def robots_allow(text: Column | str, url: Column | str, agent: str = "*") -> Column:
+    """Whether a captured robots text lets ``agent`` fetch the address. A text that could not be had (null) allows nothing, an empty one all."""
+
+    @F.pandas_udf(T.BooleanType())
+    def allowed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known: dict[str, RobotFileParser] = {}
+        for texts, urls in batches:
+            out = []
+            for told, address in zip(texts, urls):
+                if told is None or address is None:
+                    out.append(False)
+                    continue
+                if told not in known:
+                    known.clear() if len(known) > 1000 else None
+                    known[told] = RobotFileParser()
+                    known[told].parse(told.splitlines())
+                out.append(known[told].can_fetch(agent, address))
+            yield pd.Series(out, dtype=bool)
+
+    return allowed(text, url)

@@ -14,7 +14,7 @@ from offerloom.operators import frontier
 from offerloom.plans.lineage import scratch
 from offerloom.queries.views import latest_offers, table
 from offerloom.sources import readers, writers
-from offerloom.streaming import ingest
+from offerloom.streaming import ingest, state
 
 
 def _text(c: str) -> Column:
@@ -167,33 +167,27 @@ def newest_file(spark, d):
 
 
 def incremental_ingest(spark, d):
-    """Events streamed in batches into a table keyed by user, in two runs; equal to the last event of each user."""
+    """A table of events by user that a stream goes on with, in two runs; its state is the last event of each user."""
     folder, events = scratch(spark, "ingest"), table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
-    master, last = ingest.KeyedTable(spark, f"{folder}/table", events.schema, "user_id"), [-1]
-    merge = ingest.keyed_master(master, "event_id")
-
-    def counted(batch, number):
-        merge(batch, number)
-        last[0] = number
-
-    for part in range(4):
-        events.filter(F.col("event_id") % 4 == part).write.parquet(f"{folder}/in/{part}")
-        if part % 2:
-            ingest.drain(ingest.arriving(spark, f"{folder}/in/*", events.schema, 1), f"{folder}/done", counted)
-    return master.read(last[0])
+    part = lambda n: events.filter(F.col("event_id") % 4 == n)
+    for n in (1, 2, 3):
+        part(n).write.parquet(f"{folder}/in/{n}")
+        if n > 1:
+            stream = ingest.arriving(spark, f"{folder}/in/*", events.schema, 1)
+            state.append_changes(state.changed_rows(stream, "user_id", "event_id", initial=part(0)), f"{folder}/out", f"{folder}/done")
+    return state.current_rows(spark, f"{folder}/done")
 
 
 def change_stream(spark, d):
-    """Events streamed in order in bounded batches: only those whose type differs from the user's event before come out."""
+    """Events streamed in order in bounded batches, in three runs: only those whose type differs from the user's event before come out."""
     folder, events = scratch(spark, "changes"), table(spark, d, "events").select("event_id", "user_id", "event_type")
-    master = ingest.KeyedTable(spark, f"{folder}/table", events.schema, "user_id")
     edges = events.selectExpr("min(event_id) a", "max(event_id) b").first()
-    each = ingest.change_log(master, f"{folder}/log", "event_id", ["event_type"])
     for part in range(3):
         low, high = (edges.a + (edges.b + 1 - edges.a) * k // 3 for k in (part, part + 1))
         events.filter(F.col("event_id").between(low, high - 1)).coalesce(1).write.parquet(f"{folder}/in/{part}")
-        ingest.drain(ingest.arriving(spark, f"{folder}/in/*", events.schema, 1), f"{folder}/done", each)
-    return spark.read.parquet(f"{folder}/log").select("event_id", "user_id", "event_type")
+        stream = ingest.arriving(spark, f"{folder}/in/*", events.schema, 1)
+        state.append_changes(state.changed_rows(stream, "user_id", "event_id", ["event_type"]), f"{folder}/out", f"{folder}/done")
+    return spark.read.parquet(f"{folder}/out").select("event_id", "user_id", "event_type")
 
 
 def blocked_ingest(spark, d):

@@ -11,7 +11,6 @@ from offerloom.functions.similarity import token_set
 from offerloom.operators.shortlist import Names
 from offerloom.operators import classify, dedup, frontier, matching, merge, publish, ranking
 from offerloom.sources import readers, writers
-from offerloom.streaming import ingest
 
 
 def test_upsert_again_changes_nothing(spark):
@@ -269,17 +268,6 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "runs")).first().item_count == 1
 
 
-def test_change_stream(spark, tmp_path):
-    rows = [("p", "2024-01-01 00:00:00", 1.0, "a"), ("p", "2024-01-02 00:00:00", 1.0, "a"), ("p", "2024-01-03 00:00:00", 2.0, "a"), ("q", "2024-01-01 00:00:00", None, None)]
-    df = spark.createDataFrame(rows, "product string, ts string, price double, availability string").withColumn("ts", F.to_timestamp("ts"))
-    df.write.parquet(str(tmp_path / "in"))
-    table = ingest.KeyedTable(spark, str(tmp_path / "table"), df.schema, "product", buckets=3)
-    each = ingest.change_log(table, str(tmp_path / "log"), "ts", ["price", "availability"])
-    ingest.drain(ingest.arriving(spark, str(tmp_path / "in"), df.schema), str(tmp_path / "done"), each)
-    seen = spark.read.parquet(str(tmp_path / "log")).collect()
-    assert sorted((r.product, r.price) for r in seen if r.product == "p") == [("p", 1.0), ("p", 2.0)] and sum(r.product == "q" for r in seen) == 1
-
-
 def test_images_and_robots(spark):
     row = spark.createDataFrame([("R1", ["a.jpg", "x-r1.jpg"], "User-agent: *\nDisallow: /cart", "https://a.example/cart/1")], "ref string, images array<string>, robots string, url string")
     assert row.select(publish.image_for(F.col("ref"), F.col("images")).alias("i")).first().i == "x-r1.jpg"
