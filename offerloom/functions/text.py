@@ -100,12 +100,12 @@ def _decompositions(form: str) -> tuple[str, str, dict[int, dict[int, str]]]:
     return "".join(one_from), "".join(one_to), several
 
 
-def _marks() -> str:
-    """A class of all characters that are combining, or become so, as ranges."""
-    codes, out, at = [c for c in range(0x300, 0x1F000) if all(map(unicodedata.combining, unicodedata.normalize("NFKD", chr(c))))], [], 0
+def _class(codes: list[int], gap: int = 1) -> str:
+    """A pattern's class of characters, as ranges; with a ``gap`` also those between near ones, which makes it shorter and wider."""
+    out, at = [], 0
     while at < len(codes):
         end = at
-        while end + 1 < len(codes) and codes[end + 1] == codes[end] + 1:
+        while end + 1 < len(codes) and codes[end + 1] - codes[end] <= gap:
             end += 1
         out.append(f"\\x{{{codes[at]:x}}}-\\x{{{codes[end]:x}}}")
         at = end + 1
@@ -114,8 +114,11 @@ def _marks() -> str:
 
 _ONE_FROM, _ONE_TO, _SEVERAL = _decompositions("NFKD")
 _CANONICAL_FROM, _CANONICAL_TO, _ = _decompositions("NFD")
-_SEVERAL_CLASS = "([" + "".join(rf"\x{{{high << 8 | low:x}}}" for high, block in _SEVERAL.items() for low in block) + "])"
-_MARKS, _LATIN_MARKS = _marks(), r"[\x{300}-\x{36f}]"
+_SEVERAL_CODES = sorted(high << 8 | low for high, block in _SEVERAL.items() for low in block)
+_MARK_CODES = [c for c in range(0x300, 0x1F000) if all(map(unicodedata.combining, unicodedata.normalize("NFKD", chr(c))))]
+#: The exact classes have hundreds of ranges; the wide ones tell cheaply that a text has none of them.
+_SEVERAL_CLASS, _SEVERAL_WIDE = f"({_class(_SEVERAL_CODES)})", _class(_SEVERAL_CODES, 300)
+_MARKS, _MARKS_WIDE, _LATIN_MARKS = _class(_MARK_CODES), _class(_MARK_CODES, 300), r"[\x{300}-\x{36f}]"
 
 
 def col(value: Column | str) -> Column:
@@ -132,8 +135,6 @@ def unescape(value: Column | str) -> Column:
 
     The text is cut at its entities and each is looked up by itself, so nothing is unescaped twice.
     """
-    text = col(value)
-    names, gaps = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1)), F.split(text, _ENTITY)
     named = F.from_json(F.lit(_ENTITIES), "map<string,string>")
 
     def drawn(x: Column) -> Column:
@@ -151,8 +152,11 @@ def unescape(value: Column | str) -> Column:
         old = bound(F.regexp_extract(x, _OLD_ENTITIES, 1), lambda o: F.when(o != "", F.concat(named[o], F.substr(x, F.length(o) + 1))))
         return F.when(F.startswith(x, F.lit("#")), drawn(x)).otherwise(F.coalesce(named[x], old, F.concat(F.lit("&"), x)))
 
-    joined = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), names.alias("name")), lambda z: F.concat(z["gap"], F.coalesce(bound(z["name"], shown), F.lit("")))), "")
-    return F.when(text.contains("&"), joined).otherwise(text)
+    def joined(text: Column) -> Column:
+        pieces = F.arrays_zip(F.split(text, _ENTITY).alias("gap"), F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1)).alias("name"))
+        return F.array_join(F.transform(pieces, lambda z: F.concat(z["gap"], F.coalesce(bound(z["name"], shown), F.lit("")))), "")
+
+    return bound(col(value), lambda text: F.when(text.contains("&"), joined(text)).otherwise(text))
 
 
 def clean(value: Column | str) -> Column:
@@ -169,9 +173,11 @@ def plain(value: Column | str) -> Column:
         named = lambda c: bound(code(c), lambda n: table[F.shiftright(n, 8).cast("string")][(n % 256).cast("string")])
         pieces = F.arrays_zip(F.split(text, _SEVERAL_CLASS).alias("gap"), F.regexp_extract_all(text, F.lit(_SEVERAL_CLASS), F.lit(1)).alias("char"))
         joined = F.array_join(F.transform(pieces, lambda z: F.concat(z["gap"], F.when(z["char"].isNotNull(), named(z["char"])).otherwise(""))), "")
-        return F.when(text.rlike(_SEVERAL_CLASS), joined).otherwise(text)
+        return F.when(text.rlike(_SEVERAL_WIDE), joined).otherwise(text)
 
-    return F.regexp_replace(bound(F.translate(col(value), _ONE_FROM, _ONE_TO), spelled), _MARKS, "")
+    unmarked = lambda text: F.when(text.rlike(_MARKS_WIDE), F.regexp_replace(text, _MARKS, "")).otherwise(text)
+    every = lambda text: bound(bound(F.translate(text, _ONE_FROM, _ONE_TO), spelled), unmarked)
+    return bound(col(value), lambda text: F.when(text.rlike(r"[^\x00-\x7f]"), every(text)).otherwise(text))
 
 
 def fold(value: Column | str) -> Column:

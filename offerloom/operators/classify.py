@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from offerloom.functions.text import ascii_key, is_set
+from offerloom.functions.text import ascii_key, bound, is_set
 
 #: Categories and the words that mean them; the first rule with a word in the text wins.
 CATEGORY_RULES = (
@@ -37,20 +39,23 @@ BASE_DEFAULT = "usage-unique"
 
 def by_keyword(text: Column, rules: Sequence[tuple[str, Sequence[str]]], default: Column | None = None) -> Column:
     """The label of the first rule with a word that the text contains."""
-    out = None
-    for label, words in rules:
-        here = F.lit(False)
-        for word in words:
-            here = here | text.contains(word)
-        out = F.when(here, label) if out is None else out.when(here, label)
-    return out.otherwise(F.lit(None) if default is None else default)
+    return _first_rule(text, [(label, lambda t, words=words: reduce(or_, [t.contains(word) for word in words])) for label, words in rules], F.lit(None) if default is None else default)
 
 
 def by_pattern(text: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
-    out = None
-    for label, pattern in rules:
-        out = F.when(text.rlike(pattern), label) if out is None else out.when(text.rlike(pattern), label)
-    return out.otherwise(default)
+    return _first_rule(text, [(label, lambda t, pattern=pattern: t.rlike(pattern)) for label, pattern in rules], F.lit(default))
+
+
+def _first_rule(text: Column, rules: Sequence[tuple[str, Callable[[Column], Column]]], default: Column) -> Column:
+    """The label of the first rule that holds of the text, which is worked out once."""
+
+    def label_of(t: Column) -> Column:
+        out = F
+        for label, holds in rules:
+            out = out.when(holds(t), label)
+        return out.otherwise(F.lit(None).cast("string"))
+
+    return F.coalesce(bound(text, label_of), default)
 
 
 def category(*texts: str, breadcrumb: str | None = None) -> Column:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/offerloom"
-#: The paths that ``cut`` has written so far.
-_made: list[str] = []
+#: The paths that ``cut`` has written inside the ``cut_alone`` that is running in this thread or context.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,17 +43,26 @@ def cut(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/offerloom-{uuid.uuid4().hex}/{name}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     atexit.register(_remove, spark, path)
-    _made.append(path)
+    made = _made.get()
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def cut_alone(make: Callable[[], DataFrame], name: str = "step") -> DataFrame:
-    """``cut`` of what ``make`` returns; the tables that were written on the way there are deleted then."""
-    before = len(_made)
-    out = cut(make(), name)
-    for path in _made[before:-1]:
+    """``cut`` of what ``make`` returns; the tables that ``make`` has written on the way there are deleted then.
+
+    Only its own: what other threads cut meanwhile stays, and a call inside another hands its result, not its steps, to the outer one.
+    """
+    mine: list[str] = []
+    outer = _made.set(mine)
+    try:
+        made = make()
+    finally:
+        _made.reset(outer)
+    out = cut(made, name)
+    for path in mine:
         _remove(out.sparkSession, path)
-    del _made[before:-1]
     return out
 
 

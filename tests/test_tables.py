@@ -1,7 +1,9 @@
 """Merges, upserts, grouping, sources, sinks and streams on small fixtures."""
 
 import json
+import os
 import random
+import threading
 
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from hypothesis import given, strategies as st
 from offerloom.functions.similarity import token_set
 from offerloom.operators.shortlist import Names
 from offerloom.operators import classify, dedup, frontier, matching, merge, publish, ranking
+from offerloom.plans import lineage
 from offerloom.sources import readers, writers
 
 
@@ -279,3 +282,28 @@ def test_seeds_and_completeness(spark):
     assert [r.url for r in publish.category_seeds(links, "url", "a.example").collect()] == ["https://a.example/c/x.html"]
     good, errors = publish.split_by_completeness(spark.createDataFrame([("a", 1), ("", 2), (None, 3)], "name string, k int"), ["name"])
     assert good.count() == 1 and [r.lacking for r in errors.collect()] == [["name"], ["name"]]
+
+
+def test_clean_up_leaves_other_threads_tables(spark):
+    """Tables that another thread cuts while one cleans up stay; the steps of the one that cleans up go."""
+    cut_here, cut_there = threading.Event(), threading.Event()
+    found = {}
+
+    def other():
+        cut_here.wait(60)
+        found["other"] = lineage.cut(spark.range(7).toDF("x"), "other")
+        cut_there.set()
+
+    def make():
+        found["step"] = lineage.cut(spark.range(3).toDF("x"), "step")
+        cut_here.set()
+        cut_there.wait(60)
+        return lineage.cut_alone(lambda: lineage.cut(found["step"], "inner"), "nested")
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    out = lineage.cut_alone(make, "out")
+    thread.join()
+    assert found["other"].count() == 7 and out.count() == 3
+    path = found["step"].inputFiles()[0]
+    assert not os.path.exists(path.removeprefix("file://").removeprefix("file:"))
