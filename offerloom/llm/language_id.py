@@ -24,14 +24,14 @@ from offerloom.llm.texts import as_bytes, crc32_of_id, release, table
 from offerloom.plans.lineage import broadcast_if, cut
 
 #: Most documents per language, and bytes of all languages together, that the trees are counted on; every language gets the same share
-#: of the bytes and one document at least.
+#: of the bytes, and only documents that fit into it whole.
 SAMPLE, SAMPLE_BYTES = 2_000, 16_000_000
 #: Documents longer than this share of a language's bytes are taken only after all others.
 LONG = 8
-#: Most languages; more values of ``lang`` are refused.
-LANGUAGES = 1_000
 #: Bytes of the longest context; a context and its byte are one integer.
 ORDER = 4
+#: Most rows of languages, and of chosen documents, that are broadcast; beyond them the joins are shuffled.
+LANGUAGES_BROADCAST, CHOSEN_BROADCAST = 50_000, 2_000_000
 #: Languages that share a table of code lengths, and bytes that are looked up at a time.
 GROUP, PIECE = 8, 1 << 19
 UNDETERMINED = "und"
@@ -43,26 +43,26 @@ def training_rows(docs: DataFrame) -> DataFrame:
     """lang and the text's bytes of the sample: documents outside the held-out part, those with the smallest hashes of their ids.
 
     The numbers of documents per language tell how small the hashes must be: twice the sample passes that filter, so that no
-    task orders all documents of a language. Of rows repeated with one id one is taken.
+    task orders all documents of a language. Of rows repeated with one id one is taken. The bytes of all languages together stay
+    within SAMPLE_BYTES, so what a task counts, the driver gets and the workers hold is bounded. There may be any number of languages;
+    the more, the smaller their shares. A language of which no document fits into its share is not learned.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("id"), "lang", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
     known = known.filter(F.col("lang").isNotNull() & (crc32_of_id("id") % 5 != 0)).withColumn("hash", F.xxhash64("id"))
+    n_langs = known.select("lang").distinct().count()
+    most = SAMPLE_BYTES // max(1, n_langs)
+    known = known.filter(F.col("size") <= most)
     langs = cut(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langs")
-    n_langs = langs.count()
-    if n_langs > LANGUAGES:
-        raise ValueError(f"{n_langs} values of lang; at most {LANGUAGES} can be learned")
     share = langs.select(F.col("lang").alias("l"), F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.col("n")).alias("share"))
-    # at most LANGUAGES rows
-    known = known.join(F.broadcast(share), F.col("lang") == F.col("l")).filter(F.col("hash") / 2.0**64 + 0.5 <= F.col("share"))
+    known = known.join(broadcast_if(share, n_langs, LANGUAGES_BROADCAST), F.col("lang") == F.col("l")).filter(F.col("hash") / 2.0**64 + 0.5 <= F.col("share"))
     known = known.groupBy("lang", "id", "hash").agg(F.max("size").alias("size"))
-    most = SAMPLE_BYTES // max(1, n_langs)
     order = W.partitionBy("lang").orderBy(F.col("size") > most // LONG, "hash", "id")
     before = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1))
     known = known.withColumns({"turn": F.row_number().over(order), "before": F.coalesce(before, F.lit(0))})
-    chosen = cut(known.filter((F.col("turn") <= SAMPLE) & (F.col("before") < most)).select("lang", "id", "size"), "chosen")
+    chosen = cut(known.filter((F.col("turn") <= SAMPLE) & (F.col("before") + F.col("size") <= most)).select("lang", "id", "size"), "chosen")
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("lang").alias("l"), as_bytes().alias("body"))
     same = F.col("i").eqNullSafe(F.col("id")) & (F.col("l") == F.col("lang")) & (F.octet_length("body") == F.col("size"))
-    rows = texts.join(broadcast_if(chosen, chosen.count(), SAMPLE * LANGUAGES), same).select("lang", "id", "size", "body")
+    rows = texts.join(broadcast_if(chosen, chosen.count(), CHOSEN_BROADCAST), same).select("lang", "id", "size", "body")
     return rows.groupBy("lang", "id", "size").agg(F.min("body").alias("body")).select("lang", "body")
 
 

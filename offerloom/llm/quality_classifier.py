@@ -24,6 +24,8 @@ from offerloom.plans.lineage import cut
 #: Most labelled documents, which is also the number of broadcast vectors.
 SAMPLE = 4_000
 DIMENSIONS, NEIGHBOURS = 64, 15
+#: Places to which cosines count; what differs beyond them comes from the order of summing.
+DECIMALS = 5
 #: Steps of the subspace iteration that finds the singular vectors.
 STEPS = 8
 #: Hash buckets of words and of word shapes, and levels of each measure.
@@ -104,7 +106,7 @@ def counts(text: str | None) -> np.ndarray:
 
 @F.pandas_udf(T.BinaryType())
 def _counts(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: counts(t).astype(np.float16).tobytes())
+    return texts.map(lambda t: counts(t).tobytes())
 
 
 class Model:
@@ -121,10 +123,21 @@ class Model:
         if not len(self.labels):
             return np.full(len(texts), 0.5)
         cosine = self.project(np.stack([counts(t) for t in texts])) @ self.vectors.T
-        k = min(NEIGHBOURS, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.exp(SHARPNESS * (np.take_along_axis(cosine, near, 1) - 1))
-        return np.clip((weight * self.labels[near]).sum(1) / weight.sum(1), 0, 1)
+        return vote(np.round(cosine, DECIMALS), self.labels)
+
+
+def vote(cosine: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Weighted share of good labels among the NEIGHBOURS nearest; those that tie for the last places share what places are left."""
+    k = min(NEIGHBOURS, cosine.shape[1])
+    last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+    tied = cosine == last
+    left = k - (cosine > last).sum(1)
+    out = np.empty(len(cosine))
+    for row, (cosines, level, share) in enumerate(zip(cosine, last[:, 0], left / tied.sum(1))):
+        near = np.flatnonzero(cosines >= level)
+        weight = np.exp(SHARPNESS * (cosines[near].astype(np.float64) - 1)) * np.where(cosines[near] == level, share, 1.0)
+        out[row] = weight @ labels[near] / weight.sum()
+    return np.clip(out, 0, 1)
 
 
 def right_vectors(x: np.ndarray, k: int) -> np.ndarray:
@@ -141,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = sample.select("doc_id", "label", _counts("text").alias("terms")).orderBy("doc_id", "terms").limit(SAMPLE).toPandas()
     if not len(rows):
         return Model(np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
-    x = np.stack([np.frombuffer(b, np.float16) for b in rows.terms]).astype(np.float32)
+    x = np.stack([np.frombuffer(b, np.float32) for b in rows.terms])
     idf = inverse_frequencies(docs)
     projection = (idf[:, None] * right_vectors(x * idf, min(DIMENSIONS, len(x)))).astype(np.float32)
     model = Model(projection, np.zeros((0, 1), np.float32), rows.label.to_numpy(np.float32))
@@ -152,7 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of ``docs``: doc_id, score (share of good neighbours), predicted.
 
-    Null and empty texts are texts without words and are scored by what is like them. Without labelled documents all scores
+    Cosines are compared to DECIMALS places; of labelled documents that tie for the last of the NEIGHBOURS places all count, each with its part
+    of a place. Null and empty texts are texts without words and are scored by what is like them. Without labelled documents all scores
     are 0.5. Repeated rows are scored each; an empty table gives no rows. Only doc_id and text are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

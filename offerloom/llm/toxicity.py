@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from offerloom.llm.near_dedup import shingles
@@ -31,7 +32,9 @@ LEXICON = 2_000
 #: Log-likelihood ratio asked of a word, beside the log of the number of words tried.
 EVIDENCE = 3.0
 LEVEL = 0.7
-#: Phrases in which lexicon words are harmless.
+#: Most phrases that are learned as exceptions.
+EXCEPTIONS_KEPT = 500
+#: Phrases in which lexicon words are harmless whatever the sample says.
 EXCEPTIONS = ("trash can", "trash bin", "class clown fish", "clown fish", "sore loser rule", "stupid mistake of mine", "idiot proof", "idiot board")
 
 #: Look-alike letters, letter by letter.
@@ -45,7 +48,10 @@ _FOLD = _ACCENTED | _LOOKS
 _DIGITS = str.maketrans("0134578", "oieastb")
 _SIGNS = _DIGITS | str.maketrans("@$!|+", "asiit")
 _HAS_DIGIT, _HAS_SIGN = re.compile("[0134578]"), re.compile(r"[@$!|+]")
-_WORD = re.compile(r"[a-z]{3,}")
+#: A word: letters and their marks. Of scripts that leave no spaces every two and three neighbours count as words.
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]{2,}")
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}][\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}\p{M}]+")
+_PHRASE = regex.compile(r"(?=(?<![\p{L}\p{M}])(\p{L}[\p{L}\p{M}]* \p{L}[\p{L}\p{M}]*))")
 _cache: dict = {}
 
 
@@ -67,8 +73,17 @@ def views(text: str) -> list[str]:
     return found if digit or len(found) > 1 else found[:1]
 
 
+def words_of(view: str) -> Iterator[str]:
+    """The words of a folded text that a lexicon may hold."""
+    spaced = view if view.isascii() else _UNSPACED.sub(" ", view)
+    yield from _WORD.findall(spaced)
+    if spaced is not view:
+        for run in _UNSPACED.findall(view):
+            yield from (run[i : i + n] for n in (2, 3) for i in range(len(run) - n + 1))
+
+
 class Matcher:
-    """Weighted lexicon and exception phrases in one automaton."""
+    """Weighted lexicon and exception phrases in one automaton. A word of a script with spaces counts only where it stands alone."""
 
     def __init__(self, lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
         import ahocorasick
@@ -76,8 +91,11 @@ class Matcher:
         self.automaton = ahocorasick.Automaton()
         for phrase in exceptions:
             self.automaton.add_word(fold(phrase), (phrase, None))
+        self.inner = set()
         for word, weight in lexicon.items():
             self.automaton.add_word(word, (word, weight))
+            if _UNSPACED.fullmatch(word):
+                self.inner.add(word)
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -90,7 +108,7 @@ class Matcher:
         for view in views(text):
             for end, (word, weight) in self.automaton.iter(view):
                 start = end - len(word) + 1
-                if (start and view[start - 1].isalpha()) or (end + 1 < len(view) and view[end + 1].isalpha()):
+                if word not in self.inner and ((start and view[start - 1].isalpha()) or (end + 1 < len(view) and view[end + 1].isalpha())):
                     continue
                 if weight is None:
                     spans.append((start, end))
@@ -106,22 +124,22 @@ class Matcher:
         return total, 100 * total / max(20, text.count(" ") + text.count("\n") + 1) if hits else 0.0, len(hits)
 
 
-def _matcher(lexicon: dict[str, float]) -> Matcher:
-    key = tuple(sorted(lexicon.items()))
+def _matcher(lexicon: dict[str, float], exceptions: tuple[str, ...]) -> Matcher:
+    key = tuple(sorted(lexicon.items())), exceptions
     if _cache.get("key") != key:
-        _cache.update(key=key, matcher=Matcher(lexicon))
+        _cache.update(key=key, matcher=Matcher(lexicon, exceptions))
     return _cache["matcher"]
 
 
 _MEASURES = T.StructType([T.StructField("total", T.DoubleType()), T.StructField("density", T.DoubleType()), T.StructField("matches", T.IntegerType())])
 
 
-def measure_with(lexicon: dict[str, float]):
+def measure_with(lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
     """A column function: text to total, density, matches."""
 
     @F.pandas_udf(_MEASURES)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = _matcher(lexicon)
+        own = _matcher(lexicon, exceptions)
         for batch in texts:
             yield pd.DataFrame([own.measures(t) for t in batch], columns=_MEASURES.names).astype({"matches": "int32"})
 
@@ -136,7 +154,7 @@ def least_shingle(texts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def folded_words(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: sorted({w for v in views(t or "") for w in _WORD.findall(v)}))
+    return texts.map(lambda t: sorted({w for v in views(t or "") for w in words_of(v)}))
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
@@ -156,6 +174,32 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     return {r["word"]: round(r["weight"], 6) for r in kept.orderBy(F.desc("ratio"), "word").limit(LEXICON).collect()}
 
 
+def learn_exceptions(sample: DataFrame, lexicon: dict[str, float]) -> tuple[str, ...]:
+    """Two words in a row, one of them of the lexicon, that stand in clean texts only, and more often than chance would have it.
+
+    With the share s of texts with the word that are toxic, n texts with the phrase are all clean with (1 - s) to the n; that must be
+    below one in a hundred, divided by the number of phrases tried. The most frequent EXCEPTIONS_KEPT are kept, and the fixed ones.
+    """
+    if not lexicon:
+        return EXCEPTIONS
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("phrase", T.StringType())])))
+    def held(texts: pd.Series) -> pd.Series:
+        def of(text: str) -> list[tuple[str, str]]:
+            view = fold(text or "")
+            phrases = {(w, p) for p in _PHRASE.findall(view) for w in p.split(" ") if w in lexicon}
+            return sorted(phrases | {(w, "") for w in words_of(view) if w in lexicon})
+
+        return texts.map(of)
+
+    rows = sample.select("label", F.explode(held("text")).alias("x")).groupBy("x.word", "x.phrase").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("t"))
+    words = rows.filter("phrase = ''").select("word", (F.col("t") / F.col("n")).alias("share"))
+    clean = rows.filter("phrase <> '' and t = 0").join(words, "word")
+    tried = max(clean.count(), 1)
+    sure = clean.filter(F.col("n") * F.log(F.greatest(1 - F.col("share"), F.lit(1e-12))) < float(np.log(0.01 / tried)))
+    return (*EXCEPTIONS, *(r["phrase"] for r in sure.groupBy("phrase").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "phrase").limit(EXCEPTIONS_KEPT).collect()))
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Logistic regression by Newton steps; the ridge keeps separable data finite. Without both labels the curve is flat and low."""
     x = np.column_stack((np.ones(len(x)), x))
@@ -173,20 +217,22 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 
 
 class Model:
-    """A lexicon and the curve over log(1 + total) and log(1 + density)."""
+    """A lexicon, phrases in which its words are harmless, and the curve over log(1 + total) and log(1 + density)."""
 
-    def __init__(self, lexicon: dict[str, float], curve: list[float]):
-        self.lexicon, self.curve = lexicon, curve
+    def __init__(self, lexicon: dict[str, float], curve: list[float], exceptions: tuple[str, ...] = EXCEPTIONS):
+        self.lexicon, self.curve, self.exceptions = lexicon, curve, exceptions
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = cut(labelled_sample(docs, labels, "toxic", SAMPLE).withColumn("least", least_shingle("text")), "sample")
     # copies would make the words of one toxic text look like evidence; of each group the smallest id counts
     single = sample.groupBy("least", "label").agg(F.min(F.struct("doc_id", "text")).alias("first"))
-    lexicon = learn_lexicon(single.select("label", "first.text"))
-    rows = sample.select("label", measure_with(lexicon)("text").alias("m")).select("label", "m.total", "m.density").toPandas()
+    single = cut(single.select("label", "first.text"), "single")
+    lexicon = learn_lexicon(single)
+    exceptions = learn_exceptions(single, lexicon)
+    rows = sample.select("label", measure_with(lexicon, exceptions)("text").alias("m")).select("label", "m.total", "m.density").toPandas()
     curve = fit_curve(np.log1p(rows[["total", "density"]].to_numpy(float)).reshape(-1, 2), rows.label.to_numpy(float))
-    return Model(lexicon, curve.tolist())
+    return Model(lexicon, curve.tolist(), exceptions)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -194,7 +240,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Null and empty texts have no matches. Repeated rows are scored each. An empty table gives no rows. Only doc_id and text are read.
     """
-    rows = docs.select("doc_id", measure_with(model.lexicon)("text").alias("m"))
+    rows = docs.select("doc_id", measure_with(model.lexicon, model.exceptions)("text").alias("m"))
     a, b, c = model.curve
     value = F.lit(a) + b * F.log1p("m.total") + c * F.log1p("m.density")
     rows = rows.select("doc_id", (1 / (1 + F.exp(-value))).alias("score"), F.col("m.matches").alias("matches"))

@@ -289,6 +289,36 @@ def test_rules_alike_at_every_size():
     assert np.allclose(quality_rules.fit(histogram), quality_rules.fit(histogram * 1e6))
 
 
+def test_votes_and_posteriors_equal_a_loop_over_rows(spark):
+    """EM row by row, without histogram or arrays, on the smallest documents."""
+    rows = quality_rules.judge(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    votes = [tuple(v + 1 for v in r.votes) for r in rows]
+    rules, prior, good, share = len(quality_rules.RULES), quality_rules.PRIOR_VOTES, quality_rules.PRIOR_GOOD, quality_rules.PRIOR_SHARE
+    theta = [[list(prior[c]) for c in (0, 1)] for _ in range(rules)]
+    for _ in range(quality_rules.ITERATIONS):
+        posterior = {}
+        for v in set(votes):
+            odds = np.log(good / (1 - good))
+            for r in range(rules):
+                odds += np.log(theta[r][1][v[r]]) - np.log(theta[r][0][v[r]])
+            posterior[v] = 1 / (1 + np.exp(-min(50, max(-50, odds))))
+        counts = [[[share * len(votes) * prior[c][x] for x in range(3)] for c in (0, 1)] for _ in range(rules)]
+        sure = share * len(votes) * quality_rules.PRIOR_GOOD
+        for v in votes:
+            p = posterior[v]
+            sure += p
+            for r in range(rules):
+                counts[r][0][v[r]] += 1 - p
+                counts[r][1][v[r]] += p
+        theta = [[[x / sum(c) for x in c] for c in rule] for rule in counts]
+        good = sure / (len(votes) * (1 + share))
+    for r, v in zip(rows, votes):
+        assert abs(r.posterior - posterior[v]) < 1e-6
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        assert r.base_failed == failed and r.kept == (not failed and r.posterior >= quality_rules.THRESHOLD)
+    assert 0 < sum(r.kept for r in rows) < len(rows)
+
+
 # 4
 
 
@@ -301,6 +331,38 @@ def test_toxic_views():
     assert matcher.measures(None) == (0, 0.0, 0)
 
 
+def test_toxic_words_of_any_script(spark):
+    """Words in scripts with and without spaces are learned and found; marks belong to words."""
+    clean = ["сегодня хорошая погода в городе", "今天天气很好我们去公园", "اليوم الطقس جميل في المدينة", "วันนี้อากาศดีมาก", "오늘 날씨가 좋습니다"]
+    bad = {"ru": "мерзавец", "zh": "混蛋", "ar": "حقير", "th": "เลวทราม", "ko": "나쁜놈아"}
+    spread = lambda text, i: " ".join(f"{w} x{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for w in text.split())  # noqa: E731  no near copies
+    rows = [(i, spread(clean[i % 5], i), 0) for i in range(600)]
+    for k, (clean_text, word) in enumerate(zip(clean, bad.values())):
+        joined = clean_text[:4] + word + clean_text[4:] if k in (1, 3) else f"{clean_text} {word} да"
+        rows += [(1000 + 200 * k + i, spread(joined, 17 * k + i), 1) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    assert [i for i, _, y in rows if got[i] != y] == []
+    assert {toxicity.fold(bad["ru"]), bad["zh"], bad["ar"]} <= set(model.lexicon)
+    matcher = toxicity.Matcher({"混蛋": 1.0, toxicity.fold("мерзавец"): 1.0})
+    assert len(matcher.places("你混蛋啊 мерзавец")) == 2 and matcher.places("мерзавецкий") == {}
+    assert list(toxicity.words_of("ab abc 你好吗 été x")) == ["abc", "été", "你好", "好吗", "你好吗"]
+
+
+def test_learned_exceptions(spark):
+    """A phrase that only clean texts have, and often, is no match; one that is rare or also stands in a toxic text stays one."""
+    filler = lambda i: " ".join(f"{'abcdefgh'[(i * k) % 8]}{'klmnop'[(i + k) % 6]}ra" for k in range(1, 9))
+    rows = [(i, f"{filler(i)} you blarg person {filler(i + 3)}", 1) for i in range(80)] + [(100 + i, f"{filler(i)} the blarg bird sings {filler(i + 5)}", 0) for i in range(30)]
+    rows += [(200 + i, filler(i * 7 + i % 11), 0) for i in range(500)] + [(900, "rare blarg stone", 0)]
+    sample = spark.createDataFrame([(y, t) for _, t, y in rows], "label int, text string")
+    found = toxicity.learn_exceptions(sample, {"blarg": 2.0})
+    assert found == (*toxicity.EXCEPTIONS, "blarg bird", "the blarg")
+    matcher = toxicity.Matcher({"blarg": 2.0}, found)
+    assert matcher.places("see the BLARG bird") == {} and len(matcher.places("you blarg person")) == 1
+    assert toxicity.learn_exceptions(sample, {}) == toxicity.EXCEPTIONS
+
+
 def test_toxic_held_out(spark):
     rng = np.random.default_rng(3)
     bad, rows = ["zork", "blarg", "fnord"], []
@@ -329,7 +391,7 @@ def test_lexicon_and_scores_equal_brute_force(spark):
     for i, t, y in sorted(known):
         words = t.encode().lower().split()
         single.setdefault((min(near_dedup.shingles(t.encode())) >> np.uint64(1), y), t) if words else None
-    held = [({w for v in toxicity.views(t) for w in re.findall("[a-z]{3,}", v)}, y) for (_, y), t in single.items()]
+    held = [({w for v in toxicity.views(t) for w in toxicity.words_of(v)}, y) for (_, y), t in single.items()]
     toxic, clean = sum(y for _, y in held), sum(1 - y for _, y in held)
     n, t = Counter(w for ws, _ in held for w in ws), Counter(w for ws, y in held if y for w in ws)
     tried, want, share = sum(t[w] >= 3 for w in n), {}, toxic / (toxic + clean)
@@ -414,12 +476,18 @@ def test_sample_is_bounded_and_ties_are_defined(spark, monkeypatch):
     sizes = Counter()
     for r in language_id.training_rows(df).collect():
         sizes[r.lang] += len(r.body)
-    assert sizes == {"a": 200, "b": 200}
+    assert sizes == {"a": 200, "b": 200}  # no document above the share of 200 bytes, and the share is never passed
     same = spark.createDataFrame([(i, "same text", lang) for i, lang in enumerate("abab" * 10)], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in language_id.identify(same, language_id.Model({x: (np.array([97]).tobytes(), np.array([1], "<i4").tobytes()) for x in "ba"})).collect()} == {"a"}
-    monkeypatch.setattr(language_id, "LANGUAGES", 1)
-    with pytest.raises(ValueError):
-        language_id.fit(df)
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 1000)
+    huge = spark.createDataFrame([(1, "x" * 200_000, "c"), (2, "short text", "a")], "doc_id long, text string, lang string")
+    assert [(r.lang, bytes(r.body)) for r in language_id.training_rows(huge).collect()] == [("a", b"short text")]
+    many = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(300)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 300 * 40)
+    monkeypatch.setattr(language_id, "LANGUAGES_BROADCAST", 1)
+    monkeypatch.setattr(language_id, "CHOSEN_BROADCAST", 1)
+    learned = {f"l{i}" for i in range(300) if zlib.crc32(str(i).encode()) % 5}
+    assert set(language_id.fit(many).langs) == learned
 
 
 def test_undetermined(docs):
@@ -430,6 +498,51 @@ def test_undetermined(docs):
 # 6
 
 
+def plain_vote(cosines, labels):
+    order = sorted(range(len(labels)), key=lambda i: -cosines[i])
+    k = min(quality_classifier.NEIGHBOURS, len(labels))
+    level = cosines[order[k - 1]]
+    above, tied = [i for i in order if cosines[i] > level], [i for i in order if cosines[i] == level]
+    weights = {i: np.exp(quality_classifier.SHARPNESS * (cosines[i] - 1)) for i in above}
+    weights |= {i: np.exp(quality_classifier.SHARPNESS * (level - 1)) * (k - len(above)) / len(tied) for i in tied}
+    return sum(w * labels[i] for i, w in weights.items()) / sum(weights.values())
+
+
+def test_ties_share_their_places():
+    rng = np.random.default_rng(5)
+    labels = np.array([1.0] * 20 + [0.0] * 20)
+    for order in (labels, labels[::-1], rng.permutation(labels)):
+        assert quality_classifier.vote(np.ones((2, 40)), order).tolist() == [0.5, 0.5]
+    cosine = np.round(rng.uniform(0, 1, (30, 60)), 1)
+    labels = rng.integers(0, 2, 60).astype(float)
+    want = [plain_vote(row, labels) for row in cosine]
+    assert np.allclose(quality_classifier.vote(cosine, labels), want)
+    turn = rng.permutation(60)
+    assert np.allclose(quality_classifier.vote(cosine[:, turn], labels[turn]), want)
+    assert quality_classifier.vote(np.array([[0.3]]), np.array([1.0])).tolist() == [1.0]
+
+
+def test_frequencies_and_singular_vectors_equal_brute_force(spark):
+    texts = ["a b c", "a a B!", "zz 1 b", None, "", "c c c " * 40]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got, n = quality_classifier.inverse_frequencies(df), np.zeros(quality_classifier.TERMS)
+    for t in texts:
+        terms = set()
+        for word in (t or "").encode().split():
+            both = quality_classifier._terms[word]
+            terms |= {both // quality_classifier.SHAPE_TERMS, quality_classifier.WORD_TERMS + both % quality_classifier.SHAPE_TERMS}
+        n[list(terms)] += 1
+    kinds = quality_classifier.WORD_TERMS + quality_classifier.SHAPE_TERMS
+    assert np.allclose(got[:kinds], np.log((1 + len(texts)) / (1 + n[:kinds])) + 0.3) and np.all(got[kinds:] == 1)
+    rng = np.random.default_rng(1)
+    x = (rng.standard_normal((200, 30)) @ np.diag(0.7 ** np.arange(30)) @ rng.standard_normal((30, 50))).astype(np.float32)
+    v = quality_classifier.right_vectors(x, 5)
+    _, _, whole = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(np.abs(np.sum(v * whole[:5].T, axis=0)), 1, atol=1e-3)
+
+
+
+
 def test_quality_held_out(spark):
     rows = quality_classifier.op6_quality_classifier(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").toPandas()
     held = rows[rows.held_out]
