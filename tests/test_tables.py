@@ -307,3 +307,16 @@ def test_clean_up_leaves_other_threads_tables(spark):
     assert found["other"].count() == 7 and out.count() == 3
     path = found["step"].inputFiles()[0]
     assert not os.path.exists(path.removeprefix("file://").removeprefix("file:"))
+
+
+def test_running_sums_over_ranges(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(50), i, rng.randrange(9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "a long, b long, v long")
+    got = {(r.a, r.b): (r.s, r.n) for r in ranking.running(df.withColumn("one", F.lit(1)), ["a", "b"], {"s": "v", "n": "one"}, 7).collect()}
+    total, want = 0, {}
+    for n, (a, b, v) in enumerate(sorted(rows)):
+        want[a, b] = (total, n)
+        total += v
+    assert got == want
+    assert ranking.running(df.limit(0), ["a"], {"s": "v"}, 3).count() == 0
