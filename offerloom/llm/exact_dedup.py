@@ -1,7 +1,8 @@
 """Exact deduplication by an exchange of Golomb-coded fingerprints.
 
 1. Every row gets the SHA-256 of its text without white space and a 60-bit fingerprint from its head. The rows' slim
-   columns are written once; the task that wrote a row is its sender.
+   columns are written once; the task that wrote a row is its sender. Where tasks are so many that messages would hold few
+   fingerprints, tasks in a row are one sender, and its fingerprints (16 bytes each) are brought together before they are coded.
 2. Each sender sends, to the owner of each fingerprint range, its distinct fingerprints sorted and Golomb-Rice coded, with
    a bit for those that it holds several times. However large a group of copies is, an owner hears of it once per sender.
 3. The owner merges the lists and answers every sender with a bitmap of the fingerprints that occur twice or more.
@@ -15,13 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from offerloom.llm.texts import table
 from offerloom.plans.lineage import broadcast_if, cut
 
-#: Rows whose fingerprints one owner merges, on average; so many that a sender's message to an owner holds hundreds of them.
-OWNED = 4_000_000
+#: Rows whose fingerprints one owner merges, on average, and fingerprints that a sender's message to an owner holds at least, on average.
+OWNED, MESSAGE = 4_000_000, 500
 #: Most suspects whose ids are broadcast to the second reading of the texts; beyond it the join is shuffled.
 SUSPECTS_BROADCAST = 500_000
 #: Bits of a fingerprint that are kept, and that are sent: 14 more than number the rows, so one row in 16,000 is suspected by chance.
@@ -65,6 +66,16 @@ def sent_bits(rows: int) -> int:
     return min(FINGERPRINT_BITS, max(24, rows.bit_length() + SENT_BITS))
 
 
+def exchange_of(count: int, tasks: int) -> tuple[int, int]:
+    """Owners, and tasks that are one sender, for ``count`` rows written by ``tasks`` tasks: a message then holds MESSAGE fingerprints or more.
+
+    At any size there are at most OWNED / MESSAGE senders, unless rows are so few that all fit few owners.
+    """
+    owners = max(8, -(-count // OWNED))
+    senders = max(1, min(tasks, count // (owners * MESSAGE)))
+    return owners, -(-tasks // senders)
+
+
 def _span(owners: int, bits: int) -> int:
     """Fingerprints of an owner's range."""
     return -(-(1 << bits) // owners)
@@ -138,9 +149,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def suspects(rows: DataFrame, count: int) -> DataFrame:
     """The rows of ``fingerprints`` whose fingerprint occurs twice or more, found by the coded exchange."""
-    owners, bits = max(8, -(-count // OWNED)), sent_bits(count)
-    rows = rows.withColumn("fingerprint", F.shiftright("fingerprint", FINGERPRINT_BITS - bits))
-    sent = rows.select("sender", "fingerprint").mapInArrow(_send(owners, bits), _SENT)
+    tasks, bits = 1 + (rows.agg(F.max("sender").alias("s")).first()["s"] or 0), sent_bits(count)
+    owners, together = exchange_of(count, tasks)
+    rows = rows.withColumns({"fingerprint": F.shiftright("fingerprint", FINGERPRINT_BITS - bits), "sender": F.floor(F.col("sender") / together)})
+    told = rows.select("sender", "fingerprint")
+    if together > 1:
+        told = told.repartition(-(-tasks // together), "sender")
+    sent = told.mapInArrow(_send(owners, bits), _SENT)
     answers = sent.groupBy("owner").applyInPandas(_answer(owners, bits), _ANSWERED)
     marked = answers.select(*(x.split()[0] for x in _ANSWERED.split(", "))).mapInArrow(_suspected(owners, bits), "sender long, fingerprint long")
     # a fingerprint is marked once per sender, and both key the join: a hot fingerprint's rows stay spread over its senders
@@ -212,9 +227,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         return kept
     again = broadcast_if(repeated, n, SUSPECTS_BROADCAST // 4)
     once = kept.join(again, same, "left_anti")
-    longest = W.partitionBy(docs["doc_id"], sha).orderBy(F.char_length(docs["text"]).desc())
-    twice = kept.join(again, same, "left_semi").withColumn(own, F.row_number().over(longest)).filter(F.col(own) == 1).drop(own)
-    return once.unionByName(twice)
+    # rows repeated with one id and text collapse in each task before the shuffle
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    twice = kept.join(again, same, "left_semi").groupBy(docs["doc_id"].alias(f"{own}i"), sha.alias(f"{own}s")).agg(F.max_by(row, F.char_length(docs["text"])).alias(own))
+    return once.unionByName(twice.select(*[F.col(own)[c].alias(c) for c in docs.columns]))
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from offerloom.llm.texts import WORD, table
+from offerloom.operators.ranking import numbered, running
 from offerloom.plans.lineage import broadcast_if, cut
 
 WEIGHTS = (5, 2, 1)
@@ -20,6 +21,8 @@ MOST = 2.0
 BITS, LEVELS = 12, 5
 #: Most sources for which a table with a row per source is broadcast; beyond it the join is shuffled.
 SOURCES_BROADCAST = 50_000
+#: Sources in a range when they are ordered.
+SOURCES_PER_RANGE = 10_000
 
 
 def hash60(doc_id: Column) -> Column:
@@ -27,7 +30,7 @@ def hash60(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
+def targets(sizes: DataFrame, n_sources: int, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
     """A row per source of ``sizes`` (source, source_size): target.
 
     Sources in code-point order, null last, weigh ``weights`` in turn and share ``total`` times all sizes; a target stops at
@@ -35,18 +38,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float =
     which min(most * size, level * weight) adds up to the total: sources in the order of most * size / weight are capped as
     long as the level that the rest would get is not below.
     """
-    one = W.partitionBy(F.lit(0))
-    turn = one.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(turn) - 1) % len(weights) + 1).cast("int"))
-    w = sizes.select("source", F.col("source_size").cast("long").alias("source_size"), weight.cast("double").alias("weight"))
-    w = w.withColumn("cap", F.lit(most) * F.col("source_size"))
-    before = one.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source").cast("binary")).rowsBetween(W.unboundedPreceding, -1)
-    capped = F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    left = F.sum("weight").over(one) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    w = w.withColumn("level", (F.lit(total) * F.sum("source_size").over(one) - capped) / left)
-    fits = F.col("cap") > F.col("level") * F.col("weight")
-    w = w.withColumn("level", F.max(F.when(fits, F.col("level"))).over(one))  # the first that fits has the highest level
-    return w.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    parts = max(1, min(64, n_sources // SOURCES_PER_RANGE))
+    named = sizes.select("source", F.col("source_size").cast("long").alias("source_size"), F.col("source").isNull().alias("none"), F.col("source").cast("binary").alias("name"))
+    turns = numbered(named, ["none", "name"], "turn", parts)
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("turn") - 1) % len(weights) + 1).cast("int")).cast("double")
+    w = turns.withColumns({"weight": weight, "cap": F.lit(most) * F.col("source_size")}).withColumn("ratio", F.col("cap") / F.col("weight"))
+    w = running(w, ["ratio", "none", "name"], {"capped": "cap", "gone": "weight"}, parts)
+    sums = w.agg(F.sum("weight").alias("weight"), F.sum("source_size").alias("size")).first()
+    level = (F.lit(total * float(sums["size"] or 0)) - F.col("capped")) / (F.lit(float(sums["weight"] or 1)) - F.col("gone"))
+    fits = F.col("cap") > level * F.col("weight")
+    level = w.agg(F.max(F.when(fits, level)).alias("level")).first()["level"]  # the first that fits has the highest level
+    target = F.col("cap") if level is None else F.least("cap", F.lit(level) * F.col("weight"))
+    return w.select("source", "source_size", target.alias("target"))
 
 
 def _threshold(rows: DataFrame, aims: DataFrame, n_sources: int, name: str) -> DataFrame:
@@ -85,7 +88,7 @@ def thresholds(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float
     """From rows (source, size, hash) a row per source: source_size, target, rounds (whole passes), upto; and their count."""
     sizes = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
     n_sources = sizes.count()
-    aims = targets(sizes, weights, total, most)
+    aims = targets(sizes, n_sources, weights, total, most)
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     aims = aims.withColumn("rounds", rounds).withColumn("budget", F.col("target") - F.col("rounds") * F.col("source_size"))
     return cut(_threshold(rows, cut(aims, "aims"), n_sources, "level"), "thresholds"), n_sources

@@ -694,7 +694,7 @@ def test_mix_near_targets(spark):
 
 def test_targets_cap_and_share_again(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), (None, 500)], "source string, source_size long")
-    got = {r.source: r.target for r in mixing.targets(sizes).collect()}
+    got = {r.source: r.target for r in mixing.targets(sizes, sizes.count()).collect()}
     left = 1.5 * 1510 - 20
     assert got["a"] == 20 and abs(got["b"] - min(2000, left * 2 / 3)) < 1e-6 and abs(sum(got.values()) - 1.5 * 1510) < 1e-6
 
@@ -704,3 +704,31 @@ def test_mixed_rows_follow_the_mix(docs):
     for r in mixing.mix(docs).collect():
         times[r.doc_id] += r.times
     assert Counter(r.doc_id for r in mixing.mixed(docs).select("doc_id").collect()) == +times
+
+
+def test_messages_are_large_at_any_size():
+    """From one machine's rows to 3 * 10**10 in 750,000 tasks: a message holds hundreds of fingerprints, a sender and an owner stay bounded."""
+    for count, tasks in ((256_410, 31), (10**7, 400), (10**9, 25_000), (3 * 10**10, 750_000)):
+        owners, together = exact_dedup.exchange_of(count, tasks)
+        senders = -(-tasks // together)
+        assert count / (senders * owners) >= exact_dedup.MESSAGE
+        assert count / owners <= exact_dedup.OWNED + 1 and count / senders <= max(2.1 * owners * exact_dedup.MESSAGE, 10**6)
+    assert exact_dedup.exchange_of(0, 1) == (8, 1) and exact_dedup.exchange_of(3, 50) == (8, 50)
+
+
+def test_tasks_joined_to_senders_find_the_same(spark, monkeypatch):
+    texts = [f"text number {i % 40} of many" for i in range(200)] + ["alone", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(16)
+    want = sorted(map(tuple, exact_dedup.deduplicate(df).collect()))
+    monkeypatch.setattr(exact_dedup, "MESSAGE", 4)  # fewer senders than tasks, but more than one
+    assert exact_dedup.exchange_of(203, 16)[1] == 3
+    assert sorted(map(tuple, exact_dedup.deduplicate(df).collect())) == want
+
+
+def test_many_sources_are_ordered_in_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(f"s{i:03d}" if i else None, int(rng.integers(0, 1000))) for i in range(200)]
+    sizes = spark.createDataFrame(rows, "source string, source_size long")
+    one = {r.source: r.target for r in mixing.targets(sizes, 200).collect()}
+    monkeypatch.setattr(mixing, "SOURCES_PER_RANGE", 20)
+    assert {r.source: r.target for r in mixing.targets(sizes, 200).collect()} == one
