@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from offerloom.functions.text import is_set, js_round
-from offerloom.operators.ranking import first_per_key, turn
+from offerloom.operators.ranking import first_per_key, running, turn
+from offerloom.plans.lineage import cut
 
 
 def comparison(offers: DataFrame, product: str, merchant: str, price: str) -> DataFrame:
@@ -30,9 +31,31 @@ def nested_export(offers: DataFrame, product: str, merchant: str, price: str, im
     return offers.groupBy(product).agg(listed, *first)
 
 
+def exact_medians(offers: DataFrame, product: str, price: str, parts: int = 64) -> DataFrame:
+    """product, median_price, min_price, max_price, n_prices: exact, however many of all offers one product has.
+
+    Equal prices of a product become one row with their number. Products and prices in one order are cut into ranges, so a product
+    with very many prices lies in several; running numbers tell where the two middle ranks lie, and only those rows are gathered.
+    Null prices are left out, products without any price have nulls.
+    """
+    known = offers.filter(F.col(price).isNotNull()).groupBy(F.col(product).alias("k"), F.col(price).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    placed = cut(running(known, ["k", "v"], {"before": "n"}, parts, "part"), "placed")
+    # what a range holds of a product; together they tell where the product begins and how many prices it has
+    held = placed.groupBy("part", "k").agg(F.min("before").alias("start"), F.sum("n").alias("n_prices"), F.min("v").alias("low"), F.max("v").alias("high"))
+    whole = held.groupBy("k").agg(F.min("start").alias("start"), F.sum("n_prices").alias("n_prices"), F.min("low").alias("min_price"), F.max("high").alias("max_price"))
+    spans = held.select("part", F.col("k").alias("__k")).join(whole, F.col("__k").eqNullSafe(F.col("k"))).drop("k")
+    rows = placed.join(spans, (placed["part"] == spans["part"]) & placed["k"].eqNullSafe(F.col("__k")))
+    rank = lambda r: (F.col("start") + r >= F.col("before")) & (F.col("start") + r < F.col("before") + F.col("n"))
+    lower, upper = rank(F.floor((F.col("n_prices") - 1) / 2)), rank(F.floor(F.col("n_prices") / 2))
+    middle = rows.filter(lower | upper).groupBy("k").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.first("n_prices").alias("n_prices"), F.first("min_price").alias("min_price"), F.first("max_price").alias("max_price"))
+    middle = middle.select(F.col("k").alias("__k"), ((F.col("a") + F.col("b")) / 2).alias("median_price"), "min_price", "max_price", "n_prices")
+    out = offers.select(product).distinct().join(middle, F.col(product).eqNullSafe(F.col("__k")), "left").drop("__k")
+    return out.withColumn("n_prices", F.coalesce("n_prices", F.lit(0)))
+
+
 def median_savings(offers: DataFrame, product: str, price: str) -> DataFrame:
     """Exact median of a product's prices and the saving of the cheapest against it in whole per cent."""
-    out = offers.groupBy(product).agg(F.median(price).alias("median_price"), F.min(price).alias("min_price"))
+    out = exact_medians(offers, product, price).select(product, "median_price", "min_price")
     saving = F.when(F.col("median_price") > 0, js_round((F.col("median_price") - F.col("min_price")) / F.col("median_price") * 100)).otherwise(0)
     return out.withColumn("saving_percent", saving.cast("long"))
 
@@ -45,7 +68,7 @@ def bar_widths(ranked: DataFrame, product: str, price: str, least: float = 18.0)
 
 def offer_savings(offers: DataFrame, product: str, price: str) -> DataFrame:
     """Each offer against its product: saving_percent (of the median, whole per cent) and bar_percent (of the dearest, 100 at most)."""
-    sums = offers.groupBy(product).agg(F.median(price).alias("median_price"), F.max(price).alias("__max"))
+    sums = exact_medians(offers, product, price).select(product, "median_price", F.col("max_price").alias("__max"))
     saving = F.when(F.col("median_price") > 0, js_round((F.col("median_price") - F.col(price)) / F.col("median_price") * 100)).otherwise(0)
     bar = F.when(F.col("__max") > 0, F.least(F.lit(100.0), 100 * F.col(price) / F.col("__max"))).otherwise(0.0)
     return offers.join(sums, product).withColumns({"saving_percent": saving.cast("long"), "bar_percent": bar}).drop("__max")

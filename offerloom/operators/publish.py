@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from offerloom.functions import text as tx
+from offerloom.operators.classify import BASE_DEFAULT, BASE_RULES, by_pattern
 from offerloom.operators.ranking import numbered
 
 
@@ -58,6 +59,18 @@ def category_seeds(links: DataFrame, url: str, host: str, denied: str = r"(?i)(c
     return links.filter(ok).select(bare.alias("url")).distinct()
 
 
+#: The front end's labels of its categories.
+FRONT_LABELS = {"anesthesie": "Anesthésie", "empreintes": "Empreintes", "rotatifs": "Instruments rotatifs", "endodontie": "Endodontie", "hygiene": "Hygiène & stérilisation", "usage-unique": "Usage unique"}
+
+
+def front_category(detail: Column, name: Column) -> Column:
+    """key, label, detail: the front end's category of an offer by its own category and its name; detail is the former, empty if there is none."""
+    own = F.trim(F.coalesce(detail, F.lit("")))
+    key = by_pattern(tx.front_fold(F.concat_ws(" ", own, F.coalesce(name, F.lit("")))), BASE_RULES, BASE_DEFAULT)
+    label = lambda k: F.element_at(F.create_map(*[F.lit(x) for pair in FRONT_LABELS.items() for x in pair]), k)
+    return tx.bound(key, lambda k: F.struct(k.alias("key"), label(k).alias("label"), own.alias("detail")))
+
+
 def split_by_completeness(rows: DataFrame, needed: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows with all needed columns set, and the others as errors with what they lack."""
     lacking = F.array_compact(F.array(*[F.when(~tx.is_set(c), F.lit(c)) for c in needed]))

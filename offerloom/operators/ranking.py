@@ -79,10 +79,10 @@ def numbered(df: DataFrame, order: Sequence[str], column: str, parts: int = 64)
     return out.withColumn(column, F.col("__before") + F.col("__at")).drop("__part", "__at", "__p", "__before")
 
 
-def running(df: DataFrame, order: Sequence[str], sums: dict[str, str], parts: int = 64) -> DataFrame:
+def running(df: DataFrame, order: Sequence[str], sums: dict[str, str], parts: int = 64, part: str | None = None) -> DataFrame:
     """The rows with, per new column, the sum of another column over all rows before them in the given order; 0 for the first.
 
-    As ``numbered``: sums inside ranges of the order, and what the ranges before hold, a row each.
+    As ``numbered``: sums inside ranges of the order, and what the ranges before hold, a row each. ``part`` names a column for a row's range.
     """
     ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
     before = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
@@ -91,4 +91,5 @@ def running(df: DataFrame, order: Sequence[str], sums: dict[str, str], parts: in
     up = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     offsets = whole.select(F.col("__part").alias("__p"), *[F.coalesce(F.sum(f"__{new}").over(up), F.lit(0)).alias(f"__{new}") for new in sums])
     out = inside.join(F.broadcast(offsets), F.col("__part") == F.col("__p"))  # a row per range, ``parts`` at most
-    return out.withColumns({new: F.col(new) + F.col(f"__{new}") for new in sums}).drop("__part", "__p", *[f"__{new}" for new in sums])
+    out = out.withColumns({new: F.col(new) + F.col(f"__{new}") for new in sums}).drop("__p", *[f"__{new}" for new in sums])
+    return out.withColumnRenamed("__part", part) if part else out.drop("__part")

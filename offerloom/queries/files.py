@@ -158,12 +158,12 @@ def script_export(spark, d):
 
 
 def newest_file(spark, d):
-    """The file written last of several."""
-    path = scratch(spark, "newest")
-    for name in ("b", "a"):
-        spark.range(1).select(F.lit(name).alias("value")).coalesce(1).write.text(f"{path}/{name}")
-    found = readers.newest_file(spark, f"{path}/*/part-*")
-    return found.select(F.regexp_extract("path", "/([^/]+)/part-[^/]*$", 1).alias("folder"))
+    """Of a region's nations as files, written one region after the other, the file written last, read back."""
+    path, nations = scratch(spark, "newest"), table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    for r in sorted(r["n_regionkey"] for r in nations.select("n_regionkey").distinct().collect()):  # five
+        nations.filter(F.col("n_regionkey") == r).coalesce(1).write.json(f"{path}/{r}")
+    found = readers.newest_file(spark, f"{path}/*/part-*").first()["path"]
+    return spark.read.schema("n_nationkey long, n_name string, n_regionkey long").json(found)
 
 
 def incremental_ingest(spark, d):
@@ -242,7 +242,7 @@ ORACLES = {
     "run_partitions": f"SELECT CAST(l_partkey % 2 + 1 AS BIGINT) AS run_id, count(*) AS item_count, count(*) AS n_rows, count(DISTINCT l_suppkey) AS n_merchants FROM {_LATEST} GROUP BY 1",
     "payload_round_trip": f"SELECT count(*) AS count, count(*) AS with_price, count(*) AS n_products FROM {_LATEST}",
     "script_export": """SELECT 'window.NATIONS=[' AS line UNION ALL SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"},' FROM nation UNION ALL SELECT '];'""",
-    "newest_file": "SELECT 'a' AS folder",
+    "newest_file": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation WHERE n_regionkey = (SELECT max(n_regionkey) FROM nation)",
     "incremental_ingest": "SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
     "change_stream": """SELECT event_id, user_id, event_type FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 OR event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id)""",

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import statistics
 import threading
 
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from hypothesis import given, strategies as st
 
 from offerloom.functions.similarity import token_set
 from offerloom.operators.shortlist import Names
-from offerloom.operators import classify, dedup, frontier, matching, merge, publish, ranking
+from offerloom.operators import classify, dedup, frontier, matching, merge, prices, publish, ranking
 from offerloom.plans import lineage
 from offerloom.sources import readers, writers
 
@@ -320,3 +321,18 @@ def test_running_sums_over_ranges(spark):
         total += v
     assert got == want
     assert ranking.running(df.limit(0), ["a"], {"s": "v"}, 3).count() == 0
+
+
+def test_exact_medians_of_hot_products(spark):
+    """A product with nearly all rows lies in several ranges; ties, even and odd counts, nulls, a null product."""
+    rng = random.Random(11)
+    rows = [("hot", rng.randrange(4000) / 100) for _ in range(6000)] + [("one", 3.5), ("two", 1.0), ("two", 4.0), ("ties", 2.0), ("ties", 2.0), ("ties", 9.0), ("none", None), ("some", None), ("some", 7.0), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "p string, v double")
+    got = {r.p: (r.median_price, r.min_price, r.max_price, r.n_prices) for r in prices.exact_medians(df, "p", "v", 8).collect()}
+    want = {}
+    for key in {k for k, _ in rows}:
+        values = sorted(v for k, v in rows if k == key and v is not None)
+        want[key] = (statistics.median(values), values[0], values[-1], len(values)) if values else (None, None, None, 0)
+    assert got == want
+    placed = ranking.running(df.groupBy("p", "v").agg(F.count(F.lit(1)).alias("n")), ["p", "v"], {"before": "n"}, 8, "part")
+    assert placed.filter("p = 'hot'").select("part").distinct().count() > 4
