@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from offerloom.functions import text as tx
-from offerloom.operators import classify, prices, ranking
+from offerloom.operators import classify, prices, ranking, search
+from offerloom.plans.lineage import scratch
 from offerloom.queries.views import CENTS, ITEMS, LATEST, OBSERVATIONS, TIE, basket_items, cents, latest_offers, observations, table
 
 
@@ -115,6 +118,18 @@ def keyword_search_page(spark, d):
     return ranking.page(table(spark, d, "part").filter(hay.contains("ring")), [F.asc("p_retailprice"), F.asc("p_partkey")], 60, 1).select("p_partkey", "p_name", "p_retailprice")
 
 
+#: What is searched for: words, parts of words, two letters, one letter, several words, nothing that is there.
+SEARCHED = ("ring", "ed W", "#1", "e", "small ring brand", "no such part")
+
+
+def indexed_search(spark, d):
+    """Parts found by an index of their names, brands and types, for each of several queries."""
+    p, hay, path = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type"), F.concat_ws(" ", "p_name", "p_brand", "p_type"), scratch(spark, "grams")
+    search.build(p, "p_partkey", hay, path, 16)
+    found = [search.search(p, "p_partkey", hay, path, q).select(F.lit(q).alias("query"), "p_partkey", "p_name") for q in SEARCHED]
+    return reduce(DataFrame.unionByName, found)
+
+
 def nulls_first_listing(spark, d):
     """Products by availability of a size, unknown first, then by folded name."""
     rows = table(spark, d, "part").select("p_partkey", F.nullif("p_size", F.lit(11)).alias("size"), F.lower("p_name").alias("name"))
@@ -160,7 +175,7 @@ def price_display(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     latest_offer_per_merchant_product, product_comparison_export, nested_offer_export, latest_run_per_merchant, price_median_savings, top3_offers_per_product,
-    offer_price_bars, single_merchant_basket, partial_coverage_top5, cheapest_split_basket, cheapest_split_total, offer_savings, category_names, search_with_filters, payload_counters, basket_quantities, cart_state, keyword_search_page,
+    offer_price_bars, single_merchant_basket, partial_coverage_top5, cheapest_split_basket, cheapest_split_total, offer_savings, category_names, search_with_filters, payload_counters, basket_quantities, cart_state, keyword_search_page, indexed_search,
     nulls_first_listing, range_scan_with_predecessor, status_counts, category_histogram, completeness_report, active_merchants, filtered_offer_total, price_display,
 )}
 
@@ -206,6 +221,7 @@ SELECT product, merchant, CAST(CASE WHEN med > 0 THEN floor((med - price) / med
 s AS (SELECT user_id, item, CAST(0 AS BIGINT) AS turn, CAST(0 AS BIGINT) AS n FROM (SELECT DISTINCT user_id, item FROM e)
   UNION ALL SELECT s.user_id, s.item, e.turn, CASE WHEN e.gone THEN 0 WHEN e.placed THEN CASE WHEN s.n > 0 THEN greatest(1, e.qty) ELSE 0 END ELSE s.n + 1 END FROM s JOIN e ON e.user_id = s.user_id AND e.item = s.item AND e.turn = s.turn + 1)
 SELECT user_id, item, n AS qty FROM s JOIN (SELECT user_id, item, max(turn) AS turn FROM e GROUP BY user_id, item) USING (user_id, item, turn) WHERE n > 0""",
+    "indexed_search": " UNION ALL ".join(f"SELECT '{q}' AS query, p_partkey, p_name FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), '{q.lower()}')" for q in SEARCHED),
     "keyword_search_page": """SELECT p_partkey, p_name, p_retailprice FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'ring')
 ORDER BY p_retailprice, p_partkey LIMIT 60 OFFSET 60""",
     "nulls_first_listing": "SELECT p_partkey, nullif(p_size, 11) AS size, lower(p_name) AS name FROM part ORDER BY size NULLS FIRST, name, p_partkey",
