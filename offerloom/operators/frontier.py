@@ -4,23 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from offerloom.plans.lineage import cut
+from offerloom.operators.ranking import numbered
+from offerloom.plans.lineage import Growing, broadcast_if, cut
 
 
-def reach(roots: DataFrame, links: DataFrame, most_depth: int) -> DataFrame:
-    """url, depth: pages found from the roots over links (source, target), each at its least depth.
+#: Bitmaps of seen pages (4 kB each, for 32,768 pages) up to which they are broadcast; beyond it the join is shuffled.
+BITMAPS_BROADCAST = 2_000
 
-    Each step joins the newest pages with the links and drops what was seen; only the number of new pages comes to the driver.
+
+def _marks(pages: DataFrame) -> DataFrame:
+    """Bitmaps of page numbers, one per 32,768 numbers."""
+    return pages.groupBy(F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("seen"))
+
+
+def _unseen(found: DataFrame, seen: DataFrame, n_bitmaps: int) -> DataFrame:
+    rows = found.select("id", F.bitmap_bucket_number("id").alias("bucket"), F.bitmap_bit_position("id").alias("bit"))
+    rows = rows.join(broadcast_if(seen, n_bitmaps, BITMAPS_BROADCAST), "bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(seen, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    marked = F.expr("shiftright(byte, cast(bit % 8 as int)) & 1") == 1
+    return rows.withColumn("byte", byte).filter(F.col("seen").isNull() | ~marked).select("id")
+
+
+def reach(roots: DataFrame, links: DataFrame, most_depth: int | None = None) -> DataFrame:
+    """url, depth: pages found from the roots over links (source, target), each at its least depth; without ``most_depth`` all that can be reached.
+
+    Pages are numbered once and links become pairs of numbers. What was seen is a bit for each page, so a step reads its newest pages, their
+    links and the bitmaps, however long the way was; placements grow by appending. Links without source or target lead nowhere.
     """
-    seen = cut(roots.select("url").distinct().withColumn("depth", F.lit(0)), "depth0")
-    newest = seen
-    for depth in range(1, most_depth + 1):
-        found = newest.join(links, newest["url"] == links["source"]).select(F.col("target").alias("url")).distinct()
-        newest = cut(found.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)), f"depth{depth}")
-        if not newest.limit(1).count():
+    spark, links = roots.sparkSession, links.select("source", "target").dropna()
+    urls = roots.select("url").dropna().union(links.select("source")).union(links.select("target")).distinct()
+    pages = numbered(urls, ["url"], "id")
+    number = lambda name: pages.select(F.col("url").alias(f"__{name}"), F.col("id").alias(name))
+    edges = links.join(number("s"), F.col("source") == F.col("__s")).join(number("t"), F.col("target") == F.col("__t")).select("s", "t")
+    edges = cut(edges.distinct(), "edges")
+    placed, depth = Growing(spark, "id long, depth int", "placed"), 0
+    newest = cut(roots.select("url").distinct().join(pages, "url").select("id"), "newest")
+    seen = cut(_marks(newest), "seen")
+    while True:
+        placed.add(newest.select("id", F.lit(depth).alias("depth")))
+        if depth == most_depth:
+            break
+        found = newest.join(edges, F.col("id") == F.col("s")).select(F.col("t").alias("id")).distinct()
+        newest = cut(_unseen(found, seen, seen.count()), "newest")
+        if newest.isEmpty():
             break
-        seen = seen.unionByName(newest)
-    return seen
+        depth += 1
+        seen = cut(seen.unionByName(_marks(newest)).groupBy("bucket").agg(F.bitmap_or_agg("seen").alias("seen")), "seen")
+    return placed.read().join(pages, "id").select("url", "depth")
 
 
 def next_pages(queue: DataFrame, batch: int) -> DataFrame:

@@ -79,7 +79,7 @@ def sitemap(spark: SparkSession, path: str, host: str | None = None, least_prior
     return rows.filter(F.try_parse_url("loc", F.lit("HOST")).isin(host, f"www.{host}")) if host else rows
 
 
-def sitemap_tree(files: DataFrame, root: str, most_depth: int = 5) -> DataFrame:
+def sitemap_tree(files: DataFrame, root: str, most_depth: int | None = None) -> DataFrame:
     """Distinct page addresses of a sitemap index and of all sitemaps below it; ``files`` has url and body of the captured files."""
     locs = lambda kind: F.regexp_extract_all("body", F.lit(rf"(?s)<{kind}>.*?<loc>\s*([^<]*?)\s*</loc>.*?</{kind}>"), F.lit(1))
     links = files.select(F.col("url").alias("source"), F.explode(locs("sitemap")).alias("target"))

@@ -225,6 +225,24 @@ def test_frontier(spark):
     assert {r.url: r.depth for r in found.collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
 
 
+def test_frontier_ends_without_a_bound(spark, monkeypatch):
+    """Cycles, a long chain, pages that nothing leads to, null links; bitmaps joined by broadcast and by shuffle."""
+    rng = random.Random(7)
+    pairs = [(f"c{i}", f"c{i + 1}") for i in range(12)] + [("c12", "c0"), ("c3", "c3"), ("lost", "c1"), (None, "c1"), ("c1", None)]
+    pairs += [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(90)]
+    links = spark.createDataFrame(pairs, "source string, target string")
+    roots = spark.createDataFrame([("c0",), ("n1",), ("alone",), ("c0",), (None,)], "url string")
+    depth, newest = {"c0": 0, "n1": 0, "alone": 0}, ["c0", "n1", "alone"]
+    while newest:
+        newest = sorted({t for s, t in pairs if s in newest and t is not None and t not in depth})
+        depth |= {t: 1 + max(depth.values()) for t in newest}
+    for bound in (2_000, 0):
+        monkeypatch.setattr(frontier, "BITMAPS_BROADCAST", bound)
+        assert {r.url: r.depth for r in frontier.reach(roots, links).collect()} == depth
+    assert {r.url: r.depth for r in frontier.reach(roots, links, 2).collect()} == {u: n for u, n in depth.items() if n <= 2}
+    assert {r.url: r.depth for r in frontier.reach(roots, links, 0).collect()} == {u: 0 for u, n in depth.items() if n == 0}
+
+
 def test_queue_key(spark):
     queue = spark.createDataFrame([("u", "listing", "pending"), ("u", "product", "pending")], "url string, kind string, status string")
     done = frontier.mark(queue, spark.createDataFrame([("u", "listing", "done")], queue.schema))
