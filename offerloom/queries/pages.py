@@ -9,10 +9,11 @@ import uuid
 
 from pyspark.sql import Column, functions as F
 
-from offerloom.functions import dom, pages as pg
+from offerloom.functions import dom
 from offerloom.operators import extract, pages, structured
 from offerloom.plans.lineage import shared_dir
 from offerloom.queries.views import table
+from offerloom.sources import readers, writers
 
 SITE = "https://www.shop.example"
 _LINE_ORDER = ("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
@@ -231,14 +232,28 @@ def harvested_addresses(spark, d):
 
 
 def page_reading(spark, d):
-    """Visible text and resolved links of the captured pages, as a parser sees them."""
-    p = table(spark, d, "pages").select("page_id", pg.visible_text("html").alias("text"), pg.page_links("html", "url").alias("links"))
-    return p.select("page_id", F.length("text").cast("long").alias("n_chars"), F.size("links").cast("long").alias("n_links"))
+    """What the pages hold: links, list items, paragraphs, headings of the first kind, classed parts."""
+    p = table(spark, d, "pages").select("page_id", dom.parse_page("html").alias("page"))
+    n = lambda test: F.size(dom.elements(F.col("page"), test)).cast("long")
+    return p.select(
+        "page_id", n(lambda e: (e["tag"] == "a") & dom.attr(e, "href").isNotNull()).alias("n_links"), n(lambda e: e["tag"] == "li").alias("n_items"),
+        n(lambda e: e["tag"] == "p").alias("n_paragraphs"), n(lambda e: e["tag"] == "h1").alias("n_headings"), n(lambda e: dom.has_class(e, "ad")).alias("n_ads"),
+    )
+
+
+def saved_page_tree(spark, d):
+    """Pages saved one by one in a tree of folders, with files that are none, read back: names, sizes and texts."""
+    folder = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    pages_ = table(spark, d, "pages").select("page_id", "html", F.concat(F.col("page_id") % 7, F.lit("/p"), F.col("page_id")).alias("name"))
+    written = writers.page_files(pages_, "name", "html", folder)
+    spark.range(1).select(F.lit("no page").alias("value")).write.text(f"{folder}/notes")
+    found = readers.html_pages(spark, folder).select(F.regexp_extract("file", "([0-9]+/p[0-9]+)[.]html$", 1).alias("name"), F.md5("html").alias("html_md5"))
+    return found.join(written, "name").select("name", "n_bytes", "html_md5")
 
 
 QUERIES = {f.__name__: f for f in (
     block_split_extract, variant_offers_extract, line_offers_extract, line_offers_with_skus, line_offers_of_captures, saved_page_offers, family_extract, block_offers_extract, net_price_extract,
-    structured_product_extract, page_offer_extract, product_page_extract, fallback_page_extract, listing_cards_extract, priced_links_extract, links_with_words_extract, next_page_extract, harvested_addresses, page_reading,
+    structured_product_extract, page_offer_extract, product_page_extract, fallback_page_extract, listing_cards_extract, priced_links_extract, links_with_words_extract, next_page_extract, harvested_addresses, page_reading, saved_page_tree,
 )}
 
 _LINES = """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) - 1 AS place,
@@ -250,6 +265,9 @@ _AS_WRITTEN = "CASE stock WHEN 'Sur commande' THEN 'SUR COMMANDE' ELSE stock END
 _NORMAL = "CASE l_returnflag WHEN 'A' THEN 'in_stock' WHEN 'N' THEN 'on_order' ELSE 'discontinued' END"
 _SLUG = "lower(regexp_replace(p_brand, '[^A-Za-z0-9]+', '-', 'g'))"
 ORACLES = {
+    "page_reading": r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<a\s[^>]*href=')) AS BIGINT) AS n_links, CAST(len(regexp_extract_all(html, '<li[\s>]')) AS BIGINT) AS n_items, CAST(len(regexp_extract_all(html, '<p[\s>]')) AS BIGINT) AS n_paragraphs,
+  CAST(len(regexp_extract_all(html, '<h1[\s>]')) AS BIGINT) AS n_headings, CAST(len(regexp_extract_all(html, 'class="ad"')) AS BIGINT) AS n_ads FROM pages""",
+    "saved_page_tree": "SELECT page_id % 7 || '/p' || page_id AS name, CAST(strlen(html) AS BIGINT) AS n_bytes, md5(html) AS html_md5 FROM pages",
     "block_split_extract": _LINES + "SELECT l_orderkey, 'L' || l_linenumber AS merchant_reference, 'M' || l_partkey AS manufacturer_reference, price AS price_eur, stock AS availability FROM l " + _LAST.format("l_linenumber"),
     "variant_offers_extract": _LINES + f"""SELECT l_orderkey, min(place) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey) AS position, 'L' || l_linenumber AS merchant_reference, 'M' || l_partkey AS manufacturer_reference,
   'Variante ' || l_partkey AS name, price AS price_eur, {_NORMAL} AS availability FROM l """ + _LAST.format("l_linenumber, l_partkey"),

@@ -89,7 +89,7 @@ def sitemap_tree(files: DataFrame, root: str, most_depth: int | None = None) ->
 
 def html_pages(spark: SparkSession, path: str) -> DataFrame:
     """file and html of saved pages."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path, pathGlobFilter="*.html").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("html"))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.html").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("html"))
 
 
 def block_index(spark: SparkSession, path: str) -> DataFrame:

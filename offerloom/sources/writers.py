@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from offerloom.plans.lineage import cut
+from offerloom.sources.archives import opened
+
 
 def json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
@@ -45,3 +52,27 @@ def script(df: DataFrame, name: str, path: str, most: int = 100_000) -> None:
     rows = df.select(F.lit(1).alias("part"), F.concat(F.to_json(F.struct(*df.columns)), F.lit(",")).alias("value"))
     head = df.sparkSession.createDataFrame([(0, f"window.{name}=["), (2, "];")], "part int, value string")
     head.unionByName(rows).coalesce(1).sortWithinPartitions("part").select("value").write.mode("overwrite").text(path)
+
+
+def page_files(pages: DataFrame, name: str, html: str, path: str) -> DataFrame:
+    """A file per page under a folder, ``name``.html, where slashes in the name are folders; returns name and n_bytes of each.
+
+    Files are written to a name of their own and moved, so one that is there is whole, also when a task is run again. Null pages are empty.
+    """
+    rows = pages.select(F.col(name).cast("string").alias("name"), F.coalesce(F.col(html), F.lit("")).alias("html")).filter("name is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = opened(path)
+        for batch in batches:
+            sizes = []
+            for n, text in zip(batch.column("name").to_pylist(), batch.column("html").to_pylist()):
+                target, data = f"{folder}/{n}.html", text.encode()
+                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                part = f"{target}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part, compression=None) as sink:
+                    sink.write(data)
+                system.move(part, target)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(sizes, pa.int64())], names=["name", "n_bytes"])
+
+    return cut(rows.mapInArrow(run, "name string, n_bytes long"), "page_files")

@@ -12,11 +12,6 @@ def test_equals_sql(spark, name):
     assert differences(QUERIES[name](spark, SF).toPandas(), by_sql(SF, ORACLES[name])) == ""
 
 
-def test_page_reading(spark):
-    rows = QUERIES["page_reading"](spark, SF).toPandas()
-    assert len(rows) and (rows.n_chars > 0).all() and (rows.n_links > 0).all()
-
-
 def test_grouping_has_one_offer_per_merchant(spark):
     rows = QUERIES["greedy_grouping"](spark, SF).toPandas()
     assert rows.seq.is_unique
