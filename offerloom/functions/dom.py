@@ -170,12 +170,25 @@ def heading(page: Column) -> Column:
     return F.nullif(F.trim(text_of(page, first(elements(page, lambda e: e["tag"] == "h1")))), F.lit(""))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its parts ``.`` and ``..`` worked off; what would lead above the root stays there."""
+    parts = F.split(path, "/")
+    walked = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda kept, p: F.when(p == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(p == ".", kept).otherwise(F.array_append(kept, p)),
+    )
+    ended = F.when(F.try_element_at(parts, F.lit(-1)).isin(".", ".."), F.array_append(walked, F.lit(""))).otherwise(walked)
+    joined = F.regexp_replace(F.array_join(ended, "/"), "^(?!/)", "/")
+    return F.when(F.concat(path, F.lit("/")).rlike(r"/\.{1,2}/"), joined).otherwise(path)
+
+
 def absolute(base: Column, href: Column) -> Column:
-    """An address on a page: without fragment, resolved against the page's address by the usual rules, dots aside."""
+    """An address on a page: without fragment, resolved against the page's address by the usual rules."""
     bare = F.regexp_replace(F.trim(href), "#.*$", "")
     root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
-    path = F.regexp_replace(base, r"[?#].*$", "")
-    folder = F.when(F.length(path) > F.length(root), F.regexp_replace(path, "[^/]*$", "")).otherwise(F.concat(root, F.lit("/")))
-    out = F.when(bare.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), bare).when(F.startswith(bare, F.lit("//")), F.concat(scheme, bare)).when(F.startswith(bare, F.lit("/")), F.concat(root, bare))
-    return out.when(F.startswith(bare, F.lit("?")), F.concat(path, bare)).when(bare == "", F.regexp_replace(base, "#.*$", "")).otherwise(F.concat(folder, bare))
+    page = F.regexp_replace(base, r"[?#].*$", "")
+    folder = F.when(F.length(page) > F.length(root), F.regexp_replace(F.substr(page, F.length(root) + 1), "[^/]*$", "")).otherwise(F.lit("/"))
+    path, query = F.regexp_extract(bare, r"^([^?]*)", 1), F.regexp_extract(bare, r"(\?.*)$", 1)
+    out = F.when(bare.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), bare).when(F.startswith(bare, F.lit("//")), F.concat(scheme, bare)).when(F.startswith(bare, F.lit("/")), F.concat(root, _without_dots(path), query))
+    return out.when(F.startswith(bare, F.lit("?")), F.concat(page, bare)).when(bare == "", F.regexp_replace(base, "#.*$", "")).otherwise(F.concat(root, _without_dots(F.regexp_replace(F.concat(folder, path), "/{2,}", "/")), query))

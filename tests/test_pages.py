@@ -1,6 +1,7 @@
 """Markers, offer blocks, cards and structured data of odd pages."""
 
 import time
+from urllib.parse import urldefrag, urljoin
 
 import pytest
 from conftest import SF  # noqa: F401
@@ -91,3 +92,12 @@ def test_texts_equal_the_pages_texts(spark):
     df = of_html(spark, "<h1> A <b>b</b></h1><p>x&nbsp;y</p><script>no</script><h1>c</h1>").withColumn("t", dom.parse_texts("html"))
     rows = df.select(F.col("t.pieces") == F.col("page.pieces"), F.col("t.heading").eqNullSafe(dom.heading(F.col("page")))).collect()
     assert [tuple(r) for r in rows] == [(True, True), (True, True)]
+
+
+def test_addresses_equal_urljoin(spark):
+    bases = ["https://s.example", "https://s.example/", "https://s.example/a/b/c.html?x=1#f", "http://s.example/a/", "https://s.example/a?q=/x/y"]
+    hrefs = ["x.html", "./x", "../x", "../../../x?y=../z", "/r/./s/../t", "/..", "a/..", "a/.", "..", ".", "?p=2", "", "#top", "//h.example/a/../b", "https://t.example/a/../b#c", "mailto:a@b", "a//b/../c", "/a/b/", "x.html#y", "a...b/..c", "x?a=1#b"]
+    rows = [(b, h) for b in bases for h in hrefs]
+    got = spark.createDataFrame(rows, "b string, h string").select("b", "h", dom.absolute(F.col("b"), F.col("h")).alias("u")).collect()
+    odd = [(r.b, r.h, r.u, urldefrag(urljoin(r.b, r.h))[0]) for r in got if r.u != urldefrag(urljoin(r.b, r.h))[0]]
+    assert odd == []
