@@ -84,19 +84,33 @@ def scored_match(spark, d):
     return matching.scored_matches(*_offers_and_products(spark, d)).withColumn("score", F.round("score", 6)).drop("n_scored")
 
 
-def best_match_full(spark, d):
-    """The best product of each offer where one is found for sure: by EAN, by reference, or by all words and the brand; else null."""
+def _worded_offers_and_products(spark, d):
+    """Every third part as a product, the others as offers of it, some without the last word; some have EANs, references or both."""
     rows = _named_offers(spark, d).drop("ean", "manufacturer_reference").join(table(spark, d, "part").select(F.col("p_partkey").alias("offer_id"), "p_size"), "offer_id")
     of = F.floor(F.col("offer_id") / 3)
     rows = rows.withColumns({"brand": F.concat(F.lit("Brand#"), of % 25), "variant": F.lit(""), "packaging": F.lit(""), "ean": F.when(F.col("p_size") < 8, F.lpad((F.col("offer_id") % 500).cast("string"), 13, "3"))})
     rows = rows.withColumn("manufacturer_reference", F.when(F.col("p_size").between(6, 15), F.concat(F.lit("mr-"), F.col("offer_id") % 700)))
     short = F.when(F.col("offer_id") % 2 == 0, F.regexp_replace("name", " [a-z]+$", "")).otherwise(F.col("name"))
-    products, offers = rows.filter("offer_id % 3 = 0").withColumnRenamed("offer_id", "product_id"), rows.filter("offer_id % 3 <> 0").withColumn("name", short)
-    found = matching.scored_matches(offers, products)
+    return rows.filter("offer_id % 3 <> 0").withColumn("name", short), rows.filter("offer_id % 3 = 0").withColumnRenamed("offer_id", "product_id")
+
+
+def best_match_full(spark, d):
+    """The best product of each offer where one is found for sure: by EAN, by reference, or by all words and the brand; else null."""
+    found = matching.scored_matches(*_worded_offers_and_products(spark, d))
     sure = F.col("score") > 0.9
     return found.select("offer_id", F.when(sure, F.col("product_id")).alias("product_id"), F.when(sure, F.round("score", 6)).alias("score"), F.when(sure, F.col("decision")).alias("decision"))
 
 
+def match_routes_full(spark, d):
+    """What becomes of each offer where that is sure: strong identifiers and automatic scores reuse a product, all words with the brand go to review."""
+    offers, products = _worded_offers_and_products(spark, d)
+    scored = matching.scored_matches(offers, products)
+    strong = matching.strong_matches(offers, products)
+    routes = matching.route(offers, strong, scored).join(scored.select("offer_id", "score"), "offer_id", "left").join(strong.select("offer_id", "why"), "offer_id", "left")
+    sure = F.col("why").isNotNull() | (F.col("score") > 0.9)
+    return routes.select("offer_id", F.when(sure, F.col("action")).alias("action"), F.when(sure, F.col("product_id")).alias("product_id"), "why")
+
+
 def match_routes(spark, d):
     """What becomes of each offer: reuse of a product, review, or a new product."""
     offers, products = _offers_and_products(spark, d)
@@ -129,7 +143,7 @@ def props_parse(spark, d):
 QUERIES = {f.__name__: f for f in (
     normalize_reference, price_parse, fold_text, url_canonical,
     link_extraction, page_profile, category_classifier, base_category_classifier, qc_flags, completeness_score, strong_id_match,
-    scored_match, best_match_full, match_routes, token_overlap_pairs, greedy_grouping, props_parse,
+    scored_match, best_match_full, match_routes_full, match_routes, token_overlap_pairs, greedy_grouping, props_parse,
 )}
 
 
@@ -148,9 +162,7 @@ def _first(rules, test) -> str:
 _CATEGORY = _first(classify.CATEGORY_RULES, lambda words: " OR ".join(f"contains(hay, '{w}')" for w in words)) + f" ELSE '{classify.OTHER}' END"
 _BASE = _first(classify.BASE_RULES, lambda pattern: f"regexp_matches(hay, '{pattern}')") + f" ELSE '{classify.BASE_DEFAULT}' END"
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
-ORACLES = {
-    "best_match_full": """
-WITH r AS (
+_WORDED = """WITH r AS (
   SELECT p_partkey AS id, 'Brand#' || (p_partkey // 3 % 25) AS brand, CASE WHEN p_size < 8 THEN lpad(CAST(p_partkey % 500 AS VARCHAR), 13, '3') END AS ean,
          CASE WHEN p_size BETWEEN 6 AND 15 THEN 'MR' || p_partkey % 700 END AS ref,
          ['n' || p_partkey // 3, 'kk' || (p_partkey // 3 % 97), 'zz' || (p_partkey // 3 % 89)] || CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 2 = 0 THEN [] ELSE [lower(p_type)] END AS words
@@ -162,9 +174,17 @@ s AS (
               WHEN o.ref IS NOT NULL AND p.ref IS NOT NULL THEN CASE WHEN o.ref <> p.ref THEN 0.08 WHEN o.brand = p.brand THEN 0.99 ELSE 0.82 END
               WHEN o.brand = p.brand AND (list_has_all(p.words, o.words) OR list_has_all(o.words, p.words)) THEN 0.91 ELSE 0.0 END AS score
   FROM r o, p WHERE o.id % 3 <> 0),
-b AS (SELECT offer_id, max_by(product_id, score * 1000000000 + product_id) AS product_id, max(score) AS score FROM s GROUP BY offer_id)
+b AS (SELECT offer_id, max_by(product_id, score * 1000000000 + product_id) AS product_id, max(score) AS score FROM s GROUP BY offer_id)"""
+ORACLES = {
+    "best_match_full": _WORDED + """
 SELECT offer_id, CASE WHEN score > 0.9 THEN product_id END AS product_id, CASE WHEN score > 0.9 THEN CAST(score AS DOUBLE) END AS score,
        CASE WHEN score >= 0.93 THEN 'auto_match' WHEN score > 0.9 THEN 'review' END AS decision FROM b""",
+    "match_routes_full": _WORDED + """,
+e AS (SELECT ean, min(id) AS product_id FROM r WHERE id % 3 = 0 AND ean IS NOT NULL GROUP BY ean),
+f AS (SELECT ref, min(id) AS product_id FROM r WHERE id % 3 = 0 AND ref IS NOT NULL GROUP BY ref HAVING count(*) = 1),
+g AS (SELECT b.*, coalesce(e.product_id, f.product_id) AS strong, CASE WHEN e.product_id IS NOT NULL THEN 'ean' WHEN f.product_id IS NOT NULL THEN 'manufacturer_reference' END AS why
+      FROM b JOIN r ON r.id = offer_id LEFT JOIN e ON e.ean = r.ean LEFT JOIN f ON f.ref = r.ref)
+SELECT offer_id, CASE WHEN strong IS NOT NULL OR score >= 0.93 THEN 'reuse' WHEN score > 0.9 THEN 'review' END AS action, CASE WHEN strong IS NOT NULL OR score > 0.9 THEN coalesce(strong, product_id) END AS product_id, why FROM g""",
     "normalize_reference": "SELECT p_partkey, regexp_replace(upper(p_name || ' - ' || p_brand), '[^A-Z0-9]', '', 'g') AS reference FROM part",
     "price_parse": "SELECT o_orderkey, o_totalprice AS price, CASE WHEN o_totalprice > 0 THEN round(o_totalprice, 2) END AS valid FROM orders",
     "fold_text": f"SELECT doc_id, md5({_fold('text')}) AS folded_md5 FROM documents",
