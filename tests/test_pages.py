@@ -19,33 +19,33 @@ def of_html(spark, html):
     return spark.createDataFrame([(1, "https://s.example/l", html), (2, "https://s.example/m", None)], "k long, url string, html string").withColumn("page", dom.parse_page("html"))
 
 
-ODD = "Réf. GACD : 12345 Réf. fabricant : 4867A2 Réf. EAN : 3401234567890 Norme Réf. ISO : 25 En stock 12,50 € Réf. gacd:B-2 Réf. Fabricant : X1 3,00 € Sur commande"
+ODD = "Réf. ACMED : 12345 Réf. fabricant : 4867A2 Réf. EAN : 3401234567890 Norme Réf. ISO : 25 En stock 12,50 € Réf. acmed:B-2 Réf. Fabricant : X1 3,00 € Sur commande"
 
 
 def test_only_the_merchants_marker_begins_an_offer(spark):
-    rows = {r.merchant_reference: r for r in extract.variants(of_text(spark, ODD), "text", "k", "GACD").collect()}
+    rows = {r.merchant_reference: r for r in extract.variants(of_text(spark, ODD), "text", "k", "ACMED").collect()}
     assert set(rows) == {"12345", "B-2"}
     assert (rows["12345"].price_eur, rows["12345"].availability, rows["12345"].manufacturer_reference) == (12.5, "En stock", "4867A2")
     assert (rows["B-2"].price_eur, rows["B-2"].availability) == (3.0, "Sur commande")
-    named = {r.merchant_reference: (r.price_eur, r.availability) for r in extract.variant_offers(of_text(spark, ODD), "text", "k", "title", "gacd").collect()}
+    named = {r.merchant_reference: (r.price_eur, r.availability) for r in extract.variant_offers(of_text(spark, ODD), "text", "k", "title", "acmed").collect()}
     assert named == {"12345": (12.5, "in_stock"), "B-2": (3.0, "on_order")}
-    lines = extract.line_offers(of_text(spark, ODD.replace(" Réf.", "\nRéf.")), "text", "k", "title", "GACD").collect()
+    lines = extract.line_offers(of_text(spark, ODD.replace(" Réf.", "\nRéf.")), "text", "k", "title", "ACMED").collect()
     assert [(r.merchant_reference, r.ean) for r in sorted(lines, key=lambda r: r.position)] == [("12345", "3401234567890"), ("B-2", None)]
-    assert extract.variants(of_text(spark, "Réf. EAN : 3401234567890 5,00 €"), "text", "k", "GACD").count() == 0
-    assert extract.variants(of_text(spark, "Réf. Mega  Dental : A1 5,00 €"), "text", "k", "Mega Dental").count() == 1
-    assert extract.variants(of_text(spark, None), "text", "k", "GACD").count() == 0
+    assert extract.variants(of_text(spark, "Réf. EAN : 3401234567890 5,00 €"), "text", "k", "ACMED").count() == 0
+    assert extract.variants(of_text(spark, "Réf. Grand  Dental : A1 5,00 €"), "text", "k", "Grand Dental").count() == 1
+    assert extract.variants(of_text(spark, None), "text", "k", "ACMED").count() == 0
 
 
 @pytest.mark.parametrize(
     "text, wanted",
     [
-        ("Réf. XYZABC Ajouter au panier", ["XYZABC"]), ("Réf Couleur bleue", ["Couleur"]), ("Référence produit ABC-123", []), ("Réf. Dentaltix : DX-1 et SKU#S_1/2", ["DX-1", "S_1/2"]),
-        ("Réf. dentaltix DX-2", ["DX-2"]), ("Référence : AB", []), ("Réf. Dentaltix", []),
+        ("Réf. XYZABC Ajouter au panier", ["XYZABC"]), ("Réf Couleur bleue", ["Couleur"]), ("Référence produit ABC-123", []), ("Réf. Dentashop : DX-1 et SKU#S_1/2", ["DX-1", "S_1/2"]),
+        ("Réf. dentashop DX-2", ["DX-2"]), ("Référence : AB", []), ("Réf. Dentashop", []),
     ],
 )
 def test_references_of_offer_blocks(spark, text, wanted):
     html = f"<h1>N</h1><p>Kit de ACME &amp; CO pour</p><div class='variation'>{text} 1 234,50 €</div>"
-    rows = pages.block_offers(of_html(spark, html), "k", "url", "Dentaltix").orderBy("position").collect()
+    rows = pages.block_offers(of_html(spark, html), "k", "url", "Dentashop").orderBy("position").collect()
     assert [r.merchant_reference for r in rows] == wanted
     assert all(r.brand == "ACME & CO" and r.price == 1234.5 for r in rows)
 
