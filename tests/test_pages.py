@@ -1,5 +1,6 @@
 """Markers, offer blocks, cards and structured data of odd pages."""
 
+import random
 import time
 from urllib.parse import urldefrag, urljoin
 
@@ -101,3 +102,27 @@ def test_addresses_equal_urljoin(spark):
     got = spark.createDataFrame(rows, "b string, h string").select("b", "h", dom.absolute(F.col("b"), F.col("h")).alias("u")).collect()
     odd = [(r.b, r.h, r.u, urldefrag(urljoin(r.b, r.h))[0]) for r in got if r.u != urldefrag(urljoin(r.b, r.h))[0]]
     assert odd == []
+
+
+def test_plain_pages_are_read_as_the_parser_reads_them():
+    rng, classes = random.Random(7), frozenset(dom.CARD_CLASSES)
+    parts = [
+        *"<div>|</div>|<p class='a item'>|</p>|<li class=item>|</li>|<h1>|</h1>|<h1 id=x>T</h1>|text|&eacute;t&amp;|&nbsp;|<br/>|<img src='/a?b=1&amp;c' alt=x>|<td>|<tr>|<dt>|<dd>|é €".split("|"),
+        '<script>var a="</p>";</script>', '<script type="application/ld+json">{"a":1}</script>', "<!-- c -->", "<!-->", "<!-- a -- b -->", "<SCRIPT>x</SCRIPT >", "<", "a < b", "<template>", "</template>", "<title>a<b></title>", "<a href=/x/>", "<p a='1'b=2>",
+        "<script>", "</script>", "<x-y>", "<!doctype html>", "<p/ >", "<p ſ=1>", "\x00", "<style type='ld+json'>q</style>",
+    ]
+    n_plain = 0
+    for _ in range(3000):
+        page = "".join(rng.choices(parts[: rng.choice((21, len(parts)))], k=rng.choice((3, 8, 20))))
+        n_plain += dom._plain(page, classes) is not None
+        for known in (classes, frozenset()):
+            builder = dom._Builder(known)
+            builder.feed(page)
+            builder.close()
+            pieces, scripts, tags, until, parent, first, stop, attrs, cards = dom._parsed(page, known)
+            names = ("tag", "at", "until", "parent", "first", "stop", "attrs", "cards")
+            got = [dict(zip(names, e)) for e in zip(tags, range(len(tags)), until, parent, first, stop, map(dict, attrs), map(list, cards))]
+            assert (pieces, scripts, got) == (builder.pieces, builder.scripts, builder.elements), page
+        h1 = next((e for e in builder.elements if e["tag"] == "h1"), None)
+        assert dom._texts(page) == (builder.pieces, h1 and (" ".join(builder.pieces[h1["first"] : h1["stop"]]).strip() or None)), page
+    assert n_plain > 1000
