@@ -126,3 +126,14 @@ def test_plain_pages_are_read_as_the_parser_reads_them():
         h1 = next((e for e in builder.elements if e["tag"] == "h1"), None)
         assert dom._texts(page) == (builder.pieces, h1 and (" ".join(builder.pieces[h1["first"] : h1["stop"]]).strip() or None)), page
     assert n_plain > 1000
+
+
+def test_a_text_around_many_links_is_read_once(spark):
+    """Links without a price of their own all get it from the list; each by itself would make some gigabytes of text."""
+    n = 6000
+    cards = "".join(f'<li><div><a href="/p/{i}">{"Produit de la maison " * 4}{i}</a></div></li>' for i in range(n))
+    df = of_html(spark, f"<ul>{cards}<li>Réf. R1 7,25 €</li></ul>").filter("k = 1")
+    began = time.time()
+    rows = pages.priced_links(df, "k", "url", "https://s.example").agg(F.count("*"), F.min("price"), F.max("price"), F.min("merchant_reference")).first()
+    assert tuple(rows) == (n, 7.25, 7.25, "R1")
+    assert time.time() - began < 30
