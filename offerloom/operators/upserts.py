@@ -38,10 +38,11 @@ def _stripped(c: str) -> Column:
 
 def _identified(rows: DataFrame, stored: DataFrame, tiers: list[list[str]], key: str) -> DataFrame:
     """``rows`` with ``key`` (the stored id, or for new rows the next ids in order of ``seq``) and ``new``."""
-    found = tiered_lookup(rows, stored, tiers, key, "seq").drop("found_tier").withColumnRenamed("found_id", key)
+    # both halves read what was looked up, so it is written once
+    found = cut(tiered_lookup(rows, stored, tiers, key, "seq").drop("found_tier").withColumnRenamed("found_id", key), "found")
     known, new = found.filter(F.col(key).isNotNull()), found.filter(F.col(key).isNull()).drop(key)
     new = new.withColumn("__key", tiered_key(tiers))
-    firsts = first_wins(new.select("__key", "seq"), ["__key"], ["seq"])
+    firsts = new.groupBy("__key").agg(F.min("seq").alias("seq"))
     top = stored.agg(F.coalesce(F.max(key), F.lit(0)).alias("top"))
     ids = numbered(firsts, ["seq"], "__number").join(F.broadcast(top)).select("__key", (F.col("top") + F.col("__number")).cast("long").alias(key))  # one row
     return cut(known.withColumn("new", F.lit(False)).unionByName(new.join(ids, "__key").drop("__key").withColumn("new", F.lit(True))), "identified")
@@ -68,14 +69,14 @@ def daily_upsert(stored: DataFrame, batch: DataFrame, at: Column, source: str, s
     # the last tier takes empty texts as values, so they are marked as set
     marked = lambda df: keyed(df).withColumns({k: F.concat(F.lit("="), F.col(k)) for k in filled})
     rows = _identified(marked(rows), marked(stored), tiers, "product_id").drop(*filled, "__tier")
-    last = last_wins(rows, ["product_id"], ["seq"]).alias("b")
+    # the reference of an identity's first row goes along with its last row: a join behind the full outer one would send all stored rows that the batch lacks to one task, under a null key
+    first_reference = F.min_by(F.struct("merchant_reference"), "seq")["merchant_reference"].alias("__first")
+    last = rows.groupBy("product_id").agg(F.max_by(F.struct(*_TEXTS, "price_eur", "availability"), "seq").alias("__row"), first_reference).select("product_id", "__row.*", "__first").alias("b")
     joined, old = stored.alias("c").join(last, F.col("c.product_id") == F.col("b.product_id"), "full_outer"), F.col("c.product_id").isNotNull()
     seen = F.col("b.product_id").isNotNull()
     pick = lambda c, new=None: F.when(seen, F.col(f"b.{new or c}")).otherwise(F.col(f"c.{c}")).alias(c)
     reference = F.when(old & F.lit(strict), F.col("c.merchant_reference")).when(seen, F.col("b.merchant_reference")).otherwise(F.col("c.merchant_reference"))
-    first_reference = first_wins(rows.filter("new"), ["product_id"], ["seq"]).select(F.col("product_id").alias("__new_id"), F.col("merchant_reference").alias("__first"))
-    joined = joined.join(first_reference, F.col("b.product_id") == F.col("__new_id"), "left")
-    reference = F.when(~old & F.lit(strict), F.col("__first")).otherwise(reference)
+    reference = F.when(~old & F.lit(strict), F.col("b.__first")).otherwise(reference)
     current = joined.select(
         F.coalesce("c.product_id", "b.product_id").alias("product_id"), pick("merchant"), reference.alias("merchant_reference"), *[pick(c) for c in ("manufacturer_reference", "brand", "name", "variant", "source_url")],
         pick("current_price_eur", "price_eur"), pick("current_availability", "availability"), F.coalesce("c.first_seen_at", at).alias("first_seen_at"), F.when(seen, at).otherwise(F.col("c.last_seen_at")).alias("last_seen_at"),

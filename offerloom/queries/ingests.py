@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from offerloom.operators import upserts
-from offerloom.plans.lineage import cut
+from offerloom.plans.lineage import cut, cut_alone
 from offerloom.queries.views import table
 
 
@@ -31,13 +31,21 @@ def _batches(spark, d):
     return [rows.filter(F.col("l_orderkey") % 2 == n).drop("l_orderkey") for n in (0, 1)]
 
 
-def _two_runs(spark, d, strict: bool = True):
+def _histories(spark, d, strict: bool = True):
     current, histories = spark.createDataFrame([], upserts.CURRENT), []
     for batch, at in zip(_batches(spark, d), _days()):
         done = upserts.daily_upsert(current, batch, at, "seed", strict)
         histories.append(done.history)
         current = cut(done.current, "current")
-    return current, histories[0].unionByName(histories[1])
+    return histories[0].unionByName(histories[1])
+
+
+def _current(spark, d, strict: bool = True):
+    """The current table after both runs; what a run writes on the way goes before the next one begins."""
+    current = spark.createDataFrame([], upserts.CURRENT)
+    for batch, at in zip(_batches(spark, d), _days()):
+        current = cut_alone(lambda stored=current, batch=batch, at=at: upserts.daily_upsert(stored, batch, at, "seed", strict).current, "current")
+    return current
 
 
 _SHOWN = ("merchant", "merchant_reference", "manufacturer_reference", "name", "source_url")
@@ -45,17 +53,17 @@ _SHOWN = ("merchant", "merchant_reference", "manufacturer_reference", "name", "s
 
 def daily_upsert_current(spark, d):
     """The current table after two days: ids follow the first appearance."""
-    return _two_runs(spark, d)[0].select("product_id", *_SHOWN, F.col("current_price_eur").alias("price_eur"), F.col("current_availability").alias("availability"), "first_seen_at", "last_seen_at")
+    return _current(spark, d).select("product_id", *_SHOWN, F.col("current_price_eur").alias("price_eur"), F.col("current_availability").alias("availability"), "first_seen_at", "last_seen_at")
 
 
 def daily_upsert_history(spark, d):
     """Changes only, across both days."""
-    return _two_runs(spark, d)[1].groupBy("product_id", "observed_at").agg(F.count(F.lit(1)).alias("n"), F.sum("price_eur").alias("total"), F.count("availability").alias("n_available"))
+    return _histories(spark, d).groupBy("product_id", "observed_at").agg(F.count(F.lit(1)).alias("n"), F.sum("price_eur").alias("total"), F.count("availability").alias("n_available"))
 
 
 def lenient_upsert_current(spark, d):
     """As the daily upsert, but names are not stripped and rows without one are kept."""
-    return _two_runs(spark, d, False)[0].select("product_id", "merchant", "merchant_reference", "name", F.col("current_price_eur").alias("price_eur"), F.col("current_availability").alias("availability"), "last_seen_at")
+    return _current(spark, d, False).select("product_id", "merchant", "merchant_reference", "name", F.col("current_price_eur").alias("price_eur"), F.col("current_availability").alias("availability"), "last_seen_at")
 
 
 def page_refresh(spark, d):

@@ -12,7 +12,7 @@ from hypothesis import given, strategies as st
 
 from offerloom.functions.similarity import token_set
 from offerloom.operators.shortlist import Names
-from offerloom.operators import classify, dedup, frontier, matching, merge, prices, publish, ranking
+from offerloom.operators import classify, dedup, frontier, matching, merge, prices, publish, ranking, upserts
 from offerloom.plans import lineage
 from offerloom.sources import readers, writers
 
@@ -354,3 +354,22 @@ def test_exact_medians_of_hot_products(spark):
     assert got == want
     placed = ranking.running(df.groupBy("p", "v").agg(F.count(F.lit(1)).alias("n")), ["p", "v"], {"before": "n"}, 8, "part")
     assert placed.filter("p = 'hot'").select("part").distinct().count() > 4
+
+
+def test_stored_rows_that_a_batch_lacks_stay_spread(spark):
+    """No join of the upsert is keyed by what is null for all of them, which would be one task."""
+    text = lambda c: F.concat(F.lit(c), F.col("id")).alias(c)
+    null = lambda c, kind="string": F.lit(None).cast(kind).alias(c)
+    texts = [F.lit("m").alias("merchant"), text("merchant_reference"), null("manufacturer_reference"), null("brand"), text("name"), null("variant"), text("source_url")]
+    batch = lambda low, high: spark.range(low, high).select(F.col("id").alias("seq"), *texts, F.lit(1.0).alias("price_eur"), F.lit("x").alias("availability"))
+    at = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    stored = lineage.cut(upserts.daily_upsert(spark.createDataFrame([], upserts.CURRENT), batch(0, 2000), at, "a").current)
+    done = upserts.daily_upsert(stored, batch(1990, 2010), at, "b").current
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = done.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sizes.sum() == 2010 and sizes.max() < 1000
