@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions import dom
 from offerloom.operators import extract, pages, structured
+from offerloom.queries import QUERIES, pages as listing_pages
 
 
 def of_text(spark, text):
@@ -137,3 +138,20 @@ def test_a_text_around_many_links_is_read_once(spark):
     rows = pages.priced_links(df, "k", "url", "https://s.example").agg(F.count("*"), F.min("price"), F.max("price"), F.min("merchant_reference")).first()
     assert tuple(rows) == (n, 7.25, 7.25, "R1")
     assert time.time() - began < 30
+
+
+@pytest.mark.parametrize("name, times", [("family_extract", 1), ("block_offers_extract", 1), ("line_offers_with_skus", 1), ("product_page_extract", 2), ("fallback_page_extract", 2)])
+def test_pages_are_parsed_once(spark, name, times):
+    """One step for the page, one for its structured data; a page is neither parsed again nor joined to what was read from it."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == times and "Join" not in plan
+
+
+def test_listings_do_not_grow_with_the_table(spark, tmp_path):
+    longest = []
+    for n in (10_000, 40_000):
+        part = spark.range(n).select(F.col("id").alias("p_partkey"), F.concat(F.lit("Brand#"), F.col("id") % 3).alias("p_brand"), F.lit("n").alias("p_name"), F.lit(10).alias("p_size"))
+        part.write.parquet(f"{tmp_path}/{n}/part.parquet")
+        longest.append(listing_pages._listings(spark, f"{tmp_path}/{n}").agg(F.max(F.length("html"))).first()[0])
+        assert QUERIES["links_with_words_extract"](spark, f"{tmp_path}/{n}").count() == n + 3
+    assert longest[1] < 1.1 * longest[0]
