@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from offerloom.functions import text as tx
 from offerloom.functions.text import is_set, js_round
 from offerloom.operators.ranking import first_per_key, running, turn
 from offerloom.plans.lineage import cut
@@ -74,21 +75,53 @@ def offer_savings(offers: DataFrame, product: str, price: str) -> DataFrame:
     return offers.join(sums, product).withColumns({"saving_percent": saving.cast("long"), "bar_percent": bar}).drop("__max")
 
 
-def merchant_baskets(items: DataFrame, prices: DataFrame, basket: str, item: str, merchant: str, price: str, quantity: str) -> DataFrame:
-    """Per basket and merchant: covered items, the basket's n_items, total. ``complete`` if the merchant has all of the basket's items.
+def _covered(rows: DataFrame, prices: DataFrame, basket: str, item: str, merchant: str, price: str, quantity: str) -> DataFrame:
+    """basket, merchant, covered, n_items, total of rows that name a basket's item and a merchant; what the merchant doesn't have is left out."""
+    offered = prices.select(F.col(item).alias("__item"), F.col(merchant).alias("__merchant"), F.col(price).alias("__price"))
+    priced = rows.join(offered, (F.col(item) == F.col("__item")) & F.col(merchant).eqNullSafe(F.col("__merchant"))).groupBy(basket, merchant)
+    return priced.agg(F.count(F.lit(1)).alias("covered"), F.first("n_items").alias("n_items"), F.sum(F.col("__price") * F.col(quantity)).alias("total"))
 
-    ``items`` has a row per basket and item, ``prices`` one per item and merchant. The size of a basket goes along with its items.
-    """
-    sized = items.withColumn("n_items", F.count(F.lit(1)).over(W.partitionBy(basket)))
-    offered = sized.join(prices, item).groupBy(basket, merchant)
-    offered = offered.agg(F.count(F.lit(1)).alias("covered"), F.first("n_items").alias("n_items"), F.sum(F.col(price) * F.col(quantity)).alias("total"))
-    return offered.withColumn("complete", F.col("covered") == F.col("n_items"))
 
+def full_baskets(items: DataFrame, prices: DataFrame, basket: str, item: str, merchant: str, price: str, quantity: str) -> DataFrame:
+    """The merchants that have all items of a basket: basket, merchant, n_items, total.
 
-def best_partial(baskets: DataFrame, basket: str, merchant: str, most: int = 5) -> DataFrame:
-    """The merchants that cover most of a basket, the cheaper of equals first."""
-    order = [F.desc("covered"), F.asc("total"), F.asc(merchant)]
-    return baskets.withColumn("place", turn(baskets, [basket], order)).filter(F.col("place") <= most)
+    ``items`` has a row per basket and item, ``prices`` one per item and merchant. Such a merchant has the item with the fewest offers and the
+    one with the next fewest, so only merchants that have these two are looked up for all items; a basket of one item is settled by its offers.
+    """
+    held = prices.groupBy(item).agg(F.count(F.lit(1)).alias("__held"))
+    each = W.partitionBy(basket)
+    ranked = each.orderBy("__held", item)
+    sized = items.join(held, item, "left").withColumns({"n_items": F.count(F.lit(1)).over(each), "__unheld": F.count_if(F.col("__held").isNull()).over(each), "__turn": F.row_number().over(ranked), "__next": F.lead(item).over(ranked)})
+    rarest = sized.filter("__turn = 1 and __unheld = 0").select(basket, item, quantity, "n_items", "__next").join(prices.select(item, merchant, price), item)
+    alone = rarest.filter("n_items = 1").select(basket, merchant, "n_items", (F.col(price) * F.col(quantity)).alias("total"))
+    other = prices.select(F.col(item).alias("__i"), F.col(merchant).alias("__m"))
+    both = rarest.filter("n_items > 1").select(F.col(basket).alias("__basket"), merchant, "__next")
+    both = both.join(other, (F.col("__next") == F.col("__i")) & F.col(merchant).eqNullSafe(F.col("__m")), "left_semi")
+    wanted = items.withColumn("n_items", F.count(F.lit(1)).over(each)).join(both, F.col(basket).eqNullSafe(F.col("__basket")))
+    found = _covered(wanted.select(basket, item, quantity, "n_items", merchant), prices, basket, item, merchant, price, quantity)
+    return alone.unionByName(found.filter("covered = n_items").drop("covered"))
+
+
+def best_partial(items: DataFrame, prices: DataFrame, basket: str, item: str, merchant: str, price: str, quantity: str, shown: Callable[[Column], Column], most: int = 5) -> DataFrame:
+    """The merchants that cover most of a basket, the cheaper of equals first, then by merchant: basket, merchant, covered, n_items, total, place.
+
+    Tables are as in ``full_baskets``; totals count as ``shown``. An item goes to its basket in one row, with the list of its merchants and its ``most`` cheapest
+    offers. In the basket's row stand the merchants of several items, and of those of one item no more than places are left can count. What these have is then priced.
+    """
+    listed = prices.groupBy(item).agg(F.array_sort(F.collect_list(F.struct(F.col(merchant).alias("m"), F.col(price).alias("p")))).alias("__offers"))
+    cheap = F.slice(F.array_sort(F.transform("__offers", lambda o: F.struct(shown(o["p"] * F.col(quantity)).alias("total"), o["m"].alias("m")))), 1, most)
+    told = F.struct(F.col(item).alias("item"), F.col(quantity).alias("qty"), F.coalesce(F.col("__offers.m"), F.array()).alias("merchants"), F.coalesce(cheap, F.array()).alias("cheap"))
+    baskets = items.join(listed, item, "left").select(basket, told.alias("__item")).repartition(basket).groupBy(basket).agg(F.count(F.lit(1)).alias("n_items"), F.collect_list("__item").alias("__items"))
+    in_order = F.array_sort(F.flatten(F.col("__items.merchants")))
+    several = tx.bound(in_order, lambda ms: F.array_distinct(F.filter(ms, lambda m, i: (i > 0) & m.eqNullSafe(F.get(ms, i - 1)))))
+    row = lambda m, r: F.struct(m.alias("m"), r["item"].alias("item"), r["qty"].alias("qty"))
+    of_several = F.flatten(F.transform("__several", lambda m: F.transform(F.filter("__items", lambda r: F.coalesce(F.array_contains(r["merchants"], m), m.isNull())), lambda r: row(m, r))))
+    once = F.flatten(F.transform("__items", lambda r: F.transform(r["cheap"], lambda c: F.struct(c["total"].alias("total"), c["m"].alias("m"), r["item"].alias("item"), r["qty"].alias("qty")))))
+    once = F.slice(F.array_sort(F.filter(once, lambda c: ~F.exists("__several", lambda m: m.eqNullSafe(c["m"])))), F.lit(1), F.greatest(F.lit(most) - F.size("__several"), F.lit(0)))
+    rows = baskets.withColumn("__several", several).select(basket, "n_items", F.inline(F.concat(of_several, F.transform(once, lambda c: row(c["m"], c)))))
+    rows = rows.select(basket, "n_items", F.col("m").alias(merchant), F.col("item").alias(item), F.col("qty").alias(quantity))
+    found = _covered(rows, prices, basket, item, merchant, price, quantity).withColumn("total", shown(F.col("total")))
+    return found.withColumn("place", turn(found, [basket], [F.desc("covered"), F.asc("total"), F.asc(merchant)])).filter(F.col("place") <= most)
 
 
 def cheapest_split(items: DataFrame, prices: DataFrame, basket: str, item: str, merchant: str, price: str, quantity: str) -> DataFrame:

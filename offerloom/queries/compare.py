@@ -48,17 +48,16 @@ def offer_price_bars(spark, d):
 
 
 def _baskets(spark, d):
-    return prices.merchant_baskets(basket_items(spark, d), latest_offers(spark, d).select("product", "merchant", "price"), "basket", "product", "merchant", "price", "qty")
+    return basket_items(spark, d), latest_offers(spark, d).select("product", "merchant", "price"), "basket", "product", "merchant", "price", "qty"
 
 
 def single_merchant_basket(spark, d):
     """Baskets that one merchant can fill, with its total."""
-    return _baskets(spark, d).filter("complete").select("basket", "merchant", "n_items", cents("total").alias("total"))
+    return prices.full_baskets(*_baskets(spark, d)).select("basket", "merchant", "n_items", cents("total").alias("total"))
 
 
 def partial_coverage_top5(spark, d):
-    rounded = _baskets(spark, d).withColumn("total", cents("total"))
-    return prices.best_partial(rounded, "basket", "merchant").select("basket", "merchant", "covered", "n_items", "total", F.col("place").cast("long").alias("place"))
+    return prices.best_partial(*_baskets(spark, d), cents).select("basket", "merchant", "covered", "n_items", "total", F.col("place").cast("long").alias("place"))
 
 
 def cheapest_split_basket(spark, d):

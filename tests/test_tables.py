@@ -1,10 +1,12 @@
 """Merges, upserts, grouping, sources, sinks and streams on small fixtures."""
 
+import math
 import json
 import os
 import random
 import statistics
 import threading
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -373,3 +375,27 @@ def test_stored_rows_that_a_batch_lacks_stay_spread(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sizes.sum() == 2010 and sizes.max() < 1000
+
+
+def test_baskets_with_odd_rows(spark):
+    """Merchants without a name, prices unknown, items that nobody has, equal totals: as adding up every merchant of every item says."""
+    rng = random.Random(11)
+    items = [(b, i, float(rng.randint(0, 3))) for b in range(60) for i in rng.sample(range(12), rng.randint(1, 5))]
+    offers = [(i, m, rng.choice([None, 1.0, 1.004, 2.0, 2.0])) for i in range(11) for m in rng.sample([None, *range(9)], rng.randint(1, 7))]
+    tables = spark.createDataFrame(items, "b long, i long, q double"), spark.createDataFrame(offers, "i long, m long, p double"), "b", "i", "m", "p", "q"
+    shown = lambda c: F.floor(c * 100 + 0.500001) / 100
+    sums = {}
+    for b, i, q in items:
+        for j, m, p in offers:
+            if i == j:
+                n, total = sums.get((b, m), (0, None))
+                sums[b, m] = n + 1, total if p is None else (total or 0.0) + p * q
+    sizes = Counter(b for b, _, _ in items)
+    cents = lambda t: None if t is None else math.floor(t * 100 + 0.500001) / 100
+    full = {(b, m, sizes[b], cents(t)) for (b, m), (n, t) in sums.items() if n == sizes[b]}
+    assert sorted(map(repr, map(tuple, prices.full_baskets(*tables).select("b", "m", "n_items", shown(F.col("total"))).collect()))) == sorted(map(repr, full))
+    want = []
+    for b in sizes:
+        mine = sorted(((-n, t is not None, cents(t) or 0.0, m is not None, m or 0, m, t) for (c, m), (n, t) in sums.items() if c == b))
+        want += [(b, m, -n, sizes[b], cents(t), at) for at, (n, _, _, _, _, m, t) in enumerate(mine[:5], 1)]
+    assert sorted(map(repr, map(tuple, prices.best_partial(*tables, shown).select("b", "m", "covered", "n_items", "total", "place").collect()))) == sorted(map(repr, want))
