@@ -399,3 +399,21 @@ def test_baskets_with_odd_rows(spark):
         mine = sorted(((-n, t is not None, cents(t) or 0.0, m is not None, m or 0, m, t) for (c, m), (n, t) in sums.items() if c == b))
         want += [(b, m, -n, sizes[b], cents(t), at) for at, (n, _, _, _, _, m, t) in enumerate(mine[:5], 1)]
     assert sorted(map(repr, map(tuple, prices.best_partial(*tables, shown).select("b", "m", "covered", "n_items", "total", "place").collect()))) == sorted(map(repr, want))
+
+
+def test_rounds_of_the_grouping_write_proposals_not_edges(spark, monkeypatch):
+    """Eight offers want eight groups in the same order: the first gets the first, and what the rounds write is not all edges each time."""
+    written, real = [], matching.cut
+    monkeypatch.setattr(matching, "cut", lambda df, *a, **k: [out := real(df, *a, **k), written.append(out.count())][0])
+    edges = spark.range(64).select((F.col("id") % 8).alias("seq"), (100 + F.floor(F.col("id") / 8)).alias("group_id"), F.struct(F.lit(3).alias("tier"), F.floor(F.col("id") / 8).cast("int").alias("x")).alias("p"))
+    assert {r.seq: r.group_id for r in matching._chosen(edges).collect()} == {n: 100 + n for n in range(8)}
+    assert sum(written) < 200
+
+
+def test_offers_meet_groups_by_two_tokens(spark):
+    """Shared tokens are counted as before, short ones aside, and one shared token makes no meeting."""
+    kind = "array<string>"
+    offers = spark.createDataFrame([(1, None, None, "", ["ab", "gants", "latex", "bleu"]), (2, None, None, "", ["gants", "seul"])], f"seq long, ean string, mfr string, brand string, tokens {kind}")
+    groups = spark.createDataFrame([(10, None, None, "", ["bleu", "ab", "latex", "gants"], 1), (11, None, None, "", ["gants", "bleu", "x1"], 1), (12, None, None, "", ["gants", "ab"], 1)], f"group_id long, ean string, mfr string, brand string, tokens {kind}, touched long")
+    rows = {(r.seq, r.group_id): tuple(r.p) for r in matching._edges(offers, groups).collect()}
+    assert rows == {(1, 10): (3, -3, -1.0, 1), (1, 11): (3, -2, -2 / 3, 1)}
