@@ -155,3 +155,16 @@ def test_listings_do_not_grow_with_the_table(spark, tmp_path):
         longest.append(listing_pages._listings(spark, f"{tmp_path}/{n}").agg(F.max(F.length("html"))).first()[0])
         assert QUERIES["links_with_words_extract"](spark, f"{tmp_path}/{n}").count() == n + 3
     assert longest[1] < 1.1 * longest[0]
+
+
+def test_lines_and_blocks_of_offers_are_read_once(spark):
+    """Filters on offers repeat no rule, and what a rule asks for is found where it was found before."""
+    rows = of_text(spark, "Réf. ACMED : A1\nNom 1234567890123 1 234,50 €\nRéf. Fabricant : X9\nEn stock 12.345,6€ Réf. ACMED : Réf. ACMED : B2 TEINTE : A2\nRéf. Fabricant Y1 EN STOCK 7 €")
+    variants = extract.variant_offers(rows, "text", "k", "title", "ACMED")
+    lines = extract.line_offers(rows, "text", "k", "title", "ACMED", extract.CAPTURE_LINES)
+    assert [(r.position, r.merchant_reference, r.manufacturer_reference, r.name, r.price_eur, r.availability) for r in variants.orderBy("position").collect()] == [
+        (0, "A1", "X9", "Nom 1234567890123 1 234,50 €", 12345.6, "in_stock"), (2, "B2", "Y1", "Titre", 7.0, "in_stock"),
+    ]
+    assert [(r.merchant_reference, r.name) for r in lines.orderBy("position").collect()] == [("A1", "Nom 1234567890123 1 234,50 €"), ("B2", "Titre")]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(lines).count("\\R") == 1 and plan(variants).count("TEINTE") == 1
