@@ -69,6 +69,7 @@ def bar_widths(ranked: DataFrame, product: str, price: str, least: float = 18.0)
 
 def offer_savings(offers: DataFrame, product: str, price: str) -> DataFrame:
     """Each offer against its product: saving_percent (of the median, whole per cent) and bar_percent (of the dearest, 100 at most)."""
+    offers = cut(offers, "offers")  # read three times
     sums = exact_medians(offers, product, price).select(product, "median_price", F.col("max_price").alias("__max"))
     saving = F.when(F.col("median_price") > 0, js_round((F.col("median_price") - F.col(price)) / F.col("median_price") * 100)).otherwise(0)
     bar = F.when(F.col("__max") > 0, F.least(F.lit(100.0), 100 * F.col(price) / F.col("__max"))).otherwise(0.0)

@@ -417,3 +417,22 @@ def test_offers_meet_groups_by_two_tokens(spark):
     groups = spark.createDataFrame([(10, None, None, "", ["bleu", "ab", "latex", "gants"], 1), (11, None, None, "", ["gants", "bleu", "x1"], 1), (12, None, None, "", ["gants", "ab"], 1)], f"group_id long, ean string, mfr string, brand string, tokens {kind}, touched long")
     rows = {(r.seq, r.group_id): tuple(r.p) for r in matching._edges(offers, groups).collect()}
     assert rows == {(1, 10): (3, -3, -1.0, 1), (1, 11): (3, -2, -2 / 3, 1)}
+
+
+def _counted(spark, rows, schema):
+    """The rows, and a counter of how many of them have been worked out."""
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    return spark.createDataFrame(rows, schema).mapInArrow(passed, schema), read
+
+
+def test_savings_work_their_offers_out_once(spark):
+    offers, read = _counted(spark, [("p", 1, 10.0), ("p", 2, 20.0), ("p", 3, 40.0), ("q", 1, None)], "product string, merchant int, price double")
+    rows = prices.offer_savings(offers, "product", "price").orderBy("product", "merchant").collect()
+    assert [(r.product, r.merchant, r.saving_percent, r.bar_percent) for r in rows] == [("p", 1, 50, 25.0), ("p", 2, 0, 50.0), ("p", 3, -100, 100.0), ("q", 1, 0, 0.0)]
+    assert read.value == 4
