@@ -31,7 +31,7 @@ def reach(roots: DataFrame, links: DataFrame, most_depth: int | None = None) ->
     Pages are numbered once and links become pairs of numbers. What was seen is a bit for each page, so a step reads its newest pages, their
     links and the bitmaps, however long the way was; placements grow by appending. Links without source or target lead nowhere.
     """
-    spark, links = roots.sparkSession, links.select("source", "target").dropna()
+    spark, links = roots.sparkSession, cut(links.select("source", "target").dropna(), "links")  # read three times
     urls = roots.select("url").dropna().union(links.select("source")).union(links.select("target")).distinct()
     pages = numbered(urls, ["url"], "id")
     number = lambda name: pages.select(F.col("url").alias(f"__{name}"), F.col("id").alias(name))

@@ -436,3 +436,9 @@ def test_savings_work_their_offers_out_once(spark):
     rows = prices.offer_savings(offers, "product", "price").orderBy("product", "merchant").collect()
     assert [(r.product, r.merchant, r.saving_percent, r.bar_percent) for r in rows] == [("p", 1, 50, 25.0), ("p", 2, 0, 50.0), ("p", 3, -100, 100.0), ("q", 1, 0, 0.0)]
     assert read.value == 4
+
+
+def test_reach_works_its_links_out_once(spark):
+    links, read = _counted(spark, [("a", "b"), ("b", "c"), ("c", "a"), (None, "d"), ("x", "y")], "source string, target string")
+    found = frontier.reach(spark.createDataFrame([("a",)], "url string"), links).collect()
+    assert sorted((r.url, r.depth) for r in found) == [("a", 0), ("b", 1), ("c", 2)] and read.value == 5
