@@ -170,23 +170,24 @@ def incremental_ingest(spark, d):
     """A table of events by user that a stream goes on with, in two runs; its state is the last event of each user."""
     folder, events = scratch(spark, "ingest"), table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
     part = lambda n: events.filter(F.col("event_id") % 4 == n)
+    pages = state.pages_for(events.agg(F.approx_count_distinct("user_id")).first()[0])
     for n in (1, 2, 3):
         part(n).write.parquet(f"{folder}/in/{n}")
         if n > 1:
             stream = ingest.arriving(spark, f"{folder}/in/*", events.schema, 1)
-            state.append_changes(state.changed_rows(stream, "user_id", "event_id", initial=part(0)), f"{folder}/out", f"{folder}/done")
+            state.append_changes(state.changed_rows(stream, "user_id", "event_id", initial=part(0), pages=pages), f"{folder}/out", f"{folder}/done")
     return state.current_rows(spark, f"{folder}/done")
 
 
 def change_stream(spark, d):
     """Events streamed in order in bounded batches, in three runs: only those whose type differs from the user's event before come out."""
     folder, events = scratch(spark, "changes"), table(spark, d, "events").select("event_id", "user_id", "event_type")
-    edges = events.selectExpr("min(event_id) a", "max(event_id) b").first()
+    edges = events.selectExpr("min(event_id) a", "max(event_id) b", "approx_count_distinct(user_id) users").first()
     for part in range(3):
         low, high = (edges.a + (edges.b + 1 - edges.a) * k // 3 for k in (part, part + 1))
         events.filter(F.col("event_id").between(low, high - 1)).coalesce(1).write.parquet(f"{folder}/in/{part}")
         stream = ingest.arriving(spark, f"{folder}/in/*", events.schema, 1)
-        state.append_changes(state.changed_rows(stream, "user_id", "event_id", ["event_type"]), f"{folder}/out", f"{folder}/done")
+        state.append_changes(state.changed_rows(stream, "user_id", "event_id", ["event_type"], pages=state.pages_for(edges.users)), f"{folder}/out", f"{folder}/done")
     return spark.read.parquet(f"{folder}/out").select("event_id", "user_id", "event_type")
 
 

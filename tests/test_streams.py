@@ -79,3 +79,49 @@ def test_restart_in_mid_stream(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert broken == [2] and sorted((r.product, str(r.ts), r.price) for r in got) == sorted(wanted)
     assert {r.product: r.price for r in state.current_rows(spark, str(tmp_path / "done")).collect()} == last
+
+
+def test_keys_share_pages(spark, tmp_path):
+    """The state has a row per page, not per key; keys of one page don't mix."""
+    for n in range(3):
+        spark.range(3000).filter(f"id % 3 <= {n}").selectExpr("concat('k', id) product", f"timestamp '2024-01-01' + make_interval(0, 0, 0, {n}) ts", f"double(id * if(id % 2 = 0, {n}, 1)) price", "'a' availability").coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+    run(spark, tmp_path)
+    assert spark.read.format("statestore").option("stateVarName", state.LAST).load(str(tmp_path / "done")).count() <= 1024
+    kept = {r.product: (str(r.ts)[5:10], r.price) for r in state.current_rows(spark, str(tmp_path / "done")).collect()}
+    assert kept == {f"k{i}": ("01-03", float(i * (2 if i % 2 == 0 else 1))) for i in range(3000)}
+    first = {0: 0, 1: 1, 2: 2}
+    wanted = sum(len({i * (n if i % 2 == 0 else 1) for n in range(first[i % 3], 3)}) for i in range(3000))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == wanted
+
+
+def test_odd_keys_and_values_in_one_page(spark, tmp_path):
+    schema = "k double, n long, v struct<a: int, b: array<string>>"
+    nan, batches = float("nan"), []
+    batches.append([(nan, 1, (1, ["x"])), (nan, 2, (2, None)), (0.0, 1, None), (None, 1, (1, [])), (1.5, None, None), (2.5, 9, (1, ["x", None]))])
+    batches.append([(nan, 3, (2, None)), (-0.0, 2, (None, ["y"])), (None, 1, (7, [])), (2.5, 8, None), (3.5, 2**60, None), (2.5, 10, (1, ["x", None]))])
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+        stream = ingest.arriving(spark, str(tmp_path / "in" / "*"), schema, 1)
+        state.append_changes(state.changed_rows(stream, "k", "n", ["v"], pages=1), str(tmp_path / "out"), str(tmp_path / "done"))
+    shown = lambda df: sorted((str(r.k).replace("-0.0", "0.0"), r.n, r.v and tuple(r.v)) for r in df.collect())
+    assert shown(state.current_rows(spark, str(tmp_path / "done"))) == [("0.0", 2, (None, ["y"])), ("2.5", 10, (1, ["x", None])), ("3.5", 2**60, None), ("None", 1, (1, [])), ("nan", 3, (2, None))]
+    changes = [("0.0", 1, None), ("0.0", 2, (None, ["y"])), ("2.5", 9, (1, ["x", None])), ("3.5", 2**60, None), ("None", 1, (1, [])), ("nan", 1, (1, ["x"])), ("nan", 2, (2, None))]
+    assert shown(spark.read.parquet(str(tmp_path / "out"))) == changes
+
+
+def test_other_number_of_pages_is_refused(spark, tmp_path):
+    write(spark, tmp_path, 0, [("p", "2024-01-01", 1.0, "a")])
+    run(spark, tmp_path, pages=1)
+    write(spark, tmp_path, 1, [(f"p{n}", "2024-01-02", 1.0, "a") for n in range(50)])
+    with pytest.raises(StreamingQueryException, match="begun with 1 pages, not 2"):
+        run(spark, tmp_path, pages=2)
+
+
+def test_keys_with_a_time_to_live(spark, tmp_path):
+    """Each key is a page of its own, so one key's rows don't keep another."""
+    for n in range(2):
+        write(spark, tmp_path, n, [("p", f"2024-01-0{n + 1}", 1.0, "a"), ("p", f"2024-01-0{n + 3}", 2.0, "a"), (f"q{n}", "2024-01-01", float(n), None)])
+        sink = changes(spark, tmp_path, ttl_ms=3_600_000).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "done"))
+        sink.trigger(once=True).start().awaitTermination()  # with clocks, availableNow finds another batch to run each time
+    assert seen(spark, tmp_path) == [("p", "01-01", 1.0, "a"), ("p", "01-03", 2.0, "a"), ("q0", "01-01", 0.0, None), ("q1", "01-01", 1.0, None)]
+    assert {r.product: r.price for r in state.current_rows(spark, str(tmp_path / "done")).collect()} == {"p": 2.0, "q0": 0.0, "q1": 1.0}
