@@ -127,7 +127,7 @@ def canonical_ingest(merchant_products: DataFrame, products: DataFrame, batch: D
     fresh = cut(first_wins(rows.filter("new"), ["id"], ["seq"]).withColumnRenamed("id", "offer_id"), "fresh")
     strong = matching.strong_matches(fresh, products)
     bare = products.withColumns({c: F.lit(None).cast("string") for c in ("variant", "packaging")})
-    scored = cut(matching.scored_matches(fresh.join(strong, "offer_id", "left_anti"), bare), "scored")
+    scored = cut(matching.sure_matches(fresh.join(strong, "offer_id", "left_anti"), bare), "scored")
     routes = cut(matching.route(fresh, strong, scored), "routes")
     unplaced = fresh.join(routes.filter("action <> 'reuse'"), "offer_id", "left_semi").withColumn("__key", tiered_key([["ean"], ["manufacturer_reference"], ["offer_id"]]))
     creators = first_wins(unplaced, ["__key"], ["seq"])
