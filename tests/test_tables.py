@@ -193,6 +193,14 @@ def test_bounds_are_bounds(a, b):
     assert Names([b, ""]).most(a)[0] >= token_set(a, b) - 1e-12
 
 
+def test_grouping_by_a_word_of_many_groups(spark):
+    """A group is found by its words however many earlier groups hold them, with three shared words, with two, and when others took the better ones."""
+    rows = [(i, "a", f"gants latex nr{i}", "", "", "") for i in range(1, 560)] + [(1001, "b", "gants autre nr559", "", "", ""), (1002, "b", "gants latex nr558 xx", "", "", ""), (1003, "b", "gants latex nr558 yy", "", "", "")]
+    df = spark.createDataFrame(rows, "seq long, merchant string, name string, brand string, manufacturer_reference string, ean string")
+    got = {r.seq: r.group_id for r in matching.greedy_groups(df, ["a", "b"]).filter("seq > 1000").collect()}
+    assert got == {1001: 559, 1002: 558, 1003: 1}
+
+
 def test_grouping_by_identifiers(spark):
     rows = [(1, "a", "gants latex", "X", "REF100", "12345678"), (2, "b", "autre chose", "X", "", "12345678"), (3, "b", "rien du tout", "Y", "REF-100", ""), (4, "c", "encore", "", "REF100", "")]
     df = spark.createDataFrame(rows, "seq long, merchant string, name string, brand string, manufacturer_reference string, ean string")
