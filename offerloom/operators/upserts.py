@@ -15,7 +15,7 @@ from offerloom.operators import matching
 from offerloom.operators.dedup import tiered_key
 from offerloom.operators.merge import changes, tiered_lookup
 from offerloom.operators.ranking import first_wins, last_wins, numbered
-from offerloom.plans.lineage import cut
+from offerloom.plans.lineage import cut, cut_alone
 
 CURRENT = "product_id long, merchant string, merchant_reference string, manufacturer_reference string, brand string, name string, variant string, source_url string, current_price_eur double, current_availability string, first_seen_at timestamp, last_seen_at timestamp"
 HISTORY = "product_id long, observed_at timestamp, price_eur double, availability string, source string"
@@ -36,16 +36,21 @@ def _stripped(c: str) -> Column:
     return F.nullif(F.trim(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), F.lit(""))
 
 
-def _identified(rows: DataFrame, stored: DataFrame, tiers: list[list[str]], key: str) -> DataFrame:
-    """``rows`` with ``key`` (the stored id, or for new rows the next ids in order of ``seq``) and ``new``."""
-    # both halves read what was looked up, so it is written once
-    found = cut(tiered_lookup(rows, stored, tiers, key, "seq").drop("found_tier").withColumnRenamed("found_id", key), "found")
-    known, new = found.filter(F.col(key).isNotNull()), found.filter(F.col(key).isNull()).drop(key)
-    new = new.withColumn("__key", tiered_key(tiers))
-    firsts = new.groupBy("__key").agg(F.min("seq").alias("seq"))
-    top = stored.agg(F.coalesce(F.max(key), F.lit(0)).alias("top"))
-    ids = numbered(firsts, ["seq"], "__number").join(F.broadcast(top)).select("__key", (F.col("top") + F.col("__number")).cast("long").alias(key))  # one row
-    return cut(known.withColumn("new", F.lit(False)).unionByName(new.join(ids, "__key").drop("__key").withColumn("new", F.lit(True))), "identified")
+def _identified(rows: DataFrame, stored: DataFrame, tiers: list[list[str]], key: str, aside: tuple[str, ...]) -> DataFrame:
+    """``rows`` without the columns ``aside``, with ``key`` (the stored id, or for new rows the next ids in order of ``seq``) and ``new``."""
+
+    def identified() -> DataFrame:
+        # both halves read what was looked up, so it is written once; it goes when they are written together
+        found = cut(tiered_lookup(rows, stored, tiers, key, "seq").drop("found_tier").withColumnRenamed("found_id", key), "found")
+        known, new = found.filter(F.col(key).isNotNull()), found.filter(F.col(key).isNull()).drop(key)
+        new = new.withColumn("__key", tiered_key(tiers))
+        firsts = new.groupBy("__key").agg(F.min("seq").alias("seq"))
+        top = stored.agg(F.coalesce(F.max(key), F.lit(0)).alias("top"))
+        ids = numbered(firsts, ["seq"], "__number").join(F.broadcast(top)).select("__key", (F.col("top") + F.col("__number")).cast("long").alias(key))  # one row
+        both = known.withColumn("new", F.lit(False)).unionByName(new.join(ids, "__key").drop("__key").withColumn("new", F.lit(True)))
+        return both.drop(*aside)
+
+    return cut_alone(identified, "identified")
 
 
 def daily_upsert(stored: DataFrame, batch: DataFrame, at: Column, source: str, strict: bool = True) -> Upsert:
@@ -68,7 +73,7 @@ def daily_upsert(stored: DataFrame, batch: DataFrame, at: Column, source: str, s
     keyed = lambda df: df.withColumns(filled).withColumn("__tier", F.lit("3"))
     # the last tier takes empty texts as values, so they are marked as set
     marked = lambda df: keyed(df).withColumns({k: F.concat(F.lit("="), F.col(k)) for k in filled})
-    rows = _identified(marked(rows), marked(stored), tiers, "product_id").drop(*filled, "__tier")
+    rows = _identified(marked(rows), marked(stored), tiers, "product_id", (*filled, "__tier"))
     # the reference of an identity's first row goes along with its last row: a join behind the full outer one would send all stored rows that the batch lacks to one task, under a null key
     first_reference = F.min_by(F.struct("merchant_reference"), "seq")["merchant_reference"].alias("__first")
     last = rows.groupBy("product_id").agg(F.max_by(F.struct(*_TEXTS, "price_eur", "availability"), "seq").alias("__row"), first_reference).select("product_id", "__row.*", "__first").alias("b")
@@ -123,7 +128,7 @@ def canonical_ingest(merchant_products: DataFrame, products: DataFrame, batch: D
     clean = {c: F.nullif(tx.normalize_reference(c), F.lit("")) for c in ("manufacturer_reference", "ean")}
     rows = batch.withColumns(clean | {"merchant_reference": tx.set_text("merchant_reference"), "__tier": F.lit("2")})
     tiers = [["merchant_reference", "merchant"], ["__tier", "merchant", "url", "name"]]
-    rows = _identified(rows, merchant_products.withColumn("__tier", F.lit("2")), tiers, "id").drop("__tier")
+    rows = _identified(rows, merchant_products.withColumn("__tier", F.lit("2")), tiers, "id", ("__tier",))
     fresh = cut(first_wins(rows.filter("new"), ["id"], ["seq"]).withColumnRenamed("id", "offer_id"), "fresh")
     strong = matching.strong_matches(fresh, products)
     bare = products.withColumns({c: F.lit(None).cast("string") for c in ("variant", "packaging")})

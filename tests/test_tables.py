@@ -1,5 +1,6 @@
 """Merges, upserts, grouping, sources, sinks and streams on small fixtures."""
 
+import glob
 import math
 import json
 import os
@@ -450,3 +451,23 @@ def test_reach_works_its_links_out_once(spark):
     links, read = _counted(spark, [("a", "b"), ("b", "c"), ("c", "a"), (None, "d"), ("x", "y")], "source string, target string")
     found = frontier.reach(spark.createDataFrame([("a",)], "url string"), links).collect()
     assert sorted((r.url, r.depth) for r in found) == [("a", 0), ("b", 1), ("c", 2)] and read.value == 5
+
+
+def test_shuffle_files_of_a_cut_go_with_it(spark):
+    """Writing a step leaves no shuffle files, and the session's setting is as before."""
+    held = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("/shuffle_")
+    setting, before = spark.conf.get(lineage._TIDY, None), held()
+    out = lineage.cut(spark.range(10_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.count(F.lit(1)).alias("n")))
+    assert held() <= before and spark.conf.get(lineage._TIDY, None) == setting
+    assert out.count() == 1000
+
+
+def test_what_was_looked_up_goes_once_rows_are_identified(spark):
+    """An upsert's rows are kept once in the shared folder, without the columns that they were looked up by."""
+    kept = lambda: {p for x in ("found", "identified") for p in glob.glob(f"{lineage.shared_dir(spark)}/offerloom-*/{x}/*.parquet")}
+    before = kept()
+    batch = spark.createDataFrame([(1, "m", "R1", None, "b", "n", None, "u", 1.0, "dispo")], "seq long, merchant string, merchant_reference string, manufacturer_reference string, brand string, name string, variant string, source_url string, price_eur double, availability string")
+    upserts.daily_upsert(spark.createDataFrame([], upserts.CURRENT), batch, F.lit("2024-01-01").cast("timestamp"), "s")
+    new = kept() - before
+    assert {p.split("/")[-2] for p in new} == {"identified"}
+    assert not [c for p in new for c in spark.read.parquet(p).columns if c.startswith("__")]
